@@ -37,40 +37,109 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def vtype(x: Column) -> Column:
-    return F.schema_of_variant(x)
+# JSON kinds of a body field, computed once per field and row.
+MISSING, JNULL, NUMBER, STRING, BOOLEAN, OTHER = range(6)
 
 
-def is_missing(x: Column) -> Column:
-    return x.isNull()
+def _kind(x: Column, t: Column) -> Column:
+    return (F.when(x.isNull(), F.lit(MISSING))
+            .when(F.is_variant_null(x), F.lit(JNULL))
+            .when(t == "STRING", F.lit(STRING))
+            .when(t == "BOOLEAN", F.lit(BOOLEAN))
+            .when(t.rlike(_NUMERIC_TYPE), F.lit(NUMBER))
+            .otherwise(F.lit(OTHER)))
 
 
-def is_json_null(x: Column) -> Column:
+class VField:
+    """One body field seen through JavaScript eyes: its VARIANT ``x``, its JSON
+    kind ``k`` and its double / string / boolean readings.
+
+    Built inline from a Column, or from columns materialised once per row by
+    ``expand`` -- the rules below reference each reading many times, and
+    without materialising the plan would repeat the VARIANT access for every
+    reference.
+    """
+
+    def __init__(self, x: Column, k: Column | None = None, d: Column | None = None,
+                 s: Column | None = None, b: Column | None = None):
+        self.x = x
+        self.k = k if k is not None else _kind(x, F.schema_of_variant(x))
+        self.d = d if d is not None else F.try_variant_get(x, "$", "double")
+        self.s = s if s is not None else F.try_variant_get(x, "$", "string")
+        self.b = b if b is not None else F.try_variant_get(x, "$", "boolean")
+
+
+def _vf(x) -> VField:
+    return x if isinstance(x, VField) else VField(x)
+
+
+def expand(df, v: Column, names, prefix: str = "_f_"):
+    """Add per-field columns for ``names`` of body ``v``; return (df, {name: VField}).
+
+    Two projections: the VARIANT of each field, then its kind and readings.
+    Catalyst does not collapse a project whose expensive outputs are
+    referenced more than once, so every field is read from the body once.
+    """
+    cols = [F.col(c) for c in df.columns]
+    df = df.select(*cols, *[field(v, n).alias(f"{prefix}{n}") for n in names])
+    read = []
+    for n in names:
+        x = F.col(f"{prefix}{n}")
+        read += [_kind(x, F.schema_of_variant(x)).alias(f"{prefix}{n}_k"),
+                 F.try_variant_get(x, "$", "double").alias(f"{prefix}{n}_d"),
+                 F.try_variant_get(x, "$", "string").alias(f"{prefix}{n}_s"),
+                 F.try_variant_get(x, "$", "boolean").alias(f"{prefix}{n}_b")]
+    df = df.select(*[F.col(c) for c in df.columns if c not in [f"{prefix}{n}" for n in names]],
+                   *[F.col(f"{prefix}{n}") for n in names], *read)
+    out = {n: VField(F.col(f"{prefix}{n}"), F.col(f"{prefix}{n}_k"), F.col(f"{prefix}{n}_d"),
+                     F.col(f"{prefix}{n}_s"), F.col(f"{prefix}{n}_b")) for n in names}
+    return df, out
+
+
+def drop_expanded(df, prefix: str = "_f_"):
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def kind(x) -> Column:
+    return _vf(x).k
+
+
+def vtype(x) -> Column:
+    return F.schema_of_variant(_vf(x).x)
+
+
+def is_missing(x) -> Column:
+    return kind(x) == MISSING
+
+
+def is_json_null(x) -> Column:
+    if isinstance(x, VField):
+        return x.k == JNULL
     return F.coalesce(F.is_variant_null(x), F.lit(False))
 
 
-def is_number(x: Column) -> Column:
-    return F.coalesce(vtype(x).rlike(_NUMERIC_TYPE), F.lit(False))
+def is_number(x) -> Column:
+    return kind(x) == NUMBER
 
 
-def is_string(x: Column) -> Column:
-    return F.coalesce(vtype(x) == "STRING", F.lit(False))
+def is_string(x) -> Column:
+    return kind(x) == STRING
 
 
-def is_boolean(x: Column) -> Column:
-    return F.coalesce(vtype(x) == "BOOLEAN", F.lit(False))
+def is_boolean(x) -> Column:
+    return kind(x) == BOOLEAN
 
 
-def as_double(x: Column) -> Column:
-    return F.try_variant_get(x, "$", "double")
+def as_double(x) -> Column:
+    return _vf(x).d
 
 
-def as_string(x: Column) -> Column:
-    return F.try_variant_get(x, "$", "string")
+def as_string(x) -> Column:
+    return _vf(x).s
 
 
-def as_boolean(x: Column) -> Column:
-    return F.try_variant_get(x, "$", "boolean")
+def as_boolean(x) -> Column:
+    return _vf(x).b
 
 
 def js_trim(s: Column) -> Column:
@@ -91,12 +160,13 @@ def js_string_to_number(s: Column, default) -> Column:
             .otherwise(_lit(default).cast("double")))
 
 
-def num(x: Column, default=0) -> Column:
+def num(x, default=0) -> Column:
     """X1, ``num(v, d)``: ``Number(v)`` if finite, else ``d``; missing -> ``d``.
 
     null -> 0, '' -> 0, true/false -> 1/0, numeric text -> its value.  Objects
     and arrays fall to the default (pinned deviation; JS would coerce ``[5]``).
     """
+    x = _vf(x)
     d = _lit(default).cast("double")
     dv = as_double(x)
     return (F.when(is_missing(x), d)
@@ -120,7 +190,7 @@ def round_half_up_cents(usd: Column) -> Column:
     return F.when(F.abs(y) <= F.lit(MAX_SAFE), out.cast("bigint"))
 
 
-def cents(x: Column) -> Column:
+def cents(x) -> Column:
     """X2, ``cents(usd) = Math.round(num(usd, 0) * 100)`` on a VARIANT field."""
     return round_half_up_cents(num(x, 0))
 
@@ -131,30 +201,33 @@ def floor_clamp(n: Column, low: int) -> Column:
     return F.when(F.abs(n) <= F.lit(MAX_SAFE), F.greatest(F.lit(low).cast("bigint"), fl))
 
 
-def _number_text(x: Column) -> Column:
+def _number_text(x) -> Column:
     """``String(n)`` for a JSON number; integral doubles print without ``.0``."""
+    x = _vf(x)
     d = as_double(x)
     integral = (F.floor(d) == d) & (F.abs(d) < F.lit(1e21))
-    return (F.when(vtype(x) == "DOUBLE",
+    return (F.when(F.schema_of_variant(x.x) == "DOUBLE",
                    F.when(integral, d.cast("decimal(38,0)").cast("string"))
                    .otherwise(d.cast("string")))
             .otherwise(as_string(x)))
 
 
-def is_falsy(x: Column) -> Column:
+def is_falsy(x) -> Column:
     """JS falsiness of a body field: missing, null, '', 0, false."""
+    x = _vf(x)
     return (is_missing(x) | is_json_null(x)
             | (is_string(x) & (as_string(x) == ""))
             | (is_boolean(x) & ~F.coalesce(as_boolean(x), F.lit(False)))
             | (is_number(x) & (as_double(x) == 0)))
 
 
-def js_text(x: Column, default: str | None = "", trim: bool = False) -> Column:
+def js_text(x, default: str | None = "", trim: bool = False) -> Column:
     """``String(b.x || default)`` (optionally ``.trim()``).
 
     Numbers and booleans print as JS does; objects and arrays become ''
     (pinned deviation: JS would print ``[object Object]``).
     """
+    x = _vf(x)
     raw = (F.when(is_string(x), as_string(x))
            .when(is_boolean(x), F.lit("true"))
            .when(is_number(x), _number_text(x))
@@ -163,13 +236,14 @@ def js_text(x: Column, default: str | None = "", trim: bool = False) -> Column:
     return js_trim(out) if trim else out
 
 
-def js_or_null(x: Column) -> Column:
+def js_or_null(x) -> Column:
     """``b.x || null`` stored into a TEXT column."""
     return js_text(x, None, trim=False)
 
 
-def deductible_flag(x: Column) -> Column:
+def deductible_flag(x) -> Column:
     """``String(b.deductible ?? '1') === '0' ? 0 : 1``."""
+    x = _vf(x)
     zero = ((is_string(x) & (as_string(x) == "0"))
             | (is_number(x) & (as_double(x) == 0)))
     return F.when(zero, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
@@ -186,8 +260,9 @@ def normalize_status(s: Column) -> Column:
     return F.when(low.isin("staged", "draft", "active", "sold"), low).otherwise(F.lit("active"))
 
 
-def cost_precedence(cost_cents_field: Column, cost_usd_field: Column) -> Column:
+def cost_precedence(cost_cents_field, cost_usd_field) -> Column:
     """X11: finite *number* cost_cents, else finite number cost_usd x 100 (JS round), else 0."""
+    cost_cents_field, cost_usd_field = _vf(cost_cents_field), _vf(cost_usd_field)
     cc = as_double(cost_cents_field)
     cu = as_double(cost_usd_field)
     return (F.when(is_number(cost_cents_field) & _finite(cc), F.floor(cc).cast("bigint"))
@@ -195,7 +270,7 @@ def cost_precedence(cost_cents_field: Column, cost_usd_field: Column) -> Column:
             .otherwise(F.lit(0).cast("bigint")))
 
 
-def quantity_or_one(x: Column) -> Column:
+def quantity_or_one(x) -> Column:
     """``Number(q) || 1`` with ``q`` defaulting to 1 when missing."""
     n = num(x, 1)
     return F.when(n == 0, F.lit(1.0)).otherwise(n)

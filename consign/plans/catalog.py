@@ -196,5 +196,7 @@ BASE: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
+    from .catalog_changes import CHANGES
     out = dict(BASE)
+    out.update(CHANGES)
     return out

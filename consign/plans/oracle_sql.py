@@ -232,5 +232,7 @@ SELECT doc_id, CASE WHEN starts_with(t, chr(65279)) THEN substr(t, 2) ELSE t END
 
 
 def all_oracles() -> dict[str, str]:
+    from .oracle_changes import change_oracles
     out = base_oracles()
+    out.update(change_oracles())
     return out
