@@ -1,30 +1,35 @@
-"""JavaScript-compatible value coercion as native Spark Column expressions.
+"""JavaScript-compatible value coercion as native Spark expressions.
 
-Request bodies are parsed into VARIANT (``try_parse_json``).  A field read with
-``field(v, name)`` is SQL NULL when the key is missing and a variant null when
-the JSON says ``null``; every helper here keeps those two apart, as the
-reference's ``b.x ?? d`` / ``b.x || d`` / ``Number(b.x)`` rules do.
+Request bodies are parsed into VARIANT (``try_parse_json``).  ``expand`` reads
+each body field once per row into typed columns (kind, double, string, trimmed
+string, boolean); the JS rules (``Number(v)``, ``String(v || d)``, falsiness,
+``??``) are then SQL text over those columns, handed to the JVM in one
+``F.expr`` call each -- building them node by node from Python would cost one
+py4j round trip per node.  Missing keys and JSON ``null`` stay apart, as the
+reference's ``b.x ?? d`` / ``b.x || d`` / ``Number(b.x)`` rules need.
 
 No Python UDF: everything stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters JavaScript's String.prototype.trim removes
 # (WhiteSpace and LineTerminator of ECMA-262), as a Java regex class.
 JS_WS = "[\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-# Fixed value: a decimal StringNumericLiteral (after trimming), finite forms only.
-JS_DECIMAL = "^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Fixed value: a finite decimal StringNumericLiteral after trimming (no backslashes,
+# so it can sit in SQL text).
+JS_DECIMAL = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _NUMERIC_TYPE = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
-# Largest magnitude (in cents) that a double still holds exactly (2^53).
+# Largest integer a double still holds exactly (2^53 - 1).
 MAX_SAFE = 9007199254740991.0
+_MAX = "9007199254740991D"
+_INF = "CAST('Infinity' AS DOUBLE)"
 
-
-def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+# JSON kinds of a body field, computed once per field and row.
+MISSING, JNULL, NUMBER, STRING, BOOLEAN, OTHER = range(6)
 
 
 def parse_body(body: Column) -> Column:
@@ -37,216 +42,203 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-# JSON kinds of a body field, computed once per field and row.
-MISSING, JNULL, NUMBER, STRING, BOOLEAN, OTHER = range(6)
-
-
-def _kind(x: Column, t: Column) -> Column:
-    return (F.when(x.isNull(), F.lit(MISSING))
-            .when(F.is_variant_null(x), F.lit(JNULL))
-            .when(t == "STRING", F.lit(STRING))
-            .when(t == "BOOLEAN", F.lit(BOOLEAN))
-            .when(t.rlike(_NUMERIC_TYPE), F.lit(NUMBER))
-            .otherwise(F.lit(OTHER)))
+def js_trim(s: Column) -> Column:
+    """``String.prototype.trim`` (Spark ``trim`` strips only spaces)."""
+    return F.regexp_replace(s, f"^{JS_WS}+|{JS_WS}+$", "")
 
 
 class VField:
-    """One body field seen through JavaScript eyes: its VARIANT ``x``, its JSON
-    kind ``k`` and its double / string / boolean readings.
-
-    Built inline from a Column, or from columns materialised once per row by
-    ``expand`` -- the rules below reference each reading many times, and
-    without materialising the plan would repeat the VARIANT access for every
-    reference.
-    """
-
-    def __init__(self, x: Column, k: Column | None = None, d: Column | None = None,
-                 s: Column | None = None, b: Column | None = None):
-        self.x = x
-        self.k = k if k is not None else _kind(x, F.schema_of_variant(x))
-        self.d = d if d is not None else F.try_variant_get(x, "$", "double")
-        self.s = s if s is not None else F.try_variant_get(x, "$", "string")
-        self.b = b if b is not None else F.try_variant_get(x, "$", "boolean")
+    """One body field seen through JavaScript eyes, as column names: ``x`` its
+    VARIANT, ``k`` its JSON kind, ``d``/``s``/``b`` its double, string and
+    boolean readings, ``t`` the JS-trimmed string (strings only)."""
 
+    def __init__(self, prefix: str):
+        q = lambda suf: f"`{prefix}{suf}`"
+        self.x, self.k, self.d, self.s, self.b, self.t = (q(""), q("_k"), q("_d"), q("_s"),
+                                                         q("_b"), q("_t"))
 
-def _vf(x) -> VField:
-    return x if isinstance(x, VField) else VField(x)
 
-
-def expand(df, v: Column, names, prefix: str = "_f_"):
+def expand(df: DataFrame, v: Column, names, prefix: str = "_f_") -> tuple[DataFrame, dict]:
     """Add per-field columns for ``names`` of body ``v``; return (df, {name: VField}).
 
     Two projections: the VARIANT of each field, then its kind and readings.
     Catalyst does not collapse a project whose expensive outputs are
     referenced more than once, so every field is read from the body once.
     """
-    cols = [F.col(c) for c in df.columns]
-    df = df.select(*cols, *[field(v, n).alias(f"{prefix}{n}") for n in names])
+    df = df.select("*", *[field(v, n).alias(f"{prefix}{n}") for n in names])
     read = []
     for n in names:
         x = F.col(f"{prefix}{n}")
-        read += [_kind(x, F.schema_of_variant(x)).alias(f"{prefix}{n}_k"),
+        t = F.schema_of_variant(x)
+        k = (F.when(x.isNull(), F.lit(MISSING)).when(F.is_variant_null(x), F.lit(JNULL))
+             .when(t == "STRING", F.lit(STRING)).when(t == "BOOLEAN", F.lit(BOOLEAN))
+             .when(t.rlike(_NUMERIC_TYPE), F.lit(NUMBER)).otherwise(F.lit(OTHER)))
+        s_ = F.try_variant_get(x, "$", "string")
+        read += [k.alias(f"{prefix}{n}_k"),
                  F.try_variant_get(x, "$", "double").alias(f"{prefix}{n}_d"),
-                 F.try_variant_get(x, "$", "string").alias(f"{prefix}{n}_s"),
-                 F.try_variant_get(x, "$", "boolean").alias(f"{prefix}{n}_b")]
-    df = df.select(*[F.col(c) for c in df.columns if c not in [f"{prefix}{n}" for n in names]],
-                   *[F.col(f"{prefix}{n}") for n in names], *read)
-    out = {n: VField(F.col(f"{prefix}{n}"), F.col(f"{prefix}{n}_k"), F.col(f"{prefix}{n}_d"),
-                     F.col(f"{prefix}{n}_s"), F.col(f"{prefix}{n}_b")) for n in names}
-    return df, out
+                 s_.alias(f"{prefix}{n}_s"),
+                 F.try_variant_get(x, "$", "boolean").alias(f"{prefix}{n}_b"),
+                 F.when(t == "STRING", js_trim(s_)).alias(f"{prefix}{n}_t")]
+    df = df.select("*", *read)
+    return df, {n: VField(f"{prefix}{n}") for n in names}
 
 
-def drop_expanded(df, prefix: str = "_f_"):
+def drop_expanded(df: DataFrame, prefix: str = "_f_") -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])
 
 
-def kind(x) -> Column:
-    return _vf(x).k
+def sql_lit(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{float(x)!r}D"
 
 
-def vtype(x) -> Column:
-    return F.schema_of_variant(_vf(x).x)
+# ------------------------------------------------------------ rule SQL text
 
+def _num_sql(f: VField, default: str) -> str:
+    parsed = f"try_cast({f.t} AS DOUBLE)"
+    return (f"(CASE {f.k} WHEN {MISSING} THEN {default} WHEN {JNULL} THEN 0D "
+            f"WHEN {NUMBER} THEN (CASE WHEN isnan({f.d}) OR abs({f.d}) = {_INF} THEN {default} "
+            f"ELSE {f.d} END) "
+            f"WHEN {BOOLEAN} THEN (CASE WHEN {f.b} THEN 1D ELSE 0D END) "
+            f"WHEN {STRING} THEN (CASE WHEN {f.t} = '' THEN 0D "
+            f"WHEN {f.t} RLIKE '{JS_DECIMAL}' AND abs({parsed}) < {_INF} THEN {parsed} "
+            f"ELSE {default} END) "
+            f"ELSE {default} END)")
 
-def is_missing(x) -> Column:
-    return kind(x) == MISSING
 
+def _falsy_sql(f: VField) -> str:
+    return (f"({f.k} IN ({MISSING}, {JNULL}) OR ({f.k} = {STRING} AND {f.s} = '') "
+            f"OR ({f.k} = {BOOLEAN} AND NOT {f.b}) OR ({f.k} = {NUMBER} AND {f.d} = 0D))")
 
-def is_json_null(x) -> Column:
-    if isinstance(x, VField):
-        return x.k == JNULL
-    return F.coalesce(F.is_variant_null(x), F.lit(False))
 
+def _number_text_sql(f: VField) -> str:
+    d = f.d
+    return (f"(CASE WHEN schema_of_variant({f.x}) <> 'DOUBLE' THEN {f.s} "
+            f"WHEN abs({d}) <= {_MAX} AND {d} = CAST(CAST({d} AS BIGINT) AS DOUBLE) "
+            f"THEN CAST(CAST({d} AS BIGINT) AS STRING) "
+            f"WHEN abs({d}) > {_MAX} AND abs({d}) < 1e21 "
+            f"THEN CAST(CAST({d} AS DECIMAL(38,0)) AS STRING) "
+            f"ELSE CAST({d} AS STRING) END)")
 
-def is_number(x) -> Column:
-    return kind(x) == NUMBER
 
+def _text_sql(f: VField, default, trim: bool) -> str:
+    s = f.t if trim else f.s
+    raw = (f"(CASE {f.k} WHEN {STRING} THEN {s} WHEN {BOOLEAN} THEN 'true' "
+           f"WHEN {NUMBER} THEN {_number_text_sql(f)} ELSE '' END)")
+    return f"(CASE WHEN {_falsy_sql(f)} THEN {sql_lit(default)} ELSE {raw} END)"
 
-def is_string(x) -> Column:
-    return kind(x) == STRING
 
+def _round_sql(y: str) -> str:
+    return (f"(CASE WHEN abs({y}) <= {_MAX} THEN CAST(floor({y}) AS BIGINT) + "
+            f"(CASE WHEN {y} - floor({y}) >= 0.5D THEN 1L ELSE 0L END) END)")
 
-def is_boolean(x) -> Column:
-    return kind(x) == BOOLEAN
 
+# ------------------------------------------------------------- Column API
 
-def as_double(x) -> Column:
-    return _vf(x).d
+def num(f: VField, default=0) -> Column:
+    """X1, ``num(v, d)``: ``Number(v)`` if finite, else ``d``; missing -> ``d``.
 
+    null -> 0, '' -> 0, true/false -> 1/0, numeric text -> its value.  Objects
+    and arrays fall to the default (pinned deviation; JS would coerce ``[5]``).
+    Text passes a decimal-literal guard first: Spark's cast alone would also
+    accept ``1d``, ``1f``, ``Infinity`` and ``NaN``.
+    """
+    return F.expr(_num_sql(f, sql_lit(default)))
 
-def as_string(x) -> Column:
-    return _vf(x).s
 
+def is_falsy(f: VField) -> Column:
+    """JS falsiness of a body field: missing, null, '', 0, false."""
+    return F.expr(_falsy_sql(f))
 
-def as_boolean(x) -> Column:
-    return _vf(x).b
 
+def js_text(f: VField, default: str | None = "", trim: bool = False) -> Column:
+    """``String(b.x || default)`` (optionally ``.trim()``).
 
-def js_trim(s: Column) -> Column:
-    """``String.prototype.trim`` (Spark ``trim`` strips only spaces)."""
-    return F.regexp_replace(s, f"^{JS_WS}+|{JS_WS}+$", "")
+    Numbers and booleans print as JS does; objects and arrays become ''
+    (pinned deviation: JS would print ``[object Object]``).
+    """
+    return F.expr(_text_sql(f, default, trim))
 
 
-def _finite(d: Column) -> Column:
-    return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
+def js_or_null(f: VField) -> Column:
+    """``b.x || null`` stored into a TEXT column."""
+    return js_text(f, None, trim=False)
 
 
-def js_string_to_number(s: Column, default) -> Column:
-    """``Number(str)``: trimmed '' -> 0, decimal literal -> value, else default."""
-    t = js_trim(s)
-    parsed = F.when(t.rlike(JS_DECIMAL), t.try_cast("double"))
-    return (F.when(t == "", F.lit(0.0))
-            .when(t.rlike(JS_DECIMAL) & _finite(parsed), parsed)
-            .otherwise(_lit(default).cast("double")))
+def is_missing(f: VField) -> Column:
+    return F.expr(f"({f.k} = {MISSING})")
 
 
-def num(x, default=0) -> Column:
-    """X1, ``num(v, d)``: ``Number(v)`` if finite, else ``d``; missing -> ``d``.
+def is_json_null(f: VField) -> Column:
+    return F.expr(f"({f.k} = {JNULL})")
 
-    null -> 0, '' -> 0, true/false -> 1/0, numeric text -> its value.  Objects
-    and arrays fall to the default (pinned deviation; JS would coerce ``[5]``).
-    """
-    x = _vf(x)
-    d = _lit(default).cast("double")
-    dv = as_double(x)
-    return (F.when(is_missing(x), d)
-            .when(is_json_null(x), F.lit(0.0))
-            .when(is_number(x), F.when(_finite(dv), dv).otherwise(d))
-            .when(is_boolean(x), F.when(as_boolean(x), F.lit(1.0)).otherwise(F.lit(0.0)))
-            .when(is_string(x), js_string_to_number(as_string(x), d))
-            .otherwise(d))
 
+def is_number(f: VField) -> Column:
+    return F.expr(f"({f.k} = {NUMBER})")
 
-def round_half_up_cents(usd: Column) -> Column:
-    """X2 on a double: ``Math.round(usd*100)``, half toward +inf.
 
-    ``floor(y) + (y - floor(y) >= 0.5)``; not ``round`` (half away from zero)
-    and not ``floor(y + 0.5)`` (wrong at 0.49999999999999994).  Beyond 2^53 the
-    result is NULL, so callers can reject instead of storing a wrong amount.
-    """
-    y = usd.cast("double") * F.lit(100.0)
-    fl = F.floor(y)
-    out = fl + F.when(y - fl >= F.lit(0.5), F.lit(1)).otherwise(F.lit(0))
-    return F.when(F.abs(y) <= F.lit(MAX_SAFE), out.cast("bigint"))
+def is_string(f: VField) -> Column:
+    return F.expr(f"({f.k} = {STRING})")
 
 
-def cents(x) -> Column:
-    """X2, ``cents(usd) = Math.round(num(usd, 0) * 100)`` on a VARIANT field."""
-    return round_half_up_cents(num(x, 0))
+def is_boolean(f: VField) -> Column:
+    return F.expr(f"({f.k} = {BOOLEAN})")
 
 
-def floor_clamp(n: Column, low: int) -> Column:
-    """``Math.max(low, Math.floor(n))`` as bigint (NULL past 2^53)."""
-    fl = F.floor(n)
-    return F.when(F.abs(n) <= F.lit(MAX_SAFE), F.greatest(F.lit(low).cast("bigint"), fl))
+def as_double(f: VField) -> Column:
+    return F.expr(f.d)
 
 
-def _number_text(x) -> Column:
-    """``String(n)`` for a JSON number; integral doubles print without ``.0``."""
-    x = _vf(x)
-    d = as_double(x)
-    integral = (F.floor(d) == d) & (F.abs(d) < F.lit(1e21))
-    return (F.when(F.schema_of_variant(x.x) == "DOUBLE",
-                   F.when(integral, d.cast("decimal(38,0)").cast("string"))
-                   .otherwise(d.cast("string")))
-            .otherwise(as_string(x)))
+def as_string(f: VField) -> Column:
+    return F.expr(f.s)
 
 
-def is_falsy(x) -> Column:
-    """JS falsiness of a body field: missing, null, '', 0, false."""
-    x = _vf(x)
-    return (is_missing(x) | is_json_null(x)
-            | (is_string(x) & (as_string(x) == ""))
-            | (is_boolean(x) & ~F.coalesce(as_boolean(x), F.lit(False)))
-            | (is_number(x) & (as_double(x) == 0)))
+def deductible_flag(f: VField) -> Column:
+    """``String(b.deductible ?? '1') === '0' ? 0 : 1``."""
+    return F.expr(f"(CASE WHEN ({f.k} = {STRING} AND {f.s} = '0') "
+                  f"OR ({f.k} = {NUMBER} AND {f.d} = 0D) THEN 0L ELSE 1L END)")
 
 
-def js_text(x, default: str | None = "", trim: bool = False) -> Column:
-    """``String(b.x || default)`` (optionally ``.trim()``).
+def cents(f: VField) -> Column:
+    """X2, ``cents(usd) = Math.round(num(usd, 0) * 100)`` on a body field."""
+    return F.expr(_round_sql(f"({_num_sql(f, '0D')} * 100D)"))
 
-    Numbers and booleans print as JS does; objects and arrays become ''
-    (pinned deviation: JS would print ``[object Object]``).
-    """
-    x = _vf(x)
-    raw = (F.when(is_string(x), as_string(x))
-           .when(is_boolean(x), F.lit("true"))
-           .when(is_number(x), _number_text(x))
-           .otherwise(F.lit("")))
-    out = F.when(is_falsy(x), F.lit(default)).otherwise(raw)
-    return js_trim(out) if trim else out
 
+def cost_precedence(cc: VField, cu: VField) -> Column:
+    """X11: finite *number* cost_cents, else finite number cost_usd x 100 (JS round), else 0."""
+    return F.expr(f"(CASE WHEN {cc.k} = {NUMBER} AND abs({cc.d}) <= {_MAX} "
+                  f"THEN CAST(floor({cc.d}) AS BIGINT) "
+                  f"WHEN {cu.k} = {NUMBER} AND abs({cu.d}) < {_INF} "
+                  f"THEN {_round_sql(f'({cu.d} * 100D)')} ELSE 0L END)")
 
-def js_or_null(x) -> Column:
-    """``b.x || null`` stored into a TEXT column."""
-    return js_text(x, None, trim=False)
 
+def quantity_or_one(f: VField) -> Column:
+    """``Number(q) || 1`` with ``q`` defaulting to 1 when missing."""
+    n = _num_sql(f, "1D")
+    return F.expr(f"(CASE WHEN {n} = 0D THEN 1D ELSE {n} END)")
 
-def deductible_flag(x) -> Column:
-    """``String(b.deductible ?? '1') === '0' ? 0 : 1``."""
-    x = _vf(x)
-    zero = ((is_string(x) & (as_string(x) == "0"))
-            | (is_number(x) & (as_double(x) == 0)))
-    return F.when(zero, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+
+# ---------------------------------------------------- plain-column helpers
+
+def round_half_up_cents(usd: Column) -> Column:
+    """X2 on a double: ``Math.round(usd*100)``, half toward +inf.
+
+    ``floor(y) + (y - floor(y) >= 0.5)``; not ``round`` (half away from zero)
+    and not ``floor(y + 0.5)`` (wrong at 0.49999999999999994).  Beyond 2^53 the
+    result is NULL, so callers can reject instead of storing a wrong amount.
+    """
+    y = usd.cast("double") * F.lit(100.0)
+    fl = F.floor(y)
+    out = fl + F.when(y - fl >= F.lit(0.5), F.lit(1)).otherwise(F.lit(0))
+    return F.when(F.abs(y) <= F.lit(MAX_SAFE), out.cast("bigint"))
+
+
+def floor_clamp(n: Column, low: int) -> Column:
+    """``Math.max(low, Math.floor(n))`` as bigint (NULL past 2^53)."""
+    return F.when(F.abs(n) <= F.lit(MAX_SAFE), F.greatest(F.lit(low).cast("bigint"), F.floor(n)))
 
 
 def mileage_amount(type_: Column, miles: Column, rate_cents: Column) -> Column:
@@ -260,22 +252,6 @@ def normalize_status(s: Column) -> Column:
     return F.when(low.isin("staged", "draft", "active", "sold"), low).otherwise(F.lit("active"))
 
 
-def cost_precedence(cost_cents_field, cost_usd_field) -> Column:
-    """X11: finite *number* cost_cents, else finite number cost_usd x 100 (JS round), else 0."""
-    cost_cents_field, cost_usd_field = _vf(cost_cents_field), _vf(cost_usd_field)
-    cc = as_double(cost_cents_field)
-    cu = as_double(cost_usd_field)
-    return (F.when(is_number(cost_cents_field) & _finite(cc), F.floor(cc).cast("bigint"))
-            .when(is_number(cost_usd_field) & _finite(cu), round_half_up_cents(cu))
-            .otherwise(F.lit(0).cast("bigint")))
-
-
-def quantity_or_one(x) -> Column:
-    """``Number(q) || 1`` with ``q`` defaulting to 1 when missing."""
-    n = num(x, 1)
-    return F.when(n == 0, F.lit(1.0)).otherwise(n)
-
-
 def sku_upper(s: Column) -> Column:
     """``String(sku || '').trim().toUpperCase()`` on a text column."""
     return F.upper(js_trim(F.coalesce(s, F.lit(""))))
@@ -284,3 +260,8 @@ def sku_upper(s: Column) -> Column:
 def default_if_empty(s: Column, default: str) -> Column:
     """X5 on a text column: '' or NULL -> default."""
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
+
+
+def is_json_null_value(v: Column) -> Column:
+    """True when a whole VARIANT value is JSON ``null``."""
+    return F.coalesce(F.is_variant_null(v), F.lit(False))

@@ -89,8 +89,8 @@ def _patch(base: DataFrame, requests: DataFrame, entity: str, rules: list[FieldR
 
 def patch_inventory(inventory: DataFrame, payloads: DataFrame) -> Applied:
     """Status (non-empty string) and/or quantity (JSON number -> max(0, floor))."""
-    p = parsed(payloads, "inventory_patch")
-    st, qt = js.field(F.col("v"), "status"), js.field(F.col("v"), "quantity")
+    p, f = js.expand(parsed(payloads, "inventory_patch"), F.col("v"), ["status", "quantity"])
+    st, qt = f["status"], f["quantity"]
     has_status = js.is_string(st) & (js.as_string(st) != "")
     rules = [FieldRule("status", has_status, js.as_string(st)),
              FieldRule("quantity", js.is_number(qt), js.floor_clamp(js.as_double(qt), 0))]
@@ -100,9 +100,8 @@ def patch_inventory(inventory: DataFrame, payloads: DataFrame) -> Applied:
 
 def patch_lots(lots: DataFrame, payloads: DataFrame) -> Applied:
     """Title (non-empty string), note (any string), status (valid, else ignored)."""
-    p = parsed(payloads, "lot_patch")
-    v = F.col("v")
-    t, n, s = js.field(v, "title"), js.field(v, "note"), js.field(v, "status")
+    p, f = js.expand(parsed(payloads, "lot_patch"), F.col("v"), ["title", "note", "status"])
+    t, n, s = f["title"], f["note"], f["status"]
     rules = [FieldRule("title", js.is_string(t) & (js.as_string(t) != ""), js.as_string(t)),
              FieldRule("note", js.is_string(n), js.as_string(n)),
              FieldRule("status", js.is_string(s) & js.as_string(s).isin(*LOT_STATUSES), js.as_string(s))]
@@ -120,19 +119,18 @@ def edit_delete_items(inventory: DataFrame, payloads: DataFrame) -> Applied:
     max(0, floor)), listed_date (any string).  A delete removes the row; any
     later request for that id is ``not_found``.
     """
-    edits = parsed(payloads, "item_edit")
+    edits, f = js.expand(parsed(payloads, "item_edit"), F.col("v"),
+                         list(EDIT_TEXT) + ["status", "cost_cents", "quantity", "listed_date"])
     deletes = payloads.where(F.col("entity") == "item_delete").select("target_id", "seq")
     first_delete = deletes.groupBy("target_id").agg(F.min("seq").alias("_del"))
-    v = F.col("v")
-    f = lambda n: js.field(v, n)
-    st = f("status")
+    st = f["status"]
     has_status = js.is_string(st) & (js.as_string(st) != "")
-    rules = [FieldRule(c, js.is_string(f(c)) & (js.as_string(f(c)) != ""), js.as_string(f(c)))
+    rules = [FieldRule(c, js.is_string(f[c]) & (js.as_string(f[c]) != ""), js.as_string(f[c]))
              for c in EDIT_TEXT]
     rules += [FieldRule("status", has_status, js.as_string(st))]
-    rules += [FieldRule(c, js.is_number(f(c)), js.floor_clamp(js.as_double(f(c)), 0))
+    rules += [FieldRule(c, js.is_number(f[c]), js.floor_clamp(js.as_double(f[c]), 0))
               for c in ("cost_cents", "quantity")]
-    rules += [FieldRule("listed_date", js.is_string(f("listed_date")), js.as_string(f("listed_date")))]
+    rules += [FieldRule("listed_date", js.is_string(f["listed_date"]), js.as_string(f["listed_date"]))]
     check = ~has_status | js.as_string(st).isin(*INVENTORY_STATUSES)
     # Edits that arrive after the row was deleted find nothing.
     live = edits.join(first_delete, "target_id", "left") \
@@ -166,9 +164,9 @@ def resolve_links(payloads: DataFrame, inventory: DataFrame, entity: str = "link
     SKU, so AQE either broadcasts it (size checked at runtime) or splits the
     skewed request partitions of the outer join.
     """
-    p = parsed(payloads, entity)
+    p, f = js.expand(parsed(payloads, entity), F.col("v"), ["sku"])
     req = p.select("seq", F.col("target_id").alias("lot_id"),
-                   js.js_text(js.field(F.col("v"), "sku"), "", trim=True).alias("sku"))
+                   js.js_text(f["sku"], "", trim=True).alias("sku"))
     inv = inventory.select(F.col("sku").alias("_isku"), F.col("id").alias("inventory_id"))
     j = req.join(inv, req["sku"] == inv["_isku"], "left").drop("_isku")
     reason = (F.when(F.col("sku") == "", F.lit(SKU_REQUIRED))
@@ -239,9 +237,9 @@ def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFra
     """A mixed link/unlink batch; the last operation per (lot, item) decides."""
     keys = ["lot_id", "inventory_id"]
     links = resolve_links(payloads, inventory, "link")
-    unl = parsed(payloads, "unlink").select(
-        "seq", F.col("target_id").alias("lot_id"),
-        js.js_text(js.field(F.col("v"), "inventory_id"), "", trim=False).alias("inventory_id"))
+    unl, f = js.expand(parsed(payloads, "unlink"), F.col("v"), ["inventory_id"])
+    unl = unl.select("seq", F.col("target_id").alias("lot_id"),
+                     js.js_text(f["inventory_id"], "", trim=False).alias("inventory_id"))
     ops = (links.where(F.col("reason").isNull()).select("seq", *keys, F.lit("link").alias("op"))
            .unionByName(unl.select("seq", *keys, F.lit("unlink").alias("op"))))
     last = ops.groupBy(*keys).agg(F.max_by("op", "seq").alias("last_op"))

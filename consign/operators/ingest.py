@@ -78,7 +78,7 @@ def _split(df: DataFrame, reason: Column, cols: list[Column]) -> Ingested:
 
 def _body_reason(v: Column) -> Column:
     # JSON ``null`` as the whole body made the reference throw; reject it.
-    return F.when(js.is_json_null(v), F.lit(INVALID_BODY))
+    return F.when(js.is_json_null_value(v), F.lit(INVALID_BODY))
 
 
 def _first(*conds: tuple[Column, str]) -> Column:
@@ -209,7 +209,7 @@ def all_rejects(payloads: DataFrame, existing_inventory: DataFrame) -> DataFrame
 def parse_errors(payloads: DataFrame) -> DataFrame:
     """S7 report: per entity, how many bodies did not parse or were not objects."""
     v = js.parse_body(F.col("body"))
-    t = js.vtype(v)
+    t = F.schema_of_variant(v)
     return (payloads.select("entity", v.isNull().alias("bad"),
                             (v.isNotNull() & ~F.coalesce(t.startswith("OBJECT"), F.lit(False))).alias("nonobj"))
             .groupBy("entity")

@@ -70,6 +70,16 @@ def arrived(seq: Column) -> Column:
                     F.lpad((seq % 24).cast("string"), 2, "0"), F.lit(":00:00"))
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """Materialise generated envelopes row by row before they are parsed.
+
+    Without it Catalyst inlines the body-building expression into every
+    consumer that reads ``body`` (parse, damage check, filters); a Generate
+    node is never collapsed into the projections above it.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def envelope(seq: Column, entity: str, target: Column, body: Column) -> list[Column]:
     return [seq.cast("bigint").alias("seq"), F.lit(entity).alias("entity"),
             target.cast("string").alias("target_id"), arrived(seq).alias("arrived_at"),
@@ -108,7 +118,7 @@ def inventory_payloads(part: DataFrame) -> DataFrame:
         frag("cost_usd", jnum(F.col("p_retailprice"))),
         _qty_frag(k, "quantity", F.col("p_size").cast("bigint")),
         F.when(k % 4 == 0, frag("cost_cents", jnum(F.col("p_size").cast("bigint") * 100))))
-    return part.select(*envelope(k, "inventory", F.lit(None), _cut(k, body)))
+    return fenced(part.select(*envelope(k, "inventory", F.lit(None), _cut(k, body))))
 
 
 def sale_payloads(lineitem: DataFrame) -> DataFrame:
@@ -127,7 +137,7 @@ def sale_payloads(lineitem: DataFrame) -> DataFrame:
         F.when(seq % 13 != 0, frag("order_ref", jstr(F.concat(F.lit("ord-"), ok.cast("string"))))),
         F.when(ln != 1, frag("note", jstr(F.concat(F.lit("n"), ln.cast("string"))))),
         F.when(ln % 3 != 0, frag("inventory_id", jstr(F.concat(F.lit("inv-"), pk.cast("string"))))))
-    return lineitem.select(*envelope(seq, "sale", F.lit(None), _cut(seq, body)))
+    return fenced(lineitem.select(*envelope(seq, "sale", F.lit(None), _cut(seq, body))))
 
 
 def expense_payloads(events: DataFrame) -> DataFrame:
@@ -147,7 +157,7 @@ def expense_payloads(events: DataFrame) -> DataFrame:
         F.when(deductible.isNotNull(), frag("deductible", deductible)),
         F.when(e % 2 == 0, frag("vendor", jstr(F.concat(F.lit("v"), u.cast("string"))))),
         F.when(e % 5 == 0, frag("sku", jstr(F.concat(F.lit("SKU-"), u.cast("string"))))))
-    return events.select(*envelope(e, "expense", F.lit(None), _cut(e, body)))
+    return fenced(events.select(*envelope(e, "expense", F.lit(None), _cut(e, body))))
 
 
 def lot_payloads(supplier: DataFrame) -> DataFrame:
@@ -158,7 +168,7 @@ def lot_payloads(supplier: DataFrame) -> DataFrame:
         F.when(k % 13 != 0, frag("title", jstr(F.col("s_name")))),
         F.when(k % 2 == 0, frag("note", jstr(F.concat(F.lit("note "), k.cast("string"))))),
         F.when(status.isNotNull(), frag("status", status)))
-    return supplier.select(*envelope(k, "lot", F.lit(None), _cut(k, body)))
+    return fenced(supplier.select(*envelope(k, "lot", F.lit(None), _cut(k, body))))
 
 
 def inventory_patch_payloads(lineitem: DataFrame) -> DataFrame:
@@ -176,7 +186,7 @@ def inventory_patch_payloads(lineitem: DataFrame) -> DataFrame:
                F.when(qty.isNotNull(), frag("quantity", qty)))
     target = F.when(ln == 7, F.concat(F.lit("inv-x"), pk.cast("string"))) \
         .otherwise(F.concat(F.lit("inv-"), pk.cast("string")))
-    return lineitem.select(*envelope(seq, "inventory_patch", target, _cut(seq, body)))
+    return fenced(lineitem.select(*envelope(seq, "inventory_patch", target, _cut(seq, body))))
 
 
 def lot_patch_payloads(lineitem: DataFrame) -> DataFrame:
@@ -193,7 +203,7 @@ def lot_patch_payloads(lineitem: DataFrame) -> DataFrame:
                F.when(status.isNotNull(), frag("status", status)))
     target = F.when(ln == 7, F.concat(F.lit("lot-x"), sk.cast("string"))) \
         .otherwise(F.concat(F.lit("lot-"), sk.cast("string")))
-    return lineitem.select(*envelope(seq, "lot_patch", target, _cut(seq, body)))
+    return fenced(lineitem.select(*envelope(seq, "lot_patch", target, _cut(seq, body))))
 
 
 def link_payloads(orders: DataFrame) -> DataFrame:
@@ -205,7 +215,7 @@ def link_payloads(orders: DataFrame) -> DataFrame:
            .otherwise(_pad(o, F.concat(F.lit("SKU-"), c.cast("string")))))
     body = obj(F.when(sku.isNotNull(), frag("sku", jstr(sku))))
     target = F.concat(F.lit("lot-"), (o % 97 + 1).cast("string"))
-    return orders.select(*envelope(o, "link", target, _cut(o, body)))
+    return fenced(orders.select(*envelope(o, "link", target, _cut(o, body))))
 
 
 def link_unlink_payloads(lineitem: DataFrame) -> DataFrame:
@@ -218,10 +228,10 @@ def link_unlink_payloads(lineitem: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("inv-"), pk.cast("string")))
     unlink_body = obj(frag("inventory_id", jstr(item)))
     is_link = ln % 2 == 1
-    return lineitem.select(
+    return fenced(lineitem.select(
         seq.alias("seq"), F.when(is_link, "link").otherwise("unlink").alias("entity"),
         lot.alias("target_id"), arrived(seq).alias("arrived_at"),
-        F.when(is_link, link_body).otherwise(unlink_body).alias("body"))
+        F.when(is_link, link_body).otherwise(unlink_body).alias("body")))
 
 
 def item_edit_payloads(orders: DataFrame) -> DataFrame:
@@ -237,10 +247,10 @@ def item_edit_payloads(orders: DataFrame) -> DataFrame:
                frag("quantity", jnum(o % 9)),
                frag("listed_date", jstr(F.date_format("o_orderdate", "yyyy-MM-dd"))))
     is_delete = o % 25 == 0
-    return orders.select(
+    return fenced(orders.select(
         o.cast("bigint").alias("seq"), F.when(is_delete, "item_delete").otherwise("item_edit").alias("entity"),
         F.concat(F.lit("inv-"), c.cast("string")).alias("target_id"), arrived(o).alias("arrived_at"),
-        F.when(is_delete, F.lit(None).cast("string")).otherwise(body).alias("body"))
+        F.when(is_delete, F.lit(None).cast("string")).otherwise(body).alias("body")))
 
 
 def _cut(seq: Column, body: Column) -> Column:
