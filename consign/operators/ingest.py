@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import js
 from ..schemas import LOT_STATUSES
+from ..session import spread
 
 REQUIRED = {
     "inventory": "sku/title/category required",
@@ -42,7 +43,7 @@ class Ingested:
 
 def parsed(payloads: DataFrame, entity: str) -> DataFrame:
     """Keep one entity and parse its bodies into VARIANT ``v``."""
-    return (payloads.where(F.col("entity") == F.lit(entity))
+    return (spread(payloads.where(F.col("entity") == F.lit(entity)))
             .select("seq", "entity", "target_id", "arrived_at", js.parse_body(F.col("body")).alias("v")))
 
 

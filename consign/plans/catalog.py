@@ -197,6 +197,8 @@ BASE: dict[str, Query] = {
 
 def all_queries() -> dict[str, Query]:
     from .catalog_changes import CHANGES
+    from .catalog_files import FILES
     out = dict(BASE)
     out.update(CHANGES)
+    out.update(FILES)
     return out

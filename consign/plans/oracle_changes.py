@@ -188,6 +188,15 @@ SELECT sha256('inventory|' || ip.seq) AS id, ip.sku, title, category, 'staged' A
        cost_cents, quantity, {arrived('ip.seq')} AS created_at, ip.seq
 FROM ip JOIN fresh USING (seq)""", INV_PAY)
     q["ingest_sales"] = with_ledger("SELECT * FROM sale_ok", SALE_PAY)
+    q["stream_ingest_sales"] = q["ingest_sales"]
+    q["log_error_lines"] = """
+SELECT line FROM (
+  SELECT concat_ws(' ', strftime(ts, '%Y-%m-%d %H:%M:%S'), event_type,
+         CASE event_id % 6 WHEN 0 THEN 'ok 200' WHEN 1 THEN 'got 404 from api'
+              WHEN 2 THEN 'GET -> 503 retry' WHEN 3 THEN 'id 4040' WHEN 4 THEN '-> 500'
+              ELSE CASE WHEN event_id % 4 = 0 THEN '✗ create' ELSE 'Failure noted' END END) AS line
+  FROM events)
+WHERE regexp_matches(line, '(?i)✗|error|failed|failure| 4[0-9]{2} | 5[0-9]{2} ')"""
     q["ingest_expenses"] = with_ledger("""
 SELECT id, date, category, amount_cents, vendor, note, sku, type, miles, rate_cents_per_mile,
        CAST(CASE WHEN type = 'mileage' THEN miles * rate_cents_per_mile END AS BIGINT) AS calc_amount_cents,

@@ -55,3 +55,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in base:
         os.makedirs(base, exist_ok=True)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a narrow input over the cluster before CPU-heavy row work.
+
+    A scan of one large Parquet row group (or one JSON file) is a single task;
+    parsing and coercing its rows would then use one core.  Real inputs of
+    many files already have enough partitions and are left alone, so the
+    extra shuffle is only paid when it buys parallelism.  The check reads the
+    planned partition count; no data reaches the driver.  Round-robin
+    repartitioning sorts locally first, so it is deterministic under retry.
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ENVELOPE
+from ..session import spread
 from .ledger import load_raw
 
 SEQ_SCALE = 1_000_000_000  # lineitem seq = (orderkey*8 + line) * 1e9 + partkey * 1e4 + suppkey
@@ -108,6 +109,7 @@ def _status_of(k: Column) -> Column:
 # --------------------------------------------------------------- entity batches
 
 def inventory_payloads(part: DataFrame) -> DataFrame:
+    part = spread(part)
     k = F.col("p_partkey")
     sku = F.when(k % 10 == 0, F.concat(F.lit("SKU-"), k.cast("string"))) \
         .otherwise(F.concat(F.lit("NEW-"), F.floor(k / 2).cast("string")))
@@ -122,6 +124,7 @@ def inventory_payloads(part: DataFrame) -> DataFrame:
 
 
 def sale_payloads(lineitem: DataFrame) -> DataFrame:
+    lineitem = spread(lineitem)
     seq = lineitem_seq()
     ln, pk, sk, ok = (F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"))
     body = obj(
@@ -141,6 +144,7 @@ def sale_payloads(lineitem: DataFrame) -> DataFrame:
 
 
 def expense_payloads(events: DataFrame) -> DataFrame:
+    events = spread(events)
     e, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
     view = t == "view"
     miles = F.when(e % 19 == 0, F.lit("null")).when(e % 17 == 0, jstr(u)).otherwise(jnum(u))
@@ -161,6 +165,7 @@ def expense_payloads(events: DataFrame) -> DataFrame:
 
 
 def lot_payloads(supplier: DataFrame) -> DataFrame:
+    supplier = spread(supplier)
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     status = (F.when(n % 3 == 1, jstr(F.lit("closed")))
               .when(n % 3 == 2, F.when(k % 2 == 0, jstr(F.lit("open"))).otherwise(jstr(F.lit("x")))))
@@ -173,6 +178,7 @@ def lot_payloads(supplier: DataFrame) -> DataFrame:
 
 def inventory_patch_payloads(lineitem: DataFrame) -> DataFrame:
     """Many patches per item; line 7 targets an unknown id."""
+    lineitem = spread(lineitem)
     seq = lineitem_seq()
     ln, pk, sk, ok = (F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"))
     status = (F.when(ln % 4 == 1, jstr(_status_of(sk)))
@@ -190,6 +196,7 @@ def inventory_patch_payloads(lineitem: DataFrame) -> DataFrame:
 
 
 def lot_patch_payloads(lineitem: DataFrame) -> DataFrame:
+    lineitem = spread(lineitem)
     seq = lineitem_seq()
     ln, sk, ok = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_orderkey")
     title = (F.when(ln % 4 == 0, jstr(F.concat(F.lit("T"), ok.cast("string"))))
@@ -208,6 +215,7 @@ def lot_patch_payloads(lineitem: DataFrame) -> DataFrame:
 
 def link_payloads(orders: DataFrame) -> DataFrame:
     """Link requests by SKU into lots (lot existence is not checked)."""
+    orders = spread(orders)
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     sku = (F.when(o % 8 == 0, F.lit(None))
            .when(o % 9 == 0, F.concat(F.lit("NOSKU-"), c.cast("string")))
@@ -220,6 +228,7 @@ def link_payloads(orders: DataFrame) -> DataFrame:
 
 def link_unlink_payloads(lineitem: DataFrame) -> DataFrame:
     """A mixed batch on existing (lot, item) keys: odd lines link, even lines unlink."""
+    lineitem = spread(lineitem)
     seq = lineitem_seq()
     ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     lot = F.concat(F.lit("lot-"), sk.cast("string"))
@@ -236,6 +245,7 @@ def link_unlink_payloads(lineitem: DataFrame) -> DataFrame:
 
 def item_edit_payloads(orders: DataFrame) -> DataFrame:
     """D9 batch: full-row edits and deletes of items (one in 25 is a delete)."""
+    orders = spread(orders)
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     status = (F.when(o % 50 == 1, F.lit("bogus"))
               .when(F.col("o_orderstatus") == "F", F.lit("sold"))
