@@ -69,17 +69,21 @@ def expand(df: DataFrame, v: Column, names, prefix: str = "_f_") -> tuple[DataFr
     read = []
     for n in names:
         x = F.col(f"{prefix}{n}")
-        t = F.schema_of_variant(x)
-        k = (F.when(x.isNull(), F.lit(MISSING)).when(F.is_variant_null(x), F.lit(JNULL))
-             .when(t == "STRING", F.lit(STRING)).when(t == "BOOLEAN", F.lit(BOOLEAN))
-             .when(t.rlike(_NUMERIC_TYPE), F.lit(NUMBER)).otherwise(F.lit(OTHER)))
-        s_ = F.try_variant_get(x, "$", "string")
-        read += [k.alias(f"{prefix}{n}_k"),
-                 F.try_variant_get(x, "$", "double").alias(f"{prefix}{n}_d"),
-                 s_.alias(f"{prefix}{n}_s"),
-                 F.try_variant_get(x, "$", "boolean").alias(f"{prefix}{n}_b"),
-                 F.when(t == "STRING", js_trim(s_)).alias(f"{prefix}{n}_t")]
+        # The first character of the field's JSON text gives its JSON kind.
+        c = F.substring(F.to_json(x), 1, 1)
+        read += [(F.when(x.isNull(), F.lit(MISSING)).when(c == "n", F.lit(JNULL))
+                  .when(c == '"', F.lit(STRING)).when(c.isin("t", "f"), F.lit(BOOLEAN))
+                  .when(c.isin("{", "["), F.lit(OTHER)).otherwise(F.lit(NUMBER))).alias(f"{prefix}{n}_k"),
+                 F.try_variant_get(x, "$", "string").alias(f"{prefix}{n}_s")]
     df = df.select("*", *read)
+    more = []
+    for n in names:
+        k, s_ = F.col(f"{prefix}{n}_k"), F.col(f"{prefix}{n}_s")
+        # A number's text cast to double rounds correctly, as JS reading the JSON does.
+        more += [F.when(k == NUMBER, s_.try_cast("double")).alias(f"{prefix}{n}_d"),
+                 F.when(k == BOOLEAN, s_ == "true").alias(f"{prefix}{n}_b"),
+                 F.when(k == STRING, js_trim(s_)).alias(f"{prefix}{n}_t")]
+    df = df.select("*", *more)
     return df, {n: VField(f"{prefix}{n}") for n in names}
 
 
@@ -116,12 +120,11 @@ def _falsy_sql(f: VField) -> str:
 
 def _number_text_sql(f: VField) -> str:
     d = f.d
-    return (f"(CASE WHEN schema_of_variant({f.x}) <> 'DOUBLE' THEN {f.s} "
-            f"WHEN abs({d}) <= {_MAX} AND {d} = CAST(CAST({d} AS BIGINT) AS DOUBLE) "
+    return (f"(CASE WHEN abs({d}) <= {_MAX} AND {d} = CAST(CAST({d} AS BIGINT) AS DOUBLE) "
             f"THEN CAST(CAST({d} AS BIGINT) AS STRING) "
             f"WHEN abs({d}) > {_MAX} AND abs({d}) < 1e21 "
             f"THEN CAST(CAST({d} AS DECIMAL(38,0)) AS STRING) "
-            f"ELSE CAST({d} AS STRING) END)")
+            f"ELSE {f.s} END)")
 
 
 def _text_sql(f: VField, default, trim: bool) -> str:
