@@ -43,7 +43,10 @@ def main() -> None:
     for k in HEADLINE:
         out[k] = timed(qs[k](spark, sf_dir))
     lg = L.ledger_from_testdata(spark, sf_dir)
-    out["sales_profit_literal_or_join"] = timed(profit.sales_profit_or_join(lg.sales, lg.inventory))
+    if os.environ.get("BENCH_OR_JOIN") == "1":
+        # The literal OR-join plans as a BroadcastNestedLoopJoin: 239 s at sf0.1 on 8 cores,
+        # against 6.6 s for the rewrite.  Opt-in, so the default run stays short.
+        out["sales_profit_literal_or_join"] = timed(profit.sales_profit_or_join(lg.sales, lg.inventory))
 
     root = scratch_path(spark, "bench-ledger")
     t = time.time()

@@ -58,32 +58,33 @@ class VField:
                                                          q("_b"), q("_t"))
 
 
-def expand(df: DataFrame, v: Column, names, prefix: str = "_f_") -> tuple[DataFrame, dict]:
-    """Add per-field columns for ``names`` of body ``v``; return (df, {name: VField}).
+def expand(df: DataFrame, v: str, names, prefix: str = "_f_") -> tuple[DataFrame, dict]:
+    """Add per-field columns for ``names`` of the VARIANT column ``v``;
+    return (df, {name: VField}).
 
-    Two projections: the VARIANT of each field, then its kind and readings.
+    Three projections, each one ``selectExpr`` call: the VARIANT of each
+    field; the first character of its JSON text (which gives its kind) and its
+    string reading; then kind, double, boolean and trimmed-string readings.
     Catalyst does not collapse a project whose expensive outputs are
     referenced more than once, so every field is read from the body once.
+    A number's text cast to double rounds correctly, as JS reading the JSON does.
     """
-    df = df.select("*", *[field(v, n).alias(f"{prefix}{n}") for n in names])
-    read = []
-    for n in names:
-        x = F.col(f"{prefix}{n}")
-        # The first character of the field's JSON text gives its JSON kind.
-        c = F.substring(F.to_json(x), 1, 1)
-        read += [(F.when(x.isNull(), F.lit(MISSING)).when(c == "n", F.lit(JNULL))
-                  .when(c == '"', F.lit(STRING)).when(c.isin("t", "f"), F.lit(BOOLEAN))
-                  .when(c.isin("{", "["), F.lit(OTHER)).otherwise(F.lit(NUMBER))).alias(f"{prefix}{n}_k"),
-                 F.try_variant_get(x, "$", "string").alias(f"{prefix}{n}_s")]
-    df = df.select("*", *read)
-    more = []
-    for n in names:
-        k, s_ = F.col(f"{prefix}{n}_k"), F.col(f"{prefix}{n}_s")
-        # A number's text cast to double rounds correctly, as JS reading the JSON does.
-        more += [F.when(k == NUMBER, s_.try_cast("double")).alias(f"{prefix}{n}_d"),
-                 F.when(k == BOOLEAN, s_ == "true").alias(f"{prefix}{n}_b"),
-                 F.when(k == STRING, js_trim(s_)).alias(f"{prefix}{n}_t")]
-    df = df.select("*", *more)
+    q = lambda n, suf="": f"`{prefix}{n}{suf}`"
+    df = df.selectExpr("*", *[f"try_variant_get(`{v}`, '$.{n}', 'variant') AS {q(n)}" for n in names])
+    df = df.selectExpr("*", *[e for n in names for e in (
+        f"substring(to_json({q(n)}), 1, 1) AS {q(n, '_c')}",
+        f"try_variant_get({q(n)}, '$', 'string') AS {q(n, '_s')}")])
+    df = df.selectExpr("*", *[
+        f"CASE WHEN {q(n)} IS NULL THEN {MISSING} WHEN {q(n, '_c')} = 'n' THEN {JNULL} "
+        f"WHEN {q(n, '_c')} = '\"' THEN {STRING} WHEN {q(n, '_c')} IN ('t', 'f') THEN {BOOLEAN} "
+        f"WHEN {q(n, '_c')} IN ('{{', '[') THEN {OTHER} ELSE {NUMBER} END AS {q(n, '_k')}"
+        for n in names])
+    trim = sql_lit(f"^{JS_WS}+|{JS_WS}+$")
+    df = df.selectExpr("*", *[e for n in names for e in (
+        f"CASE WHEN {q(n, '_k')} = {NUMBER} THEN try_cast({q(n, '_s')} AS DOUBLE) END AS {q(n, '_d')}",
+        f"CASE WHEN {q(n, '_k')} = {BOOLEAN} THEN {q(n, '_s')} = 'true' END AS {q(n, '_b')}",
+        f"CASE WHEN {q(n, '_k')} = {STRING} THEN regexp_replace({q(n, '_s')}, {trim}, '') END "
+        f"AS {q(n, '_t')}")])
     return df, {n: VField(f"{prefix}{n}") for n in names}
 
 

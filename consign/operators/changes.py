@@ -89,7 +89,7 @@ def _patch(base: DataFrame, requests: DataFrame, entity: str, rules: list[FieldR
 
 def patch_inventory(inventory: DataFrame, payloads: DataFrame) -> Applied:
     """Status (non-empty string) and/or quantity (JSON number -> max(0, floor))."""
-    p, f = js.expand(parsed(payloads, "inventory_patch"), F.col("v"), ["status", "quantity"])
+    p, f = js.expand(parsed(payloads, "inventory_patch"), "v", ["status", "quantity"])
     st, qt = f["status"], f["quantity"]
     has_status = js.is_string(st) & (js.as_string(st) != "")
     rules = [FieldRule("status", has_status, js.as_string(st)),
@@ -100,7 +100,7 @@ def patch_inventory(inventory: DataFrame, payloads: DataFrame) -> Applied:
 
 def patch_lots(lots: DataFrame, payloads: DataFrame) -> Applied:
     """Title (non-empty string), note (any string), status (valid, else ignored)."""
-    p, f = js.expand(parsed(payloads, "lot_patch"), F.col("v"), ["title", "note", "status"])
+    p, f = js.expand(parsed(payloads, "lot_patch"), "v", ["title", "note", "status"])
     t, n, s = f["title"], f["note"], f["status"]
     rules = [FieldRule("title", js.is_string(t) & (js.as_string(t) != ""), js.as_string(t)),
              FieldRule("note", js.is_string(n), js.as_string(n)),
@@ -119,7 +119,7 @@ def edit_delete_items(inventory: DataFrame, payloads: DataFrame) -> Applied:
     max(0, floor)), listed_date (any string).  A delete removes the row; any
     later request for that id is ``not_found``.
     """
-    edits, f = js.expand(parsed(payloads, "item_edit"), F.col("v"),
+    edits, f = js.expand(parsed(payloads, "item_edit"), "v",
                          list(EDIT_TEXT) + ["status", "cost_cents", "quantity", "listed_date"])
     deletes = payloads.where(F.col("entity") == "item_delete").select("target_id", "seq")
     first_delete = deletes.groupBy("target_id").agg(F.min("seq").alias("_del"))
@@ -164,7 +164,7 @@ def resolve_links(payloads: DataFrame, inventory: DataFrame, entity: str = "link
     SKU, so AQE either broadcasts it (size checked at runtime) or splits the
     skewed request partitions of the outer join.
     """
-    p, f = js.expand(parsed(payloads, entity), F.col("v"), ["sku"])
+    p, f = js.expand(parsed(payloads, entity), "v", ["sku"])
     req = p.select("seq", F.col("target_id").alias("lot_id"),
                    js.js_text(f["sku"], "", trim=True).alias("sku"))
     inv = inventory.select(F.col("sku").alias("_isku"), F.col("id").alias("inventory_id"))
@@ -237,7 +237,7 @@ def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFra
     """A mixed link/unlink batch; the last operation per (lot, item) decides."""
     keys = ["lot_id", "inventory_id"]
     links = resolve_links(payloads, inventory, "link")
-    unl, f = js.expand(parsed(payloads, "unlink"), F.col("v"), ["inventory_id"])
+    unl, f = js.expand(parsed(payloads, "unlink"), "v", ["inventory_id"])
     unl = unl.select("seq", F.col("target_id").alias("lot_id"),
                      js.js_text(f["inventory_id"], "", trim=False).alias("inventory_id"))
     ops = (links.where(F.col("reason").isNull()).select("seq", *keys, F.lit("link").alias("op"))
@@ -246,8 +246,7 @@ def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFra
     table = (bridge.select(*keys).join(last, keys, "left_anti")
              .unionByName(last.where(F.col("last_op") == "link").select(*keys))
              .select("inventory_id", "lot_id"))
-    before = state_before(ops.where(F.col("op") == "unlink").unionByName(
-        ops.where(F.col("op") == "link")), keys, bridge, n_buckets)
+    before = state_before(ops, keys, bridge, n_buckets)
     unlink_out = (before.where(F.col("op") == "unlink")
                   .groupBy(F.when(F.col("present_before"), F.lit(OK)).otherwise(F.lit(NOT_FOUND))
                            .alias("outcome"))

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions import js
 from ..schemas import LOT_STATUSES
-from ..session import spread
 
 REQUIRED = {
     "inventory": "sku/title/category required",
@@ -43,7 +42,7 @@ class Ingested:
 
 def parsed(payloads: DataFrame, entity: str) -> DataFrame:
     """Keep one entity and parse its bodies into VARIANT ``v``."""
-    return (spread(payloads.where(F.col("entity") == F.lit(entity)))
+    return (payloads.where(F.col("entity") == F.lit(entity))
             .select("seq", "entity", "target_id", "arrived_at", js.parse_body(F.col("body")).alias("v")))
 
 
@@ -67,7 +66,8 @@ def fence(df: DataFrame) -> DataFrame:
     pushed below a Generate, and ``inline`` of a one-element array emits
     exactly the input row, so this costs no shuffle and no extra pass.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    cols = ", ".join(f"'{c}', `{c}`" for c in df.columns)
+    return df.selectExpr(f"inline(array(named_struct({cols})))")
 
 
 def _split(df: DataFrame, reason: Column, cols: list[Column]) -> Ingested:
@@ -95,7 +95,7 @@ def _with(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def inventory_fields(p: DataFrame) -> DataFrame:
-    df, f = js.expand(p, F.col("v"), ["sku", "title", "category", "quantity", "cost_usd"])
+    df, f = js.expand(p, "v", ["sku", "title", "category", "quantity", "cost_usd"])
     df = _with(df, sku=js.js_text(f["sku"], "", trim=True),
                title=js.js_text(f["title"], "", trim=True),
                category=js.js_text(f["category"], "", trim=True),
@@ -135,7 +135,7 @@ def ingest_sales(payloads: DataFrame) -> Ingested:
     """No inventory lookup, no stock change, no duplicate check."""
     p = parsed(payloads, "sale")
     names = ["date", "inventory_id", "sku", "qty", "order_ref", "note"] + [f"{m}_usd" for m in SALE_MONEY]
-    df, f = js.expand(p, F.col("v"), names)
+    df, f = js.expand(p, "v", names)
     df = _with(df, date=js.js_text(f["date"], "", trim=True),
                inventory_id=js.js_or_null(f["inventory_id"]),
                sku=js.js_text(f["sku"], "", trim=True),
@@ -162,7 +162,7 @@ def ingest_expenses(payloads: DataFrame) -> Ingested:
     p = parsed(payloads, "expense")
     names = ["date", "category", "amount_usd", "vendor", "note", "sku", "type", "miles",
              "rate_usd_per_mile", "deductible"]
-    df, f = js.expand(p, F.col("v"), names)
+    df, f = js.expand(p, "v", names)
     df = _with(df, date=js.js_text(f["date"], "", trim=True),
                category=js.js_text(f["category"], "", trim=True),
                _n_amount=js.num(f["amount_usd"], 0),
@@ -188,7 +188,7 @@ def ingest_expenses(payloads: DataFrame) -> Ingested:
 def ingest_lots(payloads: DataFrame) -> Ingested:
     """Title required, then status in open/closed (missing -> open)."""
     p = parsed(payloads, "lot")
-    df, f = js.expand(p, F.col("v"), ["title", "note", "status"])
+    df, f = js.expand(p, "v", ["title", "note", "status"])
     df = _with(df, title=js.js_text(f["title"], "", trim=True), note=js.js_text(f["note"], ""),
                status=js.js_text(f["status"], "open"))
     reason = F.coalesce(_body_reason(F.col("v")), _first(
@@ -221,7 +221,7 @@ def parse_errors(payloads: DataFrame) -> DataFrame:
 
 def number_fields(payloads: DataFrame, entity: str, name: str) -> DataFrame:
     """X1 + X3 on one body field: the sale rule and the item rule side by side."""
-    df, f = js.expand(parsed(payloads, entity), F.col("v"), [name])
+    df, f = js.expand(parsed(payloads, entity), "v", [name])
     df = _with(df, _n=js.num(f[name], 1))
     return df.select("seq", js.floor_clamp(F.col("_n"), 1).alias("sale_qty"),
                      js.floor_clamp(F.col("_n"), 0).alias("item_quantity"))
@@ -229,7 +229,7 @@ def number_fields(payloads: DataFrame, entity: str, name: str) -> DataFrame:
 
 def cost_fields(payloads: DataFrame) -> DataFrame:
     """X11 + X12 (the older API's cost and quantity rules) on inventory bodies."""
-    df, f = js.expand(parsed(payloads, "inventory"), F.col("v"), ["cost_cents", "cost_usd", "quantity"])
+    df, f = js.expand(parsed(payloads, "inventory"), "v", ["cost_cents", "cost_usd", "quantity"])
     df = _with(df, cost_cents=js.cost_precedence(f["cost_cents"], f["cost_usd"]),
                _q=js.quantity_or_one(f["quantity"]))
     return df.select("seq", "cost_cents", F.floor(F.col("_q")).cast("bigint").alias("quantity"))

@@ -23,7 +23,7 @@ def q_stream_ingest_sales(spark, sf_dir):
     PL.write_payloads(PL.sale_payloads(L.load_raw(spark, sf_dir, "lineitem")), src, files=STREAM_FILES)
     out = scratch_path(spark, "sale-ingest")
     q = start_ingest_stream(spark, src, out, scratch_path(spark, "sale-ingest-ckpt"), "sale",
-                            max_files_per_trigger=1)
+                            max_files_per_trigger=2)
     q.awaitTermination()
     return read_stream_output(spark, out, "accepted")
 

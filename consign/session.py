@@ -60,7 +60,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def spread(df, min_partitions: int | None = None):
     """Round-robin a narrow input over the cluster before CPU-heavy row work.
 
-    A scan of one large Parquet row group (or one JSON file) is a single task;
+    Meant for leaves (a table or folder scan), where reading the planned
+    partition count is cheap.  A scan of one large Parquet row group (or one
+    JSON file) is a single task;
     parsing and coercing its rows would then use one core.  Real inputs of
     many files already have enough partitions and are left alone, so the
     extra shuffle is only paid when it buys parallelism.  The check reads the

@@ -8,14 +8,15 @@ is a NULL value (it acts like ``{}``), never a failed task.
 The ``*_payloads`` builders derive deterministic request batches from the
 shared test tables (amounts in USD, damaged by ``seq``: ``% 11`` cuts the body
 short, ``% 13`` drops a required field, ``% 17`` sends a quantity as text,
-``% 19`` sends it as null).  They are plain projections: no shuffle.
+``% 19`` sends it as null).  They are plain projections (no shuffle), written
+as SQL text so each stage is one JVM call.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.js import sql_lit
 from ..schemas import ENVELOPE
 from ..session import spread
 from .ledger import load_raw
@@ -24,7 +25,8 @@ SEQ_SCALE = 1_000_000_000  # lineitem seq = (orderkey*8 + line) * 1e9 + partkey
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ENVELOPE).json(path)
+    """Batch read of a change-request folder, spread over the cluster when narrow."""
+    return spread(spark.read.schema(ENVELOPE).json(path))
 
 
 def read_payload_stream(spark: SparkSession, path: str, max_files: int | None = None):
@@ -43,230 +45,209 @@ def write_payloads(df: DataFrame, path: str, files: int | None = None) -> str:
 
 
 # ----------------------------------------------------------- JSON text builders
+# All builders return Spark SQL text.
 
-def jstr(c: Column) -> Column:
-    """A JSON string literal for ``c``: backslash, quote and the control
-    characters the generators can produce (tab, CR, LF) are escaped."""
-    t = c.cast("string")
+def jstr(e: str) -> str:
+    """A JSON string literal for ``e``: backslash, quote, tab, CR and LF escaped."""
+    t = f"CAST({e} AS STRING)"
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.concat(F.lit('"'), t, F.lit('"'))
+        t = f"replace({t}, {sql_lit(a)}, {sql_lit(b)})"
+    return f"concat('\"', {t}, '\"')"
 
 
-def jnum(c: Column) -> Column:
-    return c.cast("string")
+def jnum(e: str) -> str:
+    return f"CAST({e} AS STRING)"
 
 
-def frag(name: str, value_json: Column) -> Column:
+def txt(prefix: str, e: str) -> str:
+    return f"concat({sql_lit(prefix)}, CAST({e} AS STRING))"
+
+
+def frag(name: str, value_json: str) -> str:
     """``"name":value``; a NULL value drops the key (``concat_ws`` skips NULLs)."""
-    return F.concat(F.lit(f'"{name}":'), value_json)
+    return f"concat('\"{name}\":', {value_json})"
+
+
+def opt(cond: str, e: str) -> str:
+    return f"CASE WHEN {cond} THEN {e} END"
+
 
+def obj(*frags: str) -> str:
+    return "concat('{', concat_ws(',', " + ", ".join(frags) + "), '}')"
 
-def obj(*frags: Column) -> Column:
-    return F.concat(F.lit("{"), F.concat_ws(",", *frags), F.lit("}"))
 
+def arrived(seq: str) -> str:
+    return (f"concat('2024-02-', lpad(CAST({seq} % 28 + 1 AS STRING), 2, '0'), ' ', "
+            f"lpad(CAST({seq} % 24 AS STRING), 2, '0'), ':00:00')")
 
-def arrived(seq: Column) -> Column:
-    return F.concat(F.lit("2024-02-"), F.lpad((seq % 28 + 1).cast("string"), 2, "0"), F.lit(" "),
-                    F.lpad((seq % 24).cast("string"), 2, "0"), F.lit(":00:00"))
+
+def cut(seq: str, body: str) -> str:
+    """``seq % 11 == 0``: keep only the first half of the text, so it no longer parses."""
+    return f"CASE WHEN {seq} % 11 = 0 THEN substring({body}, 1, CAST(length({body}) / 2 AS INT)) ELSE {body} END"
 
 
 def fenced(df: DataFrame) -> DataFrame:
     """Materialise generated envelopes row by row before they are parsed.
 
     Without it Catalyst inlines the body-building expression into every
-    consumer that reads ``body`` (parse, damage check, filters); a Generate
-    node is never collapsed into the projections above it.
+    consumer that reads ``body``; a Generate node is never collapsed into the
+    projections above it.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    cols = ", ".join(f"'{c}', `{c}`" for c in df.columns)
+    return df.selectExpr(f"inline(array(named_struct({cols})))")
 
 
-def envelope(seq: Column, entity: str, target: Column, body: Column) -> list[Column]:
-    return [seq.cast("bigint").alias("seq"), F.lit(entity).alias("entity"),
-            target.cast("string").alias("target_id"), arrived(seq).alias("arrived_at"),
-            body.alias("body")]
+def envelopes(raw: DataFrame, seq: str, entity: str, target: str, body: str,
+              damage: bool = True) -> DataFrame:
+    """Two projections (build the body, then damage and wrap it) and a fence."""
+    b = raw.selectExpr(f"{seq} AS seq", f"{entity} AS entity", f"CAST({target} AS STRING) AS target_id",
+                       f"{body} AS _body")
+    out = b.selectExpr("seq", "entity", "target_id", f"{arrived('seq')} AS arrived_at",
+                       f"{cut('seq', '_body') if damage else '_body'} AS body")
+    return fenced(out)
 
 
-def lineitem_seq() -> Column:
-    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(SEQ_SCALE)
-            + F.col("l_partkey") * 10000 + F.col("l_suppkey"))
+LSEQ = "((l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey)"
 
 
-def _qty_frag(seq: Column, name: str, q: Column) -> Column:
-    return frag(name, F.when(seq % 19 == 0, F.lit("null"))
-                .when(seq % 17 == 0, jstr(q)).otherwise(jnum(q)))
+def _qty_frag(seq: str, name: str, q: str) -> str:
+    return frag(name, f"CASE WHEN {seq} % 19 = 0 THEN 'null' WHEN {seq} % 17 = 0 THEN {jstr(q)} "
+                      f"ELSE {jnum(q)} END")
 
 
-def _pad(seq: Column, s: Column) -> Column:
-    return F.when(seq % 3 == 0, F.concat(F.lit(" "), s, F.lit("\t"))).otherwise(s)
+def _pad(seq: str, e: str) -> str:
+    return f"CASE WHEN {seq} % 3 = 0 THEN concat(' ', {e}, {sql_lit(chr(9))}) ELSE {e} END"
 
 
-def _status_of(k: Column) -> Column:
-    return (F.when(k % 4 == 0, "staged").when(k % 4 == 1, "draft")
-            .when(k % 4 == 2, "active").otherwise("sold"))
+def _status_of(k: str) -> str:
+    return f"CASE ({k}) % 4 WHEN 0 THEN 'staged' WHEN 1 THEN 'draft' WHEN 2 THEN 'active' ELSE 'sold' END"
 
 
 # --------------------------------------------------------------- entity batches
 
 def inventory_payloads(part: DataFrame) -> DataFrame:
-    part = spread(part)
-    k = F.col("p_partkey")
-    sku = F.when(k % 10 == 0, F.concat(F.lit("SKU-"), k.cast("string"))) \
-        .otherwise(F.concat(F.lit("NEW-"), F.floor(k / 2).cast("string")))
-    body = obj(
-        frag("sku", jstr(_pad(k, sku))),
-        F.when(k % 13 != 0, frag("title", jstr(F.col("p_name")))),
-        frag("category", jstr(F.col("p_type"))),
-        frag("cost_usd", jnum(F.col("p_retailprice"))),
-        _qty_frag(k, "quantity", F.col("p_size").cast("bigint")),
-        F.when(k % 4 == 0, frag("cost_cents", jnum(F.col("p_size").cast("bigint") * 100))))
-    return fenced(part.select(*envelope(k, "inventory", F.lit(None), _cut(k, body))))
+    k = "p_partkey"
+    sku = f"CASE WHEN {k} % 10 = 0 THEN {txt('SKU-', k)} ELSE {txt('NEW-', f'floor({k} / 2)')} END"
+    body = obj(frag("sku", jstr(_pad(k, sku))),
+               opt(f"{k} % 13 <> 0", frag("title", jstr("p_name"))),
+               frag("category", jstr("p_type")),
+               frag("cost_usd", jnum("p_retailprice")),
+               _qty_frag(k, "quantity", "CAST(p_size AS BIGINT)"),
+               opt(f"{k} % 4 = 0", frag("cost_cents", jnum("CAST(p_size AS BIGINT) * 100"))))
+    return envelopes(spread(part), k, "'inventory'", "NULL", body)
 
 
 def sale_payloads(lineitem: DataFrame) -> DataFrame:
-    lineitem = spread(lineitem)
-    seq = lineitem_seq()
-    ln, pk, sk, ok = (F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"))
-    body = obj(
-        frag("date", jstr(F.date_format("l_shipdate", "yyyy-MM-dd"))),
-        frag("sku", jstr(_pad(seq, F.concat(F.lit("SKU-"), pk.cast("string"))))),
-        _qty_frag(seq, "qty", F.col("l_quantity").cast("bigint")),
-        frag("sold_price_usd", jnum(F.col("l_extendedprice"))),
-        frag("buyer_shipping_usd", jnum(ln.cast("bigint"))),
-        frag("platform_fees_usd", jnum(F.col("l_extendedprice") * F.col("l_discount"))),
-        frag("promo_fee_usd", jnum(F.col("l_extendedprice") * F.col("l_tax"))),
-        frag("shipping_label_cost_usd", jnum(F.col("l_quantity") / 10)),
-        F.when(sk % 2 != 0, frag("other_costs_usd", jnum((sk % 50).cast("double") / 100.0))),
-        F.when(seq % 13 != 0, frag("order_ref", jstr(F.concat(F.lit("ord-"), ok.cast("string"))))),
-        F.when(ln != 1, frag("note", jstr(F.concat(F.lit("n"), ln.cast("string"))))),
-        F.when(ln % 3 != 0, frag("inventory_id", jstr(F.concat(F.lit("inv-"), pk.cast("string"))))))
-    return fenced(lineitem.select(*envelope(seq, "sale", F.lit(None), _cut(seq, body))))
+    s = LSEQ
+    body = obj(frag("date", jstr("date_format(l_shipdate, 'yyyy-MM-dd')")),
+               frag("sku", jstr(_pad(s, txt("SKU-", "l_partkey")))),
+               _qty_frag(s, "qty", "CAST(l_quantity AS BIGINT)"),
+               frag("sold_price_usd", jnum("l_extendedprice")),
+               frag("buyer_shipping_usd", jnum("CAST(l_linenumber AS BIGINT)")),
+               frag("platform_fees_usd", jnum("l_extendedprice * l_discount")),
+               frag("promo_fee_usd", jnum("l_extendedprice * l_tax")),
+               frag("shipping_label_cost_usd", jnum("l_quantity / 10")),
+               opt("l_suppkey % 2 <> 0",
+                   frag("other_costs_usd", jnum("CAST(l_suppkey % 50 AS DOUBLE) / 100.0D"))),
+               opt(f"{s} % 13 <> 0", frag("order_ref", jstr(txt("ord-", "l_orderkey")))),
+               opt("l_linenumber <> 1", frag("note", jstr(txt("n", "l_linenumber")))),
+               opt("l_linenumber % 3 <> 0", frag("inventory_id", jstr(txt("inv-", "l_partkey")))))
+    return envelopes(spread(lineitem), s, "'sale'", "NULL", body)
 
 
 def expense_payloads(events: DataFrame) -> DataFrame:
-    events = spread(events)
-    e, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    view = t == "view"
-    miles = F.when(e % 19 == 0, F.lit("null")).when(e % 17 == 0, jstr(u)).otherwise(jnum(u))
-    deductible = (F.when(t == "error", F.lit("0")).when(e % 6 == 1, F.lit("false"))
-                  .when(e % 6 == 2, F.lit('"0"')).when(e % 6 == 3, F.lit("0.0")))
-    body = obj(
-        frag("date", jstr(F.date_format("ts", "yyyy-MM-dd"))),
-        F.when(e % 13 != 0, frag("category", jstr(t))),
-        frag("amount_usd", jnum(F.col("value"))),
-        F.when(view, frag("type", jstr(F.lit("mileage"))))
-        .when(e % 7 == 0, frag("type", jstr(F.lit("standard")))),
-        F.when(view, frag("miles", miles)),
-        F.when(view, frag("rate_usd_per_mile", jnum((e % 100).cast("double") / 100.0))),
-        F.when(deductible.isNotNull(), frag("deductible", deductible)),
-        F.when(e % 2 == 0, frag("vendor", jstr(F.concat(F.lit("v"), u.cast("string"))))),
-        F.when(e % 5 == 0, frag("sku", jstr(F.concat(F.lit("SKU-"), u.cast("string"))))))
-    return fenced(events.select(*envelope(e, "expense", F.lit(None), _cut(e, body))))
+    e, u, t = "event_id", "user_id", "event_type"
+    miles = f"CASE WHEN {e} % 19 = 0 THEN 'null' WHEN {e} % 17 = 0 THEN {jstr(u)} ELSE {jnum(u)} END"
+    deductible = (f"CASE WHEN {t} = 'error' THEN '0' WHEN {e} % 6 = 1 THEN 'false' "
+                  f"WHEN {e} % 6 = 2 THEN '\"0\"' WHEN {e} % 6 = 3 THEN '0.0' END")
+    view = f"{t} = 'view'"
+    body = obj(frag("date", jstr("date_format(ts, 'yyyy-MM-dd')")),
+               opt(f"{e} % 13 <> 0", frag("category", jstr(t))),
+               frag("amount_usd", jnum("value")),
+               f"CASE WHEN {view} THEN {frag('type', jstr(sql_lit('mileage')))} "
+               f"WHEN {e} % 7 = 0 THEN {frag('type', jstr(sql_lit('standard')))} END",
+               opt(view, frag("miles", miles)),
+               opt(view, frag("rate_usd_per_mile", jnum(f"CAST({e} % 100 AS DOUBLE) / 100.0D"))),
+               frag("deductible", deductible),
+               opt(f"{e} % 2 = 0", frag("vendor", jstr(txt("v", u)))),
+               opt(f"{e} % 5 = 0", frag("sku", jstr(txt("SKU-", u)))))
+    return envelopes(spread(events), e, "'expense'", "NULL", body)
 
 
 def lot_payloads(supplier: DataFrame) -> DataFrame:
-    supplier = spread(supplier)
-    k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    status = (F.when(n % 3 == 1, jstr(F.lit("closed")))
-              .when(n % 3 == 2, F.when(k % 2 == 0, jstr(F.lit("open"))).otherwise(jstr(F.lit("x")))))
-    body = obj(
-        F.when(k % 13 != 0, frag("title", jstr(F.col("s_name")))),
-        F.when(k % 2 == 0, frag("note", jstr(F.concat(F.lit("note "), k.cast("string"))))),
-        F.when(status.isNotNull(), frag("status", status)))
-    return fenced(supplier.select(*envelope(k, "lot", F.lit(None), _cut(k, body))))
+    k, n = "s_suppkey", "s_nationkey"
+    status = (f"CASE WHEN {n} % 3 = 1 THEN {jstr(sql_lit('closed'))} WHEN {n} % 3 = 2 THEN "
+              f"(CASE WHEN {k} % 2 = 0 THEN {jstr(sql_lit('open'))} ELSE {jstr(sql_lit('x'))} END) END")
+    body = obj(opt(f"{k} % 13 <> 0", frag("title", jstr("s_name"))),
+               opt(f"{k} % 2 = 0", frag("note", jstr(txt("note ", k)))),
+               frag("status", status))
+    return envelopes(spread(supplier), k, "'lot'", "NULL", body)
 
 
 def inventory_patch_payloads(lineitem: DataFrame) -> DataFrame:
     """Many patches per item; line 7 targets an unknown id."""
-    lineitem = spread(lineitem)
-    seq = lineitem_seq()
-    ln, pk, sk, ok = (F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_orderkey"))
-    status = (F.when(ln % 4 == 1, jstr(_status_of(sk)))
-              .when(ln % 4 == 2, jstr(F.lit("")))
-              .when(ln % 4 == 3, F.when(sk % 10 == 0, jstr(F.lit("bogus")))
-                    .otherwise(jstr(_status_of(sk + 1)))))
-    q = F.col("l_quantity")
-    qty = (F.when(ln % 3 == 1, F.when(ok % 10 == 0, jnum(-q)).otherwise(jnum(q + 0.5)))
-           .when(ln % 3 == 2, jstr(q.cast("bigint"))))
-    body = obj(F.when(status.isNotNull(), frag("status", status)),
-               F.when(qty.isNotNull(), frag("quantity", qty)))
-    target = F.when(ln == 7, F.concat(F.lit("inv-x"), pk.cast("string"))) \
-        .otherwise(F.concat(F.lit("inv-"), pk.cast("string")))
-    return fenced(lineitem.select(*envelope(seq, "inventory_patch", target, _cut(seq, body))))
+    status = (f"CASE WHEN l_linenumber % 4 = 1 THEN {jstr(_status_of('l_suppkey'))} "
+              f"WHEN l_linenumber % 4 = 2 THEN {jstr(sql_lit(''))} "
+              f"WHEN l_linenumber % 4 = 3 THEN (CASE WHEN l_suppkey % 10 = 0 THEN {jstr(sql_lit('bogus'))} "
+              f"ELSE {jstr(_status_of('l_suppkey + 1'))} END) END")
+    qty = (f"CASE WHEN l_linenumber % 3 = 1 THEN (CASE WHEN l_orderkey % 10 = 0 THEN {jnum('-l_quantity')} "
+           f"ELSE {jnum('l_quantity + 0.5D')} END) "
+           f"WHEN l_linenumber % 3 = 2 THEN {jstr('CAST(l_quantity AS BIGINT)')} END")
+    body = obj(frag("status", status), frag("quantity", qty))
+    target = (f"CASE WHEN l_linenumber = 7 THEN {txt('inv-x', 'l_partkey')} "
+              f"ELSE {txt('inv-', 'l_partkey')} END")
+    return envelopes(spread(lineitem), LSEQ, "'inventory_patch'", target, body)
 
 
 def lot_patch_payloads(lineitem: DataFrame) -> DataFrame:
-    lineitem = spread(lineitem)
-    seq = lineitem_seq()
-    ln, sk, ok = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_orderkey")
-    title = (F.when(ln % 4 == 0, jstr(F.concat(F.lit("T"), ok.cast("string"))))
-             .when(ln % 4 == 1, jstr(F.lit(""))))
-    note = (F.when(ln % 3 == 0, jstr(F.lit("")))
-            .when(ln % 3 == 1, jstr(F.concat(F.lit("N"), ok.cast("string")))))
-    status = (F.when(ln % 5 == 0, jstr(F.lit("closed"))).when(ln % 5 == 1, jstr(F.lit("open")))
-              .when(ln % 5 == 2, jstr(F.lit("x"))))
-    body = obj(F.when(title.isNotNull(), frag("title", title)),
-               F.when(note.isNotNull(), frag("note", note)),
-               F.when(status.isNotNull(), frag("status", status)))
-    target = F.when(ln == 7, F.concat(F.lit("lot-x"), sk.cast("string"))) \
-        .otherwise(F.concat(F.lit("lot-"), sk.cast("string")))
-    return fenced(lineitem.select(*envelope(seq, "lot_patch", target, _cut(seq, body))))
+    title = (f"CASE WHEN l_linenumber % 4 = 0 THEN {jstr(txt('T', 'l_orderkey'))} "
+             f"WHEN l_linenumber % 4 = 1 THEN {jstr(sql_lit(''))} END")
+    note = (f"CASE WHEN l_linenumber % 3 = 0 THEN {jstr(sql_lit(''))} "
+            f"WHEN l_linenumber % 3 = 1 THEN {jstr(txt('N', 'l_orderkey'))} END")
+    status = (f"CASE WHEN l_linenumber % 5 = 0 THEN {jstr(sql_lit('closed'))} "
+              f"WHEN l_linenumber % 5 = 1 THEN {jstr(sql_lit('open'))} "
+              f"WHEN l_linenumber % 5 = 2 THEN {jstr(sql_lit('x'))} END")
+    body = obj(frag("title", title), frag("note", note), frag("status", status))
+    target = (f"CASE WHEN l_linenumber = 7 THEN {txt('lot-x', 'l_suppkey')} "
+              f"ELSE {txt('lot-', 'l_suppkey')} END")
+    return envelopes(spread(lineitem), LSEQ, "'lot_patch'", target, body)
 
 
 def link_payloads(orders: DataFrame) -> DataFrame:
     """Link requests by SKU into lots (lot existence is not checked)."""
-    orders = spread(orders)
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    sku = (F.when(o % 8 == 0, F.lit(None))
-           .when(o % 9 == 0, F.concat(F.lit("NOSKU-"), c.cast("string")))
-           .when(o % 10 == 0, F.concat(F.lit("sku-"), c.cast("string")))
-           .otherwise(_pad(o, F.concat(F.lit("SKU-"), c.cast("string")))))
-    body = obj(F.when(sku.isNotNull(), frag("sku", jstr(sku))))
-    target = F.concat(F.lit("lot-"), (o % 97 + 1).cast("string"))
-    return fenced(orders.select(*envelope(o, "link", target, _cut(o, body))))
+    o, c = "o_orderkey", "o_custkey"
+    sku = (f"CASE WHEN {o} % 8 = 0 THEN NULL WHEN {o} % 9 = 0 THEN {txt('NOSKU-', c)} "
+           f"WHEN {o} % 10 = 0 THEN {txt('sku-', c)} ELSE {_pad(o, txt('SKU-', c))} END")
+    body = obj(frag("sku", jstr(sku)))
+    return envelopes(spread(orders), o, "'link'", txt("lot-", f"{o} % 97 + 1"), body)
 
 
 def link_unlink_payloads(lineitem: DataFrame) -> DataFrame:
     """A mixed batch on existing (lot, item) keys: odd lines link, even lines unlink."""
-    lineitem = spread(lineitem)
-    seq = lineitem_seq()
-    ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    lot = F.concat(F.lit("lot-"), sk.cast("string"))
-    link_body = _cut(seq, obj(frag("sku", jstr(F.concat(F.lit("SKU-"), pk.cast("string"))))))
-    item = F.when(ln == 6, F.concat(F.lit("inv-x"), pk.cast("string"))) \
-        .otherwise(F.concat(F.lit("inv-"), pk.cast("string")))
+    is_link = "l_linenumber % 2 = 1"
+    link_body = cut(LSEQ, obj(frag("sku", jstr(txt("SKU-", "l_partkey")))))
+    item = (f"CASE WHEN l_linenumber = 6 THEN {txt('inv-x', 'l_partkey')} "
+            f"ELSE {txt('inv-', 'l_partkey')} END")
     unlink_body = obj(frag("inventory_id", jstr(item)))
-    is_link = ln % 2 == 1
-    return fenced(lineitem.select(
-        seq.alias("seq"), F.when(is_link, "link").otherwise("unlink").alias("entity"),
-        lot.alias("target_id"), arrived(seq).alias("arrived_at"),
-        F.when(is_link, link_body).otherwise(unlink_body).alias("body")))
+    return envelopes(spread(lineitem), LSEQ, f"CASE WHEN {is_link} THEN 'link' ELSE 'unlink' END",
+                     txt("lot-", "l_suppkey"),
+                     f"CASE WHEN {is_link} THEN {link_body} ELSE {unlink_body} END", damage=False)
 
 
 def item_edit_payloads(orders: DataFrame) -> DataFrame:
     """D9 batch: full-row edits and deletes of items (one in 25 is a delete)."""
-    orders = spread(orders)
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    status = (F.when(o % 50 == 1, F.lit("bogus"))
-              .when(F.col("o_orderstatus") == "F", F.lit("sold"))
-              .when(F.col("o_orderstatus") == "O", F.lit("active")).otherwise(F.lit("draft")))
-    body = obj(frag("title", jstr(F.concat(F.lit("T"), o.cast("string")))),
-               F.when(o % 3 == 0, frag("category", jstr(F.concat(F.lit("Cat"), (o % 7).cast("string"))))),
+    o, c = "o_orderkey", "o_custkey"
+    status = (f"CASE WHEN {o} % 50 = 1 THEN 'bogus' WHEN o_orderstatus = 'F' THEN 'sold' "
+              f"WHEN o_orderstatus = 'O' THEN 'active' ELSE 'draft' END")
+    body = obj(frag("title", jstr(txt("T", o))),
+               opt(f"{o} % 3 = 0", frag("category", jstr(txt("Cat", f"{o} % 7")))),
                frag("status", jstr(status)),
-               frag("cost_cents", jnum((o % 1000) * 10)),
-               frag("quantity", jnum(o % 9)),
-               frag("listed_date", jstr(F.date_format("o_orderdate", "yyyy-MM-dd"))))
-    is_delete = o % 25 == 0
-    return fenced(orders.select(
-        o.cast("bigint").alias("seq"), F.when(is_delete, "item_delete").otherwise("item_edit").alias("entity"),
-        F.concat(F.lit("inv-"), c.cast("string")).alias("target_id"), arrived(o).alias("arrived_at"),
-        F.when(is_delete, F.lit(None).cast("string")).otherwise(body).alias("body")))
-
-
-def _cut(seq: Column, body: Column) -> Column:
-    """``seq % 11 == 0``: keep only the first half of the text, so it no longer parses."""
-    half = (F.length(body) / 2).cast("int")
-    return F.when(seq % 11 == 0, F.substring(body, F.lit(1), half)).otherwise(body)
+               frag("cost_cents", jnum(f"({o} % 1000) * 10")),
+               frag("quantity", jnum(f"{o} % 9")),
+               frag("listed_date", jstr("date_format(o_orderdate, 'yyyy-MM-dd')")))
+    is_delete = f"{o} % 25 = 0"
+    return envelopes(spread(orders), o, f"CASE WHEN {is_delete} THEN 'item_delete' ELSE 'item_edit' END",
+                     txt("inv-", c), f"CASE WHEN {is_delete} THEN NULL ELSE {body} END", damage=False)
 
 
 def ingest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tests.conftest import envelopes
 def _eval_num(spark, raws):
     rows = [(i, "sale", None, "{" + (f'"q":{r}' if r is not None else "") + "}") for i, r in enumerate(raws)]
     df = ingest.parsed(envelopes(spark, rows), "sale")
-    df, f = js.expand(df, F.col("v"), ["q"])
+    df, f = js.expand(df, "v", ["q"])
     out = df.select("seq", js.num(f["q"], 1).alias("n"),
                     js.floor_clamp(js.num(f["q"], 1), 0).alias("inv"),
                     js.floor_clamp(js.num(f["q"], 1), 1).alias("sale")).orderBy("seq").collect()
@@ -38,7 +38,7 @@ def test_usd_to_cents_js_rounding(spark, usd, cents):
 def test_cents_of_missing_and_text(spark):
     rows = [(1, "sale", None, {"x": ""}), (2, "sale", None, {"x": None}), (3, "sale", None, {}),
             (4, "sale", None, {"x": "abc"}), (5, "sale", None, {"x": " 2.5 "})]
-    df, f = js.expand(ingest.parsed(envelopes(spark, rows), "sale"), F.col("v"), ["x"])
+    df, f = js.expand(ingest.parsed(envelopes(spark, rows), "sale"), "v", ["x"])
     got = [r.c for r in df.select("seq", js.cents(f["x"]).alias("c")).orderBy("seq").collect()]
     assert got == [0, 0, 0, 0, 250]
 
