@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..functions.js import round_half_up_cents
@@ -54,8 +55,11 @@ def write_snapshot(ledger: Ledger, root: str) -> str:
         df = getattr(ledger, t).select(*[f.name for f in SCHEMAS[t].fields])
         w = df
         if t in PARTITIONED:
+            # Range partitioning on (month, date, id) splits a big month over many
+            # tasks (hash partitioning on month would give each month one task);
+            # the bounds come from a bounded sample.
             w = (df.withColumn("month", month_of(F.col("date")))
-                 .repartition("month").sortWithinPartitions("date"))
+                 .repartitionByRange("month", "date", "id").sortWithinPartitions("date"))
             w.write.mode("overwrite").partitionBy("month").parquet(f"{root}/{t}")
         else:
             w.write.mode("overwrite").parquet(f"{root}/{t}")
@@ -66,7 +70,8 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Typed scan, never schema inference."""
     sch = SCHEMAS[name]
     if name in PARTITIONED:
-        sch = sch.add("month", "string")
+        # A new StructType: ``StructType.add`` would change the shared schema in place.
+        sch = StructType(list(sch.fields) + [StructField("month", StringType(), True)])
     return spark.read.schema(sch).parquet(f"{root}/{name}")
 
 
