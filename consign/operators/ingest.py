@@ -6,10 +6,10 @@ rejected rows as ``(seq, entity, reason)``.  accepted + rejected = input.
 
 Parsing and coercion are per-row projections (no shuffle).  The only shuffle
 is the unique-SKU rule for inventory (J6): first arrival per SKU wins, and a
-SKU already stored is refused.  It is computed as ``min(seq)`` per SKU -- a
+SKU already stored is refused.  It is a ``min_by(row, seq)`` per SKU -- a
 partial aggregate, so a SKU sent a million times costs one row per task in
-the shuffle -- and the winners are matched back by ``seq``, a unique key, so
-no hot SKU ever lands in one task.
+the shuffle -- followed by an anti-join on SKU with one row per key on both
+sides, so no hot SKU ever lands in one task.
 """
 
 from __future__ import annotations
@@ -112,17 +112,22 @@ def ingest_inventory(payloads: DataFrame, existing: DataFrame) -> Ingested:
     reason = F.coalesce(_body_reason(F.col("v")), _first(
         ((F.col("sku") == "") | (F.col("title") == "") | (F.col("category") == ""), REQUIRED["inventory"]),
         (F.col("quantity").isNull() | F.col("cost_cents").isNull(), OUT_OF_RANGE)))
-    checked = fence(p.withColumn("reason", reason))
+    checked = fence(p.withColumn("reason", reason)).drop("v")
     valid = checked.where(F.col("reason").isNull())
-    # Earliest valid request per SKU, unless the SKU is already stored.
-    winners = valid.groupBy("sku").agg(F.min("seq").alias("seq"))
-    fresh = winners.join(existing.select("sku"), "sku", "left_anti").select("seq")
-    decided = valid.join(fresh.withColumn("_win", F.lit(True)), "seq", "left")
+    # The earliest valid request per SKU wins unless the SKU is stored.  The
+    # winning row rides through the aggregate (``min_by`` keeps one row per SKU
+    # and task before the shuffle), so accepted rows need one parse and no join
+    # back; only the insert_failed rejects look the winners up by ``seq``.
+    rest = [c for c in valid.columns if c != "sku"]
+    winners = (valid.groupBy("sku").agg(F.min_by(F.struct(*rest), "seq").alias("w"))
+               .join(existing.select("sku"), "sku", "left_anti")
+               .select("sku", "w.*"))
     cols = [row_id(F.col("entity"), F.col("seq")).alias("id"), "sku", "title", "category",
             F.lit("staged").alias("status"), "cost_cents", "quantity",
             created_at(F.col("arrived_at")).alias("created_at"), "seq"]
-    accepted = decided.where(F.col("_win")).select(*cols)
-    lost = decided.where(F.col("_win").isNull()).select("seq", "entity", F.lit(INSERT_FAILED).alias("reason"))
+    accepted = winners.select(*cols)
+    lost = (valid.join(winners.select("seq"), "seq", "left_anti")
+            .select("seq", "entity", F.lit(INSERT_FAILED).alias("reason")))
     rejected = checked.where(F.col("reason").isNotNull()).select("seq", "entity", "reason").unionByName(lost)
     return Ingested(accepted, rejected)
 
