@@ -22,7 +22,6 @@ JS_WS = "[\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F
 # Fixed value: a finite decimal StringNumericLiteral after trimming (no backslashes,
 # so it can sit in SQL text).
 JS_DECIMAL = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-_NUMERIC_TYPE = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 # Largest integer a double still holds exactly (2^53 - 1).
 MAX_SAFE = 9007199254740991.0
 _MAX = "9007199254740991D"
@@ -88,10 +87,6 @@ def expand(df: DataFrame, v: str, names, prefix: str = "_f_") -> tuple[DataFrame
     return df, {n: VField(f"{prefix}{n}") for n in names}
 
 
-def drop_expanded(df: DataFrame, prefix: str = "_f_") -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
-
-
 def sql_lit(x) -> str:
     if x is None:
         return "NULL"
