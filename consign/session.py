@@ -41,11 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001  (no SparkContext on a Connect session)
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="consign-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:  # noqa: BLE001
+            pass
     return d.rstrip("/")
 
 
@@ -69,8 +75,9 @@ def spread(df, min_partitions: int | None = None):
     planned partition count; no data reaches the driver.  Round-robin
     repartitioning sorts locally first, so it is deterministic under retry.
     """
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # noqa: BLE001  (no RDD API on a Connect session: leave as is)
+        return df
+    return df.repartition(target) if narrow else df
