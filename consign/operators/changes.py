@@ -194,14 +194,18 @@ def unresolved_links(payloads: DataFrame, inventory: DataFrame) -> DataFrame:
 def _bucketed(ops: DataFrame, n_buckets: int) -> DataFrame:
     """Order-preserving buckets of ``seq`` from approximate quantiles.
 
-    The boundaries are one row of ``n_buckets - 1`` numbers, joined to every
-    row as a constant-size broadcast; nothing is collected to the driver.
+    The boundaries are one array of ``n_buckets - 1`` numbers from a partial
+    ``percentile_approx`` (one sketch per task reaches the final merge).  It is
+    attached as a scalar subquery: Spark runs it once and inlines the value
+    into the projection, so there is no join and nothing reaches the driver.
+    Subqueries are not allowed inside higher-order functions, hence the
+    separate projection before ``filter``.
     """
     if n_buckets <= 1:
         return ops.withColumn("_bucket", F.lit(0))
     qs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = ops.agg(F.percentile_approx("seq", qs, 10000).alias("_bounds"))
-    return (ops.crossJoin(F.broadcast(bounds))
+    return (ops.withColumn("_bounds", bounds.scalar())
             .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col("seq"))))
             .drop("_bounds"))
 

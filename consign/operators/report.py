@@ -57,18 +57,26 @@ def report_summary(sales: DataFrame, expenses: DataFrame, frm: str | None = None
     """A4 via J9: revenue, total expenses and net for a period, one row.
 
     Cost of goods is *not* subtracted here (unlike the per-sale profit view).
-    The two one-row aggregates are combined by a cross join of constant size.
+    Both range-filtered scans are projected to the same six measures (NULL
+    where a table has no such measure) and unioned, so one global aggregate
+    with a partial phase per task computes everything: no join, and the
+    shuffle carries one buffer row per task.
     """
-    s = sales_totals(sales, frm, to)
-    e = expense_totals(expenses, frm, to)
-    j = s.crossJoin(e)
-    return j.select(
-        (F.col("gross_cents") + F.col("buyer_ship_cents")).alias("revenue_cents"),
-        (F.col("costs_cents") + F.col("expenses_cents") + F.col("mileage_cents"))
-        .alias("total_expenses_cents"),
-        ((F.col("gross_cents") + F.col("buyer_ship_cents"))
-         - (F.col("costs_cents") + F.col("expenses_cents") + F.col("mileage_cents")))
-        .alias("net_cents"))
+    nul = F.lit(None).cast("bigint")
+    s = in_report_range(sales, frm, to).select(
+        F.col("sold_price_cents").alias("_gross"), F.col("buyer_shipping_cents").alias("_ship"),
+        (F.col("platform_fees_cents") + F.col("promo_fee_cents")
+         + F.col("shipping_label_cost_cents") + F.col("other_costs_cents")).alias("_costs"),
+        nul.alias("_exp"), nul.alias("_miles"))
+    e = in_report_range(expenses, frm, to).select(
+        nul.alias("_gross"), nul.alias("_ship"), nul.alias("_costs"),
+        F.col("amount_cents").alias("_exp"), F.col("calc_amount_cents").alias("_miles"))
+    t = s.unionByName(e).agg((_sum0("_gross") + _sum0("_ship")).alias("rev"),
+                             _sum0("_costs").alias("costs"), _sum0("_exp").alias("exp"),
+                             _sum0("_miles").alias("miles"))
+    total = F.col("costs") + F.col("exp") + F.col("miles")
+    return t.select(F.col("rev").alias("revenue_cents"), total.alias("total_expenses_cents"),
+                    (F.col("rev") - total).alias("net_cents"))
 
 
 def report_summary_text(summary: DataFrame) -> DataFrame:

@@ -36,8 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set -- local tests -- a private folder is created and
-    registered, so later calls in the same session agree.
+    when neither is set *and* the master is local -- tests -- a private folder
+    is created and registered, so later calls in the same session agree.  On a
+    cluster an unset folder is an error: a machine-local path would not be
+    seen by other executors and would vanish with the driver's machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -46,6 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001  (no SparkContext on a Connect session)
             d = None
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="consign-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         try:
