@@ -26,16 +26,28 @@ from pyspark.sql import functions as F
 
 from ..functions import js
 from ..schemas import INVENTORY_STATUSES, LOT_STATUSES
+from ..session import shared_dir
 from .ingest import parsed
 
 OK, NOT_FOUND, NO_FIELDS, UPDATE_FAILED = "ok", "not_found", "no_fields", "update_failed"
 SKU_REQUIRED, INVENTORY_NOT_FOUND = "sku required", "inventory_not_found"
 
 
-@dataclass
 class Applied:
-    table: DataFrame      # the new snapshot
-    outcomes: DataFrame   # (entity, outcome, n)
+    """A change job's result: ``table`` is the new snapshot, ``outcomes`` the
+    per-request outcome counts (entity, outcome, n).  ``outcomes`` may be given
+    as a function, so jobs that need work of their own for it (D6 checkpoints
+    its bucketed ops) do that work only when the outcomes are asked for."""
+
+    def __init__(self, table: DataFrame, outcomes):
+        self.table = table
+        self._outcomes = outcomes
+
+    @property
+    def outcomes(self) -> DataFrame:
+        if callable(self._outcomes):
+            self._outcomes = self._outcomes()
+        return self._outcomes
 
 
 # ------------------------------------------------------------------ patches
@@ -191,36 +203,41 @@ def unresolved_links(payloads: DataFrame, inventory: DataFrame) -> DataFrame:
         .select("seq", "lot_id", "sku", "reason")
 
 
-def _bucketed(ops: DataFrame, n_buckets: int) -> DataFrame:
-    """Order-preserving buckets of ``seq`` from approximate quantiles.
+def _bucketed(ops: DataFrame, keys: list[str], n_buckets: int | None) -> DataFrame:
+    """Order-preserving buckets per key: ``_bucket`` = range partition of (keys, seq).
+
+    ``repartitionByRange`` samples (keys, seq) tuples for its bounds, so a key
+    holding a third of all ops spans about a third of the partitions, and
+    within a key a higher bucket always holds later ops.  No bucket holds more
+    than one partition's rows, and the partition count (default: the session's
+    shuffle partitions, sized to the data by whoever runs the cluster) grows
+    with the input, so no (key, bucket) group outgrows one task.
 
-    The boundaries are one array of ``n_buckets - 1`` numbers from a partial
-    ``percentile_approx`` (one sketch per task reaches the final merge).  It is
-    attached as a scalar subquery: Spark runs it once and inlines the value
-    into the projection, so there is no join and nothing reaches the driver.
-    Subqueries are not allowed inside higher-order functions, hence the
-    separate projection before ``filter``.
+    The result is checkpointed to the shared folder: the bucket numbers come
+    from sampled bounds and are read by two branches (the in-bucket ``lag`` and
+    the per-bucket carry), which must agree; it also cuts the lineage of the
+    parse and resolution joins before the windows.
     """
-    if n_buckets <= 1:
-        return ops.withColumn("_bucket", F.lit(0))
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = ops.agg(F.percentile_approx("seq", qs, 10000).alias("_bounds"))
-    return (ops.withColumn("_bounds", bounds.scalar())
-            .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col("seq"))))
-            .drop("_bounds"))
+    spark = ops.sparkSession
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(spark)  # registers the checkpoint folder where a test left it unset
+    return (ops.repartitionByRange(n, *keys, "seq")
+            .withColumn("_bucket", F.spark_partition_id())
+            .checkpoint(eager=True))
 
 
 def state_before(ops: DataFrame, keys: list[str], base_keys: DataFrame,
-                 n_buckets: int = 64) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """For each op row (keys, seq, op in link/unlink): was the key present just before it?
 
     A plain ``lag`` over ``partition by keys`` would put every op of a hot key
-    into one task.  Instead ops are cut into seq buckets: ``lag`` runs within
-    (keys, bucket); the last op of each earlier bucket comes from a grouped
-    ``max_by`` (one row per key and bucket, at most ``n_buckets`` per key),
-    and base membership from a join on those grouped rows.
+    into one task.  Instead ops are cut into order-preserving buckets
+    (``_bucketed``): ``lag`` runs within (keys, bucket); the last op of each
+    earlier bucket comes from a grouped ``max_by`` (one row per key and
+    bucket), carried forward by a window over those grouped rows only, and
+    base membership from a join on them.
     """
-    b = _bucketed(ops, n_buckets)
+    b = _bucketed(ops, keys, n_buckets)
     w = Window.partitionBy(*keys, "_bucket").orderBy("seq")
     b = b.withColumn("_prev", F.lag("op").over(w))
     g = b.groupBy(*keys, "_bucket").agg(F.max_by("op", "seq").alias("_last"))
@@ -237,7 +254,7 @@ def state_before(ops: DataFrame, keys: list[str], base_keys: DataFrame,
 
 
 def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFrame,
-                      n_buckets: int = 64) -> Applied:
+                      n_buckets: int | None = None) -> Applied:
     """A mixed link/unlink batch; the last operation per (lot, item) decides."""
     keys = ["lot_id", "inventory_id"]
     links = resolve_links(payloads, inventory, "link")
@@ -250,11 +267,16 @@ def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFra
     table = (bridge.select(*keys).join(last, keys, "left_anti")
              .unionByName(last.where(F.col("last_op") == "link").select(*keys))
              .select("inventory_id", "lot_id"))
-    before = state_before(ops, keys, bridge, n_buckets)
-    unlink_out = (before.where(F.col("op") == "unlink")
-                  .groupBy(F.when(F.col("present_before"), F.lit(OK)).otherwise(F.lit(NOT_FOUND))
-                           .alias("outcome"))
-                  .agg(F.count(F.lit(1)).alias("n")).select(F.lit("unlink").alias("entity"), "outcome", "n"))
-    link_out = (links.groupBy(F.coalesce(F.col("reason"), F.lit(OK)).alias("outcome"))
-                .agg(F.count(F.lit(1)).alias("n")).select(F.lit("link").alias("entity"), "outcome", "n"))
-    return Applied(table, link_out.unionByName(unlink_out))
+
+    def outcomes() -> DataFrame:
+        before = state_before(ops, keys, bridge, n_buckets)
+        unlink_out = (before.where(F.col("op") == "unlink")
+                      .groupBy(F.when(F.col("present_before"), F.lit(OK)).otherwise(F.lit(NOT_FOUND))
+                               .alias("outcome"))
+                      .agg(F.count(F.lit(1)).alias("n"))
+                      .select(F.lit("unlink").alias("entity"), "outcome", "n"))
+        link_out = (links.groupBy(F.coalesce(F.col("reason"), F.lit(OK)).alias("outcome"))
+                    .agg(F.count(F.lit(1)).alias("n")).select(F.lit("link").alias("entity"), "outcome", "n"))
+        return link_out.unionByName(unlink_out)
+
+    return Applied(table, outcomes)
