@@ -95,9 +95,11 @@ def sku_match_ci(requests: DataFrame, inventory: DataFrame, sku_col: str = "requ
 
     The reference takes the first match in list order (newest first); with a
     unique normalised key that is the only match.  Several items sharing a
-    normalised SKU are reduced to the newest (then lowest id) by a grouped
-    ``min_by`` before the join, so the join side has one row per key and a hot
-    key never lands in one task.
+    normalised SKU are reduced to the newest (then lowest id) before the
+    request join: a grouped ``max(created_at)``, a join back on the key (one
+    row per key on the grouped side), and a grouped ``min(id)``.  Both
+    aggregates combine map-side, so the request join sees one row per key and
+    a hot request key is left to AQE's skew-join split of the request side.
     """
     norm = lambda c: F.lower(js_trim(c))
     keyed = inventory.select(norm(F.col("sku")).alias("k"), "id", "created_at")
