@@ -72,3 +72,21 @@ def test_empty_period_is_zero(spark):
     r = report.report_summary(lg.sales, lg.expenses, "1900-01-01", "1900-12-31").first()
     assert (r.revenue_cents, r.total_expenses_cents, r.net_cents) == (0, 0, 0)
     assert F is not None
+
+
+def test_report_nulls_and_range(spark):
+    """A2-A4 on hand rows: NULL shipping or mileage adds nothing, bounds are inclusive,
+    and rows outside the range are ignored in both tables."""
+    from consign.schemas import EXPENSES, SALES
+    sale = lambda i, d, price, ship: (i, d, None, "S", 1, price, ship, 10, 20, 30, 40, "o", None,
+                                      "2024-01-01 00:00:00")
+    sales = spark.createDataFrame([sale("s1", "2024-01-01", 1000, None), sale("s2", "2024-01-31", 500, 7),
+                                   sale("s3", "2024-02-01", 9999, 9)], SALES)
+    exp = lambda i, d, amt, calc: (i, d, "c", amt, "", "", None, "standard", None, None, calc, 1,
+                                   "2024-01-01 00:00:00")
+    expenses = spark.createDataFrame([exp("e1", "2024-01-15", 300, None), exp("e2", "2024-01-20", 0, 55),
+                                      exp("e3", "2023-12-31", 777, 777)], EXPENSES)
+    r = report.report_summary(sales, expenses, "2024-01-01", "2024-01-31").first()
+    revenue, costs = 1000 + 500 + 7, 2 * (10 + 20 + 30 + 40)
+    assert (r.revenue_cents, r.total_expenses_cents, r.net_cents) == \
+        (revenue, costs + 300 + 55, revenue - (costs + 300 + 55))
