@@ -19,6 +19,32 @@ BASE_CONF = {
 }
 
 
+# Settings for a large cluster, on top of BASE_CONF.  Scan splits of 256 MiB
+# keep a task's input well inside executor memory; AQE starts from many
+# shuffle partitions (``shuffle_partitions_for``) and coalesces them towards
+# the advisory size, and splits any partition five times the median and over
+# 256 MiB (a hot key's share of a sort-merge join).  The broadcast threshold
+# stays at Spark's size-checked default: AQE broadcasts a side only when its
+# measured size is under it.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
+
+def shuffle_partitions_for(shuffle_bytes: int, target_bytes: int = 256 << 20,
+                           floor: int = 200) -> int:
+    """Shuffle partitions for the largest shuffle a job does (bytes after pruning).
+
+    AQE only merges partitions, never adds them, so start from enough for the
+    biggest stage.  The D6 bucket count defaults to the same number.
+    """
+    return max(floor, -(-shuffle_bytes // target_bytes))
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "consign", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.master(master).appName(app)

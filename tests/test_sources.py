@@ -90,3 +90,10 @@ def test_report_nulls_and_range(spark):
     revenue, costs = 1000 + 500 + 7, 2 * (10 + 20 + 30 + 40)
     assert (r.revenue_cents, r.total_expenses_cents, r.net_cents) == \
         (revenue, costs + 300 + 55, revenue - (costs + 300 + 55))
+
+
+def test_shuffle_partition_sizing():
+    from consign.session import shuffle_partitions_for
+    assert shuffle_partitions_for(0) == 200
+    assert shuffle_partitions_for(10 << 40) == 40960
+    assert shuffle_partitions_for((256 << 20) * 1000 + 1) == 1001
