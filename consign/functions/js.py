@@ -16,9 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The characters JavaScript's String.prototype.trim removes
-# (WhiteSpace and LineTerminator of ECMA-262), as a Java regex class.
-JS_WS = "[\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+# The code points JavaScript's String.prototype.trim removes
+# (WhiteSpace and LineTerminator of ECMA-262).
+JS_WS_CODEPOINTS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680,
+                    0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009,
+                    0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+JS_WS_CHARS = "".join(map(chr, JS_WS_CODEPOINTS))
+# The same set as a SQL string literal (``\uXXXX`` escapes), for SQL text.
+_JS_WS_SQL = "'" + "".join("\\u%04X" % c for c in JS_WS_CODEPOINTS) + "'"
 # Fixed value: a finite decimal StringNumericLiteral after trimming (no backslashes,
 # so it can sit in SQL text).
 JS_DECIMAL = "^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -42,8 +47,9 @@ def field(v: Column, name: str) -> Column:
 
 
 def js_trim(s: Column) -> Column:
-    """``String.prototype.trim`` (Spark ``trim`` strips only spaces)."""
-    return F.regexp_replace(s, f"^{JS_WS}+|{JS_WS}+$", "")
+    """``String.prototype.trim``: Spark's ``trim`` with the JS whitespace set
+    (plain ``trim`` strips only spaces).  A character-set trim, no regex."""
+    return F.trim(s, F.lit(JS_WS_CHARS))
 
 
 class VField:
@@ -61,9 +67,11 @@ def expand(df: DataFrame, v: str, names, prefix: str = "_f_") -> tuple[DataFrame
     """Add per-field columns for ``names`` of the VARIANT column ``v``;
     return (df, {name: VField}).
 
-    Three projections, each one ``selectExpr`` call: the VARIANT of each
-    field; the first character of its JSON text (which gives its kind) and its
-    string reading; then kind, double, boolean and trimmed-string readings.
+    Four projections, each one ``selectExpr`` call: the VARIANT of each
+    field; its type name (``schema_of_variant``: VOID for JSON null, STRING,
+    BOOLEAN, OBJECT/ARRAY, else a number type; no serialisation, unlike
+    ``to_json``) and its string reading; its kind; then double, boolean and
+    trimmed-string readings (a character-set ``trim``, no regex).
     Catalyst does not collapse a project whose expensive outputs are
     referenced more than once, so every field is read from the body once.
     A number's text cast to double rounds correctly, as JS reading the JSON does.
@@ -71,18 +79,18 @@ def expand(df: DataFrame, v: str, names, prefix: str = "_f_") -> tuple[DataFrame
     q = lambda n, suf="": f"`{prefix}{n}{suf}`"
     df = df.selectExpr("*", *[f"try_variant_get(`{v}`, '$.{n}', 'variant') AS {q(n)}" for n in names])
     df = df.selectExpr("*", *[e for n in names for e in (
-        f"substring(to_json({q(n)}), 1, 1) AS {q(n, '_c')}",
+        f"schema_of_variant({q(n)}) AS {q(n, '_c')}",
         f"try_variant_get({q(n)}, '$', 'string') AS {q(n, '_s')}")])
     df = df.selectExpr("*", *[
-        f"CASE WHEN {q(n)} IS NULL THEN {MISSING} WHEN {q(n, '_c')} = 'n' THEN {JNULL} "
-        f"WHEN {q(n, '_c')} = '\"' THEN {STRING} WHEN {q(n, '_c')} IN ('t', 'f') THEN {BOOLEAN} "
-        f"WHEN {q(n, '_c')} IN ('{{', '[') THEN {OTHER} ELSE {NUMBER} END AS {q(n, '_k')}"
+        f"CASE WHEN {q(n)} IS NULL THEN {MISSING} WHEN {q(n, '_c')} = 'VOID' THEN {JNULL} "
+        f"WHEN {q(n, '_c')} = 'STRING' THEN {STRING} WHEN {q(n, '_c')} = 'BOOLEAN' THEN {BOOLEAN} "
+        f"WHEN startswith({q(n, '_c')}, 'OBJECT') OR startswith({q(n, '_c')}, 'ARRAY') THEN {OTHER} "
+        f"ELSE {NUMBER} END AS {q(n, '_k')}"
         for n in names])
-    trim = sql_lit(f"^{JS_WS}+|{JS_WS}+$")
     df = df.selectExpr("*", *[e for n in names for e in (
         f"CASE WHEN {q(n, '_k')} = {NUMBER} THEN try_cast({q(n, '_s')} AS DOUBLE) END AS {q(n, '_d')}",
         f"CASE WHEN {q(n, '_k')} = {BOOLEAN} THEN {q(n, '_s')} = 'true' END AS {q(n, '_b')}",
-        f"CASE WHEN {q(n, '_k')} = {STRING} THEN regexp_replace({q(n, '_s')}, {trim}, '') END "
+        f"CASE WHEN {q(n, '_k')} = {STRING} THEN trim(BOTH {_JS_WS_SQL} FROM {q(n, '_s')}) END "
         f"AS {q(n, '_t')}")])
     return df, {n: VField(f"{prefix}{n}") for n in names}
 

@@ -102,3 +102,12 @@ def test_error_line_predicate(spark):
     df = spark.createDataFrame([(x,) for x in hits + misses], "value string")
     got = {r.value for r in df.where(text.is_error_line(F.col("value"))).collect()}
     assert got == set(hits)
+
+
+def test_kind_edges_from_variant_type(spark):
+    """Kinds come from the VARIANT type name: a huge number is a number (JS reads
+    ``1e400`` as Infinity, not finite, so the default), objects and arrays are
+    neither, and JSON null is 0."""
+    assert _eval_num(spark, ["1e400", "-1e400", "{}", "[1]", "null", "1.5", "12345678901234567890"]) == [
+        (1, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (0, 0, 1), (1.5, 1, 1),
+        (12345678901234567000.0, None, None)]
