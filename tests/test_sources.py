@@ -97,3 +97,35 @@ def test_shuffle_partition_sizing():
     assert shuffle_partitions_for(0) == 200
     assert shuffle_partitions_for(10 << 40) == 40960
     assert shuffle_partitions_for((256 << 20) * 1000 + 1) == 1001
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    """A non-local master with no spark.checkpoint.dir must not fall back to a
+    machine-local temporary folder."""
+    import pytest
+    from consign.session import shared_dir
+
+    class _Conf:
+        def __init__(self, vals):
+            self.vals = vals
+
+        def get(self, k, default=None):
+            return self.vals.get(k, default)
+
+        def set(self, k, v):
+            self.vals[k] = v
+
+    class _Ctx:
+        def getCheckpointDir(self):
+            return None
+
+    class _Session:
+        def __init__(self, master):
+            self.conf = _Conf({"spark.master": master})
+            self.sparkContext = _Ctx()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("spark://cluster:7077"))
+    shared = _Session("yarn")
+    shared.conf.set("spark.checkpoint.dir", "hdfs://nn/shared/ckpt/")
+    assert shared_dir(shared) == "hdfs://nn/shared/ckpt"
