@@ -11,6 +11,7 @@ the checkpoint folder, which must be on shared storage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import ingest
 from ..sources.payloads import read_payload_stream
@@ -23,31 +24,51 @@ TRANSFORMS = {
 }
 
 
+def _earlier_skus(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame | None:
+    """SKUs accepted by micro-batches before ``batch_id``.
+
+    Only earlier batches count: when a batch is replayed after a failure its
+    own first attempt may already be on disk, and reading it would reject the
+    batch's items as duplicates of themselves.  ``batch_id`` is a partition
+    column, so the filter prunes folders.
+    """
+    try:
+        acc = spark.read.parquet(f"{out_dir}/accepted")
+    except Exception:  # noqa: BLE001  (no batch written yet)
+        return None
+    return acc.where(F.col("batch_id") < F.lit(batch_id)).select("sku")
+
+
+def write_batch(spark: SparkSession, entity: str, existing: DataFrame | None, out_dir: str,
+                batch: DataFrame, batch_id: int) -> None:
+    """One micro-batch: transform, then overwrite this batch's own output folders."""
+    ex = None
+    if entity == "inventory":
+        parts = [d for d in (existing.select("sku") if existing is not None else None,
+                             _earlier_skus(spark, out_dir, batch_id)) if d is not None]
+        ex = parts[0] if parts else spark.createDataFrame([], "sku string")
+        for d in parts[1:]:
+            ex = ex.unionByName(d)
+    r = TRANSFORMS[entity](batch, ex)
+    r.accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch_id={batch_id}")
+    r.rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+
+
 def start_ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                         entity: str = "sale", existing: DataFrame | None = None,
                         max_files_per_trigger: int | None = None, available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``.
 
     For ``inventory`` the unique-SKU rule (J6) runs per micro-batch against
-    ``existing``; SKUs accepted by earlier micro-batches are found by reading
-    the accepted output back (it is part of the stored inventory).
+    ``existing`` plus the SKUs accepted by earlier micro-batches, read back
+    from the accepted output (it is part of the stored inventory).
     """
-    transform = TRANSFORMS[entity]
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ex = existing
-        if entity == "inventory" and ex is not None:
-            try:
-                done = spark.read.parquet(f"{out_dir}/accepted").select("sku")
-                ex = ex.select("sku").unionByName(done)
-            except Exception:  # noqa: BLE001  (no earlier batch yet)
-                ex = ex.select("sku")
-        r = transform(batch, ex)
-        r.accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch_id={batch_id}")
-        r.rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
-
+    if entity not in TRANSFORMS:
+        raise ValueError(f"unknown entity {entity!r}")
     stream = read_payload_stream(spark, source_dir, max_files_per_trigger)
-    w = (stream.writeStream.foreachBatch(write_batch)
+    w = (stream.writeStream
+         .foreachBatch(lambda batch, batch_id: write_batch(spark, entity, existing, out_dir,
+                                                           batch, batch_id))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
