@@ -129,3 +129,19 @@ def test_cluster_without_shared_folder_is_an_error():
     shared = _Session("yarn")
     shared.conf.set("spark.checkpoint.dir", "hdfs://nn/shared/ckpt/")
     assert shared_dir(shared) == "hdfs://nn/shared/ckpt"
+
+
+def test_append_new_rows_is_safe_to_rerun(spark):
+    lg = L.ledger_from_testdata(spark, SF001)
+    root = scratch_path(spark, "test-append-new")
+    L.write_snapshot(lg, root)
+    n = lg.sales.count()
+    fresh = lg.sales.limit(5).withColumn("id", F.concat(F.lit("new-"), F.col("id")))
+    for _ in range(2):  # the second run is a re-run of the same job
+        L.append_new_rows(fresh.unionByName(lg.sales.limit(3)), root, "sales")
+    assert L.read_table(spark, root, "sales").count() == n + 5
+    L.append_new_rows(lg.inventory_lots.limit(4), root, "inventory_lots")
+    assert L.read_table(spark, root, "inventory_lots").count() == lg.inventory_lots.count()
+    first = scratch_path(spark, "test-append-first")
+    L.append_new_rows(lg.lots, first, "lots")
+    assert L.read_table(spark, first, "lots").count() == lg.lots.count()
