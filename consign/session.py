@@ -100,15 +100,18 @@ def spread(df, min_partitions: int | None = None):
     Meant for leaves (a table or folder scan), where reading the planned
     partition count is cheap.  A scan of one large Parquet row group (or one
     JSON file) is a single task;
-    parsing and coercing its rows would then use one core.  Real inputs of
-    many files already have enough partitions and are left alone, so the
-    extra shuffle is only paid when it buys parallelism.  The check reads the
-    planned partition count; no data reaches the driver.  Round-robin
-    repartitioning sorts locally first, so it is deterministic under retry.
+    parsing and coercing its rows would then use one core.  Only an input with
+    at most a quarter of the target partitions is spread: large inputs arrive
+    already split (JSON lines and Parquet by ``maxPartitionBytes``), and a
+    full shuffle of them for less than 4x parallelism is not worth it, so the
+    shuffle is paid only on inputs small enough for it to be cheap.  The check
+    reads the planned partition count; no data reaches the driver.
+    Round-robin repartitioning sorts locally first, so it is deterministic
+    under retry.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < target
+        narrow = df.rdd.getNumPartitions() * 4 <= target
     except Exception:  # noqa: BLE001  (no RDD API on a Connect session: leave as is)
         return df
     return df.repartition(target) if narrow else df
