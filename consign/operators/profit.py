@@ -10,11 +10,14 @@ at most one item, followed by ``explode_outer`` over the distinct matches:
 * a sale hitting the same item both ways yields one row,
 * a sale hitting nothing yields one row with NULL item columns.
 
-Both joins are equi-joins that AQE plans as broadcast (when the inventory is
-under the broadcast threshold, checked at runtime from real sizes) or
-sort-merge.  NULL join keys never match, so they are replaced by a per-row
-unique non-matching value: otherwise every NULL ``inventory_id`` would hash to
-the same shuffle partition.
+Two forms compute this (``matched_sales``).  When the inventory's planned size
+fits the broadcast threshold, both joins run straight on the sales and
+broadcast the inventory: no shuffle of the sales.  Otherwise the distinct
+(inventory_id, sku) pairs of the sales are resolved first and the sales are
+joined once to the result, so the big table is shuffled once, not twice.
+NULL join keys never match, so they are replaced by a distinct non-matching
+value: otherwise every NULL ``inventory_id`` would hash to the same shuffle
+partition.
 """
 
 from __future__ import annotations
@@ -22,34 +25,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fits_broadcast
+
 # A key prefix no real id or sku starts with (a NUL character).
 _NOMATCH = "\u0000"
 
 
-def _spread_nulls(key: Column, row_id: Column) -> Column:
-    return F.coalesce(key, F.concat(F.lit(_NOMATCH), row_id))
+def _spread_nulls(key: Column, other: Column) -> Column:
+    """A NULL key never matches; give it a distinct non-matching value so NULL
+    keys spread over the shuffle partitions instead of landing on one."""
+    return F.coalesce(key, F.concat(F.lit(_NOMATCH), F.coalesce(other, F.lit(""))))
+
+
+def _item(prefix: str) -> Column:
+    return F.struct(F.col("id").alias("item_id"), F.col("sku").alias("item_sku"),
+                    F.col("title").alias("item_title"),
+                    F.col("cost_cents").alias("item_cost_cents")).alias(prefix)
+
+
+def _matches() -> Column:
+    return F.array_distinct(F.filter(F.array(F.col("_a"), F.col("_b")), lambda x: x.isNotNull()))
 
 
-def matched_sales(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Sales exploded to one row per distinct matching item (item NULL if none)."""
-    item = lambda p: inventory.select(
-        F.col("id").alias(f"{p}_key"),
-        F.struct(F.col("id").alias("item_id"), F.col("sku").alias("item_sku"),
-                 F.col("title").alias("item_title"),
-                 F.col("cost_cents").alias("item_cost_cents")).alias(f"{p}_item"))
-    by_sku = lambda: inventory.select(
-        F.col("sku").alias("b_key"),
-        F.struct(F.col("id").alias("item_id"), F.col("sku").alias("item_sku"),
-                 F.col("title").alias("item_title"),
-                 F.col("cost_cents").alias("item_cost_cents")).alias("b_item"))
+def _matched_direct(sales: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Both equi-joins straight on the sales: free when the inventory is broadcast."""
+    by_id = inventory.select(F.col("id").alias("_aid"), _item("_a"))
+    by_sku = inventory.select(F.col("sku").alias("_bsku"), _item("_b"))
     s = sales.withColumn("_ka", _spread_nulls(F.col("inventory_id"), F.col("id"))) \
              .withColumn("_kb", _spread_nulls(F.col("sku"), F.col("id")))
-    j = (s.join(item("a"), s["_ka"] == F.col("a_key"), "left")
-          .join(by_sku(), F.col("_kb") == F.col("b_key"), "left"))
-    matches = F.array_distinct(F.filter(F.array(F.col("a_item"), F.col("b_item")),
-                                        lambda x: x.isNotNull()))
-    out = j.withColumn("m", F.explode_outer(matches))
-    return out.drop("_ka", "_kb", "a_key", "b_key", "a_item", "b_item")
+    j = (s.join(by_id, F.col("_ka") == F.col("_aid"), "left")
+          .join(by_sku, F.col("_kb") == F.col("_bsku"), "left"))
+    out = j.withColumn("m", F.explode_outer(_matches()))
+    return out.drop("_ka", "_kb", "_aid", "_bsku", "_a", "_b")
+
+
+def _matched_pairs(sales: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Resolve the distinct (inventory_id, sku) pairs, then join the sales once.
+
+    Matches depend only on a sale's pair, and the distinct pairs --
+    deduplicated map-side, their number grows with the catalogue, not with the
+    sales -- go through the two equi-joins.  Sales meet the resolved pairs in
+    one null-safe equi-join, so the big table is shuffled once instead of
+    twice.  A hot pair is a skewed left side of a left outer join, which AQE
+    splits.
+    """
+    by_id = inventory.select(F.col("id").alias("_aid"), _item("_a"))
+    by_sku = inventory.select(F.col("sku").alias("_bsku"), _item("_b"))
+    pairs = sales.select(F.col("inventory_id").alias("_pid"), F.col("sku").alias("_psku")).dropDuplicates()
+    resolved = (pairs.join(by_id, _spread_nulls(F.col("_pid"), F.col("_psku")) == F.col("_aid"), "left")
+                .join(by_sku, _spread_nulls(F.col("_psku"), F.col("_pid")) == F.col("_bsku"), "left")
+                .select("_pid", "_psku", _matches().alias("_m")))
+    on = sales["inventory_id"].eqNullSafe(resolved["_pid"]) & sales["sku"].eqNullSafe(resolved["_psku"])
+    out = sales.join(resolved, on, "left").withColumn("m", F.explode_outer("_m"))
+    return out.drop("_pid", "_psku", "_m")
+
+
+def matched_sales(sales: DataFrame, inventory: DataFrame, strategy: str | None = None) -> DataFrame:
+    """Sales exploded to one row per distinct matching item (item NULL if none).
+
+    ``strategy``: ``"direct"`` (two joins on the sales) when the inventory's
+    planned size fits the broadcast threshold -- both joins then broadcast it
+    and the sales are not shuffled at all -- else ``"pairs"``, which shuffles
+    the sales once rather than twice.  AQE still picks each join's physical
+    strategy from measured sizes at run time.
+    """
+    if strategy is None:
+        strategy = "direct" if fits_broadcast(inventory) else "pairs"
+    return (_matched_direct if strategy == "direct" else _matched_pairs)(sales, inventory)
 
 
 def _money(m: DataFrame) -> dict[str, Column]:

@@ -101,9 +101,9 @@ def spread(df, min_partitions: int | None = None):
     partition count is cheap.  A scan of one large Parquet row group (or one
     JSON file) is a single task;
     parsing and coercing its rows would then use one core.  Only an input with
-    at most a quarter of the target partitions is spread: large inputs arrive
+    at most half the target partitions is spread: large inputs arrive
     already split (JSON lines and Parquet by ``maxPartitionBytes``), and a
-    full shuffle of them for less than 4x parallelism is not worth it, so the
+    full shuffle of them for less than 2x parallelism is not worth it, so the
     shuffle is paid only on inputs small enough for it to be cheap.  The check
     reads the planned partition count; no data reaches the driver.
     Round-robin repartitioning sorts locally first, so it is deterministic
@@ -111,7 +111,25 @@ def spread(df, min_partitions: int | None = None):
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() * 4 <= target
+        narrow = df.rdd.getNumPartitions() * 2 <= target
     except Exception:  # noqa: BLE001  (no RDD API on a Connect session: leave as is)
         return df
     return df.repartition(target) if narrow else df
+
+
+def fits_broadcast(df) -> bool:
+    """Is ``df``'s planned size under the session's broadcast threshold?
+
+    The same size estimate Spark's join selection uses (file sizes scaled by
+    the projected columns), read from the optimized plan; no job runs.  When
+    the estimate cannot be read (e.g. a Connect session) the answer is no, the
+    choice that never broadcasts an unchecked side.
+    """
+    try:
+        js = df.sparkSession._jsparkSession
+        limit = js.sessionState().conf().autoBroadcastJoinThreshold()
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = raw if isinstance(raw, int) else int(raw.toString())  # py4j may convert BigInt
+    except Exception:  # noqa: BLE001
+        return False
+    return 0 <= size <= limit
