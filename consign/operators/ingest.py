@@ -71,9 +71,18 @@ def fence(df: DataFrame) -> DataFrame:
 
 
 def _split(df: DataFrame, reason: Column, cols: list[Column]) -> Ingested:
-    r = fence(df.withColumn("reason", reason))
-    accepted = r.where(F.col("reason").isNull()).select(*cols)
-    rejected = r.where(F.col("reason").isNotNull()).select("seq", "entity", "reason")
+    """Accepted rows (``cols``) and rejects (seq, entity, reason) from one pass.
+
+    Only the output columns and the reason go through the fence.  Column
+    pruning does not reach into the generator's struct, so whatever enters the
+    fence is computed for every row; passing ``df`` whole would evaluate every
+    reading of every body field (and copy the VARIANT body) even where no rule
+    uses it.
+    """
+    r = fence(df.select(*cols, F.col("entity").alias("_entity"), reason.alias("reason")))
+    accepted = r.where(F.col("reason").isNull()).drop("_entity", "reason")
+    rejected = r.where(F.col("reason").isNotNull()).select(
+        "seq", F.col("_entity").alias("entity"), "reason")
     return Ingested(accepted, rejected)
 
 
@@ -112,7 +121,7 @@ def ingest_inventory(payloads: DataFrame, existing: DataFrame) -> Ingested:
     reason = F.coalesce(_body_reason(F.col("v")), _first(
         ((F.col("sku") == "") | (F.col("title") == "") | (F.col("category") == ""), REQUIRED["inventory"]),
         (F.col("quantity").isNull() | F.col("cost_cents").isNull(), OUT_OF_RANGE)))
-    checked = fence(p.withColumn("reason", reason)).drop("v")
+    checked = fence(p.withColumn("reason", reason).drop("v"))
     valid = checked.where(F.col("reason").isNull())
     # The earliest valid request per SKU wins unless the SKU is stored.  The
     # winning row rides through the aggregate (``min_by`` keeps one row per SKU
