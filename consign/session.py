@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 # Settings every job relies on: text dates compare in UTC, AQE re-plans joins
 # and coalesces/splits skewed shuffle partitions at runtime.
@@ -117,19 +120,37 @@ def spread(df, min_partitions: int | None = None):
     return df.repartition(target) if narrow else df
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def broadcast_threshold(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (negative: broadcasting is off)."""
+    v = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b") or "").strip().lower()
+    m = re.fullmatch(r"(-?\d+)\s*([a-z]*)", v)
+    if not m or m.group(2) not in _UNITS:
+        return -1
+    return int(m.group(1)) * _UNITS[m.group(2)]
+
+
 def fits_broadcast(df) -> bool:
-    """Is ``df``'s planned size under the session's broadcast threshold?
+    """Is ``df`` small enough to broadcast under the session's threshold?
 
-    The same size estimate Spark's join selection uses (file sizes scaled by
-    the projected columns), read from the optimized plan; no job runs.  When
-    the estimate cannot be read (e.g. a Connect session) the answer is no, the
-    choice that never broadcasts an unchecked side.
+    A bounded check through the public API: every row costs at least 8
+    bytes, so at most ``threshold / 8 + 1`` rows are read, and their size is
+    added up the way a broadcast holds them (8 bytes per field plus the bytes
+    of each string).  One aggregate row reaches the driver.
     """
-    try:
-        js = df.sparkSession._jsparkSession
-        limit = js.sessionState().conf().autoBroadcastJoinThreshold()
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = raw if isinstance(raw, int) else int(raw.toString())  # py4j may convert BigInt
-    except Exception:  # noqa: BLE001
+    limit = broadcast_threshold(df.sparkSession)
+    if limit <= 0:
         return False
-    return 0 <= size <= limit
+    width = None
+    for f in df.schema.fields:
+        w = F.lit(8)
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            w = w + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        width = w if width is None else width + w
+    cap = limit // 8 + 1
+    r = df.limit(cap).agg(F.count(F.lit(1)).alias("n"),
+                          F.sum(width if width is not None else F.lit(0)).alias("b")).first()
+    return r["n"] < cap and (r["b"] or 0) <= limit

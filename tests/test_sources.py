@@ -165,3 +165,12 @@ def test_append_new_rows_reads_only_touched_months(spark):
     assert L.read_table(spark, root, "sales").where(F.col("month") == last).count() == before + 3
     with pytest.raises(Exception):
         L.read_table(spark, root, "sales").count()
+
+
+def test_broadcast_threshold_and_fit(spark):
+    from consign.session import broadcast_threshold, fits_broadcast
+    assert broadcast_threshold(spark) == 10 << 20
+    small = spark.range(1000).selectExpr("id", "cast(id AS string) AS s")
+    assert fits_broadcast(small)
+    wide = spark.range(200_000).selectExpr("id", "repeat('x', 100) AS s")  # ~23 MB
+    assert not fits_broadcast(wide)
