@@ -28,13 +28,15 @@ BASE_CONF = {
 # the advisory size, and splits any partition five times the median and over
 # 256 MiB (a hot key's share of a sort-merge join).  The broadcast threshold
 # stays at Spark's size-checked default: AQE broadcasts a side only when its
-# measured size is under it.
+# measured size is under it.  Checkpoint files (D6's bucketed ops) are
+# removed once nothing references them.
 CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": str(256 << 20),
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
