@@ -11,7 +11,7 @@ at most one item, followed by ``explode_outer`` over the distinct matches:
 * a sale hitting nothing yields one row with NULL item columns.
 
 Two forms compute this (``matched_sales``).  When the inventory's used columns
-fit the broadcast threshold (a bounded size check), both joins run straight on the sales and
+fit the broadcast threshold (a distributed size check), both joins run straight on the sales and
 broadcast the inventory: no shuffle of the sales.  Otherwise the distinct
 (inventory_id, sku) pairs of the sales are resolved first and the sales are
 joined once to the result, so the big table is shuffled once, not twice.
@@ -84,8 +84,8 @@ def matched_sales(sales: DataFrame, inventory: DataFrame, strategy: str | None =
     """Sales exploded to one row per distinct matching item (item NULL if none).
 
     ``strategy``: ``"direct"`` (two joins on the sales) when the inventory's
-    used columns fit the broadcast threshold (``session.fits_broadcast``, a
-    bounded read) -- both joins then broadcast it
+    used columns fit the broadcast threshold (``session.fits_broadcast``, one
+    distributed aggregate) -- both joins then broadcast it
     and the sales are not shuffled at all -- else ``"pairs"``, which shuffles
     the sales once rather than twice.  AQE still picks each join's physical
     strategy from measured sizes at run time.

@@ -138,10 +138,11 @@ def broadcast_threshold(spark: SparkSession) -> int:
 def fits_broadcast(df) -> bool:
     """Is ``df`` small enough to broadcast under the session's threshold?
 
-    A bounded check through the public API: every row costs at least 8
-    bytes, so at most ``threshold / 8 + 1`` rows are read, and their size is
-    added up the way a broadcast holds them (8 bytes per field plus the bytes
-    of each string).  One aggregate row reaches the driver.
+    A check through the public API: one global aggregate adds up the size of
+    the rows the way a broadcast holds them (8 bytes per field plus the bytes
+    of each string).  It is partial per task, so one row per task is
+    shuffled and one row reaches the driver.  (A ``limit`` first would funnel
+    up to ``limit`` rows from every task into a single one.)
     """
     limit = broadcast_threshold(df.sparkSession)
     if limit <= 0:
@@ -152,7 +153,5 @@ def fits_broadcast(df) -> bool:
         if isinstance(f.dataType, (StringType, BinaryType)):
             w = w + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
         width = w if width is None else width + w
-    cap = limit // 8 + 1
-    r = df.limit(cap).agg(F.count(F.lit(1)).alias("n"),
-                          F.sum(width if width is not None else F.lit(0)).alias("b")).first()
-    return r["n"] < cap and (r["b"] or 0) <= limit
+    r = df.agg(F.sum(width if width is not None else F.lit(0)).alias("b")).first()
+    return (r["b"] or 0) <= limit
