@@ -219,7 +219,10 @@ def _bucketed(ops: DataFrame, keys: list[str], n_buckets: int | None) -> DataFra
     parse and resolution joins before the windows.
     """
     spark = ops.sparkSession
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not n_buckets:
+        conf = spark.conf.get("spark.sql.shuffle.partitions", "200") or "200"
+        n_buckets = int(conf) if conf.strip().isdigit() else 200  # e.g. "auto": Spark's default
+    n = n_buckets
     shared_dir(spark)  # registers the checkpoint folder where a test left it unset
     return (ops.repartitionByRange(n, *keys, "seq")
             .withColumn("_bucket", F.spark_partition_id())
