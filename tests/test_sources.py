@@ -174,3 +174,15 @@ def test_broadcast_threshold_and_fit(spark):
     assert fits_broadcast(small)
     wide = spark.range(200_000).selectExpr("id", "repeat('x', 100) AS s")  # ~23 MB
     assert not fits_broadcast(wide)
+
+
+def test_spread_only_for_real_gains(spark):
+    """A leaf is reshuffled only when that at least doubles its parallelism (target 4 here)."""
+    from consign.session import spread
+    one = spark.range(0, 100, 1, numPartitions=1)
+    two = spark.range(0, 100, 1, numPartitions=2)
+    three = spark.range(0, 100, 1, numPartitions=3)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    assert spread(two, 4).rdd.getNumPartitions() == 4
+    assert spread(three, 4).rdd.getNumPartitions() == 3
+    assert sorted(r.id for r in spread(one, 4).collect()) == list(range(100))
