@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import js
 from ..schemas import INVENTORY_STATUSES, LOT_STATUSES
-from ..session import shared_dir
+from ..session import checkpointed
 from .ingest import parsed
 
 OK, NOT_FOUND, NO_FIELDS, UPDATE_FAILED = "ok", "not_found", "no_fields", "update_failed"
@@ -223,10 +223,8 @@ def _bucketed(ops: DataFrame, keys: list[str], n_buckets: int | None) -> DataFra
         conf = spark.conf.get("spark.sql.shuffle.partitions", "200") or "200"
         n_buckets = int(conf) if conf.strip().isdigit() else 200  # e.g. "auto": Spark's default
     n = n_buckets
-    shared_dir(spark)  # registers the checkpoint folder where a test left it unset
-    return (ops.repartitionByRange(n, *keys, "seq")
-            .withColumn("_bucket", F.spark_partition_id())
-            .checkpoint(eager=True))
+    return checkpointed(ops.repartitionByRange(n, *keys, "seq")
+                        .withColumn("_bucket", F.spark_partition_id()))
 
 
 def state_before(ops: DataFrame, keys: list[str], base_keys: DataFrame,

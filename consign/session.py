@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -63,14 +62,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_PRIVATE_DIR: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set *and* the master is local -- tests -- a private folder
-    is created and registered, so later calls in the same session agree.  On a
-    cluster an unset folder is an error: a machine-local path would not be
-    seen by other executors and would vanish with the driver's machine.
+    Read from ``spark.checkpoint.dir``, else from the context's checkpoint
+    folder.  Only when neither is set *and* the job runs in one process
+    (``local[...]`` -- tests) a private folder is made and kept for the
+    application.  On a cluster an unset folder is an error: a machine-local
+    path would not be seen by other executors and would vanish with the
+    driver's machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -80,23 +83,26 @@ def shared_dir(spark: SparkSession) -> str:
             d = None
     if not d:
         master = spark.conf.get("spark.master", "") or ""
-        if not master.startswith("local"):
+        if not re.match(r"local($|\[)", master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        d = tempfile.mkdtemp(prefix="consign-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        try:
-            spark.sparkContext.setCheckpointDir(d)
-        except Exception:  # noqa: BLE001
-            pass
+        app = spark.conf.get("spark.app.id", "app")
+        if app not in _PRIVATE_DIR:
+            _PRIVATE_DIR[app] = "file://" + tempfile.mkdtemp(prefix="consign-ckpt-")
+        d = _PRIVATE_DIR[app]
     return d.rstrip("/")
 
 
+def checkpointed(df):
+    """``df.checkpoint()`` into the shared folder, which is registered if none is yet."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused path under the shared folder."""
-    base = shared_dir(spark)
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh, never-reused path under the shared folder; Spark makes it when it writes there."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df, min_partitions: int | None = None):
