@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from . import bpe, packing, tokenfile
 from .common import table
 from .simhash import near_duplicates
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe(spark, sf_dir):
+    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.decode(ids, RANKS).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                                         F.sha2(text, 256).alias("ids_sha256"),
+                                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_packing(spark, sf_dir):
+    p = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, length=2048, end_id=1)
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_files(spark, sf_dir):
+    path = scratch_path(spark, "token-files")
+    tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=0)
+    return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
 
 def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -13,5 +40,8 @@ def op10_simhash(spark, sf_dir):
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op5_packing": op5_packing,
+    "op8_token_files": op8_token_files,
     "op10_simhash": op10_simhash,
 }
