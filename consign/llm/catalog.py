@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, packing, tokenfile
+from . import bpe, packing, quality, tokenfile
 from .common import table
 from .simhash import near_duplicates
 
@@ -14,6 +14,14 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_rows(docs, model).select(
+        "doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_bpe(spark, sf_dir):
     ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -40,6 +48,7 @@ def op10_simhash(spark, sf_dir):
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op8_token_files": op8_token_files,
