@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, packing, quality, tokenfile
+from . import bpe, minhash, packing, quality, tokenfile
 from .common import table
 from .simhash import near_duplicates
 
@@ -41,6 +41,12 @@ def op8_token_files(spark, sf_dir):
     return tokenfile.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_minhash(spark, sf_dir):
+    f = minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return f.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                    "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -52,5 +58,6 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
     "op8_token_files": op8_token_files,
+    "op9_minhash": op9_minhash,
     "op10_simhash": op10_simhash,
 }
