@@ -5,8 +5,9 @@ and each of the 256 bins keeps its smallest hash.  An empty bin borrows by optim
 densification: bin j asks the bins p(j, 1), p(j, 2), ... of a fixed random
 sequence and takes the first that is not empty (after ``PROBES`` of them, the
 non-empty bin that is first in a random order of j's own), so two texts with the
-same non-empty bins borrow alike.  Of each bin the four low bits are stored, one
-hex digit a bin, 256 digits a document.  Unrelated bins agree in one case out of
+same non-empty bins borrow alike.  A bin's hash is mixed with the bin's number, so that
+bins that borrowed from one bin do not all agree or differ together, and its four
+low bits are stored: one hex digit a bin, 256 digits a document.  Unrelated bins agree in one case out of
 sixteen; ``likeness`` corrects for that: (agreeing share - 1/16) / (1 - 1/16),
 at least 0.
 
@@ -54,7 +55,7 @@ def packed(text: str) -> Column:
     """The fingerprint of a text column (its name) as 16 longs of 16 four-bit bins each."""
     known = f"transform({_FIRST}, x -> IF((x & {_LOW}L) = {_LOW}L, NULL, x))"
     full = f"filter(sequence(0, {BINS - 1}), j -> known[j] IS NOT NULL)"
-    filled = f"transform(known, (x, j) -> coalesce(x, {_PROBED}, {_LAST}))"
+    filled = f"transform(known, (x, j) -> xxhash64(coalesce(x, {_PROBED}, {_LAST}), j))"
     body = f"IF(size(full) = 0, array_repeat(0L, 16), {_let('filled', filled, _PACK)})"
     body = _let("known", known, _let("full", full, body))
     body = _let("ordered", f"sort_array(concat({_SHINGLES}, {_SENTINELS}))", body)
