@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, minhash, packing, quality, tokenfile
+from . import bpe, doubling, minhash, packing, quality, suffixes, tokenfile
 from .common import table
 from .simhash import near_duplicates
 
@@ -35,6 +35,15 @@ def op5_packing(spark, sf_dir):
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_doubling(spark, sf_dir):
+    f = doubling.find(table(spark, sf_dir, "documents"), size=35)
+    return f.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_suffix_array(spark, sf_dir):
+    return suffixes.find(table(spark, sf_dir, "documents"), size=50)
+
+
 def op8_token_files(spark, sf_dir):
     path = scratch_path(spark, "token-files")
     tokenfile.write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=0)
@@ -57,6 +66,8 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,
+    "op6_doubling": op6_doubling,
+    "op7_suffix_array": op7_suffix_array,
     "op8_token_files": op8_token_files,
     "op9_minhash": op9_minhash,
     "op10_simhash": op10_simhash,
