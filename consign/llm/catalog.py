@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, doubling, minhash, packing, quality, suffixes, tokenfile
+from . import bpe, doubling, minhash, packing, quality, rpforest, suffixes, tokenfile
 from .common import table
 from .simhash import near_duplicates
 
@@ -14,6 +14,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_rp_forest(spark, sf_dir):
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +67,7 @@ def op10_simhash(spark, sf_dir):
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
+    "op2_rp_forest": op2_rp_forest,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_packing": op5_packing,

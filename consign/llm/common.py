@@ -60,22 +60,27 @@ def group_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dic
         yield {c: rest[c].to_numpy() for c in rest.columns}
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and links a-b, the smallest node that each can reach."""
+    low = np.arange(n)
+    while len(a):
+        before = low.copy()
+        m = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], m)
+        np.minimum.at(low, low[b], m)
+        low = low[low]
+        if np.array_equal(before, low):
+            break
+    while not np.array_equal(low, low[low]):
+        low = low[low]
+    return low
+
+
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each batch of edges as (node, smallest node of its part in the batch)."""
     for pdf in batches:
         ids, flat = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
-        a, b = flat[:len(pdf)], flat[len(pdf):]
-        low = np.arange(len(ids))
-        while len(a):
-            m = np.minimum(low[a], low[b])
-            before = low.copy()
-            np.minimum.at(low, low[a], m)
-            np.minimum.at(low, low[b], m)
-            low = low[low]
-            if np.array_equal(before, low):
-                break
-        while not np.array_equal(low, low[low]):
-            low = low[low]
+        low = forest(len(ids), flat[:len(pdf)], flat[len(pdf):])
         keep = low != np.arange(len(ids))
         yield pd.DataFrame({"a": ids[keep], "b": ids[low[keep]]})
 
