@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, doubling, minhash, packing, quality, rpforest, suffixes, tokenfile
+from . import bpe, doubling, minhash, packing, quality, rpforest, secrets, suffixes, tokenfile
 from .common import table
 from .simhash import near_duplicates
 
@@ -14,6 +14,10 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_forest(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("k", "len")
+
+
 def op2_rp_forest(spark, sf_dir):
     return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,7 @@ def op10_simhash(spark, sf_dir):
 ORACLES: dict[str, str] = {}
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
     "op2_rp_forest": op2_rp_forest,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
