@@ -35,9 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import library_encoder, slices
+from .tokens import by_row, library_encoder, text_slices
 
 STRETCH = 1 << 20
+STEP = 24
 SEQUENCE, SENTENCE, INSIDE = 4, 12, 64
 _ENDS: dict[str, np.ndarray] = {}
 
@@ -61,16 +62,18 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     Neighbouring positions are at most ``length`` apart.
     """
     n = len(at)
-    where = np.full(int(at[-1]) + 1, -1, dtype=np.int64)
+    where = np.full(int(at[-1]) + 1, -1, dtype=np.int32)
     where[at] = np.arange(n)
-    exact: list[list[int]] = [[] for _ in range(n)]
-    k = 1
-    while k <= length:
-        j = np.flatnonzero(at >= k)
-        i = where[at[j] - k]
-        for a, b in zip(i[i >= 0].tolist(), j[i >= 0].tolist()):
-            exact[b].append(a)
-        k *= 2
+    hits = []
+    for k in (1 << t for t in range(length.bit_length())):
+        i = where[np.maximum(at - k, 0)]
+        j = np.flatnonzero((i >= 0) & (at >= k))
+        hits.append((j, i[j]))
+    exact: dict[int, list[int]] = {}
+    for j, i in hits:
+        for b, a in zip(j.tolist(), i.tolist()):
+            exact.setdefault(b, []).append(a)
+    none: list[int] = []
     p, pen = at.tolist(), penalty.tolist()
     cost, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
@@ -79,7 +82,7 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
             queue.popleft()
         low, i = queue[0]
         best = low + length - p[j]
-        for e in exact[j]:
+        for e in exact.get(j, none):
             if cost[e] < best:
                 best, i = cost[e], e
         cost[j] = best = best + SEQUENCE + pen[j]
@@ -97,17 +100,19 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
 
 def cut_points(ids: np.ndarray, stops: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the stream may be cut and what a cut there costs; ``stops``: where documents end."""
+    kind = np.zeros(len(ids) + 1, dtype=np.int8)
     after = np.flatnonzero(ends[ids]) + 1
-    at = np.union1d(np.union1d(after, stops), [0])
-    gap, step = np.diff(at), max(1, length // 4)
-    wide = np.flatnonzero(gap > step)
-    more = [np.arange(at[i] + step, at[i + 1], step) for i in wide.tolist()]
-    inside = np.concatenate(more) if more else np.empty(0, dtype=np.int64)
-    every = np.union1d(at, inside)
-    penalty = np.full(len(every), SENTENCE)
-    penalty[np.isin(every, inside)] = INSIDE
-    penalty[np.isin(every, stops)] = 0
-    return every, penalty
+    after = after[np.diff(after // STEP, prepend=-1) > 0]  # the first in every STEP ids is choice enough
+    kind[after] = 1
+    kind[stops] = 2
+    kind[0] = 2
+    at = np.flatnonzero(kind)
+    step = max(1, length // 4)
+    wide = np.flatnonzero(np.diff(at) > step)
+    for i in wide.tolist():
+        kind[np.arange(at[i] + step, at[i + 1], step)] = 3
+    at = np.flatnonzero(kind)
+    return at, np.array([0, SENTENCE, 0, INSIDE])[kind[at]]
 
 
 def pieces(ids: np.ndarray, stops: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -148,9 +153,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
                                               [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         id_type = None
-        for b in slices(batches):
+        for b in text_slices(batches):
             id_type = b.column(0).type
-            for d, x in zip(b.column(0).to_pylist(), encoder(b.column(1).to_pylist())):
+            for d, x in zip(b.column(0).to_pylist(), by_row(*encoder(b.column(1)))):
                 doc_ids.append(d)
                 held.append(x + end)
                 size += len(x) // 4 + 1

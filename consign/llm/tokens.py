@@ -4,60 +4,118 @@ Byte-level BPE never merges across pre-tokens, and a pre-token boundary depends
 on its neighbours only inside runs of white space.  So where every run of white
 space in a text is a single character between two others, the ids of the text
 are the ids of its first word followed by those of " " + each further word
-(words as split at single spaces).  Words repeat, so their ids are kept in a
-dictionary of bounded size.  Any other text is encoded in one piece.
+(words as split at single spaces).  Words repeat: a slice of texts is
+dictionary-encoded, each word is looked up or encoded once, and the ids of the texts
+are gathered from the words'.  The ids of recent words are kept in a dictionary of
+bounded size.  Any other text is encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-# Two adjacent white spaces, white space at either end, characters on whose class libraries differ,
-# and the text of a special token.
-_WHOLE = re.compile(r"\s\s|\A\s|\s\Z|[\x1c-\x1f\x85᠎​-‍⁠﻿]|<\|")
 LONGEST_KEPT = 64  # characters of a word whose ids are kept
-SLICE = 256  # rows that are encoded at a time
+SLICE, SLICE_BYTES = 4096, 8 << 20  # rows and bytes of text that are worked on at a time
+KEPT = 600_000  # words; about 130 MB
+
+
+def _plain(text: str) -> bool:
+    """Whether all runs of white space are one character long and between two others."""
+    words = text.split()
+    return (len(text) - sum(map(len, words)) == len(words) - 1 and "<|" not in text  # a special token's text
+            and "\u180e" not in text)  # of which not all libraries agree that it is no space
+
+
+def _surely_plain(col: pa.Array) -> np.ndarray:
+    """For each text, whether its bytes show that it is plain; False where _plain has to look."""
+    data = col.cast(pa.large_binary())
+    buffers = data.buffers()
+    at = np.frombuffer(buffers[1], dtype=np.int64)[data.offset:data.offset + len(data) + 1]
+    if at[0] == at[-1]:
+        return np.zeros(len(col), dtype=bool)
+    c = np.frombuffer(buffers[2], dtype=np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    space = _SPACE[c]
+    odd = _ODD[c]
+    odd[1:] |= space[1:] & space[:-1]
+    seen = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+    a, b = at[:-1], at[1:]
+    ok = (b > a) & (seen[b] == seen[a])
+    ends = np.flatnonzero(ok)
+    ok[ends] = ~(space[a[ends]] | space[b[ends] - 1])
+    return ok
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ODD = np.zeros(256, dtype=bool)
+_ODD[[ord("|"), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bars, and first bytes of all wider white space
 
 
 class WordEncoder:
-    """texts -> ids as little-endian 32-bit integers (bytes); None encodes as the empty text."""
+    """A column of texts -> (all ids as uint32, how many each text has); null encodes as the empty text."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT,
+                 encode_words: Callable[[list[str]], list[bytes]] | None = None) -> None:
         self.encode, self.kept = encode, kept
+        self.encode_words = encode_words or (lambda words: encode([" " + w for w in words]))
         self.words: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = self.words
-        if len(words) > self.kept:
-            words.clear()
-        whole, split, new = [], {}, set()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if _WHOLE.search(t):
-                whole.append(i)
-                continue
-            parts = t.split(" ")
-            split[i] = parts
-            new.update(parts[1:])
-        new = [w for w in new if w not in words]
-        words.update(zip(new, self.encode([" " + w for w in new])))
-        out = [b""] * len(texts)
-        firsts = self.encode([p[0] for p in split.values()])
-        get = words.__getitem__
-        for (i, parts), first in zip(split.items(), firsts):
-            out[i] = first + b"".join(map(get, parts[1:]))
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole])):
-            out[i] = ids
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                del words[w]
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        known = self.words
+        if len(known) > self.kept:
+            known.clear()
+        ids = list(map(known.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        fresh = [words[i] for i in new]
+        for i, w, x in zip(new, fresh, self.encode_words(fresh)):
+            ids[i] = x
+            if len(w) <= LONGEST_KEPT:
+                known[w] = x
+        return ids
+
+    def _split(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(col, " ")
+        at = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        firsts = parts.flatten().take(pa.array(at)).to_pylist()
+        ids = self._words(coded.dictionary.to_pylist())
+        index[at] = np.arange(len(ids), len(ids) + len(firsts))
+        ids += self.encode(firsts)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = size[index]
+        stop = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        values = flat[np.repeat(start[index] - stop + n, n) + np.arange(stop[-1])]
+        return values, np.add.reduceat(n, at)
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        col = pc.fill_null(col.cast(pa.string()), "")
+        plain = _surely_plain(col)
+        for i in np.flatnonzero(~plain).tolist():
+            plain[i] = bool(t := col[i].as_py()) and _plain(t)
+        counts = np.zeros(len(col), dtype=np.int64)
+        values = np.zeros(0, dtype="<u4")
+        if plain.any():
+            values, counts[plain] = self._split(col.filter(pa.array(plain)))
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            other = dict(zip(rest.tolist(), self.encode([col[i].as_py() for i in rest.tolist()])))
+            stop = np.cumsum(counts)
+            counts[rest] = [len(x) // 4 for x in other.values()]
+            out, at = [], 0
+            for i, x in other.items():
+                out += [values[at:stop[i]], np.frombuffer(x, dtype="<u4")]
+                at = stop[i]
+            values = np.concatenate([*out, values[at:]])
+        return values, counts
 
 
 _LIBRARY: dict[str, WordEncoder] = {}
@@ -75,12 +133,48 @@ def library_encoder(path: str) -> WordEncoder:
             return [np.asarray(e.ids, dtype="<u4").tobytes()
                     for e in tk.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-        _LIBRARY[path] = WordEncoder(encode)
+        vocab = tk.get_vocab()
+        spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
+        spaced[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            # One text of many words: of a word's tokens the first alone begins with a space.
+            out: list[bytes] = []
+            for at in range(0, len(words), 1024):
+                part = words[at:at + 1024]
+                found = tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0]
+                ids = np.asarray(found.ids, dtype="<u4")
+                starts = np.flatnonzero(spaced[ids])
+                if len(starts) != len(part):
+                    raise ValueError("the tokenizer is not byte-level BPE with the usual split at spaces")
+                raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends)]
+            return out
+
+        _LIBRARY[path] = WordEncoder(encode, encode_words=encode_words)
     return _LIBRARY[path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that few texts are Python objects at once."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE rows and, beyond one row, about SLICE_BYTES bytes of text."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        at, before = 0, 0
+        while at < b.num_rows:
+            n = max(1, min(SLICE, int(np.searchsorted(size, before + SLICE_BYTES, side="right")) - at))
+            yield b.slice(at, n)
+            at, before = at + n, int(size[at + n - 1])
+
+
+def by_row(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    raw, stop = np.ascontiguousarray(values, dtype="<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    return [raw[a:b] for a, b in zip([0, *stop[:-1]], stop)]

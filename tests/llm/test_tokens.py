@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -57,8 +58,9 @@ def test_own_bpe_equals_library(own, tik, text):
 @given(st.text(alphabet=st.sampled_from("ab .\n\t 'st1é<|>"), max_size=40))
 def test_wordwise_equals_whole(tk, text):
     from consign.llm.tokens import library_encoder
-    got = np.frombuffer(library_encoder(P.path("byte_bpe_50k.json"))([text])[0], dtype="<u4").tolist()
-    assert got == tk.encode(text, add_special_tokens=False).ids
+    values, counts = library_encoder(P.path("byte_bpe_50k.json"))(pa.array([text, None, "plain words", text + "\u2003x"]))
+    expect = [tk.encode(t, add_special_tokens=False).ids for t in (text, "", "plain words", text + "\u2003x")]
+    assert values.tolist() == sum(expect, []) and counts.tolist() == [len(x) for x in expect]
 
 
 def test_encode_decode(spark, docs_of, tik):
