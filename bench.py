@@ -54,7 +54,7 @@ def main() -> None:
     L.write_snapshot(lg, root)
     out["store_ledger"] = round(time.time() - t, 3)
     st = L.read_snapshot(spark, root)
-    out["report_summary_stored"] = timed(lambda: report.report_summary(st.sales, st.expenses,
+    out["report_summary_stored"] = timed(lambda: report.report_summary(st.inventory, st.sales, st.expenses,
                                                                        P.REPORT_FROM, P.REPORT_TO))
     out["list_sales_stored"] = timed(lambda: views.list_sales(st.sales, P.SALES_FROM, P.SALES_TO,
                                                                P.LIST_CAP))

@@ -36,9 +36,21 @@ _INF = "CAST('Infinity' AS DOUBLE)"
 MISSING, JNULL, NUMBER, STRING, BOOLEAN, OTHER = range(6)
 
 
-def parse_body(body: Column) -> Column:
-    """Raw text -> VARIANT; malformed JSON -> NULL (acts like ``{}``)."""
-    return F.try_parse_json(body)
+def with_body(df: DataFrame, body: str = "body", v: str = "v") -> DataFrame:
+    """``df`` with the raw text column ``body`` as VARIANT ``v``; malformed JSON -> NULL (acts like ``{}``).
+
+    As a JavaScript server reads a request: one leading byte-order mark is
+    skipped, the last of several equal keys wins, and anything after the value
+    makes the text malformed.  Spark's parser stops at the end of the first
+    value, so the text is parsed as the only element of an array.  (Equal keys
+    need the session setting below, which only changes what was an error.)
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    bom = "\ufeff"
+    df = df.withColumn("_all", F.expr(
+        f"try_parse_json(concat('[', CASE WHEN startswith(`{body}`, '{bom}') THEN substring(`{body}`, 2) ELSE `{body}` END, ']'))"))
+    return df.withColumn(v, F.expr("CASE WHEN try_variant_get(_all, '$[1]', 'variant') IS NULL "
+                                   "THEN try_variant_get(_all, '$[0]', 'variant') END")).drop("_all")
 
 
 def field(v: Column, name: str) -> Column:
@@ -124,11 +136,13 @@ def _falsy_sql(f: VField) -> str:
 
 def _number_text_sql(f: VField) -> str:
     d = f.d
+    # Spark prints 1.0E-7 and 1.5E21 where JS prints 1e-7 and 1.5e+21.
+    exponent = (f"replace(regexp_replace(replace(CAST({d} AS STRING), '.0E', 'E'), 'E([0-9])', 'e+$1'), 'E', 'e')")
     return (f"(CASE WHEN abs({d}) <= {_MAX} AND {d} = CAST(CAST({d} AS BIGINT) AS DOUBLE) "
             f"THEN CAST(CAST({d} AS BIGINT) AS STRING) "
-            f"WHEN abs({d}) > {_MAX} AND abs({d}) < 1e21 "
-            f"THEN CAST(CAST({d} AS DECIMAL(38,0)) AS STRING) "
-            f"ELSE {f.s} END)")
+            f"WHEN abs({d}) >= 1e21 OR abs({d}) < 1e-6 THEN {exponent} "
+            f"WHEN abs({d}) > {_MAX} THEN CAST(CAST({d} AS DECIMAL(38,0)) AS STRING) "
+            f"ELSE rtrim('.', rtrim('0', CAST(CAST({d} AS DECIMAL(38,22)) AS STRING))) END)")
 
 
 def _text_sql(f: VField, default, trim: bool) -> str:
@@ -215,9 +229,13 @@ def cents(f: VField) -> Column:
 
 
 def cost_precedence(cc: VField, cu: VField) -> Column:
-    """X11: finite *number* cost_cents, else finite number cost_usd x 100 (JS round), else 0."""
-    return F.expr(f"(CASE WHEN {cc.k} = {NUMBER} AND abs({cc.d}) <= {_MAX} "
-                  f"THEN CAST(floor({cc.d}) AS BIGINT) "
+    """X11: finite *number* cost_cents, else finite number cost_usd x 100 (JS round), else 0.
+
+    Fractions of a cent are floored (the column is an integer); a cost_cents that no
+    integer holds exactly is NULL, not replaced by cost_usd.
+    """
+    return F.expr(f"(CASE WHEN {cc.k} = {NUMBER} AND abs({cc.d}) < {_INF} "
+                  f"THEN (CASE WHEN abs({cc.d}) <= {_MAX} THEN CAST(floor({cc.d}) AS BIGINT) END) "
                   f"WHEN {cu.k} = {NUMBER} AND abs({cu.d}) < {_INF} "
                   f"THEN {_round_sql(f'({cu.d} * 100D)')} ELSE 0L END)")
 
@@ -249,8 +267,9 @@ def floor_clamp(n: Column, low: int) -> Column:
 
 
 def mileage_amount(type_: Column, miles: Column, rate_cents: Column) -> Column:
-    """``type === 'mileage' ? miles * rate : null`` (miles, rate never null)."""
-    return F.when(type_ == F.lit("mileage"), miles * rate_cents).cast("bigint")
+    """``type === 'mileage' ? miles * rate : null`` (miles, rate never null); NULL when the
+    product overflows, so that one request cannot fail a job."""
+    return F.when(type_ == F.lit("mileage"), F.try_multiply(miles, rate_cents)).cast("bigint")
 
 
 def normalize_status(s: Column) -> Column:

@@ -29,6 +29,7 @@ from ..schemas import INVENTORY_STATUSES, LOT_STATUSES
 from ..session import checkpointed
 from .ingest import parsed
 
+# The reference's outcomes.
 OK, NOT_FOUND, NO_FIELDS, UPDATE_FAILED = "ok", "not_found", "no_fields", "update_failed"
 SKU_REQUIRED, INVENTORY_NOT_FOUND = "sku required", "inventory_not_found"
 
@@ -60,23 +61,27 @@ class FieldRule:
 
 
 def _patch(base: DataFrame, requests: DataFrame, entity: str, rules: list[FieldRule],
-           check: Column | None, key: str = "id") -> Applied:
+           check: Column | None, key: str = "id", dead: Column | None = None) -> Applied:
     """Generic J7 update join with per-field last-write-wins.
 
-    ``check`` is a per-request constraint (P8); a request violating it changes
-    nothing at all, like a failed UPDATE statement.
+    ``check`` is a per-request constraint (P8); a request violating it, or setting
+    a field to a number that no column holds (its value is NULL), changes nothing at
+    all, like a failed UPDATE statement, and what earlier requests set stands.
+    ``dead``: the target no longer exists when the request arrives.
     """
-    sets_any = F.lit(False)
+    sets_any, holds = F.lit(False), (check if check is not None else F.lit(True))
     for r in rules:
         sets_any = sets_any | r.sets
-    ok_if_exists = sets_any & (check if check is not None else F.lit(True))
-    cols = [F.col("target_id"), F.col("seq"), sets_any.alias("_usable"), ok_if_exists.alias("_ok")]
+        holds = holds & ~(r.sets & r.value.isNull())
+    dead = dead if dead is not None else F.lit(False)
+    cols = [F.col("target_id"), F.struct("seq", "source").alias("_at"), sets_any.alias("_usable"), dead.alias("_dead"),
+            (sets_any & holds).alias("_ok")]
     for r in rules:
         cols += [r.sets.alias(f"_s_{r.name}"), r.value.alias(f"_v_{r.name}")]
     req = requests.select(*cols)
 
-    agg = (req.where(F.col("_ok")).groupBy("target_id")
-           .agg(*[F.max_by(F.col(f"_v_{r.name}"), F.when(F.col(f"_s_{r.name}"), F.col("seq")))
+    agg = (req.where(F.col("_ok") & ~F.col("_dead")).groupBy("target_id")
+           .agg(*[F.max_by(F.col(f"_v_{r.name}"), F.when(F.col(f"_s_{r.name}"), F.col("_at")))
                   .alias(f"_new_{r.name}") for r in rules]))
     joined = base.join(agg, base[key] == agg["target_id"], "left")
     out_cols = []
@@ -87,7 +92,7 @@ def _patch(base: DataFrame, requests: DataFrame, entity: str, rules: list[FieldR
             out_cols.append(base[c])
     table = joined.select(*out_cols)
 
-    pre = (F.when(~F.col("_usable"), F.lit(NO_FIELDS))
+    pre = (F.when(~F.col("_usable"), F.lit(NO_FIELDS)).when(F.col("_dead"), F.lit(NOT_FOUND))
            .when(~F.col("_ok"), F.lit(UPDATE_FAILED)).otherwise(F.lit(OK)))
     counts = req.groupBy("target_id", pre.alias("pre")).agg(F.count(F.lit(1)).alias("n"))
     keys = base.select(F.col(key).alias("target_id"), F.lit(True).alias("_exists"))
@@ -133,8 +138,8 @@ def edit_delete_items(inventory: DataFrame, payloads: DataFrame) -> Applied:
     """
     edits, f = js.expand(parsed(payloads, "item_edit"), "v",
                          list(EDIT_TEXT) + ["status", "cost_cents", "quantity", "listed_date"])
-    deletes = payloads.where(F.col("entity") == "item_delete").select("target_id", "seq")
-    first_delete = deletes.groupBy("target_id").agg(F.min("seq").alias("_del"))
+    deletes = parsed(payloads, "item_delete").select("target_id", "seq", "source")
+    first_delete = deletes.groupBy("target_id").agg(F.min(F.struct("seq", "source")).alias("_del"))
     st = f["status"]
     has_status = js.is_string(st) & (js.as_string(st) != "")
     rules = [FieldRule(c, js.is_string(f[c]) & (js.as_string(f[c]) != ""), js.as_string(f[c]))
@@ -144,13 +149,10 @@ def edit_delete_items(inventory: DataFrame, payloads: DataFrame) -> Applied:
               for c in ("cost_cents", "quantity")]
     rules += [FieldRule("listed_date", js.is_string(f["listed_date"]), js.as_string(f["listed_date"]))]
     check = ~has_status | js.as_string(st).isin(*INVENTORY_STATUSES)
-    # Edits that arrive after the row was deleted find nothing.
-    live = edits.join(first_delete, "target_id", "left") \
-        .where(F.col("_del").isNull() | (F.col("seq") < F.col("_del")))
-    dead = edits.join(first_delete, "target_id", "inner").where(F.col("seq") > F.col("_del")) \
-        .groupBy().agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("item_edit").alias("entity"), F.lit(NOT_FOUND).alias("outcome"), "n")
-    edited = _patch(inventory, live, "item_edit", rules, check)
+    # Edits that arrive after the row was deleted find nothing; one join flags them for table and outcomes.
+    edits = edits.join(first_delete, "target_id", "left")
+    dead = F.coalesce(F.struct("seq", "source") > F.col("_del"), F.lit(False))
+    edited = _patch(inventory, edits, "item_edit", rules, check, dead=dead)
     table = edited.table.join(first_delete, edited.table["id"] == first_delete["target_id"], "left_anti")
     # Deletes: the first one on an existing id succeeds; the rest find nothing.
     keys = inventory.select(F.col("id").alias("target_id"), F.lit(True).alias("_exists"))
@@ -162,8 +164,7 @@ def edit_delete_items(inventory: DataFrame, payloads: DataFrame) -> Applied:
         F.struct(F.lit(NOT_FOUND).alias("outcome"), (F.col("n") - F.col("ok_n")).cast("bigint").alias("n"))
     )).alias("o")).groupBy(F.col("o.outcome").alias("outcome")).agg(F.sum("o.n").alias("n"))
         .where(F.col("n") > 0).select(F.lit("item_delete").alias("entity"), "outcome", "n"))
-    outcomes = (edited.outcomes.unionByName(dead).groupBy("entity", "outcome")
-                .agg(F.sum("n").alias("n")).where(F.col("n") > 0).unionByName(del_out))
+    outcomes = edited.outcomes.unionByName(del_out)
     return Applied(table, outcomes)
 
 
@@ -174,13 +175,16 @@ def resolve_links(payloads: DataFrame, inventory: DataFrame, entity: str = "link
 
     The request side may be skewed on one SKU; the inventory side is unique per
     SKU, so AQE either broadcasts it (size checked at runtime) or splits the
-    skewed request partitions of the outer join.
+    skewed request partitions of the outer join.  Requests without a SKU (every
+    malformed body) match nothing; their join keys are made distinct, so they
+    spread over the partitions.
     """
     p, f = js.expand(parsed(payloads, entity), "v", ["sku"])
-    req = p.select("seq", F.col("target_id").alias("lot_id"),
+    req = p.select("seq", "source", F.col("target_id").alias("lot_id"),
                    js.js_text(f["sku"], "", trim=True).alias("sku"))
-    inv = inventory.select(F.col("sku").alias("_isku"), F.col("id").alias("inventory_id"))
-    j = req.join(inv, req["sku"] == inv["_isku"], "left").drop("_isku")
+    inv = inventory.where(F.col("sku") != "").select(F.col("sku").alias("_isku"), F.col("id").alias("inventory_id"))
+    none = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
+    j = req.join(inv, F.when(F.col("sku") == "", none).otherwise(F.col("sku")) == inv["_isku"], "left").drop("_isku")
     reason = (F.when(F.col("sku") == "", F.lit(SKU_REQUIRED))
               .when(F.col("inventory_id").isNull(), F.lit(INVENTORY_NOT_FOUND)))
     return j.withColumn("reason", reason)
@@ -223,13 +227,13 @@ def _bucketed(ops: DataFrame, keys: list[str], n_buckets: int | None) -> DataFra
         conf = spark.conf.get("spark.sql.shuffle.partitions", "200") or "200"
         n_buckets = int(conf) if conf.strip().isdigit() else 200  # e.g. "auto": Spark's default
     n = n_buckets
-    return checkpointed(ops.repartitionByRange(n, *keys, "seq")
+    return checkpointed(ops.repartitionByRange(n, *keys, "seq", "source")
                         .withColumn("_bucket", F.spark_partition_id()))
 
 
 def state_before(ops: DataFrame, keys: list[str], base_keys: DataFrame,
                  n_buckets: int | None = None) -> DataFrame:
-    """For each op row (keys, seq, op in link/unlink): was the key present just before it?
+    """For each op row (keys, seq, source, op in link/unlink): was the key present just before it?
 
     A plain ``lag`` over ``partition by keys`` would put every op of a hot key
     into one task.  Instead ops are cut into order-preserving buckets
@@ -239,9 +243,9 @@ def state_before(ops: DataFrame, keys: list[str], base_keys: DataFrame,
     base membership from a join on them.
     """
     b = _bucketed(ops, keys, n_buckets)
-    w = Window.partitionBy(*keys, "_bucket").orderBy("seq")
+    w = Window.partitionBy(*keys, "_bucket").orderBy("seq", "source")
     b = b.withColumn("_prev", F.lag("op").over(w))
-    g = b.groupBy(*keys, "_bucket").agg(F.max_by("op", "seq").alias("_last"))
+    g = b.groupBy(*keys, "_bucket").agg(F.max_by("op", F.struct("seq", "source")).alias("_last"))
     wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     g = (g.withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
          .join(base_keys.select(*keys).withColumn("_base", F.lit(True)), keys, "left")
@@ -260,11 +264,11 @@ def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFra
     keys = ["lot_id", "inventory_id"]
     links = resolve_links(payloads, inventory, "link")
     unl, f = js.expand(parsed(payloads, "unlink"), "v", ["inventory_id"])
-    unl = unl.select("seq", F.col("target_id").alias("lot_id"),
+    unl = unl.select("seq", "source", F.col("target_id").alias("lot_id"),
                      js.js_text(f["inventory_id"], "", trim=False).alias("inventory_id"))
-    ops = (links.where(F.col("reason").isNull()).select("seq", *keys, F.lit("link").alias("op"))
-           .unionByName(unl.select("seq", *keys, F.lit("unlink").alias("op"))))
-    last = ops.groupBy(*keys).agg(F.max_by("op", "seq").alias("last_op"))
+    ops = (links.where(F.col("reason").isNull()).select("seq", "source", *keys, F.lit("link").alias("op"))
+           .unionByName(unl.select("seq", "source", *keys, F.lit("unlink").alias("op"))))
+    last = ops.groupBy(*keys).agg(F.max_by("op", F.struct("seq", "source")).alias("last_op"))
     table = (bridge.select(*keys).join(last, keys, "left_anti")
              .unionByName(last.where(F.col("last_op") == "link").select(*keys))
              .select("inventory_id", "lot_id"))

@@ -2,7 +2,9 @@
 
 Each ``ingest_*`` takes an envelope DataFrame (see ``sources.payloads``) and
 returns ``Ingested(accepted, rejected)``: accepted rows in the table's shape,
-rejected rows as ``(seq, entity, reason)``.  accepted + rejected = input.
+rejected rows as ``(source, seq, entity, reason)``.  A line that is no envelope,
+or names no known entity, is rejected by ``misfits``; so every input line is
+accepted or rejected once.
 
 Parsing and coercion are per-row projections (no shuffle).  The only shuffle
 is the unique-SKU rule for inventory (J6): first arrival per SKU wins, and a
@@ -20,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import js
-from ..schemas import LOT_STATUSES
+from ..schemas import CORRUPT, ENTITIES, INSERTS, LOT_STATUSES
 
+# The reference's messages (the last four reasons are this library's own).
 REQUIRED = {
     "inventory": "sku/title/category required",
     "sale": "date/sku/order_ref required",
@@ -32,6 +35,8 @@ INSERT_FAILED = "insert_failed"
 BAD_STATUS = "bad status"
 INVALID_BODY = "invalid_body"
 OUT_OF_RANGE = "amount_out_of_range"
+BAD_ENVELOPE = "bad_envelope"
+UNKNOWN_ENTITY = "unknown_entity"
 
 
 @dataclass
@@ -40,16 +45,40 @@ class Ingested:
     rejected: DataFrame
 
 
+def _optional(payloads: DataFrame, name: str) -> Column:
+    return F.col(name) if name in payloads.columns else F.lit(None).cast("string").alias(name)
+
+
+def _is_envelope(payloads: DataFrame) -> Column:
+    whole = F.col("seq").isNotNull() & F.col("entity").isNotNull()
+    return whole & F.col(CORRUPT).isNull() if CORRUPT in payloads.columns else whole
+
+
 def parsed(payloads: DataFrame, entity: str) -> DataFrame:
-    """Keep one entity and parse its bodies into VARIANT ``v``."""
-    return (payloads.where(F.col("entity") == F.lit(entity))
-            .select("seq", "entity", "target_id", "arrived_at", js.parse_body(F.col("body")).alias("v")))
+    """Keep one entity's envelopes and parse their bodies into VARIANT ``v``."""
+    mine = payloads.where(_is_envelope(payloads) & (F.col("entity") == F.lit(entity)))
+    return js.with_body(mine.select(_optional(payloads, "source"), "seq", "entity", "target_id", "arrived_at", "body")
+                        ).drop("body")
+
+
+def misfits(payloads: DataFrame) -> DataFrame:
+    """S7 quarantine: lines that are no envelope, and envelopes of an unknown entity."""
+    known = F.col("entity").isin(*ENTITIES)
+    rows = payloads.where(~F.coalesce(_is_envelope(payloads) & known, F.lit(False)))
+    reason = F.when(_is_envelope(payloads), F.lit(UNKNOWN_ENTITY)).otherwise(F.lit(BAD_ENVELOPE))
+    return rows.select(_optional(payloads, "source"), "seq", "entity", reason.alias("reason"))
+
+
+def row_id(source: Column, entity: Column, seq: Column) -> Column:
+    """A deterministic id from (source, entity, seq); ``uuid()`` would change under task retry."""
+    return F.sha2(F.concat_ws("|", F.coalesce(source, F.lit("")), entity, seq.cast("string")), 256)
+
+
+def _id() -> Column:
+    return row_id(F.col("source"), F.col("entity"), F.col("seq")).alias("id")
 
 
-def row_id(entity: Column | str, seq: Column) -> Column:
-    """A deterministic id (``uuid()`` would change under task retry)."""
-    e = F.lit(entity) if isinstance(entity, str) else entity
-    return F.sha2(F.concat_ws("|", e, seq.cast("string")), 256)
+ORDER = ("seq", "source")  # requests apply by number, then by source
 
 
 def created_at(arrived_at: Column) -> Column:
@@ -71,7 +100,7 @@ def fence(df: DataFrame) -> DataFrame:
 
 
 def _split(df: DataFrame, reason: Column, cols: list[Column]) -> Ingested:
-    """Accepted rows (``cols``) and rejects (seq, entity, reason) from one pass.
+    """Accepted rows (``cols``) and rejects (source, seq, entity, reason) from one pass.
 
     Only the output columns and the reason go through the fence.  Column
     pruning does not reach into the generator's struct, so whatever enters the
@@ -79,10 +108,10 @@ def _split(df: DataFrame, reason: Column, cols: list[Column]) -> Ingested:
     reading of every body field (and copy the VARIANT body) even where no rule
     uses it.
     """
-    r = fence(df.select(*cols, F.col("entity").alias("_entity"), reason.alias("reason")))
-    accepted = r.where(F.col("reason").isNull()).drop("_entity", "reason")
+    r = fence(df.select(*cols, F.col("entity").alias("_entity"), F.col("source").alias("_source"), reason.alias("reason")))
+    accepted = r.where(F.col("reason").isNull()).drop("_entity", "_source", "reason")
     rejected = r.where(F.col("reason").isNotNull()).select(
-        "seq", F.col("_entity").alias("entity"), "reason")
+        F.col("_source").alias("source"), "seq", F.col("_entity").alias("entity"), "reason")
     return Ingested(accepted, rejected)
 
 
@@ -111,7 +140,7 @@ def inventory_fields(p: DataFrame) -> DataFrame:
                _n_quantity=js.num(f["quantity"], 1), _n_cost=js.num(f["cost_usd"], 0))
     df = _with(df, quantity=js.floor_clamp(F.col("_n_quantity"), 0),
                cost_cents=js.round_half_up_cents(F.col("_n_cost")))
-    return df.select("seq", "entity", "arrived_at", "v", "sku", "title", "category", "quantity",
+    return df.select("source", "seq", "entity", "arrived_at", "v", "sku", "title", "category", "quantity",
                      "cost_cents")
 
 
@@ -128,16 +157,17 @@ def ingest_inventory(payloads: DataFrame, existing: DataFrame) -> Ingested:
     # and task before the shuffle), so accepted rows need one parse and no join
     # back; only the insert_failed rejects look the winners up by ``seq``.
     rest = [c for c in valid.columns if c != "sku"]
-    winners = (valid.groupBy("sku").agg(F.min_by(F.struct(*rest), "seq").alias("w"))
+    winners = (valid.groupBy("sku").agg(F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("w"))
                .join(existing.select("sku"), "sku", "left_anti")
                .select("sku", "w.*"))
-    cols = [row_id(F.col("entity"), F.col("seq")).alias("id"), "sku", "title", "category",
+    cols = [_id(), "sku", "title", "category",
             F.lit("staged").alias("status"), "cost_cents", "quantity",
             created_at(F.col("arrived_at")).alias("created_at"), "seq"]
     accepted = winners.select(*cols)
-    lost = (valid.join(winners.select("seq"), "seq", "left_anti")
-            .select("seq", "entity", F.lit(INSERT_FAILED).alias("reason")))
-    rejected = checked.where(F.col("reason").isNotNull()).select("seq", "entity", "reason").unionByName(lost)
+    w = winners.select(F.col("source").alias("_source"), F.col("seq").alias("_seq"))
+    lost = (valid.join(w, F.col("source").eqNullSafe(F.col("_source")) & (F.col("seq") == F.col("_seq")), "left_anti")
+            .select("source", "seq", "entity", F.lit(INSERT_FAILED).alias("reason")))
+    rejected = checked.where(F.col("reason").isNotNull()).select("source", "seq", "entity", "reason").unionByName(lost)
     return Ingested(accepted, rejected)
 
 
@@ -165,7 +195,7 @@ def ingest_sales(payloads: DataFrame) -> Ingested:
     reason = F.coalesce(_body_reason(F.col("v")), _first(
         ((F.col("date") == "") | (F.col("sku") == "") | (F.col("order_ref") == ""), REQUIRED["sale"]),
         (money_null | F.col("qty").isNull(), OUT_OF_RANGE)))
-    cols = [row_id(F.col("entity"), F.col("seq")).alias("id"), "date", "inventory_id", "sku", "qty",
+    cols = [_id(), "date", "inventory_id", "sku", "qty",
             *[f"{m}_cents" for m in SALE_MONEY], "order_ref", "note",
             created_at(F.col("arrived_at")).alias("created_at"), "seq"]
     return _split(df, reason, cols)
@@ -192,8 +222,9 @@ def ingest_expenses(payloads: DataFrame) -> Ingested:
     reason = F.coalesce(_body_reason(F.col("v")), _first(
         ((F.col("date") == "") | (F.col("category") == ""), REQUIRED["expense"]),
         (F.col("amount_cents").isNull() | F.col("miles").isNull()
-         | F.col("rate_cents_per_mile").isNull(), OUT_OF_RANGE)))
-    cols = [row_id(F.col("entity"), F.col("seq")).alias("id"), "date", "category", "amount_cents",
+         | F.col("rate_cents_per_mile").isNull()
+         | ((F.col("type") == "mileage") & F.col("calc_amount_cents").isNull()), OUT_OF_RANGE)))
+    cols = [_id(), "date", "category", "amount_cents",
             "vendor", "note", "sku", "type", "miles", "rate_cents_per_mile", "calc_amount_cents",
             "deductible", created_at(F.col("arrived_at")).alias("created_at"), "seq"]
     return _split(df, reason, cols)
@@ -208,14 +239,15 @@ def ingest_lots(payloads: DataFrame) -> Ingested:
     reason = F.coalesce(_body_reason(F.col("v")), _first(
         (F.col("title") == "", REQUIRED["lot"]),
         (~F.col("status").isin(*LOT_STATUSES), BAD_STATUS)))
-    cols = [row_id(F.col("entity"), F.col("seq")).alias("id"), "title", "note", "status",
+    cols = [_id(), "title", "note", "status",
             created_at(F.col("arrived_at")).alias("created_at"), "seq"]
     return _split(df, reason, cols)
 
 
 def all_rejects(payloads: DataFrame, existing_inventory: DataFrame) -> DataFrame:
-    """P6 quarantine over every insert entity."""
-    return (ingest_inventory(payloads, existing_inventory).rejected
+    """P6 quarantine over every insert entity and every line that belongs to none."""
+    return (misfits(payloads)
+            .unionByName(ingest_inventory(payloads, existing_inventory).rejected)
             .unionByName(ingest_sales(payloads).rejected)
             .unionByName(ingest_expenses(payloads).rejected)
             .unionByName(ingest_lots(payloads).rejected))
@@ -223,10 +255,12 @@ def all_rejects(payloads: DataFrame, existing_inventory: DataFrame) -> DataFrame
 
 def parse_errors(payloads: DataFrame) -> DataFrame:
     """S7 report: per entity, how many bodies did not parse or were not objects."""
-    v = js.parse_body(F.col("body"))
+    v = F.col("v")
     t = F.schema_of_variant(v)
-    return (payloads.select("entity", v.isNull().alias("bad"),
-                            (v.isNotNull() & ~F.coalesce(t.startswith("OBJECT"), F.lit(False))).alias("nonobj"))
+    known = payloads.where(_is_envelope(payloads) & F.col("entity").isin(*INSERTS))
+    return (js.with_body(known.select("entity", "body"))
+            .select("entity", v.isNull().alias("bad"),
+                    (v.isNotNull() & ~F.coalesce(t.startswith("OBJECT"), F.lit(False))).alias("nonobj"))
             .groupBy("entity")
             .agg(F.count(F.lit(1)).alias("n_payloads"),
                  F.sum(F.col("bad").cast("bigint")).alias("n_unparsable"),

@@ -98,7 +98,8 @@ def matched_sales(sales: DataFrame, inventory: DataFrame, strategy: str | None =
 
 def _money(m: DataFrame) -> dict[str, Column]:
     revenue = F.col("sold_price_cents") + F.coalesce(F.col("buyer_shipping_cents"), F.lit(0))
-    cogs = F.coalesce(F.col("m.item_cost_cents"), F.lit(0)) * F.col("qty")
+    # NULL marks a product that no integer holds (and a profit that rests on it): never a silent 0.
+    cogs = F.try_multiply(F.coalesce(F.col("m.item_cost_cents"), F.lit(0)), F.col("qty"))
     fees = F.coalesce(F.col("platform_fees_cents"), F.lit(0))
     promo = F.coalesce(F.col("promo_fee_cents"), F.lit(0))
     label = F.coalesce(F.col("shipping_label_cost_cents"), F.lit(0))
@@ -106,7 +107,7 @@ def _money(m: DataFrame) -> dict[str, Column]:
     return {
         "revenue_cents": revenue, "cogs_cents": cogs, "fees_cents": fees,
         "promo_fee_cents": promo, "ship_label_cents": label, "other_costs_cents": other,
-        "gross_profit_cents": revenue - fees - promo - label - other - cogs,
+        "gross_profit_cents": F.try_subtract(revenue - fees - promo - label - other, cogs),
     }
 
 

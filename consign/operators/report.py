@@ -7,10 +7,11 @@ handful of rows whatever the input size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import money_text
+from ..schemas import INVENTORY_STATUSES
 from .filters import in_report_range
 
 
@@ -23,15 +24,29 @@ def inventory_by_status(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("status").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _status_counts(status: Column, counted: Column) -> list[Column]:
+    """One conditional count for each status of the table's CHECK, and one for all others."""
+    known = status.isin(*INVENTORY_STATUSES)
+    return ([F.count_if(counted & (status == s)).alias(f"_{s}") for s in INVENTORY_STATUSES]
+            + [F.count_if(counted & ~F.coalesce(known, F.lit(False))).alias("_other")])
+
+
+def _present() -> Column:
+    """The statuses that occur, in name order, from the columns of ``_status_counts``."""
+    names = sorted([*INVENTORY_STATUSES, "other"])
+    return F.filter(F.array(*[F.struct(F.lit(s).alias("status"), F.col(f"_{s}").alias("cnt")) for s in names]),
+                    lambda x: x["cnt"] > 0)
+
+
 def inventory_status_map(inventory: DataFrame) -> DataFrame:
     """A5: the status counts as one ``map<string,bigint>`` row.
 
-    The collected list has one entry per distinct status, which the table's
-    CHECK constraint bounds to four, so the single final group stays tiny.
+    One global aggregate with a counter for each of the four statuses; rows with any
+    other status (the older schemas have no CHECK) are counted as ``other``,
+    so the map's size does not depend on the data.
     """
-    counts = inventory_by_status(inventory)
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("status", "cnt")))).alias("inventory_by_status"))
+    counts = inventory.agg(*_status_counts(F.col("status"), F.lit(True)))
+    return counts.select(F.map_from_entries(_present()).alias("inventory_by_status"))
 
 
 def sales_totals(sales: DataFrame, frm: str | None = None, to: str | None = None) -> DataFrame:
@@ -52,35 +67,40 @@ def expense_totals(expenses: DataFrame, frm: str | None = None, to: str | None =
                  _sum0("calc_amount_cents").alias("mileage_cents"))
 
 
-def report_summary(sales: DataFrame, expenses: DataFrame, frm: str | None = None,
+def report_summary(inventory: DataFrame, sales: DataFrame, expenses: DataFrame, frm: str | None = None,
                    to: str | None = None) -> DataFrame:
-    """A4 via J9: revenue, total expenses and net for a period, one row.
-
-    Cost of goods is *not* subtracted here (unlike the per-sale profit view).
-    Both range-filtered scans are projected to the same six measures (NULL
-    where a table has no such measure) and unioned, so one global aggregate
-    with a partial phase per task computes everything: no join, and the
-    shuffle carries one buffer row per task.
+    """A4 via J9: stock counts by status, and revenue, total expenses and net for a period; one row.
+
+    Cost of goods is *not* subtracted here (unlike the per-sale profit view), and the
+    counts are of the whole inventory, whatever the period.  All three scans are
+    projected to the same measures (NULL where a table has no such measure) and
+    unioned, so one global aggregate with a partial phase per task computes
+    everything: no join, and the shuffle carries one buffer row per task.
+    ``inventory_by_status`` is text, ``status=count`` in name order.
     """
-    nul = F.lit(None).cast("bigint")
-    s = in_report_range(sales, frm, to).select(
-        F.col("sold_price_cents").alias("_gross"), F.col("buyer_shipping_cents").alias("_ship"),
-        (F.col("platform_fees_cents") + F.col("promo_fee_cents")
-         + F.col("shipping_label_cost_cents") + F.col("other_costs_cents")).alias("_costs"),
-        nul.alias("_exp"), nul.alias("_miles"))
-    e = in_report_range(expenses, frm, to).select(
-        nul.alias("_gross"), nul.alias("_ship"), nul.alias("_costs"),
-        F.col("amount_cents").alias("_exp"), F.col("calc_amount_cents").alias("_miles"))
-    t = s.unionByName(e).agg((_sum0("_gross") + _sum0("_ship")).alias("rev"),
-                             _sum0("_costs").alias("costs"), _sum0("_exp").alias("exp"),
-                             _sum0("_miles").alias("miles"))
+    measures = ("_gross", "_ship", "_costs", "_exp", "_miles")
+
+    def rows(df: DataFrame, stock: bool = False, **given: Column) -> DataFrame:
+        cols = [given.get(m, F.lit(None).cast("bigint")).alias(m) for m in measures]
+        return df.select(*cols, F.lit(stock).alias("_stock"),
+                         (F.col("status") if stock else F.lit(None).cast("string")).alias("_status"))
+
+    s = rows(in_report_range(sales, frm, to), _gross=F.col("sold_price_cents"), _ship=F.col("buyer_shipping_cents"),
+             _costs=(F.col("platform_fees_cents") + F.col("promo_fee_cents")
+                     + F.col("shipping_label_cost_cents") + F.col("other_costs_cents")))
+    e = rows(in_report_range(expenses, frm, to), _exp=F.col("amount_cents"), _miles=F.col("calc_amount_cents"))
+    t = s.unionByName(e).unionByName(rows(inventory, stock=True)).agg(
+        (_sum0("_gross") + _sum0("_ship")).alias("rev"), _sum0("_costs").alias("costs"), _sum0("_exp").alias("exp"),
+        _sum0("_miles").alias("miles"), *_status_counts(F.col("_status"), F.col("_stock")))
     total = F.col("costs") + F.col("exp") + F.col("miles")
-    return t.select(F.col("rev").alias("revenue_cents"), total.alias("total_expenses_cents"),
-                    (F.col("rev") - total).alias("net_cents"))
+    by_status = F.array_join(F.transform(_present(), lambda x: F.concat(x["status"], F.lit("="), x["cnt"].cast("string"))), ",")
+    return t.select(by_status.alias("inventory_by_status"), F.col("rev").alias("revenue_cents"),
+                    total.alias("total_expenses_cents"), (F.col("rev") - total).alias("net_cents"))
 
 
 def report_summary_text(summary: DataFrame) -> DataFrame:
-    """X18 over A4: the report's money lines as text."""
-    return summary.select(money_text(F.col("revenue_cents")).alias("revenue_text"),
+    """X18 over A4: the report's status line and its money lines as text."""
+    return summary.select(F.concat(F.lit("Inventory by status: "), F.col("inventory_by_status")).alias("status_text"),
+                          money_text(F.col("revenue_cents")).alias("revenue_text"),
                           money_text(F.col("total_expenses_cents")).alias("expenses_text"),
                           money_text(F.col("net_cents")).alias("net_text"))

@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.js import js_trim
+from ..session import fits_broadcast
 from .filters import in_optional_range
 
+
+def _top(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of a sorted list; ``None`` for all of them."""
+    return df if limit is None else df.limit(limit)
+
+
 INVENTORY_COLS = ("id", "sku", "title", "category", "status", "cost_cents", "quantity", "created_at")
 SALES_COLS = ("id", "date", "inventory_id", "sku", "qty", "sold_price_cents",
               "buyer_shipping_cents", "platform_fees_cents", "promo_fee_cents",
@@ -25,29 +32,28 @@ LOT_ITEM_COLS = ("id", "sku", "title", "category", "status", "quantity", "cost_c
 PHOTO_COLS = ("id", "r2_key", "content_type", "size_bytes", "created_at")
 
 
-def list_inventory(inventory: DataFrame, limit: int = 200) -> DataFrame:
+def list_inventory(inventory: DataFrame, limit: int | None = 200) -> DataFrame:
     """Newest items first."""
-    return (inventory.select(*INVENTORY_COLS)
-            .orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(limit))
+    return _top(inventory.select(*INVENTORY_COLS).orderBy(F.col("created_at").desc(), F.col("id").asc()), limit)
 
 
 def list_sales(sales: DataFrame, frm: str | None = None, to: str | None = None,
-               limit: int = 200) -> DataFrame:
+               limit: int | None = 200) -> DataFrame:
     """T3 after P2."""
     s = in_optional_range(sales, frm, to).select(*SALES_COLS)
-    return s.orderBy(F.col("date").desc(), F.col("created_at").desc(), F.col("id").asc()).limit(limit)
+    return _top(s.orderBy(F.col("date").desc(), F.col("created_at").desc(), F.col("id").asc()), limit)
 
 
 def list_expenses(expenses: DataFrame, frm: str | None = None, to: str | None = None,
-                  limit: int = 200) -> DataFrame:
+                  limit: int | None = 200) -> DataFrame:
     """T4 after P2."""
     e = in_optional_range(expenses, frm, to).select(*EXPENSE_COLS)
-    return e.orderBy(F.col("date").desc(), F.col("created_at").desc(), F.col("id").asc()).limit(limit)
+    return _top(e.orderBy(F.col("date").desc(), F.col("created_at").desc(), F.col("id").asc()), limit)
 
 
-def list_lots(lots: DataFrame, limit: int = 200) -> DataFrame:
+def list_lots(lots: DataFrame, limit: int | None = 200) -> DataFrame:
     """T5."""
-    return lots.select(*LOT_COLS).orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(limit)
+    return _top(lots.select(*LOT_COLS).orderBy(F.col("created_at").desc(), F.col("id").asc()), limit)
 
 
 def sales_in_range(sales: DataFrame, frm: str | None = None, to: str | None = None) -> DataFrame:
@@ -60,17 +66,20 @@ def expenses_in_range(expenses: DataFrame, frm: str | None = None, to: str | Non
 
 
 def lot_items(inventory_lots: DataFrame, inventory: DataFrame, lot_id: str,
-              limit: int = 500) -> DataFrame:
+              limit: int | None = 500) -> DataFrame:
     """J1 + T6: items of one lot, newest first.
 
-    The lot filter is pushed into the bridge scan; the filtered bridge is
-    small, so AQE turns the join into a broadcast at runtime if it fits the
-    threshold and keeps a sort-merge join otherwise.
+    The lot filter is pushed into the bridge scan.  One lot's items are few beside
+    the inventory, so they are broadcast where their counted size is within the
+    session's threshold (the count reads the filtered bridge alone), and the inventory
+    is then not shuffled; a larger lot is a shuffle join.
     """
     il = inventory_lots.where(F.col("lot_id") == F.lit(lot_id)).select("inventory_id")
+    if fits_broadcast(il):
+        il = F.broadcast(il)
     j = il.join(inventory.select(*LOT_ITEM_COLS), il["inventory_id"] == inventory["id"], "inner")
-    return (j.select(*[inventory[c] for c in LOT_ITEM_COLS])
-            .orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(limit))
+    return _top(j.select(*[inventory[c] for c in LOT_ITEM_COLS])
+                .orderBy(F.col("created_at").desc(), F.col("id").asc()), limit)
 
 
 def photos_for_item(photos: DataFrame, inventory_id: str) -> DataFrame:
@@ -96,18 +105,15 @@ def sku_match_ci(requests: DataFrame, inventory: DataFrame, sku_col: str = "requ
     The reference takes the first match in list order (newest first); with a
     unique normalised key that is the only match.  Several items sharing a
     normalised SKU are reduced to the newest (then lowest id) before the
-    request join: a grouped ``max(created_at)``, a join back on the key (one
-    row per key on the grouped side), and a grouped ``min(id)``.  Both
-    aggregates combine map-side, so the request join sees one row per key and
-    a hot request key is left to AQE's skew-join split of the request side.
+    request join: the lowest id for each key and time, then the id at the latest
+    time of each key, from one scan of the inventory.  Both aggregates combine map-side, so
+    the request join sees one row per key and a hot request key is left to AQE's
+    skew-join split of the request side.
     """
     norm = lambda c: F.lower(js_trim(c))
     keyed = inventory.select(norm(F.col("sku")).alias("k"), "id", "created_at")
-    newest = keyed.groupBy("k").agg(F.max("created_at").alias("newest"))
-    # Newest first, then lowest id among the rows at the newest time.
-    ranked = (keyed.join(newest, "k")
-              .where(F.col("created_at") == F.col("newest"))
-              .groupBy("k").agg(F.min("id").alias("inventory_id")))
+    lowest = keyed.groupBy("k", "created_at").agg(F.min("id").alias("id"))
+    ranked = lowest.groupBy("k").agg(F.max_by("id", "created_at").alias("inventory_id"))
     req = requests.withColumn("k", norm(F.col(sku_col)))
     return req.join(ranked, "k", "left").drop("k")
 

@@ -26,7 +26,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> L.Ledger:
 
 def q_report_summary(spark, sf_dir):
     lg = _ledger(spark, sf_dir)
-    return report.report_summary(lg.sales, lg.expenses, P.REPORT_FROM, P.REPORT_TO)
+    return report.report_summary(lg.inventory, lg.sales, lg.expenses, P.REPORT_FROM, P.REPORT_TO)
 
 
 def q_report_summary_text(spark, sf_dir):
@@ -46,7 +46,8 @@ def q_inventory_by_status(spark, sf_dir):
 
 
 def q_inventory_status_map(spark, sf_dir):
-    return report.inventory_status_map(_ledger(spark, sf_dir).inventory)
+    by_status = report.inventory_status_map(_ledger(spark, sf_dir).inventory)
+    return by_status.select(F.explode("inventory_by_status").alias("status", "cnt"))  # a row an entry
 
 
 def q_list_inventory(spark, sf_dir):

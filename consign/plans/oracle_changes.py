@@ -13,6 +13,14 @@ def arrived(s: str) -> str:
             f"lpad(CAST(({s}) % 24 AS VARCHAR), 2, '0') || ':00:00')")
 
 
+def source(s: str) -> str:
+    return f"('dev-' || ({s}) % 4)"
+
+
+def rid(entity: str, s: str) -> str:
+    return f"sha256({source(s)} || '|{entity}|' || {s})"
+
+
 def st(k: str) -> str:
     return (f"CASE ({k}) % 4 WHEN 0 THEN 'staged' WHEN 1 THEN 'draft' WHEN 2 THEN 'active' "
             "ELSE 'sold' END")
@@ -31,7 +39,7 @@ fresh AS (SELECT seq FROM win WHERE sku NOT IN (SELECT sku FROM inventory))"""
 
 SALE_PAY = f"""sp AS (SELECT *, {LSEQ} AS seq FROM lineitem),
 sale_ok AS (
-  SELECT sha256('sale|' || seq) AS id, {day('l_shipdate')} AS date,
+  SELECT {rid('sale', 'seq')} AS id, {day('l_shipdate')} AS date,
          CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'inv-' || l_partkey END AS inventory_id,
          'SKU-' || l_partkey AS sku,
          CASE WHEN seq % 19 = 0 THEN 1 ELSE CAST(l_quantity AS BIGINT) END AS qty,
@@ -43,12 +51,13 @@ sale_ok AS (
          CASE WHEN l_suppkey % 2 = 0 THEN 0
               ELSE {cents('CAST(l_suppkey % 50 AS DOUBLE) / 100.0')} END AS other_costs_cents,
          'ord-' || l_orderkey AS order_ref,
-         CASE WHEN l_linenumber = 1 THEN '' ELSE 'n' || l_linenumber END AS note,
+         CASE seq % 29 WHEN 4 THEN '1e-7' WHEN 5 THEN '1e+21' WHEN 6 THEN '12.5'
+              ELSE CASE WHEN l_linenumber = 1 THEN '' ELSE 'n' || l_linenumber END END AS note,
          {arrived('seq')} AS created_at, seq
-  FROM sp WHERE seq % 11 <> 0 AND seq % 13 <> 0)"""
+  FROM sp WHERE seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 29 <> 1)"""
 
 EXP_PAY = f"""exp_ok AS (
-  SELECT sha256('expense|' || event_id) AS id, {day('ts')} AS date, event_type AS category,
+  SELECT {rid('expense', 'event_id')} AS id, {day('ts')} AS date, event_type AS category,
          {cents('value')} AS amount_cents,
          CASE WHEN event_id % 2 = 0 THEN 'v' || user_id ELSE '' END AS vendor, '' AS note,
          CASE WHEN event_id % 5 = 0 THEN 'SKU-' || user_id END AS sku,
@@ -60,7 +69,8 @@ EXP_PAY = f"""exp_ok AS (
          CAST(CASE WHEN event_type = 'error' OR event_id % 6 IN (2, 3) THEN 0 ELSE 1 END AS BIGINT)
            AS deductible,
          {arrived('event_id')} AS created_at, event_id AS seq
-  FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)"""
+  FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0
+    AND NOT (event_type = 'view' AND event_id % 23 = 0))"""
 
 LOT_PAY = f"""lp0 AS (
   SELECT s_suppkey AS seq, s_name AS title,
@@ -81,18 +91,19 @@ pf AS (
               WHEN ln % 4 = 3 THEN CASE WHEN sk % 10 = 0 THEN 'bogus' ELSE {st('sk + 1')} END END
            AS status_val,
          (seq % 11 <> 0 AND ln % 3 = 1) AS has_qty,
-         CAST(CASE WHEN ok % 10 = 0 THEN 0 ELSE q END AS BIGINT) AS qty_val
+         CAST(CASE WHEN ok % 10 = 0 THEN 0 ELSE q END AS BIGINT) AS qty_val,
+         (seq % 11 <> 0 AND ln % 3 = 1 AND ok % 10 = 5) AS qty_bad
   FROM pr),
 pagg AS (
   SELECT target_id, arg_max(status_val, seq) FILTER (WHERE has_status) AS new_status,
          arg_max(qty_val, seq) FILTER (WHERE has_qty) AS new_qty
-  FROM pf WHERE (has_status OR has_qty) AND NOT (has_status AND status_val = 'bogus')
+  FROM pf WHERE (has_status OR has_qty) AND NOT (has_status AND status_val = 'bogus') AND NOT qty_bad
   GROUP BY target_id),
 pout AS (
   SELECT 'inventory_patch' AS entity,
          CASE WHEN NOT (has_status OR has_qty) THEN 'no_fields'
               WHEN target_id NOT IN (SELECT id FROM inventory) THEN 'not_found'
-              WHEN has_status AND status_val = 'bogus' THEN 'update_failed' ELSE 'ok' END AS outcome
+              WHEN qty_bad OR (has_status AND status_val = 'bogus') THEN 'update_failed' ELSE 'ok' END AS outcome
   FROM pf)"""
 
 LOT_PATCH = f"""lr AS (
@@ -152,6 +163,7 @@ mout AS (
 
 EDITS = f"""ed AS (
   SELECT o_orderkey AS seq, 'inv-' || o_custkey AS target_id, (o_orderkey % 25 = 0) AS is_delete,
+         (o_orderkey % 31 = 7) AS is_empty,
          'T' || o_orderkey AS title_val, (o_orderkey % 3 = 0) AS has_category,
          'Cat' || (o_orderkey % 7) AS category_val,
          CASE WHEN o_orderkey % 50 = 1 THEN 'bogus' WHEN o_orderstatus = 'F' THEN 'sold'
@@ -168,10 +180,11 @@ eagg AS (
          arg_max(category_val, seq) FILTER (WHERE has_category) AS new_category,
          arg_max(status_val, seq) AS new_status, arg_max(cost_val, seq) AS new_cost,
          arg_max(qty_val, seq) AS new_qty, arg_max(listed_val, seq) AS new_listed
-  FROM live WHERE status_val <> 'bogus' GROUP BY target_id),
+  FROM live WHERE status_val <> 'bogus' AND NOT is_empty GROUP BY target_id),
 eout AS (
   SELECT 'item_edit' AS entity,
-         CASE WHEN ed.target_id NOT IN (SELECT id FROM inventory) OR (f.d IS NOT NULL AND ed.seq > f.d)
+         CASE WHEN is_empty THEN 'no_fields'
+              WHEN ed.target_id NOT IN (SELECT id FROM inventory) OR (f.d IS NOT NULL AND ed.seq > f.d)
               THEN 'not_found' WHEN status_val = 'bogus' THEN 'update_failed' ELSE 'ok' END AS outcome
   FROM ed LEFT JOIN first_del f USING (target_id) WHERE NOT is_delete
   UNION ALL
@@ -184,7 +197,7 @@ eout AS (
 def change_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["ingest_inventory"] = with_ledger(f"""
-SELECT sha256('inventory|' || ip.seq) AS id, ip.sku, title, category, 'staged' AS status,
+SELECT {rid('inventory', 'ip.seq')} AS id, ip.sku, title, category, 'staged' AS status,
        cost_cents, quantity, {arrived('ip.seq')} AS created_at, ip.seq
 FROM ip JOIN fresh USING (seq)""", INV_PAY)
     q["ingest_sales"] = with_ledger("SELECT * FROM sale_ok", SALE_PAY)
@@ -202,35 +215,43 @@ SELECT id, date, category, amount_cents, vendor, note, sku, type, miles, rate_ce
        CAST(CASE WHEN type = 'mileage' THEN miles * rate_cents_per_mile END AS BIGINT) AS calc_amount_cents,
        deductible, created_at, seq FROM exp_ok""", EXP_PAY)
     q["ingest_lots"] = with_ledger(f"""
-SELECT sha256('lot|' || seq) AS id, title, note, status, {arrived('seq')} AS created_at, seq
+SELECT {rid('lot', 'seq')} AS id, title, note, status, {arrived('seq')} AS created_at, seq
 FROM lp0 WHERE has_title AND status <> 'x'""", LOT_PAY)
     q["ingest_rejects"] = with_ledger(f"""
-SELECT seq, 'inventory' AS entity, 'sku/title/category required' AS reason FROM ip WHERE NOT valid
-UNION ALL
-SELECT seq, 'inventory', 'insert_failed' FROM ip WHERE valid AND seq NOT IN (SELECT seq FROM fresh)
-UNION ALL
-SELECT {LSEQ}, 'sale', 'date/sku/order_ref required' FROM lineitem
-WHERE {LSEQ} % 11 = 0 OR {LSEQ} % 13 = 0
-UNION ALL
-SELECT event_id, 'expense', 'date/category required' FROM events
-WHERE event_id % 11 = 0 OR event_id % 13 = 0
+SELECT {source('seq')} AS source, * FROM (
+  SELECT seq, 'inventory' AS entity, 'sku/title/category required' AS reason FROM ip WHERE NOT valid
+  UNION ALL
+  SELECT seq, 'inventory', 'insert_failed' FROM ip WHERE valid AND seq NOT IN (SELECT seq FROM fresh)
+  UNION ALL
+  SELECT {LSEQ}, 'sale', 'date/sku/order_ref required' FROM lineitem
+  WHERE {LSEQ} % 11 = 0 OR {LSEQ} % 13 = 0 OR {LSEQ} % 29 = 1
+  UNION ALL
+  SELECT event_id, 'expense', CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'date/category required'
+                                   ELSE 'amount_out_of_range' END FROM events
+  WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR (event_type = 'view' AND event_id % 23 = 0)
+  UNION ALL
+  SELECT seq, 'lot', CASE WHEN NOT has_title THEN 'title required' ELSE 'bad status' END
+  FROM lp0 WHERE NOT has_title OR status = 'x')
 UNION ALL
-SELECT seq, 'lot', CASE WHEN NOT has_title THEN 'title required' ELSE 'bad status' END
-FROM lp0 WHERE NOT has_title OR status = 'x'""", INV_PAY + "," + LOT_PAY)
+SELECT CASE WHEN n_nationkey % 4 <> 0 THEN 'dev-9' END,
+       CASE WHEN n_nationkey % 4 IN (1, 2) THEN CAST(n_nationkey AS BIGINT) END,
+       CASE n_nationkey % 4 WHEN 1 THEN 'refund' WHEN 3 THEN 'sale' END,
+       CASE n_nationkey % 4 WHEN 1 THEN 'unknown_entity' ELSE 'bad_envelope' END
+FROM nation""", INV_PAY + "," + LOT_PAY)
     q["ingest_parse_errors"] = f"""
 SELECT 'inventory' AS entity, CAST(count(*) AS BIGINT) AS n_payloads,
        CAST(sum(CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unparsable,
        CAST(0 AS BIGINT) AS n_not_object FROM part
 UNION ALL
-SELECT 'sale', count(*), sum(CASE WHEN {LSEQ} % 11 = 0 THEN 1 ELSE 0 END), 0 FROM lineitem
+SELECT 'sale', count(*), sum(CASE WHEN {LSEQ} % 11 = 0 OR {LSEQ} % 29 = 1 THEN 1 ELSE 0 END), 0 FROM lineitem
 UNION ALL
 SELECT 'expense', count(*), sum(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END), 0 FROM events
 UNION ALL
 SELECT 'lot', count(*), sum(CASE WHEN s_suppkey % 11 = 0 THEN 1 ELSE 0 END), 0 FROM supplier"""
     q["ingest_numbers"] = f"""
 SELECT seq,
-       CAST(CASE WHEN seq % 11 = 0 OR seq % 19 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS sale_qty,
-       CAST(CASE WHEN seq % 11 = 0 THEN 1 WHEN seq % 19 = 0 THEN 0 ELSE l_quantity END AS BIGINT)
+       CAST(CASE WHEN seq % 11 = 0 OR seq % 29 = 1 OR seq % 19 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS sale_qty,
+       CAST(CASE WHEN seq % 11 = 0 OR seq % 29 = 1 THEN 1 WHEN seq % 19 = 0 THEN 0 ELSE l_quantity END AS BIGINT)
          AS item_quantity
 FROM (SELECT *, {LSEQ} AS seq FROM lineitem)"""
     q["cost_precedence"] = f"""

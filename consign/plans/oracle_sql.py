@@ -117,7 +117,9 @@ ea AS (
 summary AS (
   SELECT gross_cents + buyer_ship_cents AS revenue_cents,
          costs_cents + expenses_cents + mileage_cents AS total_expenses_cents,
-         (gross_cents + buyer_ship_cents) - (costs_cents + expenses_cents + mileage_cents) AS net_cents
+         (gross_cents + buyer_ship_cents) - (costs_cents + expenses_cents + mileage_cents) AS net_cents,
+         (SELECT string_agg(status || '=' || cnt, ',' ORDER BY status)
+          FROM (SELECT status, count(*) AS cnt FROM inventory GROUP BY status)) AS inventory_by_status
   FROM sa CROSS JOIN ea)"""
 
 
@@ -144,13 +146,15 @@ def base_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["report_summary"] = with_ledger("SELECT * FROM summary", _SALES_AGG)
     q["report_summary_text"] = with_ledger(
-        f"SELECT {money('revenue_cents')} AS revenue_text, "
+        f"SELECT 'Inventory by status: ' || inventory_by_status AS status_text, "
+        f"{money('revenue_cents')} AS revenue_text, "
         f"{money('total_expenses_cents')} AS expenses_text, {money('net_cents')} AS net_text "
         "FROM summary", _SALES_AGG)
     q["sales_totals"] = with_ledger("SELECT * FROM sa", _SALES_AGG)
     q["expense_totals"] = with_ledger("SELECT * FROM ea", _SALES_AGG)
     q["inventory_by_status"] = with_ledger(
         "SELECT status, CAST(count(*) AS BIGINT) AS cnt FROM inventory GROUP BY status")
+    q["inventory_status_map"] = q["inventory_by_status"]
     q["list_inventory"] = with_ledger(
         f"SELECT {INV_COLS} FROM inventory ORDER BY created_at DESC, id ASC LIMIT {P.LIST_CAP}")
     q["list_inventory_100"] = with_ledger(

@@ -40,8 +40,14 @@ INVENTORY_LOTS = _s(("inventory_id", S), ("lot_id", S))
 PHOTOS = _s(("id", S), ("inventory_id", S), ("r2_key", S), ("content_type", S),
             ("size_bytes", L), ("created_at", S))
 
-# One change request per JSON line; ``body`` is the raw request text.
-ENVELOPE = _s(("seq", L), ("entity", S), ("target_id", S), ("arrived_at", S), ("body", S))
+# One change request per JSON line; ``body`` is the raw request text.  ``seq`` orders
+# the requests and is unique within a ``source`` (a device, an import).
+ENVELOPE = _s(("source", S), ("seq", L), ("entity", S), ("target_id", S), ("arrived_at", S), ("body", S))
+# As read: a line that is no envelope is kept as text.
+CORRUPT = "_corrupt_record"
+ENVELOPE_READ = StructType([*ENVELOPE.fields, StructField(CORRUPT, S, True)])
+INSERTS = ("inventory", "sale", "expense", "lot")
+ENTITIES = INSERTS + ("inventory_patch", "lot_patch", "link", "unlink", "item_edit", "item_delete")
 
 # Fixed values of the reference's data model.
 INVENTORY_STATUSES = ("staged", "draft", "active", "sold")

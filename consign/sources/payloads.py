@@ -1,14 +1,16 @@
 """Change-request source (S7): JSON-lines envelopes with a raw JSON ``body``.
 
 Production path: ``read_payloads`` / ``read_payload_stream`` over a directory of
-JSON-lines files (``seq, entity, target_id, arrived_at, body``).  The body
-stays text until ``try_parse_json`` turns it into VARIANT, so malformed JSON
-is a NULL value (it acts like ``{}``), never a failed task.
+JSON-lines files (``source, seq, entity, target_id, arrived_at, body``).  A line
+that is no envelope is kept in ``_corrupt_record`` and goes to the quarantine.
+The body stays text until ``try_parse_json`` turns it into VARIANT, so malformed
+JSON is a NULL value (it acts like ``{}``), never a failed task.
 
 The ``*_payloads`` builders derive deterministic request batches from the
 shared test tables (amounts in USD, damaged by ``seq``: ``% 11`` cuts the body
 short, ``% 13`` drops a required field, ``% 17`` sends a quantity as text,
-``% 19`` sends it as null).  They are plain projections (no shuffle), written
+``% 19`` sends it as null; sales also have text after the body, repeated keys,
+byte-order marks and numbers for text, ``% 29``).  They are plain projections (no shuffle), written
 as SQL text so each stage is one JVM call.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.js import sql_lit
-from ..schemas import ENVELOPE
+from ..schemas import ENVELOPE, ENVELOPE_READ
 from ..session import spread
 from .ledger import load_raw
 
@@ -26,11 +28,11 @@ SEQ_SCALE = 1_000_000_000  # lineitem seq = (orderkey*8 + line) * 1e9 + partkey
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Batch read of a change-request folder, spread over the cluster when narrow."""
-    return spread(spark.read.schema(ENVELOPE).json(path))
+    return spread(spark.read.schema(ENVELOPE_READ).json(path))
 
 
 def read_payload_stream(spark: SparkSession, path: str, max_files: int | None = None):
-    r = spark.readStream.schema(ENVELOPE)
+    r = spark.readStream.schema(ENVELOPE_READ)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
     return r.json(path)
@@ -97,13 +99,20 @@ def fenced(df: DataFrame) -> DataFrame:
     return df.selectExpr(f"inline(array(named_struct({cols})))")
 
 
+def noisy(seq: str, body: str) -> str:
+    """``seq % 29``: 1 appends text after the body, 3 puts a byte-order mark before it."""
+    return (f"CASE WHEN {seq} % 29 = 1 THEN concat({body}, ' junk') "
+            f"WHEN {seq} % 29 = 3 THEN concat('\ufeff', {body}) ELSE {body} END")
+
+
 def envelopes(raw: DataFrame, seq: str, entity: str, target: str, body: str,
-              damage: bool = True) -> DataFrame:
+              damage: bool = True, noise: bool = False) -> DataFrame:
     """Two projections (build the body, then damage and wrap it) and a fence."""
     b = raw.selectExpr(f"{seq} AS seq", f"{entity} AS entity", f"CAST({target} AS STRING) AS target_id",
                        f"{body} AS _body")
-    out = b.selectExpr("seq", "entity", "target_id", f"{arrived('seq')} AS arrived_at",
-                       f"{cut('seq', '_body') if damage else '_body'} AS body")
+    b = b.selectExpr("seq", "entity", "target_id", f"{cut('seq', '_body') if damage else '_body'} AS _body")
+    out = b.selectExpr("concat('dev-', CAST(seq % 4 AS STRING)) AS source", "seq", "entity", "target_id",
+                       f"{arrived('seq')} AS arrived_at", f"{noisy('seq', '_body') if noise else '_body'} AS body")
     return fenced(out)
 
 
@@ -139,7 +148,10 @@ def inventory_payloads(part: DataFrame) -> DataFrame:
 
 def sale_payloads(lineitem: DataFrame) -> DataFrame:
     s = LSEQ
-    body = obj(frag("date", jstr("date_format(l_shipdate, 'yyyy-MM-dd')")),
+    note = (f"CASE WHEN {s} % 29 = 4 THEN '1e-7' WHEN {s} % 29 = 5 THEN '1e21' WHEN {s} % 29 = 6 THEN '12.50' "
+            f"WHEN l_linenumber <> 1 THEN {jstr(txt('n', 'l_linenumber'))} END")
+    body = obj(opt(f"{s} % 29 = 2", frag("sku", "'\"DUP\"'")),
+               frag("date", jstr("date_format(l_shipdate, 'yyyy-MM-dd')")),
                frag("sku", jstr(_pad(s, txt("SKU-", "l_partkey")))),
                _qty_frag(s, "qty", "CAST(l_quantity AS BIGINT)"),
                frag("sold_price_usd", jnum("l_extendedprice")),
@@ -150,14 +162,15 @@ def sale_payloads(lineitem: DataFrame) -> DataFrame:
                opt("l_suppkey % 2 <> 0",
                    frag("other_costs_usd", jnum("CAST(l_suppkey % 50 AS DOUBLE) / 100.0D"))),
                opt(f"{s} % 13 <> 0", frag("order_ref", jstr(txt("ord-", "l_orderkey")))),
-               opt("l_linenumber <> 1", frag("note", jstr(txt("n", "l_linenumber")))),
+               frag("note", note),
                opt("l_linenumber % 3 <> 0", frag("inventory_id", jstr(txt("inv-", "l_partkey")))))
-    return envelopes(spread(lineitem), s, "'sale'", "NULL", body)
+    return envelopes(spread(lineitem), s, "'sale'", "NULL", body, noise=True)
 
 
 def expense_payloads(events: DataFrame) -> DataFrame:
     e, u, t = "event_id", "user_id", "event_type"
-    miles = f"CASE WHEN {e} % 19 = 0 THEN 'null' WHEN {e} % 17 = 0 THEN {jstr(u)} ELSE {jnum(u)} END"
+    huge = f"{e} % 23 = 0"  # miles times rate is more than an integer holds
+    miles = f"CASE WHEN {huge} THEN '9000000000000000' WHEN {e} % 19 = 0 THEN 'null' WHEN {e} % 17 = 0 THEN {jstr(u)} ELSE {jnum(u)} END"
     deductible = (f"CASE WHEN {t} = 'error' THEN '0' WHEN {e} % 6 = 1 THEN 'false' "
                   f"WHEN {e} % 6 = 2 THEN '\"0\"' WHEN {e} % 6 = 3 THEN '0.0' END")
     view = f"{t} = 'view'"
@@ -167,7 +180,8 @@ def expense_payloads(events: DataFrame) -> DataFrame:
                f"CASE WHEN {view} THEN {frag('type', jstr(sql_lit('mileage')))} "
                f"WHEN {e} % 7 = 0 THEN {frag('type', jstr(sql_lit('standard')))} END",
                opt(view, frag("miles", miles)),
-               opt(view, frag("rate_usd_per_mile", jnum(f"CAST({e} % 100 AS DOUBLE) / 100.0D"))),
+               opt(view, frag("rate_usd_per_mile",
+                              f"CASE WHEN {huge} THEN '1e12' ELSE {jnum(f'CAST({e} % 100 AS DOUBLE) / 100.0D')} END")),
                frag("deductible", deductible),
                opt(f"{e} % 2 = 0", frag("vendor", jstr(txt("v", u)))),
                opt(f"{e} % 5 = 0", frag("sku", jstr(txt("SKU-", u)))))
@@ -191,6 +205,7 @@ def inventory_patch_payloads(lineitem: DataFrame) -> DataFrame:
               f"WHEN l_linenumber % 4 = 3 THEN (CASE WHEN l_suppkey % 10 = 0 THEN {jstr(sql_lit('bogus'))} "
               f"ELSE {jstr(_status_of('l_suppkey + 1'))} END) END")
     qty = (f"CASE WHEN l_linenumber % 3 = 1 THEN (CASE WHEN l_orderkey % 10 = 0 THEN {jnum('-l_quantity')} "
+           f"WHEN l_orderkey % 10 = 5 THEN '1e300' "
            f"ELSE {jnum('l_quantity + 0.5D')} END) "
            f"WHEN l_linenumber % 3 = 2 THEN {jstr('CAST(l_quantity AS BIGINT)')} END")
     body = obj(frag("status", status), frag("quantity", qty))
@@ -246,14 +261,29 @@ def item_edit_payloads(orders: DataFrame) -> DataFrame:
                frag("quantity", jnum(f"{o} % 9")),
                frag("listed_date", jstr("date_format(o_orderdate, 'yyyy-MM-dd')")))
     is_delete = f"{o} % 25 = 0"
+    body = f"CASE WHEN {o} % 31 = 7 THEN '{{}}' ELSE {body} END"
     return envelopes(spread(orders), o, f"CASE WHEN {is_delete} THEN 'item_delete' ELSE 'item_edit' END",
                      txt("inv-", c), f"CASE WHEN {is_delete} THEN NULL ELSE {body} END", damage=False)
 
 
+def misfit_payloads(nation: DataFrame) -> DataFrame:
+    """Lines that are no envelope, and envelopes of no known entity or without a number."""
+    k = "n_nationkey"
+    out = nation.selectExpr(
+        f"CASE WHEN {k} % 4 <> 0 THEN 'dev-9' END AS source",
+        f"CASE WHEN {k} % 4 IN (1, 2) THEN CAST({k} AS BIGINT) END AS seq",
+        f"CASE {k} % 4 WHEN 1 THEN 'refund' WHEN 3 THEN 'sale' END AS entity",
+        "CAST(NULL AS STRING) AS target_id", f"CASE WHEN {k} % 4 <> 0 THEN {arrived(k)} END AS arrived_at",
+        f"CASE WHEN {k} % 4 <> 0 THEN '{{}}' END AS body",
+        f"CASE WHEN {k} % 4 = 0 THEN concat('no envelope ', CAST({k} AS STRING)) END AS _corrupt_record")
+    return fenced(out)
+
+
 def ingest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All insert requests (inventory, sale, expense, lot) as one envelope table."""
     raw = lambda n: load_raw(spark, sf_dir, n)
     return (inventory_payloads(raw("part"))
             .unionByName(sale_payloads(raw("lineitem")))
             .unionByName(expense_payloads(raw("events")))
-            .unionByName(lot_payloads(raw("supplier"))))
+            .unionByName(lot_payloads(raw("supplier")))
+            .unionByName(misfit_payloads(raw("nation")), allowMissingColumns=True))

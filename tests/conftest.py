@@ -22,10 +22,10 @@ def spark():
     s.stop()
 
 
-def envelopes(spark, rows):
+def envelopes(spark, rows, source="test"):
     """rows: (seq, entity, target_id, body) -> envelope DataFrame (test helper)."""
-    data = [(seq, ent, tgt, "2024-02-01 00:00:00",
+    data = [(source, seq, ent, tgt, "2024-02-01 00:00:00",
              body if isinstance(body, str) or body is None else json.dumps(body))
             for seq, ent, tgt, body in rows]
-    return spark.createDataFrame(data, "seq long, entity string, target_id string, "
+    return spark.createDataFrame(data, "source string, seq long, entity string, target_id string, "
                                        "arrived_at string, body string")

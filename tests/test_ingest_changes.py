@@ -165,7 +165,7 @@ def test_hot_key_spreads_over_buckets(spark):
         op = "link" if rnd.random() < 0.5 else "unlink"
         keyed.append((seq * 7, lot, item, op))
         rows.append((seq * 7, op, lot, {"sku": f"S{item[1:]}"} if op == "link" else {"inventory_id": item}))
-    ops = spark.createDataFrame(keyed, "seq long, lot_id string, inventory_id string, op string")
+    ops = spark.createDataFrame(keyed, "seq long, lot_id string, inventory_id string, op string").withColumn("source", F.lit("test"))
     b = changes._bucketed(ops, ["lot_id", "inventory_id"], 8)
     spans = (b.where((F.col("lot_id") == "L0") & (F.col("inventory_id") == "i0"))
              .groupBy("_bucket").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))

@@ -35,7 +35,7 @@ def duck():
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["revenue_cents", "total_expenses_cents", "net_cents"]
+    assert df.columns == ["inventory_by_status", "revenue_cents", "total_expenses_cents", "net_cents"]
     assert df.count() == 1
 
 
@@ -58,9 +58,9 @@ def test_report_period_additivity(spark):
     from consign.operators import report
     from consign.sources.ledger import ledger_from_testdata
     lg = ledger_from_testdata(spark, SF01)
-    a = report.report_summary(lg.sales, lg.expenses, "1990-01-01", "1997-12-31").first()
-    b = report.report_summary(lg.sales, lg.expenses, "1997-12-31~", "2030-01-01").first()
-    c = report.report_summary(lg.sales, lg.expenses, "1990-01-01", "2030-01-01").first()
+    a = report.report_summary(lg.inventory, lg.sales, lg.expenses, "1990-01-01", "1997-12-31").first()
+    b = report.report_summary(lg.inventory, lg.sales, lg.expenses, "1997-12-31~", "2030-01-01").first()
+    c = report.report_summary(lg.inventory, lg.sales, lg.expenses, "1990-01-01", "2030-01-01").first()
     assert a.revenue_cents + b.revenue_cents == c.revenue_cents
     assert a.net_cents + b.net_cents == c.net_cents
 

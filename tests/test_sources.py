@@ -21,8 +21,8 @@ def test_snapshot_roundtrip_and_month_pruning(spark):
     df = views.list_sales(st.sales, "1996-03-01", "1996-04-30")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "1996-03" in plan
-    a = report.report_summary(st.sales, st.expenses, "1990-01-01", "2030-01-01").first()
-    b = report.report_summary(lg.sales, lg.expenses, "1990-01-01", "2030-01-01").first()
+    a = report.report_summary(st.inventory, st.sales, st.expenses, "1990-01-01", "2030-01-01").first()
+    b = report.report_summary(lg.inventory, lg.sales, lg.expenses, "1990-01-01", "2030-01-01").first()
     assert a == b
 
 
@@ -61,15 +61,16 @@ def test_log_source_scan(spark):
 
 
 def test_report_text_money(spark):
-    s = spark.createDataFrame([(-150, 5, 123456)], "revenue_cents long, total_expenses_cents long, "
-                                                   "net_cents long")
+    s = spark.createDataFrame([("active=2,sold=1", -150, 5, 123456)],
+                              "inventory_by_status string, revenue_cents long, total_expenses_cents long, net_cents long")
     r = report.report_summary_text(s).first()
+    assert r.status_text == "Inventory by status: active=2,sold=1"
     assert (r.revenue_text, r.expenses_text, r.net_text) == ("$-1.50", "$0.05", "$1234.56")
 
 
 def test_empty_period_is_zero(spark):
     lg = L.ledger_from_testdata(spark, SF001)
-    r = report.report_summary(lg.sales, lg.expenses, "1900-01-01", "1900-12-31").first()
+    r = report.report_summary(lg.inventory, lg.sales, lg.expenses, "1900-01-01", "1900-12-31").first()
     assert (r.revenue_cents, r.total_expenses_cents, r.net_cents) == (0, 0, 0)
     assert F is not None
 
@@ -86,7 +87,10 @@ def test_report_nulls_and_range(spark):
                                    "2024-01-01 00:00:00")
     expenses = spark.createDataFrame([exp("e1", "2024-01-15", 300, None), exp("e2", "2024-01-20", 0, 55),
                                       exp("e3", "2023-12-31", 777, 777)], EXPENSES)
-    r = report.report_summary(sales, expenses, "2024-01-01", "2024-01-31").first()
+    inventory = spark.createDataFrame([("active",), ("sold",), ("active",), ("lost",), (None,)], "status string")
+    r = report.report_summary(inventory, sales, expenses, "2024-01-01", "2024-01-31").first()
+    assert r.inventory_by_status == "active=2,other=2,sold=1"
+    assert report.inventory_status_map(inventory).first()[0] == {"active": 2, "other": 2, "sold": 1}
     revenue, costs = 1000 + 500 + 7, 2 * (10 + 20 + 30 + 40)
     assert (r.revenue_cents, r.total_expenses_cents, r.net_cents) == \
         (revenue, costs + 300 + 55, revenue - (costs + 300 + 55))
