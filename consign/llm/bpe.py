@@ -4,8 +4,7 @@ Two tiers.  A minimal perfect hash over the vocabulary resolves a whole
 pre-token that is itself a token: one hash, one displacement, one comparison.
 Other pre-tokens are merged from their bytes: the bytes form a linked list, a
 heap holds the adjacent pairs that are tokens by rank (leftmost first among
-equals), and a merge relinks its neighbours and pushes their new pairs.  Pair
-ranks come from the same perfect hash.
+equals), and a merge relinks its neighbours and pushes their new pairs.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
 repeated rows and ids stay as they are; an empty table gives an empty result.
@@ -16,6 +15,7 @@ input cannot clash.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -26,7 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder, slices
+from .tokens import LONGEST_KEPT, WordEncoder, slices, text_slices
+
+KEPT = 500_000  # pre-tokens whose ids a task remembers
 
 
 def read_ranks(spark: SparkSession, path: str) -> list[bytes]:
@@ -89,56 +91,82 @@ class PerfectHash:
         return r if self.keys[r] == key else -1
 
 
-def merge(piece: bytes, rank) -> list[int]:
-    """The ids of one pre-token: lowest-ranked adjacent pair first, leftmost among equals."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here
-    before = list(range(-1, n - 1))  # start of the part before
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i:i + 2])) >= 0]
+def pair_ranks(table: PerfectHash) -> dict[int, int]:
+    """left id << 20 | right id -> id, for every way to put a token together from two.  Its size is
+    bounded by the vocabulary's bytes."""
+    known = {k: i for i, k in enumerate(table.keys) if k}
+    out = {}
+    for key, r in known.items():
+        for c in range(1, len(key)):
+            a = known.get(key[:c])
+            if a is not None and (b := known.get(key[c:])) is not None:
+                out[a << 20 | b] = r
+    return out
+
+
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """The ids of one pre-token from those of its bytes: lowest rank first, leftmost among equals.
+
+    The parts are a linked list over their first bytes; a heap entry is rank << 32 | place,
+    and is stale if the pair at the place has another rank by now.
+    """
+    n = len(ids)
+    get = pairs.get
+    heap = [r << 32 | i for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
     heapify(heap)
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
     while heap:
-        _, i, stop = heappop(heap)
-        if not alive[i]:
-            continue
-        j = end[i]
-        if j >= n or end[j] != stop:  # one of the two parts has changed since
+        e = heappop(heap)
+        i = e & 0xFFFFFFFF
+        a, j = ids[i], after[i]
+        if a < 0 or j >= n or get(a << 20 | ids[j]) != e >> 32:
             continue
-        alive[j] = False
-        end[i] = stop
-        if stop < n:
-            before[stop] = i
-            if (r := rank(piece[i:end[stop]])) >= 0:
-                heappush(heap, (r, i, end[stop]))
+        ids[i] = a = e >> 32
+        ids[j] = -1
+        after[i] = j = after[j]
+        if j < n:
+            before[j] = i
+            if (r := get(a << 20 | ids[j])) is not None:
+                heappush(heap, r << 32 | i)
         h = before[i]
-        if h >= 0 and (r := rank(piece[h:stop])) >= 0:
-            heappush(heap, (r, h, stop))
-    out, i = [], 0
-    while i < n:
-        out.append(rank(piece[i:end[i]]))
-        i = end[i]
-    return out
+        if h >= 0 and (r := get(ids[h] << 20 | a)) is not None:
+            heappush(heap, r << 32 | h)
+    return [x for x in ids if x >= 0]
 
 
 class Encoder:
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
         self.table = PerfectHash(tokens)
+        self.pairs = pair_ranks(self.table)
+        self.byte = [self.table.rank(bytes([b])) for b in range(256)]
         self.pattern = regex.compile(pattern)
+        self.merged: dict[str, list[int]] = {}  # ids of recent pre-tokens that are no tokens
 
     def text(self, text: str) -> list[int]:
         out: list[int] = []
-        rank = self.table.rank
+        merged, rank = self.merged, self.table.rank
         for piece in self.pattern.findall(text):
+            ids = merged.get(piece)
+            if ids is not None:
+                out += ids
+                continue
             b = piece.encode()
             r = rank(b)
             if r >= 0:
                 out.append(r)
-            else:
-                out += merge(b, rank)
+                continue
+            byte = self.byte
+            ids = merge([byte[x] for x in b], self.pairs)
+            out += ids
+            if len(piece) <= LONGEST_KEPT:
+                if len(merged) >= KEPT:
+                    merged.clear()
+                merged[piece] = ids
         return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.text(t), dtype="<u4").tobytes() for t in texts]
+        return [array("I", self.text(t)).tobytes() for t in texts]
 
 
 _ENCODERS: dict[Encoder, WordEncoder] = {}  # one for each worker process
@@ -151,14 +179,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value not in _ENCODERS:
-            _ENCODERS[shared.value] = WordEncoder(shared.value.texts)
+            _ENCODERS[shared.value] = WordEncoder(shared.value.texts, kept=150_000)
         words = _ENCODERS[shared.value]
-        for b in slices(batches):
-            ids = words(b.column(1).to_pylist())
-            offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-            values = np.frombuffer(b"".join(ids), dtype="<i4")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, values)], [id_col, "ids"])
+        for b in text_slices(batches):
+            ids, n = words(b.column(1))
+            offsets = np.zeros(len(n) + 1, dtype=np.int32)
+            np.cumsum(n, out=offsets[1:])
+            ids = pa.ListArray.from_arrays(offsets, ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
