@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import library_encoder, slices
+from .tokens import by_row, library_encoder, slices, text_slices
 
 # The selectors of Simple-8b.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -41,7 +41,7 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 ESCAPE = (1 << 60) - 1
 MAGIC = b"S8B1"
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,14 +55,24 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(1, dtype=np.uint32), v, escapes
     stop = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    selector = np.full(n, 15, dtype=np.int8)
-    for s in range(14, -1, -1):  # the widest words last, as they win
-        over = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(v >= (np.uint64(1) << np.uint64(BITS[s])), out=over[1:])
-        fits = over[np.minimum(np.arange(n) + COUNTS[s], stop)] == over[:n]
-        selector[fits] = s
+    widest = int(v.max())
+    grid = np.zeros(blocks * BLOCK, dtype=np.uint32 if widest < 1 << 32 else np.uint64)
+    grid[:n] = v
+    grid = grid.reshape(blocks, BLOCK)
+    # The narrowest width that holds all values is where the search begins.
+    least = max(s for s in range(16) if s == 0 or widest >> int(BITS[s - 1]))
+    chosen = np.full((blocks, BLOCK), least, dtype=np.int8)
+    over = np.zeros((blocks, BLOCK + 1), dtype=np.int16)
+    for s in range(least - 1, -1, -1):
+        np.cumsum(grid >= grid.dtype.type(1 << int(BITS[s])), axis=1, out=over[:, 1:])
+        c = int(COUNTS[s])
+        fits = np.empty((blocks, BLOCK), dtype=bool)
+        fits[:, :BLOCK - c + 1] = over[:, c:] == over[:, :BLOCK - c + 1]
+        fits[:, BLOCK - c + 1:] = over[:, BLOCK:] == over[:, BLOCK - c + 1:BLOCK]
         if not fits.any():
             break
+        chosen[fits] = s
+    selector = chosen.reshape(-1)[:n]
     # All blocks advance together, a word each at a time.
     at = np.arange(blocks) * BLOCK
     end = np.minimum(at + BLOCK, n)
@@ -160,9 +170,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                                                               ("first", pa.int64()), ("n_ids", pa.int64()),
                                                               ("payload", pa.binary())]))
 
-        for b in slices(batches):
+        for b in text_slices(batches):
             doc_ids += b.column(0).to_pylist()
-            held += [x + end for x in encoder(b.column(1).to_pylist())]
+            held += [x + end for x in by_row(*encoder(b.column(1)))]
             size = sum(map(len, held)) // 4
             if size >= SEGMENT_IDS:
                 yield out()

@@ -1,13 +1,14 @@
-"""Encoding whole texts to token ids, one space-separated word at a time.
+"""Encoding whole texts to token ids, word by word.
 
 Byte-level BPE never merges across pre-tokens, and a pre-token boundary depends
 on its neighbours only inside runs of white space.  So where every run of white
-space in a text is a single character between two others, the ids of the text
-are the ids of its first word followed by those of " " + each further word
-(words as split at single spaces).  Words repeat: a slice of texts is
-dictionary-encoded, each word is looked up or encoded once, and the ids of the texts
-are gathered from the words'.  The ids of recent words are kept in a dictionary of
-bounded size.  Any other text is encoded in one piece.
+space in a text is a single character between two others, the text can be cut into
+units that are encoded on their own: before each space (" word"), before and after
+each other white space, and before a full stop or comma that follows an ASCII or Latin-1
+letter or a digit and ends its word.  Units repeat: a slice of texts is dictionary-encoded,
+each unit is looked up or encoded once, and the ids of the texts are gathered from the
+units'.  The ids of recent units are kept in a dictionary of bounded size.  Any
+other text is encoded in one piece.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LONGEST_KEPT = 64  # characters of a word whose ids are kept
+LONGEST_KEPT = 64  # characters of a unit whose ids are kept
 SLICE, SLICE_BYTES = 4096, 8 << 20  # rows and bytes of text that are worked on at a time
-KEPT = 600_000  # words; about 130 MB
+KEPT = 600_000  # units; about 130 MB
 
 
 def _plain(text: str) -> bool:
@@ -57,44 +58,68 @@ _ODD = np.zeros(256, dtype=bool)
 _ODD[[ord("|"), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bars, and first bytes of all wider white space
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _units(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of plain texts, without copying them, and how many each text has."""
+    data = col.buffers()
+    at = np.frombuffer(data[1], dtype=np.int32)[col.offset:col.offset + len(col) + 1]
+    c = np.frombuffer(data[2], dtype=np.uint8)[at[0]:at[-1]]
+    row = at - at[0]
+    n = len(c)
+    start = c == 32
+    other = _SPACE[c] & ~start
+    start |= other
+    start[1:] |= other[:-1]
+    last = start.copy()  # whether the next byte is white space or the text's end
+    last[:-1] = start[1:] & _SPACE[c[1:]]
+    last[row[1:] - 1] = True
+    mark = np.flatnonzero(last & ((c == 44) | (c == 46)))
+    mark = mark[~np.isin(mark, row)]
+    letter = _LETTER[c[mark - 1]] | ((c[mark - 2] == 0xC3) & (c[mark - 1] != 0x97) & (c[mark - 1] != 0xB7) & (mark > 1))
+    start[mark[letter]] = True
+    start[row[:-1]] = True
+    begin = np.flatnonzero(start)
+    offsets = np.append(begin, n).astype(np.int32) + at[0]
+    units = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), data[2])
+    return units, np.diff(np.searchsorted(begin, row))
+
+
 class WordEncoder:
     """A column of texts -> (all ids as uint32, how many each text has); null encodes as the empty text."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT,
-                 encode_words: Callable[[list[str]], list[bytes]] | None = None) -> None:
-        self.encode, self.kept = encode, kept
-        self.encode_words = encode_words or (lambda words: encode([" " + w for w in words]))
-        self.words: dict[str, bytes] = {}
+                 encode_units: Callable[[list[str]], list[bytes]] | None = None) -> None:
+        self.encode, self.kept, self.encode_units = encode, kept, encode_units or encode
+        self.known: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        known = self.words
+    def _ids(self, units: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > self.kept:
             known.clear()
-        ids = list(map(known.get, words))
+        ids = list(map(known.get, units))
         new = [i for i, x in enumerate(ids) if x is None]
-        fresh = [words[i] for i in new]
-        for i, w, x in zip(new, fresh, self.encode_words(fresh)):
+        fresh = [units[i] for i in new]
+        for i, u, x in zip(new, fresh, self.encode_units(fresh)):
             ids[i] = x
-            if len(w) <= LONGEST_KEPT:
-                known[w] = x
+            if len(u) <= LONGEST_KEPT:
+                known[u] = x
         return ids
 
-    def _split(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(col, " ")
-        at = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
-        firsts = parts.flatten().take(pa.array(at)).to_pylist()
-        ids = self._words(coded.dictionary.to_pylist())
-        index[at] = np.arange(len(ids), len(ids) + len(firsts))
-        ids += self.encode(firsts)
+    def _plain_ids(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        units, per_text = _units(col)
+        coded = units.dictionary_encode()
+        index = coded.indices.to_numpy()
+        ids = self._ids(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         start = np.cumsum(size) - size
         n = size[index]
         stop = np.cumsum(n)
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         values = flat[np.repeat(start[index] - stop + n, n) + np.arange(stop[-1])]
-        return values, np.add.reduceat(n, at)
+        return values, np.add.reduceat(n, np.cumsum(per_text) - per_text)
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         col = pc.fill_null(col.cast(pa.string()), "")
@@ -104,7 +129,7 @@ class WordEncoder:
         counts = np.zeros(len(col), dtype=np.int64)
         values = np.zeros(0, dtype="<u4")
         if plain.any():
-            values, counts[plain] = self._split(col.filter(pa.array(plain)))
+            values, counts[plain] = self._plain_ids(col.filter(pa.array(plain)))
         rest = np.flatnonzero(~plain)
         if len(rest):
             other = dict(zip(rest.tolist(), self.encode([col[i].as_py() for i in rest.tolist()])))
@@ -136,22 +161,32 @@ def library_encoder(path: str) -> WordEncoder:
         vocab = tk.get_vocab()
         spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
         spaced[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+        line = np.zeros(len(spaced), dtype=bool)
+        line[vocab["\u010a"]] = True
 
-        def encode_words(words: list[str]) -> list[bytes]:
-            # One text of many words: of a word's tokens the first alone begins with a space.
+        def joined(units: list[str], between: str, marks: np.ndarray, skip: int) -> list[bytes]:
+            # One text of many units: of a unit's tokens the first alone is among the marks.
             out: list[bytes] = []
-            for at in range(0, len(words), 1024):
-                part = words[at:at + 1024]
-                found = tk.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0]
+            for at in range(0, len(units), 1024):
+                part = units[at:at + 1024]
+                found = tk.encode_batch_fast([between + between.join(part)], add_special_tokens=False)[0]
                 ids = np.asarray(found.ids, dtype="<u4")
-                starts = np.flatnonzero(spaced[ids])
+                starts = np.flatnonzero(marks[ids])
                 if len(starts) != len(part):
-                    raise ValueError("the tokenizer is not byte-level BPE with the usual split at spaces")
+                    raise ValueError("the tokenizer is not byte-level BPE with the usual split at white space")
                 raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-                out += [raw[a:b] for a, b in zip((4 * starts).tolist(), ends)]
+                out += [raw[a:b] for a, b in zip((4 * (starts + skip)).tolist(), ends)]
             return out
 
-        _LIBRARY[path] = WordEncoder(encode, encode_words=encode_words)
+        def encode_units(units: list[str]) -> list[bytes]:
+            kind = [1 if u[0] == " " else 0 if u.isspace() else 2 for u in units]
+            by = {1: joined([u for u, k in zip(units, kind) if k == 1], "", spaced, 0),
+                  2: joined([u for u, k in zip(units, kind) if k == 2], "\n", line, 1),
+                  0: encode([u for u, k in zip(units, kind) if k == 0])}
+            take = {k: iter(v) for k, v in by.items()}
+            return [next(take[k]) for k in kind]
+
+        _LIBRARY[path] = WordEncoder(encode, encode_units=encode_units)
     return _LIBRARY[path]
 
 
