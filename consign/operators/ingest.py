@@ -8,10 +8,10 @@ accepted or rejected once.
 
 Parsing and coercion are per-row projections (no shuffle).  The only shuffle
 is the unique-SKU rule for inventory (J6): first arrival per SKU wins, and a
-SKU already stored is refused.  It is a ``min_by(row, seq)`` per SKU -- a
-partial aggregate, so a SKU sent a million times costs one row per task in
+SKU already stored is refused.  It is a ``min(seq)`` per SKU -- a partial aggregate, so a SKU sent a million times costs one row per task in
 the shuffle -- followed by an anti-join on SKU with one row per key on both
-sides, so no hot SKU ever lands in one task.
+sides, so no hot SKU ever lands in one task; the requests then look their own
+number up among the winners.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import js
 from ..schemas import CORRUPT, ENTITIES, INSERTS, LOT_STATUSES
+from ..session import scratch_path
 
 # The reference's messages (the last four reasons are this library's own).
 REQUIRED = {
@@ -41,8 +43,19 @@ UNKNOWN_ENTITY = "unknown_entity"
 
 @dataclass
 class Ingested:
-    accepted: DataFrame
-    rejected: DataFrame
+    """``checked`` has every request once, with the columns of the accepted rows and ``reason``
+    (NULL: accepted); the other two are views of it."""
+
+    checked: DataFrame
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.checked.where(F.col("reason").isNull()).drop("_source", "_entity", "reason")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.checked.where(F.col("reason").isNotNull()).select(
+            F.col("_source").alias("source"), "seq", F.col("_entity").alias("entity"), "reason")
 
 
 def _optional(payloads: DataFrame, name: str) -> Column:
@@ -108,11 +121,8 @@ def _split(df: DataFrame, reason: Column, cols: list[Column]) -> Ingested:
     reading of every body field (and copy the VARIANT body) even where no rule
     uses it.
     """
-    r = fence(df.select(*cols, F.col("entity").alias("_entity"), F.col("source").alias("_source"), reason.alias("reason")))
-    accepted = r.where(F.col("reason").isNull()).drop("_entity", "_source", "reason")
-    rejected = r.where(F.col("reason").isNotNull()).select(
-        F.col("_source").alias("source"), "seq", F.col("_entity").alias("entity"), "reason")
-    return Ingested(accepted, rejected)
+    return Ingested(fence(df.select(*cols, F.col("entity").alias("_entity"), F.col("source").alias("_source"),
+                                    reason.alias("reason"))))
 
 
 def _body_reason(v: Column) -> Column:
@@ -151,24 +161,17 @@ def ingest_inventory(payloads: DataFrame, existing: DataFrame) -> Ingested:
         ((F.col("sku") == "") | (F.col("title") == "") | (F.col("category") == ""), REQUIRED["inventory"]),
         (F.col("quantity").isNull() | F.col("cost_cents").isNull(), OUT_OF_RANGE)))
     checked = fence(p.withColumn("reason", reason).drop("v"))
-    valid = checked.where(F.col("reason").isNull())
-    # The earliest valid request per SKU wins unless the SKU is stored.  The
-    # winning row rides through the aggregate (``min_by`` keeps one row per SKU
-    # and task before the shuffle), so accepted rows need one parse and no join
-    # back; only the insert_failed rejects look the winners up by ``seq``.
-    rest = [c for c in valid.columns if c != "sku"]
-    winners = (valid.groupBy("sku").agg(F.min_by(F.struct(*rest), F.struct(*ORDER)).alias("w"))
+    # The earliest valid request per SKU wins unless the SKU is stored.  ``min_by``
+    # keeps one row per SKU and task before the shuffle, so a hot SKU costs one row a task.
+    winners = (checked.where(F.col("reason").isNull()).groupBy("sku").agg(F.min(F.struct(*ORDER)).alias("w"))
                .join(existing.select("sku"), "sku", "left_anti")
-               .select("sku", "w.*"))
-    cols = [_id(), "sku", "title", "category",
-            F.lit("staged").alias("status"), "cost_cents", "quantity",
-            created_at(F.col("arrived_at")).alias("created_at"), "seq"]
-    accepted = winners.select(*cols)
-    w = winners.select(F.col("source").alias("_source"), F.col("seq").alias("_seq"))
-    lost = (valid.join(w, F.col("source").eqNullSafe(F.col("_source")) & (F.col("seq") == F.col("_seq")), "left_anti")
-            .select("source", "seq", "entity", F.lit(INSERT_FAILED).alias("reason")))
-    rejected = checked.where(F.col("reason").isNotNull()).select("source", "seq", "entity", "reason").unionByName(lost)
-    return Ingested(accepted, rejected)
+               .select(F.col("w.seq").alias("_wseq"), F.col("w.source").alias("_wsource"), F.lit(True).alias("_won")))
+    won = (F.col("seq") == F.col("_wseq")) & F.col("source").eqNullSafe(F.col("_wsource"))
+    lost = F.when(F.col("_won").isNull(), F.lit(INSERT_FAILED))
+    cols = [_id(), "sku", "title", "category", F.lit("staged").alias("status"), "cost_cents", "quantity",
+            created_at(F.col("arrived_at")).alias("created_at"), "seq",
+            F.col("entity").alias("_entity"), F.col("source").alias("_source"), F.coalesce("reason", lost).alias("reason")]
+    return Ingested(checked.join(winners, won, "left").select(*cols))
 
 
 SALE_MONEY = ("sold_price", "buyer_shipping", "platform_fees", "promo_fee",
@@ -244,13 +247,25 @@ def ingest_lots(payloads: DataFrame) -> Ingested:
     return _split(df, reason, cols)
 
 
+def route(payloads: DataFrame) -> DataFrame:
+    """The requests written once to the shared folder, by entity, so that each ``ingest_*``
+    reads its own part of a mixed folder and the folder's JSON is read once."""
+    spark, path = payloads.sparkSession, scratch_path(payloads.sparkSession, "routed")
+    known = F.when(_is_envelope(payloads) & F.col("entity").isin(*ENTITIES), F.col("entity")).otherwise(F.lit("misfit"))
+    schema = payloads.schema
+    payloads.withColumn("_route", known).write.partitionBy("_route").parquet(path)
+    return spark.read.schema(StructType([*schema.fields, StructField("_route", StringType())])).parquet(path)
+
+
 def all_rejects(payloads: DataFrame, existing_inventory: DataFrame) -> DataFrame:
-    """P6 quarantine over every insert entity and every line that belongs to none."""
-    return (misfits(payloads)
-            .unionByName(ingest_inventory(payloads, existing_inventory).rejected)
-            .unionByName(ingest_sales(payloads).rejected)
-            .unionByName(ingest_expenses(payloads).rejected)
-            .unionByName(ingest_lots(payloads).rejected))
+    """P6 quarantine over every insert entity and every line that belongs to none; one read of the requests."""
+    routed = route(payloads)
+    part = lambda r: routed.where(F.col("_route") == r).drop("_route")
+    return (misfits(part("misfit"))
+            .unionByName(ingest_inventory(part("inventory"), existing_inventory).rejected)
+            .unionByName(ingest_sales(part("sale")).rejected)
+            .unionByName(ingest_expenses(part("expense")).rejected)
+            .unionByName(ingest_lots(part("lot")).rejected))
 
 
 def parse_errors(payloads: DataFrame) -> DataFrame:

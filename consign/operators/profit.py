@@ -10,11 +10,10 @@ at most one item, followed by ``explode_outer`` over the distinct matches:
 * a sale hitting the same item both ways yields one row,
 * a sale hitting nothing yields one row with NULL item columns.
 
-Two forms compute this (``matched_sales``).  When the inventory's used columns
-fit the broadcast threshold (a distributed size check), both joins run straight on the sales and
-broadcast the inventory: no shuffle of the sales.  Otherwise the distinct
-(inventory_id, sku) pairs of the sales are resolved first and the sales are
-joined once to the result, so the big table is shuffled once, not twice.
+Matches depend only on a sale's (inventory_id, sku) pair, so the distinct pairs
+are resolved first and the sales meet the result in one equi-join: the big table
+is shuffled once instead of twice, and not at all where the resolved pairs are small
+enough for adaptive execution to broadcast them.  Nothing runs while the query is built.
 NULL join keys never match, so they are replaced by a distinct non-matching
 value: otherwise every NULL ``inventory_id`` would hash to the same shuffle
 partition.
@@ -25,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
-
 # A key prefix no real id or sku starts with (a NUL character).
 _NOMATCH = "\u0000"
 
@@ -47,27 +44,12 @@ def _matches() -> Column:
     return F.array_distinct(F.filter(F.array(F.col("_a"), F.col("_b")), lambda x: x.isNotNull()))
 
 
-def _matched_direct(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Both equi-joins straight on the sales: free when the inventory is broadcast."""
-    by_id = inventory.select(F.col("id").alias("_aid"), _item("_a"))
-    by_sku = inventory.select(F.col("sku").alias("_bsku"), _item("_b"))
-    s = sales.withColumn("_ka", _spread_nulls(F.col("inventory_id"), F.col("id"))) \
-             .withColumn("_kb", _spread_nulls(F.col("sku"), F.col("id")))
-    j = (s.join(by_id, F.col("_ka") == F.col("_aid"), "left")
-          .join(by_sku, F.col("_kb") == F.col("_bsku"), "left"))
-    out = j.withColumn("m", F.explode_outer(_matches()))
-    return out.drop("_ka", "_kb", "_aid", "_bsku", "_a", "_b")
-
-
-def _matched_pairs(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Resolve the distinct (inventory_id, sku) pairs, then join the sales once.
-
-    Matches depend only on a sale's pair, and the distinct pairs --
-    deduplicated map-side, their number grows with the catalogue, not with the
-    sales -- go through the two equi-joins.  Sales meet the resolved pairs in
-    one null-safe equi-join, so the big table is shuffled once instead of
-    twice.  A hot pair is a skewed left side of a left outer join, which AQE
-    splits.
+def matched_sales(sales: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Sales exploded to one row per distinct matching item (item NULL if none).
+
+    The distinct pairs are combined map-side; their number grows with the
+    catalogue, not with the sales.  A hot pair is a skewed left side of a left
+    outer join, which AQE splits.
     """
     by_id = inventory.select(F.col("id").alias("_aid"), _item("_a"))
     by_sku = inventory.select(F.col("sku").alias("_bsku"), _item("_b"))
@@ -80,22 +62,6 @@ def _matched_pairs(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     return out.drop("_pid", "_psku", "_m")
 
 
-def matched_sales(sales: DataFrame, inventory: DataFrame, strategy: str | None = None) -> DataFrame:
-    """Sales exploded to one row per distinct matching item (item NULL if none).
-
-    ``strategy``: ``"direct"`` (two joins on the sales) when the inventory's
-    used columns fit the broadcast threshold (``session.fits_broadcast``, one
-    distributed aggregate) -- both joins then broadcast it
-    and the sales are not shuffled at all -- else ``"pairs"``, which shuffles
-    the sales once rather than twice.  AQE still picks each join's physical
-    strategy from measured sizes at run time.
-    """
-    if strategy is None:
-        used = inventory.select("id", "sku", "title", "cost_cents")
-        strategy = "direct" if fits_broadcast(used) else "pairs"
-    return (_matched_direct if strategy == "direct" else _matched_pairs)(sales, inventory)
-
-
 def _money(m: DataFrame) -> dict[str, Column]:
     revenue = F.col("sold_price_cents") + F.coalesce(F.col("buyer_shipping_cents"), F.lit(0))
     # NULL marks a product that no integer holds (and a profit that rests on it): never a silent 0.
@@ -127,14 +93,3 @@ def sales_profit_titled(sales: DataFrame, inventory: DataFrame) -> DataFrame:
                     F.coalesce(F.col("sku"), F.col("m.item_sku")).alias("sku"),
                     F.col("m.item_title").alias("title"), F.col("qty"),
                     *[c.cast("bigint").alias(n) for n, c in money.items()])
-
-
-def sales_profit_or_join(sales: DataFrame, inventory: DataFrame) -> DataFrame:
-    """The literal OR-join, kept only to compare plans and results with J2."""
-    s, i = sales.alias("s"), inventory.alias("i")
-    j = s.join(i, (F.col("s.inventory_id") == F.col("i.id")) | (F.col("s.sku") == F.col("i.sku")),
-               "left")
-    revenue = F.col("s.sold_price_cents") + F.coalesce(F.col("s.buyer_shipping_cents"), F.lit(0))
-    cogs = F.coalesce(F.col("i.cost_cents"), F.lit(0)) * F.col("s.qty")
-    return j.select(F.col("s.id"), F.col("s.sku"), F.col("s.qty"), F.col("s.date").alias("sold_date"),
-                    revenue.alias("revenue_cents"), cogs.alias("cogs_cents"))

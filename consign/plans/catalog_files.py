@@ -9,23 +9,98 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import ingest, report, views
 from ..session import scratch_path
 from ..sources import ledger as L
 from ..sources import objects
 from ..sources import payloads as PL
 from ..streaming.ingest_stream import read_stream_output, start_ingest_stream
+from . import params as P
 
-STREAM_FILES = 4
+
+def _streamed(spark, entity, payloads, existing=None):
+    """The requests written as files, taken in by a stream that also feeds a ledger folder."""
+    src, out = scratch_path(spark, f"{entity}-requests"), scratch_path(spark, f"{entity}-ingest")
+    PL.write_payloads(payloads, src)
+    q = start_ingest_stream(spark, src, out, scratch_path(spark, f"{entity}-ingest-ckpt"), entity, existing=existing,
+                            ledger_root=scratch_path(spark, f"{entity}-ledger"))
+    q.awaitTermination()
+    return read_stream_output(spark, out, "accepted", entity)
 
 
 def q_stream_ingest_sales(spark, sf_dir):
-    src = scratch_path(spark, "sale-requests")
-    PL.write_payloads(PL.sale_payloads(L.load_raw(spark, sf_dir, "lineitem")), src, files=STREAM_FILES)
-    out = scratch_path(spark, "sale-ingest")
-    q = start_ingest_stream(spark, src, out, scratch_path(spark, "sale-ingest-ckpt"), "sale",
-                            max_files_per_trigger=2)
-    q.awaitTermination()
-    return read_stream_output(spark, out, "accepted")
+    return _streamed(spark, "sale", PL.sale_payloads(L.load_raw(spark, sf_dir, "lineitem")))
+
+
+def q_stream_ingest_expenses(spark, sf_dir):
+    return _streamed(spark, "expense", PL.expense_payloads(L.load_raw(spark, sf_dir, "events")))
+
+
+def q_stream_ingest_lots(spark, sf_dir):
+    return _streamed(spark, "lot", PL.lot_payloads(L.load_raw(spark, sf_dir, "supplier")))
+
+
+def q_stream_ingest_inventory(spark, sf_dir):
+    part = L.load_raw(spark, sf_dir, "part")
+    return _streamed(spark, "inventory", PL.inventory_payloads(part), L.inventory_from(part))
+
+
+# ------------------------------------------------------------ the stored layout
+
+def _stored(spark, sf_dir) -> L.Ledger:
+    """The derived ledger, written as a snapshot and read back through its pointer."""
+    root = scratch_path(spark, "ledger")
+    L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    return L.read_snapshot(spark, root)
+
+
+def q_stored_list_sales(spark, sf_dir):
+    return views.list_sales(_stored(spark, sf_dir).sales, P.SALES_FROM, P.SALES_TO, P.LIST_CAP)
+
+
+def q_stored_list_expenses(spark, sf_dir):
+    return views.list_expenses(_stored(spark, sf_dir).expenses, P.EXPENSES_FROM, P.EXPENSES_TO, P.LIST_CAP)
+
+
+def q_stored_lot_items(spark, sf_dir):
+    lg = _stored(spark, sf_dir)
+    return views.lot_items(lg.inventory_lots, lg.inventory, P.LOT_ID, P.LOT_ITEMS_CAP)
+
+
+def q_stored_photos_for_item(spark, sf_dir):
+    return views.photos_for_item(_stored(spark, sf_dir).photos, P.PHOTO_ITEM)
+
+
+def q_stored_list_lots(spark, sf_dir):
+    return views.list_lots(_stored(spark, sf_dir).lots, P.LIST_CAP)
+
+
+def q_stored_report_summary(spark, sf_dir):
+    lg = _stored(spark, sf_dir)
+    return report.report_summary(lg.inventory, lg.sales, lg.expenses, P.REPORT_FROM, P.REPORT_TO)
+
+
+def q_stored_sales_profit(spark, sf_dir):
+    _stored(spark, sf_dir).register("stored_")
+    return spark.sql("SELECT * FROM stored_SalesReport")
+
+
+def q_stored_sales_profit_titled(spark, sf_dir):
+    _stored(spark, sf_dir).register("stored_")
+    return spark.sql("SELECT * FROM stored_sales_profit_v")
+
+
+def q_stored_append_sales(spark, sf_dir):
+    """Two sources' requests appended to a snapshot, the first of them twice, and read back."""
+    root = scratch_path(spark, "append-ledger")
+    at = L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    staged = scratch_path(spark, "accepted-sales")  # an append reads its rows several times
+    ingest.ingest_sales(PL.sale_payloads(L.load_raw(spark, sf_dir, "lineitem"))).accepted.write.parquet(staged)
+    accepted = spark.read.parquet(staged)
+    for batch in (accepted.where("seq % 2 = 0"), accepted.where("seq % 2 = 1"), accepted.where("seq % 2 = 0")):
+        L.append_new_rows(batch, at, "sales")
+    return L.read_snapshot(spark, root).sales.select(*views.SALES_COLS)
 
 
 def log_lines_from(events):
@@ -45,18 +120,63 @@ def q_log_error_lines(spark, sf_dir):
     return objects.error_lines(objects.read_log_lines(spark, root))
 
 
+def _manifest(spark, sf_dir):
+    """An inventory report of the photo store: uploads, and every tenth object no upload."""
+    root, p = scratch_path(spark, "photo-manifest"), F.col("page_id")
+    key = F.when(p % 10 == 3, F.concat(F.lit("s3://photos/tmp/ph-"), p.cast("string"), F.lit(".html"))).otherwise(
+        F.concat(F.lit("s3://photos/inventory/inv-"), (p % 50).cast("string"), F.lit("/ph-"), p.cast("string"),
+                 F.lit("_page_"), p.cast("string"), F.lit(".HTML")))
+    L.load_raw(spark, sf_dir, "pages").select(
+        key.alias("path"), F.octet_length("html").cast("bigint").alias("length"),
+        F.to_timestamp(L.made(p, "12")).alias("modificationTime")).write.parquet(root)
+    return objects.read_manifest(spark, root)
+
+
 def q_photo_catalogue(spark, sf_dir):
-    root = scratch_path(spark, "photo-objects")
-    p = F.col("page_id")
-    pages = L.load_raw(spark, sf_dir, "pages").select(
-        F.concat(F.lit("inv-"), (p % 50).cast("string")).alias("item"),
-        F.concat(F.lit("ph-"), p.cast("string")).alias("pid"), "html")
-    objects.write_objects(pages, root, "item", "pid", "html")
-    return objects.photo_catalogue(objects.list_objects(spark, root))
+    return objects.photo_catalogue(_manifest(spark, sf_dir)).photos
+
+
+def q_photo_misfits(spark, sf_dir):
+    return objects.photo_catalogue(_manifest(spark, sf_dir)).misfits
+
+
+def q_photo_append(spark, sf_dir):
+    """Photo rows appended to a stored table; a second append adds nothing."""
+    root = scratch_path(spark, "photo-ledger")
+    photos = objects.photo_catalogue(_manifest(spark, sf_dir)).photos
+    for _ in range(2):
+        L.append_new_rows(photos, root, "photos")
+    return L.read_table(spark, root, "photos")
+
+
+def q_photo_upload_names(spark, sf_dir):
+    """X14-X16 over upload names made of part names."""
+    raw = F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")."),
+                   F.when(F.col("p_partkey") % 3 == 0, "JPG").when(F.col("p_partkey") % 3 == 1, "png").otherwise("tar.Gz"))
+    name = F.when(F.col("p_partkey") % 7 == 0, F.lit("")).otherwise(raw)
+    part = L.load_raw(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
+    k = F.col("p_partkey").cast("string")
+    return part.select("p_partkey", text.file_extension(F.col("name")).alias("ext"), text.safe_file_name(F.col("name")).alias("safe"),
+                       text.photo_key(F.concat(F.lit("inv-"), k), F.concat(F.lit("ph-"), k), F.col("name")).alias("r2_key"))
 
 
 FILES = {
     "stream_ingest_sales": q_stream_ingest_sales,
+    "stream_ingest_expenses": q_stream_ingest_expenses,
+    "stream_ingest_lots": q_stream_ingest_lots,
+    "stream_ingest_inventory": q_stream_ingest_inventory,
+    "stored_list_sales": q_stored_list_sales,
+    "stored_list_expenses": q_stored_list_expenses,
+    "stored_list_lots": q_stored_list_lots,
+    "stored_lot_items": q_stored_lot_items,
+    "stored_photos_for_item": q_stored_photos_for_item,
+    "stored_report_summary": q_stored_report_summary,
+    "stored_sales_profit": q_stored_sales_profit,
+    "stored_sales_profit_titled": q_stored_sales_profit_titled,
+    "stored_append_sales": q_stored_append_sales,
     "log_error_lines": q_log_error_lines,
     "photo_catalogue": q_photo_catalogue,
+    "photo_misfits": q_photo_misfits,
+    "photo_append": q_photo_append,
+    "photo_upload_names": q_photo_upload_names,
 }

@@ -3,7 +3,7 @@ payloads (the oracle never parses JSON)."""
 
 from __future__ import annotations
 
-from .oracle_sql import cents, day, with_ledger
+from .oracle_sql import SALES_COLS, cents, day, with_ledger
 
 LSEQ = "((l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey)"
 
@@ -201,7 +201,7 @@ SELECT {rid('inventory', 'ip.seq')} AS id, ip.sku, title, category, 'staged' AS
        cost_cents, quantity, {arrived('ip.seq')} AS created_at, ip.seq
 FROM ip JOIN fresh USING (seq)""", INV_PAY)
     q["ingest_sales"] = with_ledger("SELECT * FROM sale_ok", SALE_PAY)
-    q["stream_ingest_sales"] = q["ingest_sales"]
+    q["stored_append_sales"] = with_ledger(f"SELECT {SALES_COLS} FROM sales UNION ALL SELECT {SALES_COLS} FROM sale_ok", SALE_PAY)
     q["log_error_lines"] = """
 SELECT line FROM (
   SELECT concat_ws(' ', strftime(ts, '%Y-%m-%d %H:%M:%S'), event_type,
@@ -248,6 +248,8 @@ UNION ALL
 SELECT 'expense', count(*), sum(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END), 0 FROM events
 UNION ALL
 SELECT 'lot', count(*), sum(CASE WHEN s_suppkey % 11 = 0 THEN 1 ELSE 0 END), 0 FROM supplier"""
+    for entity in ("sales", "expenses", "lots", "inventory"):
+        q[f"stream_ingest_{entity}"] = q[f"ingest_{entity}"]
     q["ingest_numbers"] = f"""
 SELECT seq,
        CAST(CASE WHEN seq % 11 = 0 OR seq % 29 = 1 OR seq % 19 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS sale_qty,

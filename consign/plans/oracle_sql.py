@@ -224,6 +224,27 @@ FROM (SELECT id, ' ' || lower(sku) || chr(9) AS raw_sku,
     q["photo_key_parts"] = with_ledger(
         "SELECT id, string_split(r2_key, '/')[2] AS key_item, string_split(r2_key, '/')[3] AS key_file "
         "FROM photos")
+    manifest = f"""WITH m AS (
+  SELECT page_id, page_id % 10 = 3 AS misfit, CAST(strlen(html) AS BIGINT) AS size_bytes,
+         {made('page_id', '12')} AS created_at,
+         'inventory/inv-' || (page_id % 50) || '/ph-' || page_id || '_page_' || page_id || '.HTML' AS r2_key
+  FROM pages)"""
+    q["photo_catalogue"] = f"""{manifest}
+SELECT 'ph-' || page_id AS id, 'inv-' || (page_id % 50) AS inventory_id, r2_key, 'text/html' AS content_type,
+       size_bytes, created_at FROM m WHERE NOT misfit"""
+    q["photo_append"] = q["photo_catalogue"]
+    q["photo_misfits"] = f"""{manifest}
+SELECT 's3://photos/tmp/ph-' || page_id || '.html' AS path, 'bad_key' AS reason FROM m WHERE misfit"""
+    q["photo_upload_names"] = """
+SELECT p_partkey, lower(list_last(string_split(name, '.'))) AS ext, safe,
+       'inventory/inv-' || p_partkey || '/ph-' || p_partkey || '_' || safe AS r2_key
+FROM (SELECT p_partkey, name, regexp_replace(CASE WHEN name = '' THEN 'upload' ELSE name END,
+                                             '[^a-zA-Z0-9._-]', '_', 'g') AS safe
+      FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name || ' (' || p_size || ').' ||
+                   CASE p_partkey % 3 WHEN 0 THEN 'JPG' WHEN 1 THEN 'png' ELSE 'tar.Gz' END END AS name FROM part))"""
+    for key in ("list_sales", "list_expenses", "list_lots", "lot_items", "photos_for_item", "report_summary",
+                "sales_profit", "sales_profit_titled"):
+        q[f"stored_{key}"] = q[key]
     q["normalize_text_eol"] = """
 WITH m AS (
   SELECT doc_id,

@@ -4,17 +4,21 @@ deterministic derivation of the six tables from the shared test tables.
 Stored layout (the production path): one Parquet directory per table under a
 snapshot root.  Sales and Expenses are partitioned by ``month = left(date, 7)``
 and sorted by date inside files, so a date range prunes directories and row
-groups.  ``month`` is declared a string so partition values are never inferred
+groups.  The other tables are range-partitioned and sorted by the key they are looked
+up by (``CLUSTER``), so a lookup skips row groups.  A ledger folder holds
+snapshots and a pointer table; readers follow the pointer, which is written last.  ``month`` is declared a string so partition values are never inferred
 as dates.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import schemas
 from ..functions.js import round_half_up_cents
@@ -25,6 +29,9 @@ SCHEMAS = {
     "lots": schemas.LOTS, "inventory_lots": schemas.INVENTORY_LOTS, "photos": schemas.PHOTOS,
 }
 PARTITIONED = ("sales", "expenses")
+CLUSTER = {"inventory": ["id"], "lots": ["id"], "inventory_lots": ["lot_id", "inventory_id"],
+           "photos": ["inventory_id", "id"], "sales": ["month", "date", "id"], "expenses": ["month", "date", "id"]}
+POINTER = StructType([StructField("n", LongType()), StructField("snapshot", StringType())])
 
 
 @dataclass
@@ -37,9 +44,12 @@ class Ledger:
     photos: DataFrame
 
     def register(self, prefix: str = "") -> "Ledger":
-        """Expose every table as a temp view for ad-hoc SQL."""
+        """Expose every table, and both profit views, as temp views for ad-hoc SQL."""
+        from ..operators.profit import sales_profit, sales_profit_titled
         for t in TABLES:
             getattr(self, t).createOrReplaceTempView(prefix + t)
+        sales_profit(self.sales, self.inventory).createOrReplaceTempView(prefix + "SalesReport")
+        sales_profit_titled(self.sales, self.inventory).createOrReplaceTempView(prefix + "sales_profit_v")
         return self
 
 
@@ -49,21 +59,56 @@ def month_of(date: Column) -> Column:
     return F.substring(date, 1, 7)
 
 
+def _laid_out(df: DataFrame, name: str) -> DataFrame:
+    """A table's columns in its stored layout.
+
+    Range partitioning on (month, date, id) splits a big month over many tasks (hash
+    partitioning on month would give each month one task), and each task writes few
+    months; the bounds come from a bounded sample.
+    """
+    df = df.select(*[f.name for f in SCHEMAS[name].fields])
+    if name in PARTITIONED:
+        df = df.withColumn("month", month_of(F.col("date")))
+    return df.repartitionByRange(*CLUSTER[name]).sortWithinPartitions(*CLUSTER[name])
+
+
+def _write(df: DataFrame, path: str, name: str, mode: str) -> None:
+    w = _laid_out(df, name).write.mode(mode)
+    (w.partitionBy("month") if name in PARTITIONED else w).parquet(path)
+
+
+def stored(read) -> DataFrame | None:
+    """What ``read()`` opens, or None if nothing is stored there yet; any other error is raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The snapshot folder that the pointer names, or the folder itself where there is no pointer."""
+    p = stored(lambda: spark.read.schema(POINTER).parquet(f"{root}/pointer"))
+    last = p.agg(F.max(F.struct("n", "snapshot")).alias("last")).first()["last"] if p is not None else None
+    return f"{root}/{last['snapshot']}" if last else root
+
+
 def write_snapshot(ledger: Ledger, root: str) -> str:
-    """Write every table as a new snapshot; never overwrite a path being read."""
+    """Write every table as a new snapshot and switch to it; returns the snapshot's folder.
+
+    The tables go to a fresh folder, then one row is added to the pointer table.  A
+    job that fails halfway leaves the pointer, and so every reader, where it was; a
+    snapshot that is being read is never overwritten.
+    """
+    spark = ledger.sales.sparkSession
+    name = f"snapshot-{uuid.uuid4().hex}"
     for t in TABLES:
-        df = getattr(ledger, t).select(*[f.name for f in SCHEMAS[t].fields])
-        w = df
-        if t in PARTITIONED:
-            # Range partitioning on (month, date, id) splits a big month over many
-            # tasks (hash partitioning on month would give each month one task);
-            # the bounds come from a bounded sample.
-            w = (df.withColumn("month", month_of(F.col("date")))
-                 .repartitionByRange("month", "date", "id").sortWithinPartitions("date"))
-            w.write.mode("overwrite").partitionBy("month").parquet(f"{root}/{t}")
-        else:
-            w.write.mode("overwrite").parquet(f"{root}/{t}")
-    return root
+        _write(getattr(ledger, t), f"{root}/{name}/{t}", t, "errorifexists")
+    p = stored(lambda: spark.read.schema(POINTER).parquet(f"{root}/pointer"))
+    n = 1 + ((p.agg(F.max("n")).first()[0] or 0) if p is not None else 0)
+    spark.createDataFrame([(n, name)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    return f"{root}/{name}"
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -76,7 +121,9 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, root: str) -> Ledger:
-    return Ledger(*[read_table(spark, root, t) for t in TABLES])
+    """The ledger at the current snapshot."""
+    at = current(spark, root)
+    return Ledger(*[read_table(spark, at, t) for t in TABLES])
 
 
 KEYS = {"inventory_lots": ["inventory_id", "lot_id"]}  # every other table: ["id"]
@@ -84,20 +131,14 @@ KEYS = {"inventory_lots": ["inventory_id", "lot_id"]}  # every other table: ["id
 
 def append_rows(df: DataFrame, root: str, name: str) -> None:
     """Append accepted rows to a stored table (as given; see ``append_new_rows``)."""
-    cols = [f.name for f in SCHEMAS[name].fields]
-    out = df.select(*cols)
-    if name in PARTITIONED:
-        out.withColumn("month", month_of(F.col("date"))).write.mode("append") \
-            .partitionBy("month").parquet(f"{root}/{name}")
-    else:
-        out.write.mode("append").parquet(f"{root}/{name}")
+    _write(df, f"{root}/{name}", name, "append")
 
 
 def append_new_rows(df: DataFrame, root: str, name: str) -> None:
     """S8, safe to re-run: append only rows whose key is not stored yet.
 
-    Ingested ids are ``sha2(entity | seq)``, so a job run again after it already
-    committed (driver restart, orchestrator retry) finds its rows stored and
+    Ingested ids are ``sha2(source | entity | seq)``, so a job run again after it
+    already committed (driver restart, orchestrator retry) finds its rows stored and
     appends nothing.  The key lookup reads only the key columns.  For Sales and
     Expenses it reads only the months the new rows span: the month bounds are
     a scalar subquery in the scan's partition filter, evaluated at run time
@@ -106,23 +147,15 @@ def append_new_rows(df: DataFrame, root: str, name: str) -> None:
     spark = df.sparkSession
     keys = KEYS.get(name, ["id"])
     new = df.select(*[f.name for f in SCHEMAS[name].fields])
-    if name in PARTITIONED:
-        new = new.withColumn("month", month_of(F.col("date")))
-        keys = ["month"] + keys
-    try:
-        stored = read_table(spark, root, name)
+    held = stored(lambda: read_table(spark, root, name))
+    if held is not None:
         if name in PARTITIONED:
+            new = new.withColumn("month", month_of(F.col("date")))
+            keys = ["month"] + keys
             b = new.agg(F.struct(F.min("month").alias("lo"), F.max("month").alias("hi"))).scalar()
-            stored = stored.where(F.col("month").between(b.getField("lo"), b.getField("hi")))
-        stored = stored.select(*keys)
-    except Exception:  # noqa: BLE001  (first write of the table)
-        stored = None
-    if stored is not None:
-        new = new.join(stored, keys, "left_anti")
-    if name in PARTITIONED:
-        new.write.mode("append").partitionBy("month").parquet(f"{root}/{name}")
-    else:
-        new.write.mode("append").parquet(f"{root}/{name}")
+            held = held.where(F.col("month").between(b.getField("lo"), b.getField("hi")))
+        new = new.join(held.select(*keys), keys, "left_anti")
+    _write(new, f"{root}/{name}", name, "append")
 
 
 # ------------------------------------------------------ derivation from test data

@@ -1,51 +1,62 @@
-"""File-backed sources: stored photo objects (S9, D10) and log text.
+"""Photo objects (S9, D10) and log text.
 
-``binaryFile`` lists objects with path, length and modification time; the
-``content`` column is dropped before any action, and the source then never
-reads file bytes (it prunes the column).  Listing is distributed by Spark's
-file index, so a bucket of millions of objects is not walked on one task.
+Photo rows come from object metadata: path, length and modification time.  Two sources
+give it: a listing of a folder (``binaryFile``; its ``content`` column is dropped,
+and the source then never reads file bytes), whose file index is held by the driver,
+and a manifest table (an inventory report of the store), which is a plain scan and the
+one to use for millions of objects.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from ..functions import text
 from ..operators.ingest import created_at
 
 
+MANIFEST = StructType([StructField("path", StringType()), StructField("length", LongType()),
+                       StructField("modificationTime", TimestampType())])
+BAD_KEY = "bad_key"
+
+
 def list_objects(spark: SparkSession, root: str) -> DataFrame:
+    """The objects below a folder."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
             .load(root).drop("content"))
 
 
-def photo_catalogue(objects: DataFrame, id_pattern: str = "ph=([^/]+)",
-                    item_pattern: str = "inv=([^/]+)") -> DataFrame:
-    """S9 + D10: derive photo rows from stored objects.
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The objects that a stored manifest (Parquet) names."""
+    return spark.read.schema(MANIFEST).parquet(path)
 
-    Item id and photo id come from the object path (``inv=<item>/ph=<photo>``
-    folders), the file name from its last segment; the key is built as the
-    upload path builds it (X16), the content type from the extension (X14).
-    """
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    inv = F.regexp_extract(F.col("path"), item_pattern, 1)
-    pid = F.regexp_extract(F.col("path"), id_pattern, 1)
-    ext = text.file_extension(name)
-    return objects.select(
-        pid.alias("id"), inv.alias("inventory_id"),
-        text.photo_key(inv, pid, name).alias("r2_key"),
-        text.content_type_for(ext).alias("content_type"),
-        F.col("length").cast("bigint").alias("size_bytes"),
-        created_at(F.date_format(F.col("modificationTime"), "yyyy-MM-dd HH:mm:ss")).alias("created_at"),
-        ext.alias("ext"))
 
+@dataclass
+class Catalogued:
+    photos: DataFrame   # rows in the Photos table's shape
+    misfits: DataFrame  # (path, reason) of objects whose key is not an upload's
 
-def write_objects(df: DataFrame, root: str, item_col: str, id_col: str, body_col: str) -> str:
-    """Store one object per row under ``inv=<item>/ph=<id>/`` (test fixtures)."""
-    (df.select(F.col(item_col).alias("inv"), F.col(id_col).alias("ph"), F.col(body_col).alias("value"))
-     .repartition("inv", "ph").write.partitionBy("inv", "ph").text(root))
-    return root
+
+def photo_catalogue(objects: DataFrame) -> Catalogued:
+    """S9 + D10: photo rows from stored objects, by the key that an upload gives them.
+
+    ``inventory/<item>/<id>_<name>``: item, id and name are read from the path's last
+    three segments, the content type from the name's extension (X14).
+    """
+    key = F.regexp_extract("path", "(?:^|/)(inventory/[^/]+/[^/_]+_[^/]+)$", 1)
+    rows = objects.select("path", "length", "modificationTime", key.alias("key"))
+    item, file = text.key_parts(F.col("key"))
+    name = F.regexp_replace(file, "^[^_]*_", "")
+    photos = rows.where(F.col("key") != "").select(
+        F.regexp_extract(file, "^([^_]*)_", 1).alias("id"), item.alias("inventory_id"), F.col("key").alias("r2_key"),
+        text.content_type_for(text.file_extension(name)).alias("content_type"),
+        F.col("length").cast("bigint").alias("size_bytes"),
+        created_at(F.date_format(F.col("modificationTime"), "yyyy-MM-dd HH:mm:ss")).alias("created_at"))
+    return Catalogued(photos, rows.where(F.col("key") == "").select("path", F.lit(BAD_KEY).alias("reason")))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Continuous ingestion of JSON-lines change files with Structured Streaming.
 
 The same transform functions as the batch path (``operators.ingest``) run on
-every micro-batch inside ``foreachBatch``.  The sink is safe under replay: a
-micro-batch writes to ``<out>/accepted/batch_id=<id>`` and
-``<out>/rejected/batch_id=<id>`` with mode overwrite, so re-running a batch
-after a failure replaces its own output and nothing else.  Progress lives in
-the checkpoint folder, which must be on shared storage.
+every micro-batch inside ``foreachBatch``.  A micro-batch is one write: accepted
+and rejected requests together to ``<out>/batch_id=<id>/state=...`` with mode
+overwrite, so a batch that is replayed after a failure replaces its own output and nothing
+else.  With a ledger folder, the accepted rows of the batch are then appended to the
+stored table by key, which a replay may repeat.  Progress lives in the
+checkpoint folder, which must be on shared storage.
 """
 
 from __future__ import annotations
@@ -13,9 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
 from ..operators import ingest
+from ..schemas import ENVELOPE_READ
+from ..sources.ledger import SCHEMAS, append_new_rows, stored
 from ..sources.payloads import read_payload_stream
 
+TABLE_OF = {"sale": "sales", "expense": "expenses", "lot": "lots", "inventory": "inventory"}
+
 TRANSFORMS = {
     "sale": lambda df, _existing: ingest.ingest_sales(df),
     "expense": lambda df, _existing: ingest.ingest_expenses(df),
@@ -24,39 +31,54 @@ TRANSFORMS = {
 }
 
 
-def _earlier_skus(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame | None:
-    """SKUs accepted by micro-batches before ``batch_id``.
+STATES = ("accepted", "rejected")
 
-    Only earlier batches count: when a batch is replayed after a failure its
-    own first attempt may already be on disk, and reading it would reject the
-    batch's items as duplicates of themselves.  ``batch_id`` is a partition
-    column, so the filter prunes folders.
-    """
-    try:
-        acc = spark.read.parquet(f"{out_dir}/accepted")
-    except Exception:  # noqa: BLE001  (no batch written yet)
-        return None
-    return acc.where(F.col("batch_id") < F.lit(batch_id)).select("sku")
+
+def _table_type(spark: SparkSession, entity: str) -> StructType:
+    """The columns of a micro-batch's output, from the transform over no requests."""
+    empty = spark.createDataFrame([], ENVELOPE_READ)
+    return TRANSFORMS[entity](empty, spark.createDataFrame([], "sku string")).checked.schema
+
+
+def read_output(spark: SparkSession, out_dir: str, entity: str) -> DataFrame:
+    """Every request of every batch: the accepted rows' columns, reason, batch_id, state."""
+    schema = StructType([*_table_type(spark, entity).fields, StructField("batch_id", LongType()),
+                         StructField("state", StringType())])
+    if stored(lambda: spark.read.schema(schema).parquet(out_dir)) is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out_dir)
 
 
 def write_batch(spark: SparkSession, entity: str, existing: DataFrame | None, out_dir: str,
-                batch: DataFrame, batch_id: int) -> None:
-    """One micro-batch: transform, then overwrite this batch's own output folders."""
-    ex = None
+                batch: DataFrame, batch_id: int, ledger_root: str | None = None) -> None:
+    """One micro-batch: transform, overwrite this batch's own output, append to the ledger.
+
+    Inventory SKUs count as stored if an earlier batch accepted them.  Only earlier
+    batches count: a replayed batch's own first attempt may already be on disk, and
+    would reject the batch's items as duplicates of themselves.
+    """
+    known = None
     if entity == "inventory":
-        parts = [d for d in (existing.select("sku") if existing is not None else None,
-                             _earlier_skus(spark, out_dir, batch_id)) if d is not None]
-        ex = parts[0] if parts else spark.createDataFrame([], "sku string")
-        for d in parts[1:]:
-            ex = ex.unionByName(d)
-    r = TRANSFORMS[entity](batch, ex)
-    r.accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/batch_id={batch_id}")
-    r.rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/batch_id={batch_id}")
+        earlier = read_output(spark, out_dir, entity).where(
+            (F.col("batch_id") < F.lit(batch_id)) & (F.col("state") == "accepted"))
+        known = earlier.select("sku")
+        if existing is not None:
+            known = known.unionByName(existing.select("sku"))
+    checked = TRANSFORMS[entity](batch, known).checked
+    path = f"{out_dir}/batch_id={batch_id}"
+    state = F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    checked.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(path)
+    if ledger_root is not None:
+        rows = read_output(spark, out_dir, entity).where((F.col("batch_id") == batch_id) & (F.col("state") == "accepted"))
+        table = TABLE_OF[entity]
+        missing = [f for f in SCHEMAS[table].fields if f.name not in rows.columns]
+        append_new_rows(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}), ledger_root, table)
 
 
 def start_ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
                         entity: str = "sale", existing: DataFrame | None = None,
-                        max_files_per_trigger: int | None = None, available_now: bool = True):
+                        max_files_per_trigger: int | None = None, available_now: bool = True,
+                        ledger_root: str | None = None):
     """Start the stream; returns the ``StreamingQuery``.
 
     For ``inventory`` the unique-SKU rule (J6) runs per micro-batch against
@@ -68,11 +90,13 @@ def start_ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, chec
     stream = read_payload_stream(spark, source_dir, max_files_per_trigger)
     w = (stream.writeStream
          .foreachBatch(lambda batch, batch_id: write_batch(spark, entity, existing, out_dir,
-                                                           batch, batch_id))
+                                                           batch, batch_id, ledger_root))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def read_stream_output(spark: SparkSession, out_dir: str, part: str = "accepted") -> DataFrame:
-    return spark.read.parquet(f"{out_dir}/{part}").drop("batch_id")
+def read_stream_output(spark: SparkSession, out_dir: str, part: str = "accepted", entity: str = "sale") -> DataFrame:
+    """The accepted or rejected requests of every batch so far."""
+    r = ingest.Ingested(read_output(spark, out_dir, entity).where(F.col("state") == part).drop("batch_id", "state"))
+    return r.accepted if part == "accepted" else r.rejected

@@ -14,10 +14,10 @@ from tests.conftest import SF001
 def test_snapshot_roundtrip_and_month_pruning(spark):
     lg = L.ledger_from_testdata(spark, SF001)
     root = scratch_path(spark, "test-ledger")
-    L.write_snapshot(lg, root)
+    at = L.write_snapshot(lg, root)
     st = L.read_snapshot(spark, root)
     assert st.sales.count() == lg.sales.count()
-    assert any(d.startswith("month=") for d in os.listdir(f"{root}/sales"))
+    assert any(d.startswith("month=") for d in os.listdir(f"{at}/sales"))
     df = views.list_sales(st.sales, "1996-03-01", "1996-04-30")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "1996-03" in plan
@@ -28,8 +28,7 @@ def test_snapshot_roundtrip_and_month_pruning(spark):
 
 def test_append_rows(spark):
     lg = L.ledger_from_testdata(spark, SF001)
-    root = scratch_path(spark, "test-append")
-    L.write_snapshot(lg, root)
+    root = L.write_snapshot(lg, scratch_path(spark, "test-append"))
     L.append_rows(lg.lots.limit(3), root, "lots")
     assert L.read_table(spark, root, "lots").count() == lg.lots.count() + 3
 
@@ -42,14 +41,58 @@ def test_status_map_and_counts(spark):
     assert sum(counts.values()) == lg.inventory.count()
 
 
-def test_photo_catalogue_from_objects(spark):
-    root = scratch_path(spark, "test-objects")
-    df = spark.createDataFrame([("i1", "p1", "abc"), ("i2", "p2", "hello")], "item string, pid string, b string")
-    objects.write_objects(df, root, "item", "pid", "b")
-    cat = objects.photo_catalogue(objects.list_objects(spark, root)).orderBy("id").collect()
-    assert [(r.id, r.inventory_id, r.content_type, r.size_bytes) for r in cat] == \
-        [("p1", "i1", "text/plain", 4), ("p2", "i2", "text/plain", 6)]
-    assert all(r.r2_key.startswith(f"inventory/{r.inventory_id}/{r.id}_part-") for r in cat)
+def test_photo_catalogue_from_objects(spark, tmp_path):
+    for key, body in (("inventory/i1/p1_a.JPG", "abc"), ("inventory/inv-2/ph-9_b_c.tar.gz", "hello"), ("inventory/i1/nounderscore", "x"),
+                      ("other/i1/p1_a.JPG", "x"), ("inventory/i1/deep/p1_a.JPG", "x")):
+        path = tmp_path / key
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(body)
+    cat = objects.photo_catalogue(objects.list_objects(spark, f"file://{tmp_path}"))
+    assert [(r.id, r.inventory_id, r.r2_key, r.content_type, r.size_bytes) for r in cat.photos.orderBy("id").collect()] == \
+        [("p1", "i1", "inventory/i1/p1_a.JPG", "image/jpeg", 3),
+         ("ph-9", "inv-2", "inventory/inv-2/ph-9_b_c.tar.gz", "application/octet-stream", 5)]
+    assert cat.photos.columns == [f.name for f in L.SCHEMAS["photos"].fields]
+    assert cat.misfits.count() == 3
+
+
+def test_pointer_switches_last(spark):
+    lg = L.ledger_from_testdata(spark, SF001)
+    root = scratch_path(spark, "test-pointer")
+    first = L.write_snapshot(lg, root)
+    half = L.Ledger(lg.inventory, lg.sales, lg.expenses, lg.lots.limit(1), lg.inventory_lots, lg.photos)
+    broken = L.Ledger(half.inventory, half.sales, half.expenses, half.lots, half.inventory_lots, lg.photos.drop("id"))
+    try:
+        L.write_snapshot(broken, root)
+    except Exception:
+        pass
+    assert L.current(spark, root) == first and L.read_snapshot(spark, root).lots.count() == lg.lots.count()
+    second = L.write_snapshot(half, root)
+    assert L.current(spark, root) == second != first and L.read_snapshot(spark, root).lots.count() == 1
+    assert L.read_table(spark, first, "lots").count() == lg.lots.count()  # the old one is still whole
+
+
+def test_only_a_missing_table_reads_as_empty(spark, tmp_path):
+    import pytest
+    lg = L.ledger_from_testdata(spark, SF001)
+    root = f"file://{tmp_path}"
+    (tmp_path / "lots").mkdir()
+    (tmp_path / "lots" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        L.append_new_rows(lg.lots, root, "lots")
+    assert [p.name for p in (tmp_path / "lots").iterdir()] == ["part-0.parquet"]
+
+
+def test_append_writes_few_files(spark):
+    lg = L.ledger_from_testdata(spark, SF001)
+    root = scratch_path(spark, "test-files")
+    L.append_new_rows(lg.sales.repartition(16), root, "sales")
+    months = lg.sales.select(F.substring("date", 1, 7)).distinct().count()
+    assert len(L.read_table(spark, root, "sales").inputFiles()) <= months + 2 * 8
+
+
+def test_registered_views(spark):
+    lg = L.ledger_from_testdata(spark, SF001).register("t_")
+    assert spark.sql("SELECT * FROM t_SalesReport").count() == spark.sql("SELECT * FROM t_sales_profit_v").count() >= lg.sales.count()
 
 
 def test_log_source_scan(spark):
@@ -130,15 +173,22 @@ def test_cluster_without_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(_Session("spark://cluster:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("local-cluster[2,1,1024]"))
     shared = _Session("yarn")
     shared.conf.set("spark.checkpoint.dir", "hdfs://nn/shared/ckpt/")
     assert shared_dir(shared) == "hdfs://nn/shared/ckpt"
+    ctx = _Session("yarn")
+    ctx.sparkContext.getCheckpointDir = lambda: "file:/shared/ckpt"
+    assert shared_dir(ctx) == "file:/shared/ckpt"
+    local = _Session("local[4]")
+    first = shared_dir(local)
+    assert first.startswith("file://") and shared_dir(local) == first
 
 
 def test_append_new_rows_is_safe_to_rerun(spark):
     lg = L.ledger_from_testdata(spark, SF001)
-    root = scratch_path(spark, "test-append-new")
-    L.write_snapshot(lg, root)
+    root = L.write_snapshot(lg, scratch_path(spark, "test-append-new"))
     n = lg.sales.count()
     fresh = lg.sales.limit(5).withColumn("id", F.concat(F.lit("new-"), F.col("id")))
     for _ in range(2):  # the second run is a re-run of the same job
@@ -156,8 +206,7 @@ def test_append_new_rows_reads_only_touched_months(spark):
     the new rows do not touch is never opened (a full scan of the table fails on it)."""
     import pytest
     lg = L.ledger_from_testdata(spark, SF001)
-    root = scratch_path(spark, "test-append-prune")
-    L.write_snapshot(lg, root)
+    root = L.write_snapshot(lg, scratch_path(spark, "test-append-prune"))
     months = sorted(d for d in os.listdir(f"{root}/sales") if d.startswith("month="))
     with open(f"{root}/sales/{months[0]}/part-corrupt.parquet", "wb") as fh:
         fh.write(b"not parquet")

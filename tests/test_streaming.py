@@ -20,7 +20,7 @@ def _write_files(root):
         path = os.path.join(root, f"req-{i}.json")
         with open(path, "w") as fh:
             for seq, sku in reqs:
-                fh.write(json.dumps({"seq": seq, "entity": "inventory", "target_id": None,
+                fh.write(json.dumps({"source": "dev", "seq": seq, "entity": "inventory", "target_id": None,
                                      "arrived_at": "2024-02-01 00:00:00",
                                      "body": json.dumps(dict(ITEM, sku=sku))}) + "\n")
         os.utime(path, (time.time() - 100 + i, time.time() - 100 + i))  # arrival order = file order
@@ -33,8 +33,8 @@ def test_inventory_stream_unique_sku_across_batches(spark):
     q = start_ingest_stream(spark, src, out, scratch_path(spark, "inv-ckpt"), "inventory",
                             existing=existing, max_files_per_trigger=1)
     q.awaitTermination()
-    got = {(r.seq, r.sku) for r in read_stream_output(spark, out, "accepted").collect()}
-    rej = {(r.seq, r.reason) for r in read_stream_output(spark, out, "rejected").collect()}
+    got = {(r.seq, r.sku) for r in read_stream_output(spark, out, "accepted", "inventory").collect()}
+    rej = {(r.seq, r.reason) for r in read_stream_output(spark, out, "rejected", "inventory").collect()}
     assert got == {(1, "A"), (2, "B"), (4, "C"), (7, "D")}
     assert rej == {(3, "insert_failed"), (5, "insert_failed"), (6, "insert_failed")}
     batch = ingest.ingest_inventory(spark.read.schema(ingest_schema()).json(src), existing)
@@ -47,11 +47,31 @@ def test_replayed_batch_keeps_its_rows(spark):
     first = spark.read.schema(ingest_schema()).json(os.path.join(src, "req-0.json"))
     for _ in range(2):  # the second call is a replay of batch 0
         write_batch(spark, "inventory", None, out, first, 0)
-    got = {(r.seq, r.sku) for r in read_stream_output(spark, out, "accepted").collect()}
+    got = {(r.seq, r.sku) for r in read_stream_output(spark, out, "accepted", "inventory").collect()}
     assert got == {(1, "A"), (2, "B")}
-    assert read_stream_output(spark, out, "rejected").count() == 0
+    assert read_stream_output(spark, out, "rejected", "inventory").count() == 0
 
 
 def ingest_schema():
     from consign.schemas import ENVELOPE
     return ENVELOPE
+
+
+def test_stream_feeds_the_ledger_once(spark):
+    """A replayed batch with one huge request: the quarantine has it, the ledger every other row once."""
+    from consign.sources import ledger as L
+    from tests.conftest import envelopes
+    out, root = scratch_path(spark, "exp-out"), scratch_path(spark, "exp-ledger")
+    good = {"date": "2024-01-01", "category": "c", "type": "mileage", "miles": 10, "rate_usd_per_mile": 0.5}
+    huge = good | {"miles": 9e15, "rate_usd_per_mile": 1e12}
+    first = envelopes(spark, [(1, "expense", None, good), (2, "expense", None, huge)])
+    for batch, n in ((first, 0), (first, 0), (envelopes(spark, [(3, "expense", None, good)]), 1)):
+        write_batch(spark, "expense", None, out, batch, n, root)
+    assert [r.seq for r in read_stream_output(spark, out, "rejected", "expense").collect()] == [2]
+    assert L.read_table(spark, root, "expenses").count() == 2
+    assert L.read_table(spark, root, "expenses").select("id").distinct().count() == 2
+
+
+def test_output_of_no_batch_is_empty(spark):
+    for entity in ("sale", "expense", "lot", "inventory"):
+        assert read_stream_output(spark, scratch_path(spark, "none"), "accepted", entity).count() == 0
