@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) from the files; start counts all ids before."""
     stored = spark.read.schema("shard int, segment int, first long, n_ids long, payload binary").parquet(path)
-    # One row for each file, whatever the number of documents.
+    # One row for each file: as many as there were shuffle partitions, whatever the number of documents.
     shards = stored.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("ahead"))
@@ -206,5 +206,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                  pa.array([raw[e - n:e].tobytes() for n, e in zip(lengths, stop)], pa.binary())],
                 ["doc_id", "start", "n_tokens", "ids"])
 
-    return (stored.join(shards, "shard").select((F.col("first") + F.col("ahead")).alias("start"), "payload")
+    return (stored.join(F.broadcast(shards), "shard").select((F.col("first") + F.col("ahead")).alias("start"), "payload")
             .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary"))
