@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -46,7 +46,8 @@ class Params:
     trees: int = 6
     leaf: int = 1024
     spill: float = 0.08
-    sample: int = 16_384  # vectors that a round's splits are fitted on, for a node
+    sample: int = 16_384  # vectors that a round's splits are fitted on, for a node, and at most
+    numbers: int = 1 << 22  # numbers in them, so that a sample is 32 MB whatever the vectors' length
     chunk: int = 65_536  # rows of one node that a task routes at a time
     seed: int = 11
 
@@ -214,6 +215,7 @@ def near_duplicates(vectors: DataFrame, o: Params = Params(), id_col: str = "vec
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"),
                            F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     good = good.filter(F.size("vec") == found["dim"])
+    o = replace(o, sample=min(o.sample, max(256, o.numbers // found["dim"])))
     classes = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes, _ = scratch_table(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     placed, path = place(classes, o)
