@@ -136,13 +136,13 @@ def _falsy_sql(f: VField) -> str:
 
 def _number_text_sql(f: VField) -> str:
     d = f.d
-    # Spark prints 1.0E-7 and 1.5E21 where JS prints 1e-7 and 1.5e+21.
-    exponent = (f"replace(regexp_replace(replace(CAST({d} AS STRING), '.0E', 'E'), 'E([0-9])', 'e+$1'), 'E', 'e')")
+    # Spark prints 1.0E-7 and 1.5E21 where JS prints 1e-7 and 1.5e+21.  One cast to text, one pattern a case.
     return (f"(CASE WHEN abs({d}) <= {_MAX} AND {d} = CAST(CAST({d} AS BIGINT) AS DOUBLE) "
             f"THEN CAST(CAST({d} AS BIGINT) AS STRING) "
-            f"WHEN abs({d}) >= 1e21 OR abs({d}) < 1e-6 THEN {exponent} "
+            f"WHEN abs({d}) >= 1e21 OR abs({d}) < 1e-6 "
+            f"THEN regexp_replace(lower(replace(CAST({d} AS STRING), '.0E', 'E')), 'e([0-9])', 'e+$1') "
             f"WHEN abs({d}) > {_MAX} THEN CAST(CAST({d} AS DECIMAL(38,0)) AS STRING) "
-            f"ELSE rtrim('.', rtrim('0', CAST(CAST({d} AS DECIMAL(38,22)) AS STRING))) END)")
+            f"ELSE regexp_replace(CAST(CAST({d} AS DECIMAL(38,22)) AS STRING), '[.]?0+$', '') END)")
 
 
 def _text_sql(f: VField, default, trim: bool) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import js
 from ..schemas import INVENTORY_STATUSES, LOT_STATUSES
 from ..session import checkpointed
-from .ingest import parsed
+from .ingest import fence, parsed
 
 # The reference's outcomes.
 OK, NOT_FOUND, NO_FIELDS, UPDATE_FAILED = "ok", "not_found", "no_fields", "update_failed"
@@ -69,16 +69,18 @@ def _patch(base: DataFrame, requests: DataFrame, entity: str, rules: list[FieldR
     all, like a failed UPDATE statement, and what earlier requests set stands.
     ``dead``: the target no longer exists when the request arrives.
     """
-    sets_any, holds = F.lit(False), (check if check is not None else F.lit(True))
-    for r in rules:
-        sets_any = sets_any | r.sets
-        holds = holds & ~(r.sets & r.value.isNull())
     dead = dead if dead is not None else F.lit(False)
-    cols = [F.col("target_id"), F.struct("seq", "source").alias("_at"), sets_any.alias("_usable"), dead.alias("_dead"),
-            (sets_any & holds).alias("_ok")]
+    cols = [F.col("target_id"), F.struct("seq", "source").alias("_at"), dead.alias("_dead"),
+            (check if check is not None else F.lit(True)).alias("_holds")]
     for r in rules:
         cols += [r.sets.alias(f"_s_{r.name}"), r.value.alias(f"_v_{r.name}")]
     req = requests.select(*cols)
+    # From here on the readings are plain columns, so their rules are not generated twice.
+    sets_any, holds = F.lit(False), F.col("_holds")
+    for r in rules:
+        sets_any = sets_any | F.col(f"_s_{r.name}")
+        holds = holds & ~(F.col(f"_s_{r.name}") & F.col(f"_v_{r.name}").isNull())
+    req = fence(req.select("*", sets_any.alias("_usable"), (sets_any & holds).alias("_ok")).drop("_holds"))
 
     agg = (req.where(F.col("_ok") & ~F.col("_dead")).groupBy("target_id")
            .agg(*[F.max_by(F.col(f"_v_{r.name}"), F.when(F.col(f"_s_{r.name}"), F.col("_at")))
@@ -180,8 +182,8 @@ def resolve_links(payloads: DataFrame, inventory: DataFrame, entity: str = "link
     spread over the partitions.
     """
     p, f = js.expand(parsed(payloads, entity), "v", ["sku"])
-    req = p.select("seq", "source", F.col("target_id").alias("lot_id"),
-                   js.js_text(f["sku"], "", trim=True).alias("sku"))
+    req = fence(p.select("seq", "source", F.col("target_id").alias("lot_id"),
+                         js.js_text(f["sku"], "", trim=True).alias("sku")))
     inv = inventory.where(F.col("sku") != "").select(F.col("sku").alias("_isku"), F.col("id").alias("inventory_id"))
     none = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
     j = req.join(inv, F.when(F.col("sku") == "", none).otherwise(F.col("sku")) == inv["_isku"], "left").drop("_isku")
@@ -264,8 +266,9 @@ def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFra
     keys = ["lot_id", "inventory_id"]
     links = resolve_links(payloads, inventory, "link")
     unl, f = js.expand(parsed(payloads, "unlink"), "v", ["inventory_id"])
-    unl = unl.select("seq", "source", F.col("target_id").alias("lot_id"),
-                     js.js_text(f["inventory_id"], "", trim=False).alias("inventory_id"))
+    # Fenced: the joins infer that the key is not NULL, and that filter would repeat the parse.
+    unl = fence(unl.select("seq", "source", F.col("target_id").alias("lot_id"),
+                           js.js_text(f["inventory_id"], "", trim=False).alias("inventory_id")))
     ops = (links.where(F.col("reason").isNull()).select("seq", "source", *keys, F.lit("link").alias("op"))
            .unionByName(unl.select("seq", "source", *keys, F.lit("unlink").alias("op"))))
     last = ops.groupBy(*keys).agg(F.max_by("op", F.struct("seq", "source")).alias("last_op"))

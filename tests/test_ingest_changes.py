@@ -189,16 +189,12 @@ def test_hot_key_spreads_over_buckets(spark):
     assert {(r.entity, r.outcome): r.n for r in a.outcomes.collect()} == outcomes
 
 
-def test_profit_strategies_agree(spark):
-    """The broadcast-friendly and the pairs-first forms give the same rows."""
-    from consign.session import fits_broadcast
+def test_profit_pairs_equal_the_or_join(spark):
+    """The rewrite gives the rows of the literal OR-join."""
+    from bench import or_join
     from consign.sources import ledger as L
-    from tests.conftest import SF01
-    lg = L.ledger_from_testdata(spark, SF01)
-    a = profit.matched_sales(lg.sales, lg.inventory, "direct")
-    b = profit.matched_sales(lg.sales, lg.inventory, "pairs")
-    assert a.count() == b.count() == 68592
-    assert a.exceptAll(b.select(*a.columns)).count() == 0
-    assert fits_broadcast(lg.inventory)
-    big = L.ledger_from_testdata(spark, "/root/testdata/sf0.1").sales  # planned only, ~19 MB
-    assert not fits_broadcast(big)
+    from tests.conftest import SF001
+    lg = L.ledger_from_testdata(spark, SF001)
+    a = profit.sales_profit(lg.sales, lg.inventory).select("id", "sku", "qty", "cogs_cents")
+    b = or_join(lg.sales, lg.inventory)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
