@@ -54,50 +54,51 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not n:
         return np.zeros(1, dtype=np.uint32), v, escapes
-    stop = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    widest = int(v.max())
-    grid = np.zeros(blocks * BLOCK, dtype=np.uint32 if widest < 1 << 32 else np.uint64)
-    grid[:n] = v
-    grid = grid.reshape(blocks, BLOCK)
-    # The narrowest width that holds all values is where the search begins.
-    least = max(s for s in range(16) if s == 0 or widest >> int(BITS[s - 1]))
-    chosen = np.full((blocks, BLOCK), least, dtype=np.int8)
-    over = np.zeros((blocks, BLOCK + 1), dtype=np.int16)
-    for s in range(least - 1, -1, -1):
-        np.cumsum(grid >= grid.dtype.type(1 << int(BITS[s])), axis=1, out=over[:, 1:])
-        c = int(COUNTS[s])
-        fits = np.empty((blocks, BLOCK), dtype=bool)
-        fits[:, :BLOCK - c + 1] = over[:, c:] == over[:, :BLOCK - c + 1]
-        fits[:, BLOCK - c + 1:] = over[:, BLOCK:] == over[:, BLOCK - c + 1:BLOCK]
+    # Rows of one block each; past its end a block goes on with zeros, which always fit.
+    widest, wide_row = int(v.max()), BLOCK + int(COUNTS[0])
+    grid = np.zeros((blocks, wide_row), dtype=np.uint32 if widest < 1 << 32 else np.uint64)
+    full = n // BLOCK
+    grid[:full, :BLOCK] = v[:full * BLOCK].reshape(full, BLOCK)
+    if full < blocks:
+        grid[full, :n - full * BLOCK] = v[full * BLOCK:]
+    # The bits of each value (of very large ones one too many, at most), and the most bits among the
+    # next c values for one count c after the other, each from the one before.
+    bits = np.minimum(np.frexp(grid.astype(np.float64))[1], 60).astype(np.uint8)
+    selector, most, c = np.full((blocks, BLOCK), 15, dtype=np.int8), bits, 1
+    for s in range(14, -1, -1):
+        shift, c = int(COUNTS[s]) - c, int(COUNTS[s])
+        most = np.maximum(most[:, :-shift], most[:, shift:])
+        fits = most[:, :BLOCK] <= BITS[s].astype(np.uint8)
         if not fits.any():
             break
-        chosen[fits] = s
-    selector = chosen.reshape(-1)[:n]
+        np.copyto(selector, np.int8(s), where=fits)
     # All blocks advance together, a word each at a time.
-    at = np.arange(blocks) * BLOCK
-    end = np.minimum(at + BLOCK, n)
-    starts, of = [], []
-    live = np.arange(blocks)
+    step = COUNTS[selector].astype(np.int32)
+    size = np.full(blocks, BLOCK, dtype=np.int32)
+    size[-1] = n - (blocks - 1) * BLOCK
+    live, at = np.arange(blocks, dtype=np.int32), np.zeros(blocks, dtype=np.int32)
+    of, starts = [], []
     while len(live):
-        p = at[live]
-        starts.append(p)
         of.append(live)
-        at[live] = np.minimum(p + COUNTS[selector[p]], end[live])
-        live = live[at[live] < end[live]]
-    p, of = np.concatenate(starts), np.concatenate(of)
-    order = np.argsort(p, kind="stable")
-    p, of = p[order], of[order]
+        starts.append(at)
+        at = at + step[live, at]
+        on = at < size[live]
+        live, at = live[on], at[on]
+    of, at = np.concatenate(of), np.concatenate(starts)
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
     first = np.zeros(blocks + 1, dtype=np.uint32)
     np.cumsum(np.bincount(of, minlength=blocks), out=first[1:])
-    chosen = selector[p]
+    chosen = selector[of, at]
     words = chosen.astype(np.uint64)
+    flat, place = grid.reshape(-1), of.astype(np.int64) * wide_row + at
     for s in np.unique(chosen):
         if BITS[s]:
             rows = np.flatnonzero(chosen == s)
+            start, word = place[rows], np.full(len(rows), s, dtype=np.uint64)
             for k in range(COUNTS[s]):
-                i = p[rows] + k
-                part = np.where(i < stop[p[rows]], v[np.minimum(i, n - 1)], np.uint64(0))
-                words[rows] |= part << np.uint64(4 + k * BITS[s])
+                word |= flat[start + k].astype(np.uint64) << np.uint64(4 + k * BITS[s])
+            words[rows] = word
     return first, words, escapes
 
 

@@ -14,6 +14,7 @@ other text is encoded in one piece.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LONGEST_KEPT = 64  # characters of a unit whose ids are kept
-SLICE, SLICE_BYTES = 4096, 8 << 20  # rows and bytes of text that are worked on at a time
-KEPT = 600_000  # units; about 130 MB
+SLICE, SLICE_BYTES = 4096, 6 << 20  # rows and bytes of text that are worked on at a time
+KEPT = 900_000  # units; about 180 MB
 
 
 def _plain(text: str) -> bool:
@@ -34,47 +35,48 @@ def _plain(text: str) -> bool:
 
 def _surely_plain(col: pa.Array) -> np.ndarray:
     """For each text, whether its bytes show that it is plain; False where _plain has to look."""
-    data = col.cast(pa.large_binary())
-    buffers = data.buffers()
-    at = np.frombuffer(buffers[1], dtype=np.int64)[data.offset:data.offset + len(data) + 1]
-    if at[0] == at[-1]:
+    at, c = _bytes(col)
+    if not len(c):
         return np.zeros(len(col), dtype=bool)
-    c = np.frombuffer(buffers[2], dtype=np.uint8)[at[0]:at[-1]]
-    at = at - at[0]
-    space = _SPACE[c]
-    odd = _ODD[c]
+    kind = np.frombuffer(c.tobytes().translate(_KINDS), dtype=np.uint8)
+    space = kind == 1
+    odd = kind == 2
     odd[1:] |= space[1:] & space[:-1]
-    seen = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
     a, b = at[:-1], at[1:]
-    ok = (b > a) & (seen[b] == seen[a])
-    ends = np.flatnonzero(ok)
-    ok[ends] = ~(space[a[ends]] | space[b[ends] - 1])
+    ok = b > a
+    ok[np.searchsorted(at, np.flatnonzero(odd), side="right") - 1] = False
+    rows = np.flatnonzero(ok)
+    ok[rows] = ~(space[a[rows]] | space[b[rows] - 1])
     return ok
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_ODD = np.zeros(256, dtype=bool)
-_ODD[[ord("|"), 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bars, and first bytes of all wider white space
+def _bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins (and the end) in the texts' bytes, and the bytes."""
+    data = col.buffers()
+    at = np.frombuffer(data[1], dtype=np.int32)[col.offset:col.offset + len(col) + 1]
+    c = np.frombuffer(data[2], dtype=np.uint8)[at[0]:at[-1]] if data[2] is not None else np.zeros(0, dtype=np.uint8)
+    return at - at[0], c
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ODD = (ord("|"), 0xC2, 0xE1, 0xE2, 0xE3)  # bars, and first bytes of all wider white space
+_KINDS = bytes(1 if _SPACE[i] else 2 if i in _ODD else 0 for i in range(256))
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def _units(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The units of plain texts, without copying them, and how many each text has."""
-    data = col.buffers()
-    at = np.frombuffer(data[1], dtype=np.int32)[col.offset:col.offset + len(col) + 1]
-    c = np.frombuffer(data[2], dtype=np.uint8)[at[0]:at[-1]]
-    row = at - at[0]
+    row, c = _bytes(col)
     n = len(c)
     start = c == 32
-    other = _SPACE[c] & ~start
+    space = np.frombuffer(c.tobytes().translate(_KINDS), dtype=np.uint8) == 1
+    other = space & ~start
     start |= other
     start[1:] |= other[:-1]
     last = start.copy()  # whether the next byte is white space or the text's end
-    last[:-1] = start[1:] & _SPACE[c[1:]]
+    last[:-1] = space[1:]
     last[row[1:] - 1] = True
     mark = np.flatnonzero(last & ((c == 44) | (c == 46)))
     mark = mark[~np.isin(mark, row)]
@@ -82,8 +84,8 @@ def _units(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     start[mark[letter]] = True
     start[row[:-1]] = True
     begin = np.flatnonzero(start)
-    offsets = np.append(begin, n).astype(np.int32) + at[0]
-    units = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), data[2])
+    offsets = np.append(begin, n).astype(np.int32)
+    units = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(c))
     return units, np.diff(np.searchsorted(begin, row))
 
 
@@ -113,13 +115,14 @@ class WordEncoder:
         coded = units.dictionary_encode()
         index = coded.indices.to_numpy()
         ids = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
         n = size[index]
-        stop = np.cumsum(n)
+        stop = np.cumsum(n, dtype=np.int32)
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        values = flat[np.repeat(start[index] - stop + n, n) + np.arange(stop[-1])]
-        return values, np.add.reduceat(n, np.cumsum(per_text) - per_text)
+        at = np.repeat(start[index] - stop + n, n)
+        at += np.arange(stop[-1], dtype=np.int32)
+        return flat[at], np.add.reduceat(n, np.cumsum(per_text) - per_text)
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         col = pc.fill_null(col.cast(pa.string()), "")
@@ -143,6 +146,9 @@ class WordEncoder:
         return values, counts
 
 
+# How byte-level vocabularies write each byte: printable Latin-1 as itself, the others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _LIBRARY: dict[str, WordEncoder] = {}
 
 
@@ -178,13 +184,26 @@ def library_encoder(path: str) -> WordEncoder:
                 out += [raw[a:b] for a, b in zip((4 * (starts + skip)).tolist(), ends)]
             return out
 
+        model, wide = tk.model.tokenize, {i: "".join(_BYTE_CHARS[b] for b in chr(i).encode()) for i in range(128, 592)}
+
         def encode_units(units: list[str]) -> list[bytes]:
-            kind = [1 if u[0] == " " else 0 if u.isspace() else 2 for u in units]
-            by = {1: joined([u for u, k in zip(units, kind) if k == 1], "", spaced, 0),
-                  2: joined([u for u, k in zip(units, kind) if k == 2], "\n", line, 1),
-                  0: encode([u for u, k in zip(units, kind) if k == 0])}
-            take = {k: iter(v) for k, v in by.items()}
-            return [next(take[k]) for k in kind]
+            # Latin letters, with or without a space before them, are one pre-token: the model takes it as it is.
+            out: list[bytes] = [b""] * len(units)
+            rest: dict[str, list[int]] = {" ": [], "\n": [], "": []}
+            for i, u in enumerate(units):
+                spaced_unit = u[0] == " "
+                w = u[1:] if spaced_unit else u
+                if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                    w = w if w.isascii() else w.translate(wide)
+                    out[i] = array("I", [t.id for t in model("\u0120" + w if spaced_unit else w)]).tobytes()
+                else:
+                    rest[" " if spaced_unit else "" if u.isspace() else "\n"].append(i)
+            for kind, at in rest.items():
+                part = [units[i] for i in at]
+                found = encode(part) if not kind else joined(part, *(("", spaced, 0) if kind == " " else ("\n", line, 1)))
+                for i, x in zip(at, found):
+                    out[i] = x
+            return out
 
         _LIBRARY[path] = WordEncoder(encode, encode_units=encode_units)
     return _LIBRARY[path]
