@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import bpe, doubling, minhash, packing, quality, rpforest, secrets, suffixes, tokenfile
-from .common import table
+from .common import ship_package, table
 from .simhash import near_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,14 @@ def op10_simhash(spark, sf_dir):
 
 ORACLES: dict[str, str] = {}
 
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_secret_forest": op1_secret_forest,
     "op2_rp_forest": op2_rp_forest,
@@ -82,3 +90,4 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_simhash": op10_simhash,
 }
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,6 +15,35 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable by Python workers that do not find it on their path.
+
+    Workers see the driver's PYTHONPATH and, on one machine, its working folder.
+    Otherwise the package goes as a zip file through the shared folder, once an application.
+    """
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if spark.sparkContext.master.startswith("local["):
+        paths.append(os.getcwd())
+    if app in _SHIPPED or any(os.path.realpath(p) == str(root) or (Path(p) / "consign" / "llm").is_dir() for p in paths):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted((root / "consign").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "package") + "/consign.zip")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(fs.makeQualified(path).toString())
+    _SHIPPED.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
