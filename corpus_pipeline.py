@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from consign.llm import doubling, packing, quality, secrets, simhash
-from consign.llm.common import scratch_table, table
+from consign.llm.common import scratch_table, ship_package, table
 
 ORACLE_SQL = None  # trained models and byte-pair packing are beyond SQL; tests compare with brute force
 
@@ -21,14 +21,17 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return simhash.drop_near_duplicates(docs, shingle=4, radius=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return doubling.remove(docs, size=35)
 
 
@@ -37,6 +40,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return packing.pack(docs, TOKENIZER, length=2048, end_id=1)
 
 
