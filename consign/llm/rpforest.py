@@ -14,9 +14,21 @@ emitted: a leaf gives, for each member, its number of links and the smallest mem
 is tied to.  A pair that shares several leaves is counted in the smallest of them
 only; for that, every member carries the (few) numbers of its leaves.
 
-Recall: two vectors at the threshold part at a split with a probability of about
-1 in 100 beyond the spill band, and must be parted in every tree to be missed.  The tests
-measure recall against brute force.
+Splits near the median cut a dense group, however large, so dense groups do not go through
+the trees.  In one bounded sample of the table, a vector stands in a dense place if its links there
+stand for more than ``dense`` classes (and are ``LEAST`` at least).  Such vectors are covered by
+pivots: the ones with most links first, until each links with a pivot.  A class that links
+with a pivot is in the cell of its nearest one; everything it links with is within twice the
+threshold's angle of that pivot, by the triangle inequality.  So every cell is compared with all
+classes that near, in blocks that hold ``block`` of the cell's members; blocks whose angles
+to the pivot settle that all pairs link, or none, are counted without a product.  This finds all
+links of the cells' members.  The trees hold the other classes only.
+
+Recall: links of a cell's members are exact.  Two other vectors are missed if every tree parts them;
+where the data spread far beyond the threshold's angle, a split does that to about 1 in 100 at the
+threshold, beyond the spill band.  A group that the sample holds less than ``LEAST`` links of (in a table
+far larger than the sample) is cut up by the trees, and loses links.  The tests measure recall
+against brute force.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite numbers, or
 whose length is not the table's most common one (the larger among equals),
@@ -49,9 +61,15 @@ class Params:
     sample: int = 16_384  # vectors that a round's splits are fitted on, for a node, and at most
     numbers: int = 1 << 22  # numbers in them, so that a sample is 32 MB whatever the vectors' length
     chunk: int = 65_536  # rows of one node that a task routes at a time
+    dense: int = 512  # links (of classes) from which a vector is compared by cells
+    block: int = 4096  # members of a cell that a task compares at a time
     seed: int = 11
 
 
+LEAST = 8
+SLACK = 1e-6  # of an angle in radians; far above rounding
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows at length one, in double precision and without overflow."""
     v = np.asarray(vectors, dtype=np.float64)
@@ -105,7 +123,7 @@ def _routed(tree, node: int, cid: np.ndarray, v: np.ndarray) -> tuple[np.ndarray
 def first_round(classes: DataFrame, rows: int, o: Params) -> DataFrame:
     """(cid, leaf): every class in the leaves of all trees, as far as one bounded sample can split."""
     sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(o.sample).select("vec").toPandas()["vec"]
-    v = unit(np.array(sample.tolist()))
+    v = unit(np.array(sample.tolist())) if len(sample) else np.zeros((0, 1))
     trees = [grow(v, rows, o.leaf, o.spill, np.random.default_rng([o.seed, t])) for t in range(o.trees)]
     shared = classes.sparkSession.sparkContext.broadcast(trees)  # at most sample / 16 directions a tree
 
@@ -201,6 +219,126 @@ def leaf_links(threshold: float):
     return run
 
 
+def pivots(classes: DataFrame, rows: int, o: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(cid, unit vector) of classes that cover the dense places of one bounded sample."""
+    pdf = classes.orderBy(F.xxhash64("cid"), "cid").limit(o.sample).select("cid", "vec").toPandas()
+    if not len(pdf):
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 1))
+    cid, v = pdf["cid"].to_numpy(), unit(np.array(pdf["vec"].tolist()))
+    step = max(1, (1 << 20) // len(v))
+    links = np.concatenate([(v[a:a + step] @ v.T >= o.threshold).sum(axis=1) for a in range(0, len(v), step)]) - 1
+    order = np.argsort(-links, kind="stable")
+    order = order[links[order] >= max(LEAST, o.dense * len(v) / rows)]
+    covered, chosen = np.zeros(len(v), dtype=bool), []
+    for i in order.tolist():
+        if not covered[i]:
+            chosen.append(i)
+            covered |= v @ v[i] >= o.threshold
+            covered[i] = True
+    return cid[chosen], v[chosen]
+
+
+def cells(classes: DataFrame, cid: np.ndarray, v: np.ndarray, o: Params) -> DataFrame:
+    """(cell, core, hot, cid, n, vec): every class with each pivot that one of its links may be in the cell of.
+
+    ``core``: it is in that cell; ``hot``: it is in a cell.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast((cid, v))
+    reach = np.cos(min(2 * np.arccos(np.clip(o.threshold, -1, 1)) + SLACK, np.pi)) - SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cid, v = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, step := max(1, (1 << 22) // v.size)):
+                part = b.slice(at, step)
+                x = matrix(part.column(2)) @ v.T
+                home = x.argmax(axis=1)
+                hot = x[np.arange(len(x)), home] >= o.threshold
+                row, cell = np.nonzero(x >= reach)
+                if len(row):
+                    cols = [pa.array(cid[cell]), pa.array(hot[row] & (home[row] == cell)), pa.array(hot[row])]
+                    yield pa.RecordBatch.from_arrays(cols + part.take(pa.array(row)).columns,
+                                                     ["cell", "core", "hot", "cid", "n", "vec"])
+
+    kind = classes.schema["vec"].dataType.simpleString()
+    return classes.select("cid", "n", "vec").mapInArrow(
+        run, f"cell long, core boolean, hot boolean, cid long, n long, vec {kind}")
+
+
+def count_links(core: np.ndarray, angle: np.ndarray, n: np.ndarray, v: np.ndarray, near: np.ndarray, m: np.ndarray,
+                threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (sums of ``m`` and of ``n``) between the members ``core`` of a cell, in ascending order of their ``angle``
+    to the pivot, and the vectors ``v``, at the angle ``near`` to it."""
+    most = np.arccos(np.clip(threshold, -1, 1))
+    mine, other = np.zeros(len(core)), np.zeros(len(v))
+    order = np.argsort(near)
+    step = max(1, (1 << 20) // len(core))
+    for a in range(0, len(v), step):
+        at = order[a:a + step]
+        all_link = np.searchsorted(angle, most - SLACK - near[at[-1]])
+        first = max(all_link, np.searchsorted(angle, near[at[0]] - most - SLACK))
+        mine[:all_link] += m[at].sum()
+        other[at] += n[:all_link].sum()
+        if first < len(core):
+            x = core[first:] @ v[at].T
+            np.greater_equal(x, threshold, out=x)
+            mine[first:] += x @ m[at]
+            other[at] += n[first:] @ x
+    return mine, other
+
+
+def cell_links(pivot: dict[int, np.ndarray], threshold: float):
+    """Links of the rows (cell, chunk, near, cid, hot, n, vec) in that order; a chunk's members come first (near = 0)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, core = None, [], None
+
+        def ended() -> Iterator[pd.DataFrame]:
+            if core is not None:
+                cid, _, _, n, links = core  # a member met itself among the near ones
+                yield pd.DataFrame({"cid": cid, "links": (links - n).astype(np.int64), "root": np.full(len(cid), key[0])})
+
+        for pdf in batches:
+            for k, g in pdf.groupby(["cell", "chunk", "near"], sort=False):
+                if k[:2] != key:
+                    yield from ended()
+                    key, held, core = k[:2], [], None
+                if k[2] == 0:
+                    held.append(g)
+                    continue
+                if core is None:
+                    if not held:
+                        continue
+                    c = pd.concat(held, ignore_index=True)
+                    v = unit(np.array(c["vec"].tolist()))
+                    angle = np.arccos(np.clip(v @ pivot.value[key[0]], -1, 1))
+                    at = np.argsort(angle)
+                    core = (c["cid"].to_numpy()[at], v[at], angle[at], c["n"].to_numpy(dtype=np.float64)[at], np.zeros(len(c)))
+                    held = []
+                v = unit(np.array(g["vec"].tolist()))
+                near = np.arccos(np.clip(v @ pivot.value[key[0]], -1, 1))
+                mine, other = count_links(core[1], core[2], core[3], v, near, g["n"].to_numpy(dtype=np.float64), threshold)
+                core[4][:] += mine
+                cold = (other > 0) & ~g["hot"].to_numpy(dtype=bool)
+                if cold.any():
+                    yield pd.DataFrame({"cid": g["cid"].to_numpy()[cold], "links": other[cold].astype(np.int64),
+                                        "root": np.full(int(cold.sum()), key[0])})
+        yield from ended()
+    return run
+
+
+def dense_links(near: DataFrame, cid: np.ndarray, v: np.ndarray, o: Params) -> DataFrame:
+    """(cid, links, root) for all links that a member of a cell has part in; ``near`` as from ``cells``."""
+    chunks = near.groupBy("cell").agg(F.ceil(F.sum(F.col("core").cast("long")) / F.lit(o.block)).alias("chunks"))
+    near = near.join(F.broadcast(chunks), "cell").filter("chunks > 0")  # a row for each pivot
+    rest = ("cid", "hot", "n", "vec")
+    members = near.filter("core").select("cell", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"), F.lit(0).alias("near"), *rest)
+    others = near.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
+                         F.lit(1).alias("near"), *rest)
+    pivot = near.sparkSession.sparkContext.broadcast(dict(zip(cid.tolist(), v)))
+    return (members.union(others).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "near", "cid")
+            .mapInPandas(cell_links(pivot, o.threshold), "cid long, links long, root long"))
+
+
 def near_duplicates(vectors: DataFrame, o: Params = Params(), id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
@@ -218,12 +356,21 @@ def near_duplicates(vectors: DataFrame, o: Params = Params(), id_col: str = "vec
     o = replace(o, sample=min(o.sample, max(256, o.numbers // found["dim"])))
     classes = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes, _ = scratch_table(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    placed, path = place(classes, o)
+    pivot, at = pivots(classes, classes.count(), o)
+    cold, dense = classes, None
+    if len(pivot):
+        near, near_path = scratch_table(cells(classes, pivot, at, o), "forest-cells")
+        dense, _ = scratch_table(dense_links(near, pivot, at, o), "cell-links")
+        cold, _ = scratch_table(classes.join(near.filter("core").select("cid"), "cid", "left_anti"), "forest-cold")
+        drop_scratch(spark, near_path)
+    placed, path = place(cold, o)
     sigs = placed.groupBy("cid").agg(F.array_sort(F.collect_set("leaf")).alias("sig"))
-    leaves = (classes.join(sigs, "cid").select(F.explode("sig").alias("leaf"), "cid", "n", "vec", "sig")
+    leaves = (cold.join(sigs, "cid").select(F.explode("sig").alias("leaf"), "cid", "n", "vec", "sig")
               .repartition("leaf").sortWithinPartitions("leaf", "cid"))
     parts, _ = scratch_table(leaves.mapInPandas(leaf_links(o.threshold), "cid long, links long, root long"), "leaf-links")
     drop_scratch(spark, path)
+    if dense is not None:
+        parts = parts.union(dense)
     comp = components(parts.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = parts.groupBy("cid").agg(F.sum("links").alias("links"))
     tied = (classes.select("cid", "rep").join(comp, F.col("cid") == F.col("node")).select("cid", "rep", "component")

@@ -137,6 +137,32 @@ def test_forest_against_brute_force(spark, params):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.22])
+def test_forest_counts_a_dense_group_in_full(spark, noise):
+    """A group far over a leaf's size, of vectors that all link or about half do, and stragglers around it."""
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal(24)
+    v = np.concatenate([middle + rng.normal(0, noise, (2200, 24)), middle + rng.normal(0, 0.35, (300, 24)),
+                        rng.standard_normal((300, 24))])
+    rows = [(i, [float(np.float32(x)) for x in r], 0) for i, r in enumerate(v)]
+    rows += [(9000 + i, rows[i][1], 0) for i in range(20)]
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    near = (v @ v.T) >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in rpforest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3),
+                                                          rpforest.Params(leaf=64, sample=2048)).collect()}
+    links = np.array([got[r[0]].n_links for r in rows])
+    assert len(got) == len(rows) and (links <= near.sum(axis=1)).all()
+    assert (links[:2200] == near.sum(axis=1)[:2200]).mean() > 0.999
+    assert links.sum() >= 0.999 * near.sum() > 0
+    low = np.arange(len(rows))
+    while (nxt := np.minimum(low, np.where(near, low, len(rows)).min(axis=1))).tolist() != low.tolist():
+        low = nxt
+    wrong = np.array([got[r[0]].component_id != rows[k][0] for r, k in zip(rows, low)])
+    assert not wrong[:2200].any() and wrong.sum() <= 0.01 * len(rows)
+
+
 def test_forest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]),
