@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from .tokens import by_row, library_encoder, text_slices
 
 STRETCH = 1 << 20
-STEP = 24
 SEQUENCE, SENTENCE, INSIDE = 4, 12, 64
 _ENDS: dict[str, np.ndarray] = {}
 
@@ -101,9 +100,7 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
 def cut_points(ids: np.ndarray, stops: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the stream may be cut and what a cut there costs; ``stops``: where documents end."""
     kind = np.zeros(len(ids) + 1, dtype=np.int8)
-    after = np.flatnonzero(ends[ids]) + 1
-    after = after[np.diff(after // STEP, prepend=-1) > 0]  # the first in every STEP ids is choice enough
-    kind[after] = 1
+    kind[np.flatnonzero(ends[ids]) + 1] = 1
     kind[stops] = 2
     kind[0] = 2
     at = np.flatnonzero(kind)

@@ -184,3 +184,26 @@ def test_cuts_are_cheapest(steps, pens):
                if (c := cost([0, *[i for i in range(1, n) if m >> (i - 1) & 1], n])) is not None)
     got = packing.best_cuts(at, pen, length)
     assert cost([int(np.flatnonzero(at == x)[0]) for x in got]) == best
+
+
+@given(st.lists(st.tuples(st.booleans(), st.booleans()), min_size=1, max_size=120))
+@settings(max_examples=200, deadline=None)
+def test_every_sentence_end_is_a_choice(marks):
+    """cut_points and best_cuts together, against a plain table over all positions; ids are 1 at a sentence's end, else 0."""
+    length, n = 32, len(marks)
+    ids = np.array([int(sentence) for sentence, _ in marks])
+    stops = np.array([i + 1 for i, (_, doc) in enumerate(marks) if doc and i % 5 == 0 or i == n - 1])
+    at, pen = packing.cut_points(ids, stops, np.array([False, True]), length)
+    price = dict(zip(at.tolist(), pen.tolist()))
+    allowed = {i + 1: packing.SENTENCE for i in np.flatnonzero(ids).tolist()} | {int(i): 0 for i in stops} | {0: 0}
+    assert {i: price.get(i) for i in allowed} == allowed
+    assert all(price[i] == packing.INSIDE for i in price if i not in allowed)
+
+    def one(k):
+        return (0 if k & (k - 1) == 0 else length - k) + packing.SEQUENCE
+
+    best = {0: 0}
+    for j in sorted(price)[1:]:
+        best[j] = min(best[i] + one(j - i) for i in best if j - i <= length) + price[j]
+    cuts = packing.best_cuts(at, pen, length).tolist()
+    assert sum(one(b - a) + price[b] for a, b in zip(cuts, cuts[1:])) == best[n]
