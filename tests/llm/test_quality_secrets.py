@@ -52,6 +52,13 @@ def test_quality_edges(spark, docs_of):
     assert quality.score_rows(docs_of([]), one).count() == 0 and quality.keep_good(docs_of([]), one).count() == 0
 
 
+def test_training_takes_4000_documents(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(quality, "train", lambda texts, labels: (len(texts), len(labels)))
+    docs = docs_of([(i, f"text {i}") for i in range(6000)])
+    labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
+    assert quality.fit(docs, labels) == (4000, 4000)
+
+
 def test_training_leaves_fold_zero_out(spark):
     """Changing the labels of fold 0 changes no score."""
     docs, labels = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "labels"))
