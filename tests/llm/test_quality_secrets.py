@@ -108,6 +108,26 @@ def test_secret_features(spark, docs_of):
     assert w.coverage == 1 and w.placeholder == 1 and w.label == 0
 
 
+def test_secrets_after_long_names_and_marks(spark, docs_of):
+    """Long names, arrows, blanks and punctuation; the neighbourhood is the text's own."""
+    cases = [("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMIK7MDENGbPxRfiCYzq1"), ("GITHUB_ACCESS_TOKEN=", "q1w2e3r4t5y6u7"),
+             ("database_password: ", "ab12cd34ef56"), ("the_database_password => '", "ab12cd34ef57"),
+             ("password:  ", "ab12cd34ef58"), ('password = "', "p@ss!w0rd#9x"), ("password=", "p@ss!w0rd#9xy"),
+             ('"auth_token"  =>  "', "!ab12cd34ef59!"), ("first_long_candidate_name and api_key=", "ab12cd34ef60")]
+    texts = [f"x {name}{value}{name[-1] if name[-1] in chr(34) + chr(39) else ''} then" for name, value in cases]
+    texts.append("alpha " + " ".join(f"longcandidate{i:04d}" for i in range(40)) + " omega" + " " * 60 + "password=ab12cd34")
+    rows = secrets.features(secrets.candidates(docs_of(list(enumerate(texts)))), [0] * 275).collect()
+    got = {(r.id, r.value): r for r in rows}
+    for i, (_, value) in enumerate(cases):
+        r = got[(i, value)]
+        assert (r.credential, r.assigned, r.label) == (1.0, 1.0, 1.0), value
+    assert got[(5, "p@ss!w0rd#9x")].quoted == 1 and got[(5, "p@ss!w0rd#9x")].change_kinds > 1
+    for r in rows:
+        t, end = texts[r.id], r.start + len(r.value)
+        assert t[r.start:end] == r.value
+        assert r.before == t[max(0, r.start - secrets.NEAR):r.start] and r.after == t[end:end + secrets.NEAR]
+
+
 def test_labelled_findings_and_redaction(spark, docs_of):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = [(i, f"text {key} and password=ab12cd34ef56ab78 and internationalization {i}") for i in range(30)]
