@@ -128,6 +128,15 @@ def test_secrets_after_long_names_and_marks(spark, docs_of):
         assert r.before == t[max(0, r.start - secrets.NEAR):r.start] and r.after == t[end:end + secrets.NEAR]
 
 
+def test_copies_take_one_place_in_the_sample(spark, docs_of):
+    """Copies of a text count once, so findings of other texts still come into a small sample."""
+    texts = [f"note password=ab12cd34ef{i:02d}" for i in range(6)]
+    d = docs_of([(100 * j + i, t) for i, t in enumerate(texts) for j in range(20)])
+    rows = secrets.features(secrets.candidates(d), [0] * 275)
+    assert rows.filter("label = 1").count() == 120
+    assert secrets.sample(rows, 6).filter("label = 1").select("k").distinct().count() == 6
+
+
 def test_labelled_findings_and_redaction(spark, docs_of):
     key = "AKIA" + "ABCDEFGH12345678"
     rows = [(i, f"text {key} and password=ab12cd34ef56ab78 and internationalization {i}") for i in range(30)]
