@@ -10,10 +10,10 @@ of ``gram`` words that follow its place.  Suffixes that agree in everything an a
 has around it are one entry with a count, so copies of one passage, however many, are
 one entry of the array.  The array is sorted by the blocks over ranges (the range
 partitioner spreads it), and each entry is compared with the one before and the one
-after: neighbours in sorted order have the longest common beginning, so an entry whose
+after, by the first block alone: an entry whose
 neighbours both begin with another block has no match.  The rows at the edges of the ranges,
-two for each range, are compared across ranges.  Entries with a match are extended
-left and right over their anchor's windows up to ``size`` words, exactly.
+two for each range, are compared across ranges.  The windows of ``size`` words
+around the anchors with a match are then grouped exactly, by ``repeats.repeated_spans`` as in operator 6.
 
 Defined cases: as in ``doubling``; the result has the id and its own columns.
 """
