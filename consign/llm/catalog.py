@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, doubling, minhash, packing, quality, rpforest, secrets, suffixes, tokenfile
+from . import bpe, chat, doubling, lexical, minhash, negatives, packing, quality, rpforest, secrets, suffixes, tokenfile
 from .common import ship_package, table
+from .oracles import ORACLES
 from .simhash import near_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,7 +69,21 @@ def op10_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
-ORACLES: dict[str, str] = {}
+def op11_lexical(spark, sf_dir):
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_gnat_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.union(own)))
+
 
 def _shipped(query):
     def run(spark, sf_dir):
@@ -89,5 +104,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_minhash": op9_minhash,
     "op10_simhash": op10_simhash,
+    "op11_lexical": op11_lexical,
+    "op12_gnat_negatives": op12_gnat_negatives,
+    "op13_chat": op13_chat,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
