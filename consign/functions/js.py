@@ -42,15 +42,18 @@ def with_body(df: DataFrame, body: str = "body", v: str = "v") -> DataFrame:
     As a JavaScript server reads a request: one leading byte-order mark is
     skipped, the last of several equal keys wins, and anything after the value
     makes the text malformed.  Spark's parser stops at the end of the first
-    value, so the text is parsed as the only element of an array.  (Equal keys
-    need the session setting below, which only changes what was an error.)
+    value, so the text is parsed once, as the first element of an array whose second
+    is the text's own 64-bit hash.  Whatever in the text ends the array or the element
+    early (``]``, ``],[1``, a second value) leaves another second element or none, since a
+    text cannot spell its own hash.  (Equal keys need the session setting below, which
+    only changes what was an error.)
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     bom = "\ufeff"
-    df = df.withColumn("_all", F.expr(
-        f"try_parse_json(concat('[', CASE WHEN startswith(`{body}`, '{bom}') THEN substring(`{body}`, 2) ELSE `{body}` END, ']'))"))
-    return df.withColumn(v, F.expr("CASE WHEN try_variant_get(_all, '$[1]', 'variant') IS NULL "
-                                   "THEN try_variant_get(_all, '$[0]', 'variant') END")).drop("_all")
+    df = df.withColumn("_text", F.expr(f"CASE WHEN startswith(`{body}`, '{bom}') THEN substring(`{body}`, 2) ELSE `{body}` END"))
+    df = df.withColumn("_all", F.expr("try_parse_json(concat('[', _text, ',', CAST(xxhash64(_text) AS STRING), ']'))"))
+    return df.withColumn(v, F.expr("CASE WHEN try_variant_get(_all, '$[1]', 'bigint') = xxhash64(_text) "
+                                   "THEN try_variant_get(_all, '$[0]', 'variant') END")).drop("_all", "_text")
 
 
 def field(v: Column, name: str) -> Column:

@@ -260,18 +260,35 @@ def state_before(ops: DataFrame, keys: list[str], base_keys: DataFrame,
             .drop("_prev", "_carry", "_base", "_bucket"))
 
 
-def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFrame,
-                      n_buckets: int | None = None) -> Applied:
-    """A mixed link/unlink batch; the last operation per (lot, item) decides."""
-    keys = ["lot_id", "inventory_id"]
+LINK_KEYS = ["lot_id", "inventory_id"]
+
+
+def _link_ops(payloads: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the link requests resolved, every link and unlink as seq, source, lot_id, inventory_id, op)."""
     links = resolve_links(payloads, inventory, "link")
     unl, f = js.expand(parsed(payloads, "unlink"), "v", ["inventory_id"])
     # Fenced: the joins infer that the key is not NULL, and that filter would repeat the parse.
     unl = fence(unl.select("seq", "source", F.col("target_id").alias("lot_id"),
                            js.js_text(f["inventory_id"], "", trim=False).alias("inventory_id")))
-    ops = (links.where(F.col("reason").isNull()).select("seq", "source", *keys, F.lit("link").alias("op"))
-           .unionByName(unl.select("seq", "source", *keys, F.lit("unlink").alias("op"))))
-    last = ops.groupBy(*keys).agg(F.max_by("op", F.struct("seq", "source")).alias("last_op"))
+    return links, (links.where(F.col("reason").isNull()).select("seq", "source", *LINK_KEYS, F.lit("link").alias("op"))
+                   .unionByName(unl.select("seq", "source", *LINK_KEYS, F.lit("unlink").alias("op"))))
+
+
+def _last(ops: DataFrame) -> DataFrame:
+    return ops.groupBy(*LINK_KEYS).agg(F.max_by("op", F.struct("seq", "source")).alias("last_op"))
+
+
+def last_links(payloads: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The batch's last operation on each (lot, item), as ``sources.ledger.log_links`` stores it."""
+    return _last(_link_ops(payloads, inventory)[1])
+
+
+def apply_link_unlink(bridge: DataFrame, payloads: DataFrame, inventory: DataFrame,
+                      n_buckets: int | None = None) -> Applied:
+    """A mixed link/unlink batch; the last operation per (lot, item) decides."""
+    keys = LINK_KEYS
+    links, ops = _link_ops(payloads, inventory)
+    last = _last(ops)
     table = (bridge.select(*keys).join(last, keys, "left_anti")
              .unionByName(last.where(F.col("last_op") == "link").select(*keys))
              .select("inventory_id", "lot_id"))

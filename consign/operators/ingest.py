@@ -6,12 +6,14 @@ rejected rows as ``(source, seq, entity, reason)``.  A line that is no envelope,
 or names no known entity, is rejected by ``misfits``; so every input line is
 accepted or rejected once.
 
-Parsing and coercion are per-row projections (no shuffle).  The only shuffle
-is the unique-SKU rule for inventory (J6): first arrival per SKU wins, and a
-SKU already stored is refused.  It is a ``min(seq)`` per SKU -- a partial aggregate, so a SKU sent a million times costs one row per task in
-the shuffle -- followed by an anti-join on SKU with one row per key on both
-sides, so no hot SKU ever lands in one task; the requests then look their own
-number up among the winners.
+Parsing and coercion are per-row projections (no shuffle).  Only inventory
+shuffles, for the unique SKU (J6).  A request is a (source, seq); the first valid
+line that delivers it counts, in the order of arrival time and content, and a line
+delivered again is refused as the database would refuse its id.  Of the requests the first
+per SKU by (seq, source) wins, unless the SKU is stored.  Equal lines of an input
+partition are counted, first lines and first requests are minima: partial aggregates, so a
+line, a number or a SKU sent a million times costs a row a task in the shuffle.  The
+lines then look themselves up among the winners, in a join that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -154,24 +156,46 @@ def inventory_fields(p: DataFrame) -> DataFrame:
                      "cost_cents")
 
 
-def ingest_inventory(payloads: DataFrame, existing: DataFrame) -> Ingested:
-    """Validate, coerce, then enforce the unique SKU."""
+CONTENT = ("arrived_at", "sku", "title", "category", "quantity", "cost_cents")
+
+
+def inventory_lines(payloads: DataFrame) -> DataFrame:
+    """D1 without J6: the distinct lines of each input partition, how many there are of each (``_n``), and the reason
+    of those that are refused whatever is stored."""
     p = inventory_fields(parsed(payloads, "inventory"))
     reason = F.coalesce(_body_reason(F.col("v")), _first(
         ((F.col("sku") == "") | (F.col("title") == "") | (F.col("category") == ""), REQUIRED["inventory"]),
         (F.col("quantity").isNull() | F.col("cost_cents").isNull(), OUT_OF_RANGE)))
-    checked = fence(p.withColumn("reason", reason).drop("v"))
-    # The earliest valid request per SKU wins unless the SKU is stored.  ``min_by``
-    # keeps one row per SKU and task before the shuffle, so a hot SKU costs one row a task.
-    winners = (checked.where(F.col("reason").isNull()).groupBy("sku").agg(F.min(F.struct(*ORDER)).alias("w"))
-               .join(existing.select("sku"), "sku", "left_anti")
-               .select(F.col("w.seq").alias("_wseq"), F.col("w.source").alias("_wsource"), F.lit(True).alias("_won")))
-    won = (F.col("seq") == F.col("_wseq")) & F.col("source").eqNullSafe(F.col("_wsource"))
-    lost = F.when(F.col("_won").isNull(), F.lit(INSERT_FAILED))
-    cols = [_id(), "sku", "title", "category", F.lit("staged").alias("status"), "cost_cents", "quantity",
-            created_at(F.col("arrived_at")).alias("created_at"), "seq",
-            F.col("entity").alias("_entity"), F.col("source").alias("_source"), F.coalesce("reason", lost).alias("reason")]
-    return Ingested(checked.join(winners, won, "left").select(*cols))
+    checked = fence(p.withColumn("reason", reason).withColumn("_part", F.spark_partition_id()).drop("v"))
+    return checked.groupBy(*checked.columns).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def first_claims(lines: DataFrame) -> DataFrame:
+    """The batch's claim to each SKU: (sku, seq, source, _line) of the first request, and the line that counts for it."""
+    line = F.struct(*CONTENT, "_part")
+    requests = lines.where(F.col("reason").isNull()).groupBy("seq", "source").agg(F.min(line).alias("_line"))
+    first = requests.groupBy(F.col("_line.sku").alias("sku")).agg(F.min(F.struct(*ORDER, "_line")).alias("_first"))
+    return first.select("sku", "_first.*")
+
+
+def decided(lines: DataFrame, granted: DataFrame) -> Ingested:
+    """Every line accepted or refused; ``granted``: the claims whose SKU was not taken."""
+    won = granted.select(F.col("seq").alias("_wseq"), F.col("source").alias("_wsource"), F.col("_line").alias("_won"))
+    same = ((F.col("seq") == F.col("_wseq")) & F.col("source").eqNullSafe(F.col("_wsource"))
+            & F.struct(*CONTENT, "_part").eqNullSafe(F.col("_won")))
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")
+    each = lines.join(won, same, "left").select("*", one)
+    lost = F.when(F.col("_won").isNull() | (F.col("_copy") > 1), F.lit(INSERT_FAILED))
+    return Ingested(each.select(
+        _id(), "sku", "title", "category", F.lit("staged").alias("status"), "cost_cents", "quantity",
+        created_at(F.col("arrived_at")).alias("created_at"), "seq", F.col("entity").alias("_entity"),
+        F.col("source").alias("_source"), F.coalesce("reason", lost).alias("reason")))
+
+
+def ingest_inventory(payloads: DataFrame, existing: DataFrame) -> Ingested:
+    """Validate, coerce, then enforce the unique SKU."""
+    lines = inventory_lines(payloads)
+    return decided(lines, first_claims(lines).join(existing.select("sku"), "sku", "left_anti"))
 
 
 SALE_MONEY = ("sold_price", "buyer_shipping", "platform_fees", "promo_fee",

@@ -94,6 +94,22 @@ def photo_by_id(photos: DataFrame, photo_id: str) -> DataFrame:
             .select("id", "r2_key", "content_type").orderBy("id").limit(1))
 
 
+IN_LIST = 10  # values of one IN that Parquet's row-group filters still look at one by one
+
+
+def lookup_values(table: DataFrame, key: str, values: list) -> DataFrame:
+    """P4 and J4 for values at hand: the rows whose ``key`` is one of them.
+
+    The values reach the scan as INs short enough to be looked up in each row group's statistics
+    and Bloom filter (``sources.ledger.BLOOM``), so row groups without any are skipped.
+    """
+    wanted = sorted({v for v in values if v is not None})
+    found = F.lit(False)
+    for i in range(0, len(wanted), IN_LIST):
+        found = found | F.col(key).isin(wanted[i:i + IN_LIST])
+    return table.where(found)
+
+
 def lookup_by_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """P4 in bulk: a semi-join against a key table instead of N point queries."""
     return table.join(keys.select(key).dropDuplicates(), key, "left_semi")

@@ -16,7 +16,8 @@ def _raw(spark, sf_dir, name):
 
 def q_ingest_inventory(spark, sf_dir):
     existing = L.inventory_from(_raw(spark, sf_dir, "part"))
-    return ingest.ingest_inventory(PL.inventory_payloads(_raw(spark, sf_dir, "part")), existing).accepted
+    requests = PL.delivered_again(PL.inventory_payloads(_raw(spark, sf_dir, "part")))
+    return ingest.ingest_inventory(requests, existing).accepted
 
 
 def q_ingest_sales(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ingest, report, views
+from ..operators import changes, ingest, report, views
 from ..session import scratch_path
 from ..sources import ledger as L
 from ..sources import objects
@@ -43,7 +43,7 @@ def q_stream_ingest_lots(spark, sf_dir):
 
 def q_stream_ingest_inventory(spark, sf_dir):
     part = L.load_raw(spark, sf_dir, "part")
-    return _streamed(spark, "inventory", PL.inventory_payloads(part), L.inventory_from(part))
+    return _streamed(spark, "inventory", PL.delivered_again(PL.inventory_payloads(part)), L.inventory_from(part))
 
 
 # ------------------------------------------------------------ the stored layout
@@ -92,17 +92,68 @@ def q_stored_sales_profit_titled(spark, sf_dir):
 
 
 def q_stored_append_sales(spark, sf_dir):
-    """Two sources' requests appended to a snapshot, the first of them twice, and read back."""
+    """Two sources' requests appended to a ledger, the first of them twice, and read back from its root."""
     root = scratch_path(spark, "append-ledger")
-    at = L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
     staged = scratch_path(spark, "accepted-sales")  # an append reads its rows several times
     ingest.ingest_sales(PL.sale_payloads(L.load_raw(spark, sf_dir, "lineitem"))).accepted.write.parquet(staged)
     accepted = spark.read.parquet(staged)
     for batch in (accepted.where("seq % 2 = 0"), accepted.where("seq % 2 = 1"), accepted.where("seq % 2 = 0")):
-        L.append_new_rows(batch, at, "sales")
+        L.append_new_rows(batch.unionByName(batch.where("seq % 5 = 0")), root, "sales")
     return L.read_snapshot(spark, root).sales.select(*views.SALES_COLS)
 
 
+def q_stored_patch_inventory(spark, sf_dir):
+    """D7 on the stored ledger: the files that hold a patched item written anew."""
+    root = scratch_path(spark, "patched-ledger")
+    L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    patches = PL.inventory_patch_payloads(L.load_raw(spark, sf_dir, "lineitem"))
+    L.rewrite(spark, root, "inventory", patches.select(F.col("target_id").alias("id")),
+              lambda items: changes.patch_inventory(items, patches).table)
+    return L.read_snapshot(spark, root).inventory.select(*views.INVENTORY_COLS)
+
+
+def q_stored_edit_delete_items(spark, sf_dir):
+    root = scratch_path(spark, "edited-ledger")
+    L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    edits = PL.item_edit_payloads(L.load_raw(spark, sf_dir, "orders"))
+    L.rewrite(spark, root, "inventory", edits.select(F.col("target_id").alias("id")),
+              lambda items: changes.edit_delete_items(items, edits).table)
+    return L.read_snapshot(spark, root).inventory.select(*views.INVENTORY_COLS, "listed_date")
+
+
+def _relinked(spark, sf_dir):
+    """The stored ledger after a mixed batch of links and unlinks, in two parts by number."""
+    root = scratch_path(spark, "linked-ledger")
+    L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    li = L.load_raw(spark, sf_dir, "lineitem")
+    requests, middle = PL.link_unlink_payloads(li), li.agg(F.percentile("l_orderkey", 0.5).cast("long")).first()[0]
+    cut = middle * 8 * PL.SEQ_SCALE
+    for part in (requests.where(F.col("seq") < cut), requests.where(F.col("seq") >= cut)):
+        L.log_links(changes.last_links(part, L.read_table(spark, root, "inventory")), root)
+    return root
+
+
+def q_stored_unlink_items(spark, sf_dir):
+    """D5, D6 and J8 merged on read."""
+    return L.read_snapshot(spark, _relinked(spark, sf_dir)).inventory_lots
+
+
+def q_stored_unlink_compacted(spark, sf_dir):
+    root = _relinked(spark, sf_dir)
+    L.compact(spark, root, "inventory_lots")
+    return L.read_table(spark, root, "inventory_lots")
+
+
+def q_lookup_by_keys(spark, sf_dir):
+    """P4 in bulk and J4: the stored items of the SKUs of one day's requests."""
+    root = scratch_path(spark, "lookup-ledger")
+    L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
+    wanted = L.load_raw(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(
+        F.concat(F.lit("SKU-"), F.col("o_custkey").cast("string")).alias("sku"))
+    return views.lookup_by_keys(L.read_snapshot(spark, root).inventory, wanted, "sku").select(*views.INVENTORY_COLS)
+
+
 def log_lines_from(events):
     """Log lines rendered from events (hits and misses of the error scan)."""
     e = F.col("event_id")
@@ -174,6 +225,11 @@ FILES = {
     "stored_sales_profit": q_stored_sales_profit,
     "stored_sales_profit_titled": q_stored_sales_profit_titled,
     "stored_append_sales": q_stored_append_sales,
+    "stored_patch_inventory": q_stored_patch_inventory,
+    "stored_edit_delete_items": q_stored_edit_delete_items,
+    "stored_unlink_items": q_stored_unlink_items,
+    "stored_unlink_compacted": q_stored_unlink_compacted,
+    "lookup_by_keys": q_lookup_by_keys,
     "log_error_lines": q_log_error_lines,
     "photo_catalogue": q_photo_catalogue,
     "photo_misfits": q_photo_misfits,

@@ -26,7 +26,7 @@ def st(k: str) -> str:
             "ELSE 'sold' END")
 
 
-INV_PAY = f"""ip AS (
+INV_PAY = f"""ip0 AS (
   SELECT p_partkey AS seq,
          CASE WHEN p_partkey % 10 = 0 THEN 'SKU-' || p_partkey ELSE 'NEW-' || (p_partkey // 2) END AS sku,
          p_name AS title, p_type AS category, {cents('p_retailprice')} AS cost_cents,
@@ -34,8 +34,17 @@ INV_PAY = f"""ip AS (
          p_size,
          (p_partkey % 11 <> 0 AND p_partkey % 13 <> 0) AS valid
   FROM part),
-win AS (SELECT sku, min(seq) AS seq FROM ip WHERE valid GROUP BY sku),
-fresh AS (SELECT seq FROM win WHERE sku NOT IN (SELECT sku FROM inventory))"""
+ip AS (
+  SELECT seq, sku, title, category, cost_cents, quantity, valid AND seq % 37 <> 7 AS valid, 1 AS delivery,
+         {arrived('seq')} AS arrived FROM ip0
+  UNION ALL
+  SELECT seq, CASE WHEN seq % 37 = 6 THEN regexp_replace(sku, '^(SKU|NEW)-', 'AGAIN-') ELSE sku END, title, category,
+         cost_cents, quantity, valid, 2,
+         CASE WHEN seq % 37 = 5 THEN {arrived('seq')} ELSE replace({arrived('seq')}, '2024-02', '2024-03') END
+  FROM ip0 WHERE seq % 37 IN (5, 6, 7)),
+req AS (SELECT * FROM ip WHERE valid QUALIFY row_number() OVER (PARTITION BY seq ORDER BY delivery) = 1),
+win AS (SELECT sku, min(seq) AS seq FROM req GROUP BY sku),
+fresh AS (SELECT seq, delivery FROM win JOIN req USING (sku, seq) WHERE sku NOT IN (SELECT sku FROM inventory))"""
 
 SALE_PAY = f"""sp AS (SELECT *, {LSEQ} AS seq FROM lineitem),
 sale_ok AS (
@@ -54,7 +63,7 @@ sale_ok AS (
          CASE seq % 29 WHEN 4 THEN '1e-7' WHEN 5 THEN '1e+21' WHEN 6 THEN '12.5'
               ELSE CASE WHEN l_linenumber = 1 THEN '' ELSE 'n' || l_linenumber END END AS note,
          {arrived('seq')} AS created_at, seq
-  FROM sp WHERE seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 29 <> 1)"""
+  FROM sp WHERE seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 29 NOT IN (1, 7, 8, 9))"""
 
 EXP_PAY = f"""exp_ok AS (
   SELECT {rid('expense', 'event_id')} AS id, {day('ts')} AS date, event_type AS category,
@@ -198,8 +207,8 @@ def change_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["ingest_inventory"] = with_ledger(f"""
 SELECT {rid('inventory', 'ip.seq')} AS id, ip.sku, title, category, 'staged' AS status,
-       cost_cents, quantity, {arrived('ip.seq')} AS created_at, ip.seq
-FROM ip JOIN fresh USING (seq)""", INV_PAY)
+       cost_cents, quantity, arrived AS created_at, ip.seq
+FROM ip JOIN fresh USING (seq, delivery)""", INV_PAY)
     q["ingest_sales"] = with_ledger("SELECT * FROM sale_ok", SALE_PAY)
     q["stored_append_sales"] = with_ledger(f"SELECT {SALES_COLS} FROM sales UNION ALL SELECT {SALES_COLS} FROM sale_ok", SALE_PAY)
     q["log_error_lines"] = """
@@ -221,10 +230,10 @@ FROM lp0 WHERE has_title AND status <> 'x'""", LOT_PAY)
 SELECT {source('seq')} AS source, * FROM (
   SELECT seq, 'inventory' AS entity, 'sku/title/category required' AS reason FROM ip WHERE NOT valid
   UNION ALL
-  SELECT seq, 'inventory', 'insert_failed' FROM ip WHERE valid AND seq NOT IN (SELECT seq FROM fresh)
+  SELECT seq, 'inventory', 'insert_failed' FROM ip WHERE valid AND (seq, delivery) NOT IN (SELECT (seq, delivery) FROM fresh)
   UNION ALL
   SELECT {LSEQ}, 'sale', 'date/sku/order_ref required' FROM lineitem
-  WHERE {LSEQ} % 11 = 0 OR {LSEQ} % 13 = 0 OR {LSEQ} % 29 = 1
+  WHERE {LSEQ} % 11 = 0 OR {LSEQ} % 13 = 0 OR {LSEQ} % 29 IN (1, 7, 8, 9)
   UNION ALL
   SELECT event_id, 'expense', CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'date/category required'
                                    ELSE 'amount_out_of_range' END FROM events
@@ -239,11 +248,12 @@ SELECT CASE WHEN n_nationkey % 4 <> 0 THEN 'dev-9' END,
        CASE n_nationkey % 4 WHEN 1 THEN 'unknown_entity' ELSE 'bad_envelope' END
 FROM nation""", INV_PAY + "," + LOT_PAY)
     q["ingest_parse_errors"] = f"""
-SELECT 'inventory' AS entity, CAST(count(*) AS BIGINT) AS n_payloads,
-       CAST(sum(CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unparsable,
+SELECT 'inventory' AS entity, CAST(sum(CASE WHEN p_partkey % 37 IN (5, 6, 7) THEN 2 ELSE 1 END) AS BIGINT) AS n_payloads,
+       CAST(sum(CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 37 = 7 THEN 1 ELSE 0 END
+                     WHEN p_partkey % 37 IN (5, 6, 7) THEN 2 ELSE 1 END) AS BIGINT) AS n_unparsable,
        CAST(0 AS BIGINT) AS n_not_object FROM part
 UNION ALL
-SELECT 'sale', count(*), sum(CASE WHEN {LSEQ} % 11 = 0 OR {LSEQ} % 29 = 1 THEN 1 ELSE 0 END), 0 FROM lineitem
+SELECT 'sale', count(*), sum(CASE WHEN {LSEQ} % 11 = 0 OR {LSEQ} % 29 IN (1, 7, 8, 9) THEN 1 ELSE 0 END), 0 FROM lineitem
 UNION ALL
 SELECT 'expense', count(*), sum(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END), 0 FROM events
 UNION ALL
@@ -252,8 +262,8 @@ SELECT 'lot', count(*), sum(CASE WHEN s_suppkey % 11 = 0 THEN 1 ELSE 0 END), 0 F
         q[f"stream_ingest_{entity}"] = q[f"ingest_{entity}"]
     q["ingest_numbers"] = f"""
 SELECT seq,
-       CAST(CASE WHEN seq % 11 = 0 OR seq % 29 = 1 OR seq % 19 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS sale_qty,
-       CAST(CASE WHEN seq % 11 = 0 OR seq % 29 = 1 THEN 1 WHEN seq % 19 = 0 THEN 0 ELSE l_quantity END AS BIGINT)
+       CAST(CASE WHEN seq % 11 = 0 OR seq % 29 IN (1, 7, 8, 9) OR seq % 19 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS sale_qty,
+       CAST(CASE WHEN seq % 11 = 0 OR seq % 29 IN (1, 7, 8, 9) THEN 1 WHEN seq % 19 = 0 THEN 0 ELSE l_quantity END AS BIGINT)
          AS item_quantity
 FROM (SELECT *, {LSEQ} AS seq FROM lineitem)"""
     q["cost_precedence"] = f"""
@@ -289,6 +299,11 @@ SELECT inventory_id, lot_id FROM last_op WHERE last_op = 'link'""", MIXED)
 SELECT entity, outcome, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT * FROM pout UNION ALL SELECT * FROM lout UNION ALL SELECT * FROM mout)
 GROUP BY entity, outcome""", PATCH + "," + LOT_PATCH + "," + MIXED)
+    q["stored_patch_inventory"] = q["patch_inventory"]
+    q["stored_unlink_items"] = q["stored_unlink_compacted"] = q["unlink_items"]
+    q["lookup_by_keys"] = with_ledger("""
+SELECT id, sku, title, category, status, cost_cents, quantity, created_at FROM inventory
+WHERE sku IN (SELECT 'SKU-' || o_custkey FROM orders WHERE o_orderkey % 3 = 0)""")
     q["edit_delete_items"] = with_ledger("""
 SELECT i.id, i.sku, COALESCE(a.new_title, i.title) AS title,
        COALESCE(a.new_category, i.category) AS category, COALESCE(a.new_status, i.status) AS status,
@@ -296,6 +311,7 @@ SELECT i.id, i.sku, COALESCE(a.new_title, i.title) AS title,
        i.created_at, a.new_listed AS listed_date
 FROM inventory i LEFT JOIN eagg a ON a.target_id = i.id
 WHERE i.id NOT IN (SELECT target_id FROM first_del)""", EDITS)
+    q["stored_edit_delete_items"] = q["edit_delete_items"]
     q["edit_delete_outcomes"] = with_ledger("""
 SELECT entity, outcome, CAST(count(*) AS BIGINT) AS n FROM eout GROUP BY entity, outcome""", EDITS)
     return q

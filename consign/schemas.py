@@ -37,6 +37,9 @@ LOTS = _s(("id", S), ("title", S), ("note", S), ("status", S), ("created_at", S)
 
 INVENTORY_LOTS = _s(("inventory_id", S), ("lot_id", S))
 
+# The last link or unlink of each (item, lot) of a batch.
+LINK_LOG = _s(("inventory_id", S), ("lot_id", S), ("last_op", S))
+
 PHOTOS = _s(("id", S), ("inventory_id", S), ("r2_key", S), ("content_type", S),
             ("size_bytes", L), ("created_at", S))
 

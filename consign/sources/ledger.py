@@ -1,37 +1,43 @@
 """Ledger tables: scans of the stored layout (S1-S6), sinks (S8, S11), and the
 deterministic derivation of the six tables from the shared test tables.
 
-Stored layout (the production path): one Parquet directory per table under a
-snapshot root.  Sales and Expenses are partitioned by ``month = left(date, 7)``
-and sorted by date inside files, so a date range prunes directories and row
-groups.  The other tables are range-partitioned and sorted by the key they are looked
-up by (``CLUSTER``), so a lookup skips row groups.  A ledger folder holds
-snapshots and a pointer table; readers follow the pointer, which is written last.  ``month`` is declared a string so partition values are never inferred
-as dates.
+Stored layout (the production path): ``<root>/<snapshot>/<table>/batch=<name>``, Parquet,
+where ``commits`` says which snapshot and batches count.  Sales and Expenses are
+partitioned by ``month = left(date, 7)`` and sorted by date inside files, so a date range
+prunes directories and row groups.  The other tables are range-partitioned and sorted by
+the key they are looked up by (``CLUSTER``), so a lookup skips row groups; columns in
+``BLOOM`` have a Bloom filter in every row group, so a lookup by one that the files are
+not sorted by skips row groups too.  ``month`` is declared a string so partition values
+are never inferred as dates.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..functions.js import round_half_up_cents
+from .commits import APPEND, REMOVE, REPLACE, SNAPSHOT, Conflict, State, commit, state
 
 TABLES = ("inventory", "sales", "expenses", "lots", "inventory_lots", "photos")
+LINK_LOG = "inventory_lots_log"  # links and unlinks since the bridge was last compacted
 SCHEMAS = {
     "inventory": schemas.INVENTORY, "sales": schemas.SALES, "expenses": schemas.EXPENSES,
     "lots": schemas.LOTS, "inventory_lots": schemas.INVENTORY_LOTS, "photos": schemas.PHOTOS,
+    LINK_LOG: schemas.LINK_LOG,
 }
 PARTITIONED = ("sales", "expenses")
 CLUSTER = {"inventory": ["id"], "lots": ["id"], "inventory_lots": ["lot_id", "inventory_id"],
-           "photos": ["inventory_id", "id"], "sales": ["month", "date", "id"], "expenses": ["month", "date", "id"]}
-POINTER = StructType([StructField("n", LongType()), StructField("snapshot", StringType())])
+           "photos": ["inventory_id", "id"], "sales": ["month", "date", "id"], "expenses": ["month", "date", "id"],
+           LINK_LOG: ["lot_id", "inventory_id"]}
+BLOOM = {"inventory": ["id", "sku"], "photos": ["id"], "inventory_lots": ["inventory_id"], "lots": ["id"]}
+BASE = "base"
 
 
 @dataclass
@@ -72,90 +78,176 @@ def _laid_out(df: DataFrame, name: str) -> DataFrame:
     return df.repartitionByRange(*CLUSTER[name]).sortWithinPartitions(*CLUSTER[name])
 
 
-def _write(df: DataFrame, path: str, name: str, mode: str) -> None:
-    w = _laid_out(df, name).write.mode(mode)
-    (w.partitionBy("month") if name in PARTITIONED else w).parquet(path)
-
-
-def stored(read) -> DataFrame | None:
-    """What ``read()`` opens, or None if nothing is stored there yet; any other error is raised."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _folder(root: str, snapshot: str, name: str, batch: str) -> str:
+    return f"{root}/{snapshot}/{name}/batch={batch}"
 
 
-def current(spark: SparkSession, root: str) -> str:
-    """The snapshot folder that the pointer names, or the folder itself where there is no pointer."""
-    p = stored(lambda: spark.read.schema(POINTER).parquet(f"{root}/pointer"))
-    last = p.agg(F.max(F.struct("n", "snapshot")).alias("last")).first()["last"] if p is not None else None
-    return f"{root}/{last['snapshot']}" if last else root
+def _write(df: DataFrame, path: str, name: str) -> None:
+    w = _laid_out(df, name).write.mode("errorifexists")
+    for c in BLOOM.get(name, []):
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+    (w.partitionBy("month") if name in PARTITIONED else w).parquet(path)
 
 
-def write_snapshot(ledger: Ledger, root: str) -> str:
-    """Write every table as a new snapshot and switch to it; returns the snapshot's folder.
+def write_snapshot(ledger: Ledger, root: str, seen: State | None = None) -> State:
+    """Write every table as a new snapshot and switch to it in one commit; returns the new state.
 
-    The tables go to a fresh folder, then one row is added to the pointer table.  A
-    job that fails halfway leaves the pointer, and so every reader, where it was; a
-    snapshot that is being read is never overwritten.
+    A job that fails halfway leaves every reader where it was, and a snapshot that is being read is
+    never overwritten.  A ledger that was made from the stored one passes the state it read
+    (``seen``); ``Conflict`` is raised if something was committed since.
     """
     spark = ledger.sales.sparkSession
-    name = f"snapshot-{uuid.uuid4().hex}"
+    seen, name = seen or state(spark, root), f"snapshot-{uuid.uuid4().hex}"
     for t in TABLES:
-        _write(getattr(ledger, t), f"{root}/{name}/{t}", t, "errorifexists")
-    p = stored(lambda: spark.read.schema(POINTER).parquet(f"{root}/pointer"))
-    n = 1 + ((p.agg(F.max("n")).first()[0] or 0) if p is not None else 0)
-    spark.createDataFrame([(n, name)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return f"{root}/{name}"
+        _write(getattr(ledger, t), _folder(root, name, t, BASE), t)
+    commit(spark, root, seen, [(SNAPSHOT, name, t, BASE) for t in TABLES])
+    return State(seen.n + 1, name, {t: [BASE] for t in TABLES})
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Typed scan, never schema inference."""
-    sch = SCHEMAS[name]
-    if name in PARTITIONED:
-        # A new StructType: ``StructType.add`` would change the shared schema in place.
-        sch = StructType(list(sch.fields) + [StructField("month", StringType(), True)])
-    return spark.read.schema(sch).parquet(f"{root}/{name}")
+def _stored_type(name: str) -> StructType:
+    # A new StructType: ``StructType.add`` would change the shared schema in place.
+    extra = ["batch", "month"] if name in PARTITIONED else ["batch"]
+    return StructType([*SCHEMAS[name].fields, *[StructField(c, StringType()) for c in extra]])
+
+
+def _scan(spark: SparkSession, root: str, name: str, at: State) -> DataFrame:
+    """The table's rows with their batch and month; files that were taken out are pruned when the scan is planned."""
+    batches, removed = at.batches.get(name, []), at.removed.get(name, [])
+    if not batches:
+        return spark.createDataFrame([], _stored_type(name))
+    df = (spark.read.schema(_stored_type(name)).option("basePath", f"{root}/{at.snapshot}/{name}")
+          .parquet(*[_folder(root, at.snapshot, name, b) for b in batches]))
+    return df.where(~F.col("_metadata.file_path").isin(removed)) if removed else df
+
+
+def read_table(spark: SparkSession, root: str, name: str, at: State | None = None) -> DataFrame:
+    """Typed scan, never schema inference; every committed batch of the current snapshot."""
+    return _scan(spark, root, name, at or state(spark, root)).drop("batch")
 
 
-def read_snapshot(spark: SparkSession, root: str) -> Ledger:
-    """The ledger at the current snapshot."""
-    at = current(spark, root)
-    return Ledger(*[read_table(spark, at, t) for t in TABLES])
+def read_snapshot(spark: SparkSession, root: str, at: State | None = None) -> Ledger:
+    """The ledger as of one commit, the last if none is given: all tables at the same state."""
+    at = at or state(spark, root)
+    return Ledger(**{t: read_bridge(spark, root, at) if t == "inventory_lots" else read_table(spark, root, t, at)
+                     for t in TABLES})
 
 
 KEYS = {"inventory_lots": ["inventory_id", "lot_id"]}  # every other table: ["id"]
 
 
+def _add(spark: SparkSession, root: str, name: str, rows: Callable[[State], DataFrame | None],
+         more: Callable[[State], list[tuple]] = lambda _: [], action: str = APPEND) -> None:
+    """Write ``rows`` of the state as a batch and commit it, with ``more`` rows; nothing where it gives None.
+
+    What the rows were made from has to stand when they are committed: if another writer has changed the table
+    meanwhile, they are made again; if it changed others only, the commit alone is tried again.
+    """
+    seen = state(spark, root)
+    while True:
+        snapshot = seen.snapshot or f"snapshot-{uuid.uuid4().hex}"
+        # Batches sort by name in the order of their commits.
+        batch = f"{seen.n + 1:012d}-{uuid.uuid4().hex}"
+        df = rows(seen)
+        if df is None:
+            return
+        _write(df, _folder(root, snapshot, name, batch), name)
+        entry = [(action, snapshot, name, batch), *[(a, snapshot, t, i) for a, t, i in more(seen)]]
+        if not seen.snapshot:
+            entry.append((SNAPSHOT, snapshot, None, None))
+        while True:
+            try:
+                return commit(spark, root, seen, entry)
+            except Conflict:
+                before, seen = seen, state(spark, root)
+                if seen.of(name) != before.of(name):
+                    break
+
+
 def append_rows(df: DataFrame, root: str, name: str) -> None:
-    """Append accepted rows to a stored table (as given; see ``append_new_rows``)."""
-    _write(df, f"{root}/{name}", name, "append")
+    """Append accepted rows to a stored table, as given; see ``append_new_rows``."""
+    _add(df.sparkSession, root, name, lambda _: df)
 
 
 def append_new_rows(df: DataFrame, root: str, name: str) -> None:
-    """S8, safe to re-run: append only rows whose key is not stored yet.
+    """S8, safe to re-run: append rows whose key is not stored yet, one row a key.
 
     Ingested ids are ``sha2(source | entity | seq)``, so a job run again after it
     already committed (driver restart, orchestrator retry) finds its rows stored and
-    appends nothing.  The key lookup reads only the key columns.  For Sales and
-    Expenses it reads only the months the new rows span: the month bounds are
-    a scalar subquery in the scan's partition filter, evaluated at run time
-    (Spark's dynamic partition pruning does not apply to anti joins).
+    appends nothing.  Of rows of one key in ``df`` the least counts.  The key lookup reads
+    only the key columns.  For Sales and Expenses it reads only the months the new rows
+    span: the month bounds are a scalar subquery in the scan's partition filter, evaluated
+    at run time (Spark's dynamic partition pruning does not apply to anti joins).
     """
     spark = df.sparkSession
     keys = KEYS.get(name, ["id"])
-    new = df.select(*[f.name for f in SCHEMAS[name].fields])
-    held = stored(lambda: read_table(spark, root, name))
-    if held is not None:
+    fields = [f.name for f in SCHEMAS[name].fields]
+    rest = [c for c in fields if c not in keys]
+    new = df.select(*fields)
+    new = (new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest
+           else new.dropDuplicates()).select(*fields)
+
+    def rows(at: State) -> DataFrame:
+        if not at.batches.get(name):
+            return new
+        held, on, fresh = read_table(spark, root, name, at), keys, new
         if name in PARTITIONED:
-            new = new.withColumn("month", month_of(F.col("date")))
-            keys = ["month"] + keys
-            b = new.agg(F.struct(F.min("month").alias("lo"), F.max("month").alias("hi"))).scalar()
+            on, fresh = ["month", *keys], new.withColumn("month", month_of(F.col("date")))
+            b = df.select(month_of(F.col("date")).alias("month")).agg(
+                F.struct(F.min("month").alias("lo"), F.max("month").alias("hi"))).scalar()
             held = held.where(F.col("month").between(b.getField("lo"), b.getField("hi")))
-        new = new.join(held.select(*keys), keys, "left_anti")
-    _write(new, f"{root}/{name}", name, "append")
+        return fresh.join(held.select(*on), on, "left_anti")
+
+    _add(spark, root, name, rows)
+
+
+def rewrite(spark: SparkSession, root: str, name: str, targets: DataFrame,
+            change: Callable[[DataFrame], DataFrame], key: str = "id") -> int:
+    """D7-D9 on a stored table, copy on write by file; returns how many files were rewritten.
+
+    Only files that hold one of ``targets``' keys are read whole, changed and written
+    anew; the commit takes the old files out and puts the new batch in.  The key scan reads
+    the key column, and the files' names, as many as there are files, reach the driver.
+    """
+    touched: list[str] = []
+
+    def rows(at: State) -> DataFrame | None:
+        if not at.batches.get(name):
+            return None
+        wanted = targets.select(F.col(key)).where(F.col(key).isNotNull()).dropDuplicates()
+        files = (_scan(spark, root, name, at).select(key, F.col("_metadata.file_path").alias("_file"))
+                 .join(wanted, key, "left_semi").select("_file").distinct())
+        touched[:] = sorted(r[0] for r in files.collect())
+        if not touched:
+            return None
+        return change(_scan(spark, root, name, at).where(F.col("_metadata.file_path").isin(touched)).drop("batch"))
+
+    _add(spark, root, name, rows, lambda _: [(REMOVE, name, f) for f in touched])
+    return len(touched)
+
+
+def compact(spark: SparkSession, root: str, name: str) -> None:
+    """Write a stored table anew as one batch, laid out as a snapshot is; of the bridge, with its log merged in."""
+    if name == "inventory_lots":
+        _add(spark, root, name, lambda at: read_bridge(spark, root, at), lambda _: [(REPLACE, LINK_LOG, None)], REPLACE)
+    else:
+        _add(spark, root, name, lambda at: read_table(spark, root, name, at), action=REPLACE)
+
+
+def log_links(ops: DataFrame, root: str) -> None:
+    """D5/D6/J8 on the stored bridge, merge on read: one row for each (lot, item) of the batch with its last operation
+    (columns lot_id, inventory_id, last_op) goes to the log; the bridge itself is not read."""
+    _add(ops.sparkSession, root, LINK_LOG, lambda _: ops)
+
+
+def read_bridge(spark: SparkSession, root: str, at: State | None = None) -> DataFrame:
+    """The bridge with its log merged in; the last batch that names a (lot, item) decides."""
+    at = at or state(spark, root)
+    base = read_table(spark, root, "inventory_lots", at)
+    if not at.batches.get(LINK_LOG):
+        return base
+    keys = ["inventory_id", "lot_id"]
+    last = _scan(spark, root, LINK_LOG, at).groupBy(*keys).agg(F.max_by("last_op", "batch").alias("last_op"))
+    return base.join(last, keys, "left_anti").select(*keys).unionByName(last.where(F.col("last_op") == "link").select(*keys))
 
 
 # ------------------------------------------------------ derivation from test data

@@ -10,7 +10,7 @@ The ``*_payloads`` builders derive deterministic request batches from the
 shared test tables (amounts in USD, damaged by ``seq``: ``% 11`` cuts the body
 short, ``% 13`` drops a required field, ``% 17`` sends a quantity as text,
 ``% 19`` sends it as null; sales also have text after the body, repeated keys,
-byte-order marks and numbers for text, ``% 29``).  They are plain projections (no shuffle), written
+byte-order marks and numbers for text, ``% 29``; items are also delivered again, ``% 37``).  They are plain projections (no shuffle), written
 as SQL text so each stage is one JVM call.
 """
 
@@ -100,9 +100,10 @@ def fenced(df: DataFrame) -> DataFrame:
 
 
 def noisy(seq: str, body: str) -> str:
-    """``seq % 29``: 1 appends text after the body, 3 puts a byte-order mark before it."""
-    return (f"CASE WHEN {seq} % 29 = 1 THEN concat({body}, ' junk') "
-            f"WHEN {seq} % 29 = 3 THEN concat('\ufeff', {body}) ELSE {body} END")
+    """``seq % 29``: 1, 7, 8 and 9 append text after the body, 3 puts a byte-order mark before it."""
+    return (f"CASE {seq} % 29 WHEN 1 THEN concat({body}, ' junk') WHEN 7 THEN concat({body}, ']') "
+            f"WHEN 8 THEN concat({body}, '] junk') WHEN 9 THEN concat({body}, '],[1') "
+            f"WHEN 3 THEN concat('\ufeff', {body}) ELSE {body} END")
 
 
 def envelopes(raw: DataFrame, seq: str, entity: str, target: str, body: str,
@@ -146,6 +147,18 @@ def inventory_payloads(part: DataFrame) -> DataFrame:
     return envelopes(spread(part), k, "'inventory'", "NULL", body)
 
 
+def delivered_again(requests: DataFrame) -> DataFrame:
+    """The requests with lines delivered twice.  ``seq % 37``: 5 the same line again; 6 the number again, later, for
+    another SKU; 7 first cut short, so that the second line is the request."""
+    again = requests.where("seq % 37 IN (5, 6, 7)").selectExpr(
+        "source", "seq", "entity", "target_id",
+        "CASE WHEN seq % 37 = 5 THEN arrived_at ELSE concat('2024-03', substring(arrived_at, 8)) END AS arrived_at",
+        "CASE WHEN seq % 37 = 6 THEN regexp_replace(body, '(SKU|NEW)-', 'AGAIN-') ELSE body END AS body")
+    first = requests.selectExpr("source", "seq", "entity", "target_id", "arrived_at",
+                                "CASE WHEN seq % 37 = 7 THEN substring(body, 1, 9) ELSE body END AS body")
+    return fenced(first.unionByName(again))
+
+
 def sale_payloads(lineitem: DataFrame) -> DataFrame:
     s = LSEQ
     note = (f"CASE WHEN {s} % 29 = 4 THEN '1e-7' WHEN {s} % 29 = 5 THEN '1e21' WHEN {s} % 29 = 6 THEN '12.50' "
@@ -282,7 +295,7 @@ def misfit_payloads(nation: DataFrame) -> DataFrame:
 def ingest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All insert requests (inventory, sale, expense, lot) as one envelope table."""
     raw = lambda n: load_raw(spark, sf_dir, n)
-    return (inventory_payloads(raw("part"))
+    return (delivered_again(inventory_payloads(raw("part")))
             .unionByName(sale_payloads(raw("lineitem")))
             .unionByName(expense_payloads(raw("events")))
             .unionByName(lot_payloads(raw("supplier")))

@@ -7,18 +7,25 @@ overwrite, so a batch that is replayed after a failure replaces its own output a
 else.  With a ledger folder, the accepted rows of the batch are then appended to the
 stored table by key, which a replay may repeat.  Progress lives in the
 checkpoint folder, which must be on shared storage.
+
+The unique SKU (J6) holds over all batches by a second, stateful query over the claims
+of the batches (``claim_skus``): its state store has one row a SKU, the first claim by
+(batch, seq, source), and a micro-batch touches the rows of its own SKUs only.
+Accepted output of earlier batches is not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import ingest
 from ..schemas import ENVELOPE_READ
-from ..sources.ledger import SCHEMAS, append_new_rows, stored
+from ..sources.commits import stored
+from ..sources.ledger import SCHEMAS, append_new_rows
 from ..sources.payloads import read_payload_stream
 
 TABLE_OF = {"sale": "sales", "expense": "expenses", "lot": "lots", "inventory": "inventory"}
@@ -49,22 +56,52 @@ def read_output(spark: SparkSession, out_dir: str, entity: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out_dir)
 
 
+CLAIM = StructType([StructField("sku", StringType()), StructField("seq", LongType()), StructField("source", StringType()),
+                    StructField("batch_no", LongType()), StructField("attempt", StringType())])
+SEED = -1  # the batch of the SKUs that are stored when the stream first runs
+
+
+def claim_skus(claims: DataFrame, batch_id: int, folder: str, existing: DataFrame | None = None) -> DataFrame:
+    """The claims (sku, seq, source) of a batch that no earlier batch, and no ``existing`` row, made first.
+
+    The claims are added to a folder that a streaming aggregation follows: per SKU the least (batch, seq,
+    source), kept in its state store.  A later batch has a greater number, so a SKU's row never
+    changes once it is set, and a replayed batch, whose claims come again as another attempt,
+    finds what it found before.  A claim is granted if it is its SKU's row.
+    """
+    spark = claims.sparkSession
+    if existing is not None and stored(lambda: spark.read.schema("sku string").parquet(f"{folder}/seeded")) is None:
+        seed = existing.select("sku", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("source"))
+        seed.write.parquet(f"{folder}/claims/batch_no={SEED}/attempt={uuid.uuid4().hex}")
+        spark.createDataFrame([], "sku string").write.mode("overwrite").parquet(f"{folder}/seeded")
+    claims.select("sku", "seq", "source").write.parquet(f"{folder}/claims/batch_no={batch_id}/attempt={uuid.uuid4().hex}")
+
+    def granted(touched: DataFrame, _: int) -> None:
+        # The last of several runs holds all of the batch's SKUs, as every attempt does.
+        (touched.select("sku", "first.*").where(F.col("batch_no") == batch_id).select("sku", "seq", "source")
+         .write.mode("overwrite").parquet(f"{folder}/granted/batch_no={batch_id}"))
+
+    first = (spark.readStream.schema(CLAIM).option("cleanSource", "delete").parquet(f"{folder}/claims")
+             .groupBy("sku").agg(F.min(F.struct("batch_no", "seq", "source")).alias("first")))
+    (first.writeStream.outputMode("update").foreachBatch(granted).option("checkpointLocation", f"{folder}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("sku string, seq long, source string").parquet(f"{folder}/granted/batch_no={batch_id}")
+
+
 def write_batch(spark: SparkSession, entity: str, existing: DataFrame | None, out_dir: str,
                 batch: DataFrame, batch_id: int, ledger_root: str | None = None) -> None:
     """One micro-batch: transform, overwrite this batch's own output, append to the ledger.
 
-    Inventory SKUs count as stored if an earlier batch accepted them.  Only earlier
-    batches count: a replayed batch's own first attempt may already be on disk, and
-    would reject the batch's items as duplicates of themselves.
+    ``existing`` is the inventory stored when the stream first runs; from then on the stream is the one
+    that adds SKUs.
     """
-    known = None
     if entity == "inventory":
-        earlier = read_output(spark, out_dir, entity).where(
-            (F.col("batch_id") < F.lit(batch_id)) & (F.col("state") == "accepted"))
-        known = earlier.select("sku")
-        if existing is not None:
-            known = known.unionByName(existing.select("sku"))
-    checked = TRANSFORMS[entity](batch, known).checked
+        lines = ingest.inventory_lines(batch)
+        claims = ingest.first_claims(lines)
+        granted = claim_skus(claims, batch_id, f"{out_dir.rstrip('/')}-skus", existing)
+        checked = ingest.decided(lines, claims.join(granted.select("sku"), "sku", "left_semi")).checked
+    else:
+        checked = TRANSFORMS[entity](batch, None).checked
     path = f"{out_dir}/batch_id={batch_id}"
     state = F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
     checked.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(path)
@@ -82,8 +119,8 @@ def start_ingest_stream(spark: SparkSession, source_dir: str, out_dir: str, chec
     """Start the stream; returns the ``StreamingQuery``.
 
     For ``inventory`` the unique-SKU rule (J6) runs per micro-batch against
-    ``existing`` plus the SKUs accepted by earlier micro-batches, read back
-    from the accepted output (it is part of the stored inventory).
+    ``existing`` plus the SKUs of earlier micro-batches (``claim_skus``, in
+    ``<out_dir>-skus``).
     """
     if entity not in TRANSFORMS:
         raise ValueError(f"unknown entity {entity!r}")

@@ -27,6 +27,59 @@ def test_equal_numbers_of_two_sources_are_two_requests(spark):
     assert (r.accepted.count(), [x.source for x in r.rejected.collect()]) == (1, ["b"])
 
 
+def _results(r):
+    return (sorted((x.seq, x.sku) for x in r.accepted.collect()), sorted((x.source, x.seq, x.reason) for x in r.rejected.collect()))
+
+
+def test_each_line_has_one_result(spark):
+    """A number given twice to different items, and a line delivered again, in one partition and in two."""
+    item = lambda sku: {"sku": sku, "title": "t", "category": "c"}
+    for parts in (1, 3):
+        lines = envelopes(spark, [(1, "inventory", None, item("A")), (1, "inventory", None, item("B")),
+                                  (2, "inventory", None, item("B"))], "d").repartition(parts)
+        r = ingest.ingest_inventory(lines, _inventory(spark, []))
+        assert _results(r) == ([(1, "A"), (2, "B")], [("d", 1, "insert_failed")])
+        again = envelopes(spark, [(1, "inventory", None, item("A"))] * 3 + [(2, "inventory", None, "{cut")] * 2
+                          + [(3, "inventory", None, "{cut"), (3, "inventory", None, item("C"))], "d").repartition(parts)
+        required = ingest.REQUIRED["inventory"]
+        r = ingest.ingest_inventory(again, _inventory(spark, []))
+        assert _results(r) == ([(1, "A"), (3, "C")], [("d", 1, "insert_failed")] * 2 + [("d", 2, required)] * 2 + [("d", 3, required)])
+
+
+def test_the_first_arrival_of_a_number_counts(spark):
+    rows = [("d", 1, at, json.dumps({"sku": sku, "title": "t", "category": "c"})) for at, sku in
+            (("2024-01-02", "LATE"), ("2024-01-01", "EARLY"), (None, "NEVER"))]
+    lines = spark.createDataFrame(rows[:2], "source string, seq long, arrived_at string, body string").selectExpr(
+        "*", "'inventory' AS entity", "NULL AS target_id")
+    r = ingest.ingest_inventory(lines, _inventory(spark, []))
+    assert _results(r) == ([(1, "EARLY")], [("d", 1, "insert_failed")])
+
+
+def test_random_deliveries_as_one_at_a_time(spark):
+    """Against a model that takes lines one by one: a (source, seq) and a SKU are unique in the database."""
+    import random
+    rng = random.Random(5)
+    for trial in range(3):
+        lines = [(rng.choice("ab"), rng.randint(1, 12), f"2024-01-0{rng.randint(1, 3)}", rng.choice(["A", "B", "C", "D", ""]))
+                 for _ in range(80)]
+        ids, skus, want = set(), {"C"}, []
+        first = {}
+        for s, n, at, sku in sorted(lines, key=lambda x: (x[1], x[0], x[2], x[3])):
+            if sku and (s, n) not in first:
+                first[s, n] = sku
+        for (s, n), sku in sorted(first.items(), key=lambda x: (x[0][1], x[0][0])):
+            if sku not in skus:
+                skus.add(sku)
+                ids.add((s, n))
+                want.append((n, sku))
+        df = spark.createDataFrame([(s, n, at, json.dumps({"sku": sku, "title": "t", "category": "c"})) for s, n, at, sku in lines],
+                                   "source string, seq long, arrived_at string, body string").repartition(4).selectExpr(
+            "*", "'inventory' AS entity", "NULL AS target_id")
+        r = ingest.ingest_inventory(df, _inventory(spark, [("i0", "C")]))
+        accepted, rejected = _results(r)
+        assert accepted == sorted(want) and len(accepted) + len(rejected) == len(lines)
+
+
 def test_every_line_is_accepted_or_rejected(spark):
     path = scratch_path(spark, "lines")
     env = lambda **k: json.dumps({"source": "s", "arrived_at": "2024-01-01 00:00:00"} | k)
@@ -76,7 +129,9 @@ def test_json_as_javascript_reads_it(spark):
     body = json.dumps(SALE)
     rows = [(1, "sale", None, body + " junk"), (2, "sale", None, body + body), (3, "sale", None, body + ",{}"),
             (4, "sale", None, "\ufeff" + body), (5, "sale", None, '{"sku": "X", ' + body[1:]), (6, "sale", None, " " + body + "\n"),
-            (7, "sale", None, ""), (8, "sale", None, None)]
+            (7, "sale", None, ""), (8, "sale", None, None), (9, "sale", None, body + "]"), (10, "sale", None, body + "] junk"),
+            (11, "sale", None, body + "],[1"), (12, "sale", None, body + "}"), (13, "sale", None, body + ',"v":1'),
+            (14, "sale", None, body + "},{"), (15, "sale", None, body + ",")]
     for n, note in enumerate(["1e-7", "1.5e21", "12.50", "0.00001", "1e22", "123456789.125", "-2.5e-9", "1e3"], 20):
         rows.append((n, "sale", None, body[:-1] + f', "note": {note}}}'))
     r = ingest.ingest_sales(envelopes(spark, rows))
