@@ -7,7 +7,9 @@ heap holds the adjacent pairs that are tokens by rank (leftmost first among
 equals), and a merge relinks its neighbours and pushes their new pairs.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes;
-repeated rows and ids stay as they are; an empty table gives an empty result.
+repeated rows and ids stay as they are; texts of any length are whole, a few MB of them in
+memory at a time beyond one text; ranks that no token has are allowed, two ranks
+of one token are an error; an empty table gives an empty result.
 ``encode`` returns the id column and ``ids`` alone, so other columns of the
 input cannot clash.
 """
@@ -46,15 +48,18 @@ class PerfectHash:
 
     Keys fall into buckets; the fullest bucket first, each takes the smallest
     displacement that sends all its keys to free slots.  Buckets of one key
-    name their slot directly.
+    name their slot directly.  An empty key is a rank that no token has, and takes no slot.
     """
 
     def __init__(self, keys: list[bytes]) -> None:
-        self.n, self.m = len(keys), max(1, len(keys) // 3)
+        used = [i for i, k in enumerate(keys) if k]
+        if len({keys[i] for i in used}) < len(used):
+            raise ValueError("a token has two ranks")
+        self.n, self.m = len(used), max(1, len(used) // 3)
         n, m = self.n, self.m
         buckets: dict[int, list[int]] = {}
-        hashes = [xxhash.xxh3_128_intdigest(k) for k in keys]
-        for i, h in enumerate(hashes):
+        hashes = {i: xxhash.xxh3_128_intdigest(keys[i]) for i in used}
+        for i, h in hashes.items():
             buckets.setdefault(h % m, []).append(i)
         slot_key = [-1] * n
         self.shift = [0] * m
@@ -79,7 +84,9 @@ class PerfectHash:
         self.keys = keys
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 40) + d * ((h >> 84) | 1)) % self.n
+        x = ((h >> 64) ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF  # another hash for each d, whatever n divides by
+        x = (x * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
+        return (x ^ x >> 32) % self.n
 
     def rank(self, key: bytes) -> int:
         """The key's rank, or -1 if it is no token."""
@@ -87,7 +94,7 @@ class PerfectHash:
         d = self.shift[h % self.m]
         if not d:
             return -1
-        r = self.slot_key[-d - 1 if d < 0 else ((h >> 40) + d * ((h >> 84) | 1)) % self.n]
+        r = self.slot_key[-d - 1 if d < 0 else self._slot(h, d)]
         return r if self.keys[r] == key else -1
 
 

@@ -123,10 +123,10 @@ def components(edges: DataFrame) -> DataFrame:
     the smallest node reachable.
 
     Alternating stars: every node ties its larger neighbours to its smallest
-    one, then its smaller neighbours, until nothing changes.  A round is a grouped
-    minimum (one row per node and task is shuffled) and an equi-join that
-    adaptive execution can split, so a hub is never gathered in one task.  Each
-    round is a table in the shared folder; the one before it is deleted.
+    one, then its smaller neighbours, until nothing changes.  The smallest neighbours are a
+    grouped minimum (one row per node and task is shuffled) and a table of their own, so that the join
+    with the edges has an exchange on either side, which adaptive execution splits: a hub's
+    edges need not lie in one task.  Tables are in the shared folder, each deleted when the next stands.
     """
     spark = edges.sparkSession
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")
@@ -137,17 +137,17 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = (both.join(low, "a").filter(~down).select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .filter(down).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low, low_path = scratch_table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "links-low")
+        large, large_path = scratch_table(both.join(low, "a").filter(~down).select(F.col("b").alias("a"), F.col("m").alias("b"))
+                                          .filter(down).distinct(), "links-large")
+        least, least_path = scratch_table(large.groupBy("a").agg(F.min("b").alias("m")), "links-least")
+        small = large.join(least, "a")
         small = (small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(low.select("a", F.col("m").alias("b"))).distinct())
+                 .union(least.select("a", F.col("m").alias("b"))).distinct())
         nxt, nxt_path = scratch_table(small, "links")
         mark = tuple(nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
                      .first())
-        drop_scratch(spark, path)
+        drop_scratch(spark, path, low_path, large_path, least_path)
         pairs, path = nxt, nxt_path
         if mark == seen:
             break

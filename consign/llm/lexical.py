@@ -44,7 +44,7 @@ from ..session import scratch_path
 from .common import drop_scratch, scratch_table
 from .tokens import text_slices
 
-SHARD_DOCS, SHARD_POSTINGS = 16_384, 3 << 20
+SHARD_DOCS, SHARD_POSTINGS = 16_384, 1 << 20
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20  # of queries that are searched for together
 PIECE = 4 << 20  # bytes of a text that are cut into terms at a time
 NONE = -(1 << 63)  # a null document id inside a task

@@ -18,7 +18,7 @@ first entry of each bin stays.  A bin whose first entry is its sentinel is empty
 Defined cases: a null text is the empty text; a text of one to four words is one
 shingle; a text without words has the fingerprint of 256 zeros, which is like
 itself (1) and no more than by chance like others; equal texts have equal
-fingerprints; other columns are ignored.
+fingerprints; texts of any length are whole, one row at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,16 +81,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (share - F.lit(chance)) / F.lit(1.0 - chance))
 
 
-def _bucket_of(edges: list[int], id_col: Column) -> Column:
+def _numbers(values: list, kind: str) -> str:
+    """SQL for a constant array.  One text that Spark folds, not a literal for each number: their
+    number grows with the cluster's partitions, and the plan is built in one call."""
+    return f"CAST(split('{','.join(map(repr, values))}', ',') AS array<{kind}>)" if values else f"CAST(array() AS array<{kind}>)"
+
+
+def _bucket_of(edges: list[int], id_col: str) -> Column:
     """How many edges lie below the id, by binary search over a constant array."""
     if not edges:
         return F.lit(0)
     steps = len(edges).bit_length()
-    padded = F.array(*[F.lit(e).cast("long") for e in edges + [(1 << 63) - 1] * ((1 << steps) - 1 - len(edges))])
-    halves = F.array(*[F.lit(1 << (steps - 1 - s)) for s in range(steps)])
-    low = F.aggregate(halves, F.lit(0), lambda at, half: F.when(
-        F.element_at(padded, at + half) < id_col, at + half).otherwise(at))
-    return F.coalesce(low, F.lit(0))
+    padded = edges + [(1 << 63) - 1] * ((1 << steps) - 1 - len(edges))
+    halves = _numbers([1 << (steps - 1 - s) for s in range(steps)], "int")
+    return F.expr(f"coalesce(aggregate({halves}, 0, (at, half) -> "
+                  f"IF(element_at({_numbers(padded, 'bigint')}, at + half) < {id_col}, at + half, at)), 0)")
 
 
 def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
@@ -104,11 +109,11 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
     """
     spark = docs.sparkSession
     n = 4 * (parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    at = [i / n for i in range(1, n)]
-    found = docs.agg(F.percentile_approx("id", F.array(*[F.lit(x) for x in at]), 10 * n).alias("q"), F.max("id").alias("m")).first()
+    shares = _numbers([i / n for i in range(1, n)], "double")
+    found = docs.agg(F.expr(f"percentile_approx(id, {shares}, {10 * n})").alias("q"), F.max("id").alias("m")).first()
     edges = sorted({*(found["q"] or []), found["m"]} - {None})
-    own = _bucket_of(edges, F.col("id"))
-    end = F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("_own") + 1) if edges else F.lit(None)
+    own = _bucket_of(edges, "id")
+    end = F.expr(f"element_at({_numbers(edges, 'bigint')}, _own + 1)") if edges else F.lit(None)
     above = F.pmod(F.col("_own") + 1, F.lit(max(1, len(edges))))
     top = F.col("id") == end if edges else F.lit(True)
     place = F.when(F.coalesce(top, F.lit(False)),

@@ -284,8 +284,8 @@ def build(rows: DataFrame, path: str | None = None) -> Index:
     sample = (rows.filter(F.col("dim") <= SAMPLE_WIDTH).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
               .select("dim", "v").collect())
     root: dict[int, np.ndarray] = {}
-    for dim in {r.dim for r in sample}:
-        x = np.floor(np.array([r.v for r in sample if r.dim == dim], dtype=np.float64).reshape(-1, dim))
+    for dim in {r.dim for r in sample} - {0}:
+        x = np.floor(np.array([r.v for r in sample if r.dim == dim], dtype=np.float64))
         root[dim] = x[far_points(x, ROOT_SPLITS)] if is_small(x) else np.zeros((0, dim))
     shared = spark.sparkContext.broadcast(root)
 

@@ -13,7 +13,8 @@ text.  As softmax of an average is linear in the vectors, a bucket's part in the
 score is one number; the tasks get a table of ``BUCKETS`` of them.
 
 Defined cases: a null or empty text has no features and scores by the softmax's
-bias alone; labels that are null or neither 0 nor 1 are left out of training, as
+bias alone; a text of any length is scored whole, in stretches of ``STRETCH`` characters (a
+single word longer than that counts as several); labels that are null or neither 0 nor 1 are left out of training, as
 are documents with a null id or text; with one class in the sample every text
 scores that class's share, with no labels 0.5; repeated rows are scored each;
 an empty table gives an empty result; ``score_rows`` returns the id and its
@@ -30,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .tokens import text_slices
 
 BUCKETS_BITS, DIM = 17, 8
+STRETCH = 1 << 17  # characters whose features are in memory at once
+SLICE = 1 << 20  # bytes of text
 BUCKETS = 1 << BUCKETS_BITS
 TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
 EPOCHS, RATE, SEED = 5, 0.5, 7
@@ -43,46 +46,66 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32)) ^ np.uint64(kind)) * _MIX
-    return ((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - BUCKETS_BITS)
+    return (((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - BUCKETS_BITS)).astype(np.int32)
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every feature of the texts."""
-    # One array of code points, the texts apart by a blank; white space counts as a blank.
+def feature_parts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every feature of the texts, in parts of bounded size.
+
+    The texts are one array of code points, apart by a blank, that is worked on in stretches of
+    at most ``STRETCH``.  A stretch ends at a blank, which begins the next one too, and the last
+    word's hash is carried over for the pair across, so stretches change no feature.
+    """
     parts = [(t or "").encode("utf-32-le", "surrogatepass") for t in texts]
     c = np.frombuffer(b" \0\0\0" + b" \0\0\0".join(parts) + b" \0\0\0", dtype="<u4")
-    n = np.array([len(p) // 4 + 1 for p in parts], dtype=np.int64)
-    row = np.repeat(np.arange(len(texts)), n)
-    row = np.append(row, len(texts) - 1)
+    start = np.concatenate([[0], np.cumsum([len(p) // 4 + 1 for p in parts])])  # the blank before each text
     blank = (c == 32) | ((c >= 9) & (c <= 13)) | (c == 0xA0) | (c == 0x3000)
-    x = np.where(blank, 32, c).astype(np.uint64) + np.uint64(1)
-    rows, buckets = [], []
-    edge = np.flatnonzero(blank)
-    a, b = edge[:-1] + 1, edge[1:]
-    a, b = a[b > a], b[b > a]
-    # Words: the polynomial hash between two positions, from running sums modulo 2**64.
-    power = np.cumprod(np.full(len(x), _BASE, dtype=np.uint64))
-    back = np.cumprod(np.full(len(x), _BACK, dtype=np.uint64))
-    run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * power)])
-    word = (run[b] - run[a]) * back[a]
-    rows.append(row[a])
-    buckets.append(_bucket(word, 1))
-    # Word pairs by the difference of their hashes, so that every repeated word is one feature.
-    pair = row[a][1:] == row[a][:-1]
-    rows.append(row[a][1:][pair])
-    buckets.append(_bucket(word[1:][pair] - word[:-1][pair], 2))
-    # n-grams: blanks may only stand at the ends, and not at both with nothing between.
-    before = np.concatenate([[0], np.cumsum(blank)])
-    for k in (3, 4, 5):
-        if len(x) < k:
-            continue
-        at = np.flatnonzero(before[k - 1:-1] == before[1:len(before) - k + 1])
-        h = np.zeros(len(at), dtype=np.uint64)
-        for i in range(k):
-            h = h * _BASE + x[at + i]
-        rows.append(row[np.minimum(at + 1, len(row) - 1)])
-        buckets.append(_bucket(h, k))
-    return np.concatenate(rows), np.concatenate(buckets).astype(np.int64)
+    edges = np.flatnonzero(blank)
+    power = np.cumprod(np.full(STRETCH + 2, _BASE, dtype=np.uint64))
+    back = np.cumprod(np.full(STRETCH + 2, _BACK, dtype=np.uint64))
+    at, last = 0, None
+    while at < len(c) - 1:
+        end = int(edges[np.searchsorted(edges, at + STRETCH, side="right") - 1])
+        if end <= at:  # a word longer than a stretch
+            end = min(at + STRETCH, len(c) - 1)
+        own = blank[at:end + 1]
+        x = np.where(own, 32, c[at:end + 1]).astype(np.uint64) + np.uint64(1)
+        stops = np.flatnonzero(own)
+        if not own[0]:
+            stops = np.r_[-1, stops]
+        if not own[-1]:
+            stops = np.r_[stops, len(own) - 1]  # the last character begins the next stretch
+        a, b = stops[:-1] + 1, stops[1:]
+        a, b = a[b > a], b[b > a]
+        # Words: the polynomial hash between two positions, from running sums modulo 2**64.
+        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * power[:len(x)])])
+        word = (run[b] - run[a]) * back[a]
+        row = np.searchsorted(start, a + at, side="right") - 1
+        yield row, _bucket(word, 1)
+        # Word pairs by the difference of their hashes, so that every repeated word is one feature.
+        if last is not None:
+            word, row = np.r_[last[0], word], np.r_[last[1], row]
+        if len(word):
+            last = word[-1], row[-1]
+        pair = row[1:] == row[:-1]
+        yield row[1:][pair], _bucket(word[1:][pair] - word[:-1][pair], 2)
+        # n-grams: blanks may only stand at the ends, and not at both with nothing between.
+        before = np.concatenate([[0], np.cumsum(own)])
+        for k in (3, 4, 5):
+            if len(x) < k:
+                continue
+            gram = np.flatnonzero(before[k - 1:-1] == before[1:len(before) - k + 1])
+            h = np.zeros(len(gram), dtype=np.uint64)
+            for i in range(k):
+                h = h * _BASE + x[gram + i]
+            yield np.searchsorted(start, gram + (at + 1), side="right") - 1, _bucket(h, k)
+        at = end
+
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every feature of the texts."""
+    rows, buckets = zip(*feature_parts(texts))
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
 @dataclass
@@ -93,9 +116,10 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        row, bucket = features(texts)
-        total = np.bincount(row, weights=self.part[bucket], minlength=len(texts))
-        count = np.bincount(row, minlength=len(texts))
+        total, count = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        for row, bucket in feature_parts(texts):
+            total += np.bincount(row, weights=self.part[bucket], minlength=len(texts))
+            count += np.bincount(row, minlength=len(texts))
         z = total / np.maximum(count, 1) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -115,7 +139,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     for at in range(0, len(texts), 64):
         part = texts[at:at + 64]
         row, bucket = features(part)
-        both, n = np.unique((row << BUCKETS_BITS) | bucket, return_counts=True)
+        both, n = np.unique((row.astype(np.int64) << BUCKETS_BITS) | bucket, return_counts=True)
         of = both >> BUCKETS_BITS
         ids.append((both & (BUCKETS - 1)).astype(np.int32))
         shares.append((n / np.bincount(row, minlength=len(part))[of]).astype(np.float32))
@@ -168,7 +192,7 @@ def score_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in text_slices(batches, 1, SLICE):
             score = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], [id_col, "score"])
 
@@ -180,7 +204,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in text_slices(batches, at, SLICE):
             yield b.filter(pa.array(shared.value.score(b.column(at).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

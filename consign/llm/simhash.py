@@ -27,7 +27,8 @@ not, and collecting them would bring every fingerprint to the driver.
 
 Defined cases: a null or empty text has the zero fingerprint and links like any
 other; repeated rows and equal ids share a component; a null id is kept in the
-output with its fingerprint and a null component; an empty table gives an
+output with its fingerprint and a null component, and does not bridge groups; texts of any
+length are whole, a few MB of them in memory at a time beyond one text; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 
@@ -38,11 +39,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, group_runs, is_empty, scratch_table
+from .tokens import text_slices
 
 SEED = 42
 
@@ -66,14 +69,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for every row; fp holds the 64 bits as a signed long."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in pdf["text"]), dtype=np.uint64, count=len(pdf))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "fp": fp.view(np.int64)})
+    """(id, fp long, h long) for every row; fp holds the 64 bits as a signed long, h a hash of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches):
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["id", "fp", "h"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, "id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+            .mapInArrow(run, "id long, fp long, h long"))
 
 
 def block_masks(radius: int) -> list[int]:
@@ -262,13 +265,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tree_siz
                       F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tree_size: int = 2048) -> DataFrame:
     """``docs`` with one document of each group kept (the smallest id); columns unchanged.
 
-    Rows that repeat the kept id collapse to one; rows with a null id belong to no
-    group and stay.
+    Groups are of texts: rows that repeat an id with different texts are judged each by its own
+    text, and none stands in for another.  Of a group's rows with the smallest id one
+    text stays, chosen by its fingerprint and hash; equal rows of it collapse to one.  Rows with a null
+    id belong to no group and stay.
     """
-    kept = near_duplicates(docs, shingle, radius).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    known = known.join(kept, known["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    fps, _ = scratch_table(fingerprints(docs, shingle).filter("id IS NOT NULL"), "simhash")
+    classes = fps.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n"))
+    comp = link_components(classes.select(F.col("fp").alias("id"), "fp"), radius, tree_size)
+    kept = (classes.join(comp, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("group"))
+            .agg(F.min(F.struct("first.id", "fp", "first.h")).alias("kept")).select("kept.*"))
+    rows = kept.join(fps, ["id", "fp", "h"]).groupBy("id", "h").agg(F.count("*").alias("n"))
+    rows, _ = scratch_table(rows.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "n"), "simhash-kept")
+    mine = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    once = docs.join(rows.filter("n = 1"), mine, "left_semi")
+    # Equal rows: few, as a rule, so the other texts are not grouped.
+    again = docs.join(rows.filter("n > 1"), mine).groupBy("_id", "_h").agg(
+        F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))

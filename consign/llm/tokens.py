@@ -209,24 +209,30 @@ def library_encoder(path: str) -> WordEncoder:
     return _LIBRARY[path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, so that few texts are Python objects at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows and, beyond one row, ``size`` bytes, so that few texts are Python objects at once."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            todo = [b.slice(at, rows)]
+            while todo:
+                piece = todo.pop()
+                if (n := piece.num_rows) > 1 and piece.nbytes > size:
+                    todo += [piece.slice(n // 2), piece.slice(0, n // 2)]
+                else:
+                    yield piece
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most SLICE rows and, beyond one row, about SLICE_BYTES bytes of text."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most SLICE rows and, beyond one row, about ``size`` bytes of text."""
     for b in batches:
         if not b.num_rows:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at, before = 0, 0
         while at < b.num_rows:
-            n = max(1, min(SLICE, int(np.searchsorted(size, before + SLICE_BYTES, side="right")) - at))
+            n = max(1, min(SLICE, int(np.searchsorted(total, before + size, side="right")) - at))
             yield b.slice(at, n)
-            at, before = at + n, int(size[at + n - 1])
+            at, before = at + n, int(total[at + n - 1])
 
 
 def by_row(values: np.ndarray, counts: np.ndarray) -> list[bytes]:

@@ -176,3 +176,20 @@ def test_forest_edges(spark):
     assert all(linked[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 12))
     assert rpforest.near_duplicates(df.limit(0)).count() == 0
     assert rpforest.near_duplicates(df.filter(F.col("vec_id") == 4)).collect()[0].n_links == 0
+
+
+def test_repeated_ids_with_different_texts_stay(docs_of):
+    """A clean text under another's id is kept, and does not tie the groups of its id's texts together."""
+    (_, a), (_, b), (_, c) = [(i, " ".join(f"{w}{i}{n}" for n in range(60))) for i, w in enumerate(("ab", "cd", "ef"))]
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(5, a), (5, b), (5, b), (6, near), (7, c), (8, b), (None, a)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs_of(rows)).collect()), key=str)
+    near_a = (simhash.fingerprint(a) ^ simhash.fingerprint(near)).bit_count() <= 4
+    assert got == sorted([(5, a), (5, b), (7, c), (None, a), *([] if near_a else [(6, near)])], key=str)
+
+
+def test_components_of_a_hub(spark):
+    """Half of all edges at one node, and a chain: the hub's edges go through joins that can be split."""
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(10_000, 10_040)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 10_000 for i in range(10_000, 10_041)}

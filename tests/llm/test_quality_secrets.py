@@ -28,6 +28,24 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) >= 0.95
 
 
+def test_stretches_change_no_feature(monkeypatch):
+    texts = ["ab  cd\tefgh ab", None, "", " lead", "trail ", "x" * 30 + " long word", "é ß " * 40, "one"]
+    want = sorted(zip(*(x.tolist() for x in quality.features(texts))))
+    for stretch in (40, 64, 101):
+        monkeypatch.setattr(quality, "STRETCH", stretch)
+        assert sorted(zip(*(x.tolist() for x in quality.features(texts)))) == want
+
+
+def test_a_very_long_text_is_scored_in_bounded_memory():
+    import tracemalloc
+    model = quality.Model(quality.np.ones(quality.BUCKETS), 0.0)
+    tracemalloc.start()
+    model.score(["lorem ipsum dolor " * 200_000])  # 3.6 MB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_features_against_definition():
     """Buckets of a text are those of its words, word pairs and character n-grams, one by one."""
     texts = ["ab cde\tab", None, "", "  x  ", "Größe größe"]

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from consign.llm import bpe, catalog, packing, tokenfile
+from consign.llm import bpe, catalog, packing, tokenfile, tokens
 from consign.session import scratch_path
 from tests.conftest import SF001
 
@@ -207,3 +207,19 @@ def test_every_sentence_end_is_a_choice(marks):
         best[j] = min(best[i] + one(j - i) for i in best if j - i <= length) + price[j]
     cuts = packing.best_cuts(at, pen, length).tolist()
     assert sum(one(b - a) + price[b] for a, b in zip(cuts, cuts[1:])) == best[n]
+
+
+def test_ranks_that_no_token_has():
+    keys = [b"a", b"", b"bc", b"", b"", b"d"] + [str(i).encode() for i in range(200)] + [b""]
+    table = bpe.PerfectHash(keys)
+    assert [table.rank(k) for k in keys if k] == [i for i, k in enumerate(keys) if k]
+    assert table.rank(b"zz") == -1 and table.rank(b"") == -1
+    with pytest.raises(ValueError):
+        bpe.PerfectHash([b"a", b"a"])
+
+
+def test_slices_are_bounded_by_bytes():
+    b = pa.RecordBatch.from_pydict({"x": ["y" * 1000] * 300 + ["z" * 100_000, None]})
+    got = list(tokens.slices([b], rows=256, size=50_000))
+    assert pa.Table.from_batches(got).column(0).to_pylist() == b.column(0).to_pylist()
+    assert all(x.num_rows == 1 or x.nbytes <= 50_000 for x in got)
