@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import money_text
-from ..schemas import INVENTORY_STATUSES
+from ..schemas import DEFAULT_FROM, DEFAULT_TO, INVENTORY_STATUSES
 from .filters import in_report_range
 
 
@@ -49,22 +49,51 @@ def inventory_status_map(inventory: DataFrame) -> DataFrame:
     return counts.select(F.map_from_entries(_present()).alias("inventory_by_status"))
 
 
+def sales_measures() -> dict[str, Column]:
+    """What the reports sum of a sale."""
+    return {"gross": F.col("sold_price_cents"), "ship": F.col("buyer_shipping_cents"),
+            "costs": (F.col("platform_fees_cents") + F.col("promo_fee_cents")
+                      + F.col("shipping_label_cost_cents") + F.col("other_costs_cents")),
+            "qty": F.col("qty")}
+
+
+def expense_measures() -> dict[str, Column]:
+    """What the reports sum of an expense; ``deductible`` and ``type`` are not looked at."""
+    return {"amount": F.col("amount_cents"), "mileage": F.col("calc_amount_cents")}
+
+
+def by_month(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """The roll-up of a table: the sums of its measures for each month (NULL where a month has no value of one)."""
+    return df.groupBy("month").agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+
+
+def rolled_range(df: DataFrame, months: DataFrame, measures: dict[str, Column], frm: str | None = None,
+                 to: str | None = None) -> DataFrame:
+    """Rows whose measures add up to those of a report range of ``df``: the roll-up's rows of every month that
+    lies in the range as a whole, and the table's own rows of the months at its two ends.
+
+    Months are the first seven characters of text dates, so all dates of a month lie between a bound
+    of another month and the other bound, whatever text they are.
+    """
+    frm, to = frm or DEFAULT_FROM, to or DEFAULT_TO
+    whole = (F.col("month") >= F.lit(frm)) & (F.col("month") < F.lit(to[:7]))
+    ends = df.where(F.col("month").isin(sorted({frm[:7], to[:7]})) & ~whole & F.col("date").between(F.lit(frm), F.lit(to)))
+    return ends.select(*[c.alias(m) for m, c in measures.items()]).unionByName(months.where(whole).select(*measures))
+
+
 def sales_totals(sales: DataFrame, frm: str | None = None, to: str | None = None) -> DataFrame:
     """A2: sums over a report range; SUM over no rows -> 0."""
-    s = in_report_range(sales, frm, to)
-    return s.agg(
-        _sum0("sold_price_cents").alias("gross_cents"),
-        _sum0("buyer_shipping_cents").alias("buyer_ship_cents"),
-        _sum0(F.col("platform_fees_cents") + F.col("promo_fee_cents")
-              + F.col("shipping_label_cost_cents") + F.col("other_costs_cents")).alias("costs_cents"),
-        _sum0("qty").alias("total_qty"))
+    m = sales_measures()
+    return in_report_range(sales, frm, to).agg(
+        _sum0(m["gross"]).alias("gross_cents"), _sum0(m["ship"]).alias("buyer_ship_cents"),
+        _sum0(m["costs"]).alias("costs_cents"), _sum0(m["qty"]).alias("total_qty"))
 
 
 def expense_totals(expenses: DataFrame, frm: str | None = None, to: str | None = None) -> DataFrame:
     """A3: amount and mileage sums; ``deductible`` and ``type`` are not filtered."""
-    e = in_report_range(expenses, frm, to)
-    return e.agg(_sum0("amount_cents").alias("expenses_cents"),
-                 _sum0("calc_amount_cents").alias("mileage_cents"))
+    m = expense_measures()
+    return in_report_range(expenses, frm, to).agg(_sum0(m["amount"]).alias("expenses_cents"),
+                                                  _sum0(m["mileage"]).alias("mileage_cents"))
 
 
 def report_summary(inventory: DataFrame, sales: DataFrame, expenses: DataFrame, frm: str | None = None,
@@ -78,20 +107,29 @@ def report_summary(inventory: DataFrame, sales: DataFrame, expenses: DataFrame,
     everything: no join, and the shuffle carries one buffer row per task.
     ``inventory_by_status`` is text, ``status=count`` in name order.
     """
-    measures = ("_gross", "_ship", "_costs", "_exp", "_miles")
+    pick = lambda df, m: in_report_range(df, frm, to).select(*[c.alias(n) for n, c in m.items()])
+    return _summary(inventory, pick(sales, sales_measures()), pick(expenses, expense_measures()))
+
+
+def report_summary_rolled(inventory: DataFrame, sales: DataFrame, sales_months: DataFrame, expenses: DataFrame,
+                          expenses_months: DataFrame, frm: str | None = None, to: str | None = None) -> DataFrame:
+    """The same report from the stored roll-ups: of Sales and Expenses only the months at the period's ends are read."""
+    return _summary(inventory, rolled_range(sales, sales_months, sales_measures(), frm, to),
+                    rolled_range(expenses, expenses_months, expense_measures(), frm, to))
+
+
+def _summary(inventory: DataFrame, sold: DataFrame, spent: DataFrame) -> DataFrame:
+    """The report from rows of measures."""
+    measures = ("gross", "ship", "costs", "amount", "mileage")
 
-    def rows(df: DataFrame, stock: bool = False, **given: Column) -> DataFrame:
-        cols = [given.get(m, F.lit(None).cast("bigint")).alias(m) for m in measures]
+    def rows(df: DataFrame, stock: bool = False) -> DataFrame:
+        cols = [(F.col(m) if m in df.columns and not stock else F.lit(None).cast("bigint")).alias(f"_{m}") for m in measures]
         return df.select(*cols, F.lit(stock).alias("_stock"),
                          (F.col("status") if stock else F.lit(None).cast("string")).alias("_status"))
 
-    s = rows(in_report_range(sales, frm, to), _gross=F.col("sold_price_cents"), _ship=F.col("buyer_shipping_cents"),
-             _costs=(F.col("platform_fees_cents") + F.col("promo_fee_cents")
-                     + F.col("shipping_label_cost_cents") + F.col("other_costs_cents")))
-    e = rows(in_report_range(expenses, frm, to), _exp=F.col("amount_cents"), _miles=F.col("calc_amount_cents"))
-    t = s.unionByName(e).unionByName(rows(inventory, stock=True)).agg(
-        (_sum0("_gross") + _sum0("_ship")).alias("rev"), _sum0("_costs").alias("costs"), _sum0("_exp").alias("exp"),
-        _sum0("_miles").alias("miles"), *_status_counts(F.col("_status"), F.col("_stock")))
+    t = rows(sold).unionByName(rows(spent)).unionByName(rows(inventory, stock=True)).agg(
+        (_sum0("_gross") + _sum0("_ship")).alias("rev"), _sum0("_costs").alias("costs"), _sum0("_amount").alias("exp"),
+        _sum0("_mileage").alias("miles"), *_status_counts(F.col("_status"), F.col("_stock")))
     total = F.col("costs") + F.col("exp") + F.col("miles")
     by_status = F.array_join(F.transform(_present(), lambda x: F.concat(x["status"], F.lit("="), x["cnt"].cast("string"))), ",")
     return t.select(by_status.alias("inventory_by_status"), F.col("rev").alias("revenue_cents"),

@@ -81,6 +81,18 @@ def q_stored_report_summary(spark, sf_dir):
     return report.report_summary(lg.inventory, lg.sales, lg.expenses, P.REPORT_FROM, P.REPORT_TO)
 
 
+def q_stored_report_rolled(spark, sf_dir):
+    """The report from the roll-ups of a ledger whose Sales came in two appends after the snapshot."""
+    root, lg = scratch_path(spark, "rolled-ledger"), L.ledger_from_testdata(spark, sf_dir)
+    L.write_snapshot(L.Ledger(lg.inventory, lg.sales.limit(0), lg.expenses, lg.lots, lg.inventory_lots, lg.photos), root)
+    for part in ("qty % 2 = 0", "qty % 2 = 1", "qty % 2 = 0"):
+        L.append_new_rows(lg.sales.where(part), root, "sales")
+    at = L.state(spark, root)
+    st = L.read_snapshot(spark, root, at)
+    return report.report_summary_rolled(st.inventory, st.sales, L.read_months(spark, root, "sales", at), st.expenses,
+                                        L.read_months(spark, root, "expenses", at), P.REPORT_FROM, P.REPORT_TO)
+
+
 def q_stored_sales_profit(spark, sf_dir):
     _stored(spark, sf_dir).register("stored_")
     return spark.sql("SELECT * FROM stored_SalesReport")
@@ -222,6 +234,7 @@ FILES = {
     "stored_lot_items": q_stored_lot_items,
     "stored_photos_for_item": q_stored_photos_for_item,
     "stored_report_summary": q_stored_report_summary,
+    "stored_report_rolled": q_stored_report_rolled,
     "stored_sales_profit": q_stored_sales_profit,
     "stored_sales_profit_titled": q_stored_sales_profit_titled,
     "stored_append_sales": q_stored_append_sales,

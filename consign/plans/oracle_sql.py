@@ -245,6 +245,7 @@ FROM (SELECT p_partkey, name, regexp_replace(CASE WHEN name = '' THEN 'upload' E
     for key in ("list_sales", "list_expenses", "list_lots", "lot_items", "photos_for_item", "report_summary",
                 "sales_profit", "sales_profit_titled"):
         q[f"stored_{key}"] = q[key]
+    q["stored_report_rolled"] = q["report_summary"]
     q["normalize_text_eol"] = """
 WITH m AS (
   SELECT doc_id,

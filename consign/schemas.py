@@ -40,6 +40,10 @@ INVENTORY_LOTS = _s(("inventory_id", S), ("lot_id", S))
 # The last link or unlink of each (item, lot) of a batch.
 LINK_LOG = _s(("inventory_id", S), ("lot_id", S), ("last_op", S))
 
+# Roll-ups: the sums of a month's rows of a batch (``operators.report``).
+SALES_MONTHS = _s(("month", S), ("gross", L), ("ship", L), ("costs", L), ("qty", L))
+EXPENSES_MONTHS = _s(("month", S), ("amount", L), ("mileage", L))
+
 PHOTOS = _s(("id", S), ("inventory_id", S), ("r2_key", S), ("content_type", S),
             ("size_bytes", L), ("created_at", S))
 

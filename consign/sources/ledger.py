@@ -5,9 +5,10 @@ Stored layout (the production path): ``<root>/<snapshot>/<table>/batch=<name>``,
 where ``commits`` says which snapshot and batches count.  Sales and Expenses are
 partitioned by ``month = left(date, 7)`` and sorted by date inside files, so a date range
 prunes directories and row groups.  The other tables are range-partitioned and sorted by
-the key they are looked up by (``CLUSTER``), so a lookup skips row groups; columns in
+the key they are looked up by (``CLUSTER``), so a lookup skips row groups.  Every batch of Sales and
+Expenses has its sums by month beside it (``<table>_months``), committed with it.  Columns in
 ``BLOOM`` have a Bloom filter in every row group, so a lookup by one that the files are
-not sorted by skips row groups too.  ``month`` is declared a string so partition values
+not sorted by skips row groups as well.  ``month`` is declared a string so partition values
 are never inferred as dates.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..functions.js import round_half_up_cents
+from ..operators.report import by_month, expense_measures, sales_measures
 from .commits import APPEND, REMOVE, REPLACE, SNAPSHOT, Conflict, State, commit, state
 
 TABLES = ("inventory", "sales", "expenses", "lots", "inventory_lots", "photos")
@@ -30,12 +32,12 @@ LINK_LOG = "inventory_lots_log"  # links and unlinks since the bridge was last c
 SCHEMAS = {
     "inventory": schemas.INVENTORY, "sales": schemas.SALES, "expenses": schemas.EXPENSES,
     "lots": schemas.LOTS, "inventory_lots": schemas.INVENTORY_LOTS, "photos": schemas.PHOTOS,
-    LINK_LOG: schemas.LINK_LOG,
+    LINK_LOG: schemas.LINK_LOG, "sales_months": schemas.SALES_MONTHS, "expenses_months": schemas.EXPENSES_MONTHS,
 }
-PARTITIONED = ("sales", "expenses")
+PARTITIONED = {"sales": sales_measures, "expenses": expense_measures}  # by month, with roll-ups of these measures
 CLUSTER = {"inventory": ["id"], "lots": ["id"], "inventory_lots": ["lot_id", "inventory_id"],
            "photos": ["inventory_id", "id"], "sales": ["month", "date", "id"], "expenses": ["month", "date", "id"],
-           LINK_LOG: ["lot_id", "inventory_id"]}
+           LINK_LOG: ["lot_id", "inventory_id"], "sales_months": ["month"], "expenses_months": ["month"]}
 BLOOM = {"inventory": ["id", "sku"], "photos": ["id"], "inventory_lots": ["inventory_id"], "lots": ["id"]}
 BASE = "base"
 
@@ -89,6 +91,18 @@ def _write(df: DataFrame, path: str, name: str) -> None:
     (w.partitionBy("month") if name in PARTITIONED else w).parquet(path)
 
 
+def _write_batch(spark: SparkSession, df: DataFrame, root: str, snapshot: str, name: str, batch: str) -> list[str]:
+    """Write a batch, and its roll-up from what was written; the tables that now have the batch."""
+    path = _folder(root, snapshot, name, batch)
+    _write(df, path, name)
+    if name not in PARTITIONED:
+        return [name]
+    months = f"{name}_months"
+    written = spark.read.schema(StructType([*SCHEMAS[name].fields, StructField("month", StringType())])).parquet(path)
+    _write(by_month(written, PARTITIONED[name]()), _folder(root, snapshot, months, batch), months)
+    return [name, months]
+
+
 def write_snapshot(ledger: Ledger, root: str, seen: State | None = None) -> State:
     """Write every table as a new snapshot and switch to it in one commit; returns the new state.
 
@@ -98,10 +112,9 @@ def write_snapshot(ledger: Ledger, root: str, seen: State | None = None) -> Stat
     """
     spark = ledger.sales.sparkSession
     seen, name = seen or state(spark, root), f"snapshot-{uuid.uuid4().hex}"
-    for t in TABLES:
-        _write(getattr(ledger, t), _folder(root, name, t, BASE), t)
-    commit(spark, root, seen, [(SNAPSHOT, name, t, BASE) for t in TABLES])
-    return State(seen.n + 1, name, {t: [BASE] for t in TABLES})
+    written = [w for t in TABLES for w in _write_batch(spark, getattr(ledger, t), root, name, t, BASE)]
+    commit(spark, root, seen, [(SNAPSHOT, name, t, BASE) for t in written])
+    return State(seen.n + 1, name, {t: [BASE] for t in written})
 
 
 def _stored_type(name: str) -> StructType:
@@ -125,6 +138,11 @@ def read_table(spark: SparkSession, root: str, name: str, at: State | None = Non
     return _scan(spark, root, name, at or state(spark, root)).drop("batch")
 
 
+def read_months(spark: SparkSession, root: str, name: str, at: State | None = None) -> DataFrame:
+    """The roll-up of Sales or Expenses: a row for each batch and month."""
+    return read_table(spark, root, f"{name}_months", at)
+
+
 def read_snapshot(spark: SparkSession, root: str, at: State | None = None) -> Ledger:
     """The ledger as of one commit, the last if none is given: all tables at the same state."""
     at = at or state(spark, root)
@@ -150,8 +168,7 @@ def _add(spark: SparkSession, root: str, name: str, rows: Callable[[State], Data
         df = rows(seen)
         if df is None:
             return
-        _write(df, _folder(root, snapshot, name, batch), name)
-        entry = [(action, snapshot, name, batch), *[(a, snapshot, t, i) for a, t, i in more(seen)]]
+        entry = [*[(action, snapshot, t, batch) for t in _write_batch(spark, df, root, snapshot, name, batch)], *[(a, snapshot, t, i) for a, t, i in more(seen)]]
         if not seen.snapshot:
             entry.append((SNAPSHOT, snapshot, None, None))
         while True:
@@ -208,6 +225,8 @@ def rewrite(spark: SparkSession, root: str, name: str, targets: DataFrame,
     anew; the commit takes the old files out and puts the new batch in.  The key scan reads
     the key column, and the files' names, as many as there are files, reach the driver.
     """
+    if name in PARTITIONED:
+        raise ValueError(f"rows of {name} are added, not changed: their roll-up holds their sums")
     touched: list[str] = []
 
     def rows(at: State) -> DataFrame | None:

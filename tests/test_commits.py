@@ -165,3 +165,30 @@ def test_lookups_skip_row_groups(spark):
     few = views.lookup_values(items, "sku", [sku, None, *[f"no-{i}" for i in range(15)]])
     assert few.count() == 1 and scanned_rows(few) < 0.6 * 20_000
     assert views.lookup_values(items, "sku", []).count() == 0
+
+
+def test_the_report_reads_whole_months_from_their_sums(spark):
+    from consign.operators import report
+    lg, root = _stored(spark, "rolled")
+    fresh = lg.sales.limit(50).withColumns({"id": F.concat(F.lit("n-"), "id"), "promo_fee_cents": F.lit(None).cast("long"),
+                                            "date": F.when(F.col("qty") > 25, "1996-02-29x").otherwise("19")})
+    for _ in range(2):
+        L.append_new_rows(fresh, root, "sales")
+    at = L.state(spark, root)
+    st = L.read_snapshot(spark, root, at)
+    months = [L.read_months(spark, root, t, at) for t in ("sales", "expenses")]
+
+    def rolled(frm, to):
+        return report.report_summary_rolled(st.inventory, st.sales, months[0], st.expenses, months[1], frm, to)
+
+    for frm, to in ((None, None), ("1996-02-10", "1997-03-09"), ("1996-02", "1996-02-29x"), ("1996-02", "1996-03"), ("19", "1996"),
+                    ("1996-05-03", "1996-05-20"), ("1997-01-01", "1996-01-01"), ("", "1996-02-29"), ("1996-02-29y", "2024-01-15")):
+        assert rolled(frm, to).collect() == report.report_summary(st.inventory, st.sales, st.expenses, frm, to).collect(), (frm, to)
+    plan = rolled("1995-02-10", "1997-03-09")._jdf.queryExecution().executedPlan().toString()
+    assert "month#" in plan and "IN (1995-02,1997-03)" in plan
+    L.compact(spark, root, "sales")
+    at = L.state(spark, root)
+    assert len(at.batches["sales_months"]) == 1
+    assert L.read_months(spark, root, "sales", at).agg(F.sum("gross")).first()[0] == st.sales.agg(F.sum("sold_price_cents")).first()[0]
+    with pytest.raises(ValueError):
+        L.rewrite(spark, root, "sales", fresh, lambda t: t)
