@@ -50,7 +50,9 @@ def op6_doubling(spark, sf_dir):
 
 
 def op7_suffix_array(spark, sf_dir):
-    return suffixes.find(table(spark, sf_dir, "documents"), size=50)
+    f = suffixes.find(table(spark, sf_dir, "documents"), size=50)
+    runs = F.transform("passages", lambda p: F.concat_ws("-", p["from"].cast("string"), p["to"].cast("string")))
+    return f.withColumn("passages", F.array_join(runs, " "))
 
 
 def op8_token_files(spark, sf_dir):

@@ -4,6 +4,55 @@ from __future__ import annotations
 
 from .chat import Template
 
+OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
+
+
+def repeated_words(size: int) -> str:
+    """CTEs up to ``marked`` (doc_id, j, word, repeated): whether word j lies in a window that starts elsewhere too."""
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS j FROM t),
+windows AS (
+  SELECT doc_id, j, word, count(*) OVER ahead AS n,
+         md5(string_agg(word, ' ') OVER ahead) AS w
+  FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)),
+counted AS (SELECT doc_id, j, word, n = {size} AND count(*) OVER (PARTITION BY n, w) > 1 AS again FROM windows),
+marked AS (
+  SELECT doc_id, j, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)
+         AS repeated
+  FROM counted)"""
+
+
+OP6 = repeated_words(35) + """
+SELECT t.doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN (SELECT doc_id, count(*) FILTER (repeated) AS n, string_agg(word, ' ' ORDER BY j) FILTER (NOT repeated) AS kept
+                  FROM marked GROUP BY doc_id) USING (doc_id)"""
+
+OP7 = repeated_words(50) + """,
+runs AS (
+  SELECT doc_id, min(j) AS a, max(j) + 1 AS b
+  FROM (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS run FROM marked WHERE repeated)
+  GROUP BY doc_id, run)
+SELECT t.doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated,
+       coalesce(passages, '') AS passages
+FROM t LEFT JOIN (SELECT doc_id, sum(b - a) AS n, string_agg(a || '-' || b, ' ' ORDER BY a) AS passages
+                  FROM runs GROUP BY doc_id) USING (doc_id)"""
+
 OP11 = r"""
 WITH terms AS (
   SELECT doc_id, unnest(regexp_extract_all(
@@ -80,4 +129,4 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM c GROUP BY conv_id"""
 
 
-ORACLES = {"op11_lexical": OP11, "op12_gnat_negatives": OP12, "op13_chat": chat_oracle(Template())}
+ORACLES = {"op2_rp_forest": OP2, "op6_doubling": OP6, "op7_suffix_array": OP7, "op11_lexical": OP11, "op12_gnat_negatives": OP12, "op13_chat": chat_oracle(Template())}

@@ -141,6 +141,28 @@ def repeated(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, st
     return scratch_table(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), name)
 
 
+def enumerated(docs: DataFrame, each: DataFrame, size: int, text_col: str = "text") -> DataFrame:
+    """(g, h, k, len, i, single): the windows, by their hash h, of the anchors in ``each`` (k, len, anchors)."""
+    def enumerate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            out = []
+            for row, (t, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                s = Spans(split_words(t))
+                n = np.array([a["i2"] - a["i1"] + 1 for a in found])
+                i = np.concatenate([np.arange(a["i1"], a["i2"] + 1) for a in found])
+                out.append((np.repeat(np.array([a["g"] for a in found], dtype=np.int64), n), s.hash(i, i + size, 3).view(np.int64),
+                            np.full(len(i), row), i.astype(np.int32), np.repeat(np.array([a["single"] for a in found]), n)))
+            if out:
+                g, h, row, i, single = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g), pa.array(h), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
+                     pa.array(i), pa.array(single)], ["g", "h", "k", "len", "i", "single"])
+
+    texts = docs.filter(F.col(text_col).isNotNull()).select(*text_key(text_col), F.col(text_col).alias("text"))
+    return (texts.join(each, ["k", "len"]).select("k", "len", "text", "anchors")
+            .mapInArrow(enumerate_windows, "g long, h long, k long, len int, i int, single boolean"))
+
+
 def repeated_spans(docs: DataFrame, rows: DataFrame, size: int, text_col: str = "text") -> tuple[DataFrame, str]:
     """(k, len, spans array<struct<i1, i2>>): the starts of the repeated windows of each text.
 
@@ -160,26 +182,9 @@ def repeated_spans(docs: DataFrame, rows: DataFrame, size: int, text_col: str =
     each = kept(classes.join(mixed, "g").select("g", "one.*", (F.col("n") == 1).alias("single"))
                 .groupBy("k", "len").agg(F.collect_list(F.struct("g", "i1", "i2", "single")).alias("anchors")), "each")
 
-    def enumerate_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            out = []
-            for row, (t, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                s = Spans(split_words(t))
-                n = np.array([a["i2"] - a["i1"] + 1 for a in found])
-                i = np.concatenate([np.arange(a["i1"], a["i2"] + 1) for a in found])
-                out.append((np.repeat(np.array([a["g"] for a in found], dtype=np.int64), n), s.hash(i, i + size, 3).view(np.int64),
-                            np.full(len(i), row), i.astype(np.int32), np.repeat(np.array([a["single"] for a in found]), n)))
-            if out:
-                g, h, row, i, single = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(h), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)),
-                     pa.array(i), pa.array(single)], ["g", "h", "k", "len", "i", "single"])
-
-    texts = docs.filter(F.col(text_col).isNotNull()).select(*text_key(text_col), F.col(text_col).alias("text"))
     # Copies of a text give the same windows again, which only a text with several copies has, and
     # all of its classes count as repeated anyway; so copies need not be told apart here.
-    windows = kept(texts.join(each, ["k", "len"]).select("k", "len", "text", "anchors")
-                   .mapInArrow(enumerate_windows, "g long, h long, k long, len int, i int, single boolean"), "windows")
+    windows = kept(enumerated(docs, each, size, text_col), "windows")
     again = kept(windows.groupBy("g", "h").agg(F.count("*").alias("n"), F.max("single").alias("s"))
                  .filter("n > 1 AND s").select("g", "h"), "again")
     hits = windows.filter("single").join(again, ["g", "h"]).select("k", "len", F.col("i").alias("i1"), F.col("i").alias("i2"))

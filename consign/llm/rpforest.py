@@ -15,8 +15,10 @@ is tied to.  A pair that shares several leaves is counted in the smallest of the
 only; for that, every member carries the (few) numbers of its leaves.
 
 Splits near the median cut a dense group, however large, so dense groups do not go through
-the trees.  In one bounded sample of the table, a vector stands in a dense place if its links there
-stand for more than ``dense`` classes (and are ``LEAST`` at least).  Such vectors are covered by
+the trees.  In a bounded sample, a vector stands in a dense place if its links there
+stand for more than ``dense`` classes (and are ``LEAST`` at least).  The table's sample shows the largest
+groups; the others come to rule the parts they fall in, and every part that is too large is
+searched by a sample of its own before it is split further.  Such vectors are covered by
 pivots: the ones with most links first, until each links with a pivot.  A class that links
 with a pivot is in the cell of its nearest one; everything it links with is within twice the
 threshold's angle of that pivot, by the triangle inequality.  So every cell is compared with all
@@ -26,13 +28,12 @@ links of the cells' members.  The trees hold the other classes only.
 
 Recall: links of a cell's members are exact.  Two other vectors are missed if every tree parts them;
 where the data spread far beyond the threshold's angle, a split does that to about 1 in 100 at the
-threshold, beyond the spill band.  A group that the sample holds less than ``LEAST`` links of (in a table
-far larger than the sample) is cut up by the trees, and loses links.  The tests measure recall
-against brute force.
+threshold, beyond the spill band.  The tests measure recall against brute force, also of a group that the
+table's sample does not show.
 
-Defined cases: a vector that is null, zero, or holds null or non-finite numbers, or
-whose length is not the table's most common one (the larger among equals),
-links with nothing and is its own component; repeated rows link with each other;
+Defined cases: a vector that is null, zero, or holds null or non-finite numbers
+links with nothing and is its own component; vectors link with others of their length only, each length
+with a forest of its own, or, if it has few classes, by all pairs; repeated rows link with each other;
 a null id is never a component's smallest and is not kept; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -67,6 +68,7 @@ class Params:
 
 
 LEAST = 8
+FEW, FEW_NUMBERS = 1024, 1 << 22  # classes of one length, and numbers in them, that are compared without a forest
 SLACK = 1e-6  # of an angle in radians; far above rounding
 
 
@@ -165,8 +167,13 @@ def next_round(classes: DataFrame, placed: DataFrame, large: DataFrame, o: Param
     return placed.join(large, "leaf", "left_anti").select("cid", "leaf").union(done)
 
 
-def place(classes: DataFrame, o: Params) -> tuple[DataFrame, str]:
-    """The written (cid, leaf) with no leaf over twice ``leaf``, unless it can't be split."""
+def place(classes: DataFrame, o: Params) -> tuple[DataFrame | None, str | None, tuple[np.ndarray, np.ndarray] | None]:
+    """The written (cid, leaf) with no leaf over twice ``leaf``, unless it can't be split, and its path.
+
+    Before a large leaf is split further it is searched for dense places; if it has any, their pivots are returned
+    alone: their cells have to be taken out first.
+    """
+    spark = classes.sparkSession
     placed, path = scratch_table(first_round(classes, classes.count(), o), "forest-0")
     most = None
     while True:
@@ -174,11 +181,15 @@ def place(classes: DataFrame, o: Params) -> tuple[DataFrame, str]:
         large, large_path = scratch_table(sizes, "forest-large")
         now = large.agg(F.count("*"), F.max("n")).first()
         if is_empty(large) or tuple(now) == most:
-            drop_scratch(classes.sparkSession, large_path)
-            return placed, path
+            drop_scratch(spark, large_path)
+            return placed, path, None
+        found = node_pivots(classes, placed, large, o)
+        if len(found[0]):
+            drop_scratch(spark, path, large_path)
+            return None, None, found
         most = tuple(now)
         nxt, nxt_path = scratch_table(next_round(classes, placed, large, o), "forest")
-        drop_scratch(classes.sparkSession, path, large_path)
+        drop_scratch(spark, path, large_path)
         placed, path = nxt, nxt_path
 
 
@@ -219,18 +230,57 @@ def leaf_links(threshold: float):
     return run
 
 
+def cover(v: np.ndarray, rows: int, o: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(places, links) of vectors of the sample ``v`` that cover its dense places; it stands for ``rows`` classes."""
+    if not len(v):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    step = max(1, (1 << 20) // len(v))
+    links = np.concatenate([(v[a:a + step] @ v.T >= o.threshold).sum(axis=1) for a in range(0, len(v), step)]) - 1
+    order = np.argsort(-links, kind="stable")
+    order = order[links[order] >= max(LEAST, o.dense * len(v) / rows)]
+    covered, chosen = np.zeros(len(v), dtype=bool), []
+    for i in order.tolist():
+        if not covered[i]:
+            chosen.append(i)
+            covered |= v @ v[i] >= o.threshold
+            covered[i] = True
+    return np.array(chosen, dtype=np.int64), links[chosen]
+
+
 def pivots(classes: DataFrame, rows: int, o: Params) -> tuple[np.ndarray, np.ndarray]:
     """(cid, unit vector) of classes that cover the dense places of one bounded sample."""
     pdf = classes.orderBy(F.xxhash64("cid"), "cid").limit(o.sample).select("cid", "vec").toPandas()
     if not len(pdf):
         return np.zeros(0, dtype=np.int64), np.zeros((0, 1))
     cid, v = pdf["cid"].to_numpy(), unit(np.array(pdf["vec"].tolist()))
-    step = max(1, (1 << 20) // len(v))
-    links = np.concatenate([(v[a:a + step] @ v.T >= o.threshold).sum(axis=1) for a in range(0, len(v), step)]) - 1
-    order = np.argsort(-links, kind="stable")
-    order = order[links[order] >= max(LEAST, o.dense * len(v) / rows)]
+    chosen, _ = cover(v, rows, o)
+    return cid[chosen], v[chosen]
+
+
+def node_pivots(classes: DataFrame, placed: DataFrame, large: DataFrame, o: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(cid, unit vector) of classes that cover the dense places of the ``large`` leaves, each by a sample of its own.
+
+    At most ``o.sample`` of them, those with most links first; what they leave is looked at again after
+    their cells are done.  Leaves of several trees show a place several times; one pivot stays.
+    """
+    members = placed.join(large, "leaf").join(classes.select("cid", "vec"), "cid").select("leaf", "n", "cid", "vec")
+    share = F.pmod(F.xxhash64("cid", "leaf"), F.lit(1 << 20)) < F.col("n").cast("double") ** -1 * (o.sample << 20)
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid")
+        n = int(pdf["n"].iloc[0])
+        chosen, links = cover(unit(np.array(pdf["vec"].tolist())), n, o)
+        own = pdf.iloc[chosen]
+        return pd.DataFrame({"cid": own["cid"], "vec": own["vec"], "links": links * n // len(pdf)})
+
+    kind = classes.schema["vec"].dataType.simpleString()
+    found = members.filter(share).groupBy("leaf").applyInPandas(find, f"cid long, vec {kind}, links long")
+    top = found.orderBy(F.desc("links"), "cid").limit(o.sample).toPandas()
+    if not len(top):
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 1))
+    cid, v = top["cid"].to_numpy(), unit(np.array(top["vec"].tolist()))
     covered, chosen = np.zeros(len(v), dtype=bool), []
-    for i in order.tolist():
+    for i in range(len(v)):
         if not covered[i]:
             chosen.append(i)
             covered |= v @ v[i] >= o.threshold
@@ -339,6 +389,42 @@ def dense_links(near: DataFrame, cid: np.ndarray, v: np.ndarray, o: Params) -> D
             .mapInPandas(cell_links(pivot, o.threshold), "cid long, links long, root long"))
 
 
+def forest_links(classes: DataFrame, o: Params) -> DataFrame:
+    """(cid, links, root) of the links between ``classes`` (a written table, vectors of one length)."""
+    spark = classes.sparkSession
+    pivot, at = pivots(classes, classes.count(), o)
+    cold, done = classes, []
+    while True:
+        if len(pivot):
+            near, near_path = scratch_table(cells(cold, pivot, at, o), "forest-cells")
+            done.append(scratch_table(dense_links(near, pivot, at, o), "cell-links")[0])
+            cold, _ = scratch_table(cold.join(near.filter("core").select("cid"), "cid", "left_anti"), "forest-cold")
+            drop_scratch(spark, near_path)
+        placed, path, found = place(cold, o)
+        if found is None:
+            break
+        pivot, at = found
+    sigs = placed.groupBy("cid").agg(F.array_sort(F.collect_set("leaf")).alias("sig"))
+    leaves = (cold.join(sigs, "cid").select(F.explode("sig").alias("leaf"), "cid", "n", "vec", "sig")
+              .repartition("leaf").sortWithinPartitions("leaf", "cid"))
+    parts, _ = scratch_table(leaves.mapInPandas(leaf_links(o.threshold), "cid long, links long, root long"), "leaf-links")
+    drop_scratch(spark, path)
+    for d in done:
+        parts = parts.union(d)
+    return parts
+
+
+def few_links(classes: DataFrame, o: Params) -> DataFrame:
+    """The same for classes of lengths that are rare (``FEW``), whose forest would be one leaf: all pairs of a length."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = unit(np.array(pdf["vec"].tolist()))
+        links, low = compare(0, v, pdf["n"].to_numpy(), np.zeros((len(pdf), 1), dtype=np.int64), o.threshold)
+        cid = pdf["cid"].to_numpy()
+        return pd.DataFrame({"cid": cid, "links": links, "root": cid[low]})
+
+    return classes.groupBy(F.size("vec")).applyInPandas(run, "cid long, links long, root long")
+
+
 def near_duplicates(vectors: DataFrame, o: Params = Params(), id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
@@ -347,30 +433,18 @@ def near_duplicates(vectors: DataFrame, o: Params = Params(), id_col: str = "vec
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0)
     good = rows.filter(F.coalesce(whole, F.lit(False)))
-    found = (good.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "dim")).alias("m"))
-             .first()["m"])
-    if found is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"),
-                           F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    good = good.filter(F.size("vec") == found["dim"])
-    o = replace(o, sample=min(o.sample, max(256, o.numbers // found["dim"])))
     classes = good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes, _ = scratch_table(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    pivot, at = pivots(classes, classes.count(), o)
-    cold, dense = classes, None
-    if len(pivot):
-        near, near_path = scratch_table(cells(classes, pivot, at, o), "forest-cells")
-        dense, _ = scratch_table(dense_links(near, pivot, at, o), "cell-links")
-        cold, _ = scratch_table(classes.join(near.filter("core").select("cid"), "cid", "left_anti"), "forest-cold")
-        drop_scratch(spark, near_path)
-    placed, path = place(cold, o)
-    sigs = placed.groupBy("cid").agg(F.array_sort(F.collect_set("leaf")).alias("sig"))
-    leaves = (cold.join(sigs, "cid").select(F.explode("sig").alias("leaf"), "cid", "n", "vec", "sig")
-              .repartition("leaf").sortWithinPartitions("leaf", "cid"))
-    parts, _ = scratch_table(leaves.mapInPandas(leaf_links(o.threshold), "cid long, links long, root long"), "leaf-links")
-    drop_scratch(spark, path)
-    if dense is not None:
-        parts = parts.union(dense)
+    lengths = classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("m"))
+    # The commonest length, and at most one more for each FEW classes or FEW_NUMBERS numbers of the table.
+    common = lengths.agg(F.max(F.struct("m", "dim")).alias("c")).first()["c"]
+    many = lengths.filter((F.col("m") > FEW) | (F.col("m") * F.col("dim") > FEW_NUMBERS)).select("dim").collect()
+    many = sorted({r.dim for r in many} | ({common["dim"]} if common else set()))
+    rare = classes.filter(~F.size("vec").isin(many)) if many else classes
+    parts, _ = scratch_table(few_links(rare, o), "few-links")
+    for dim in many:
+        own, _ = scratch_table(classes.filter(F.size("vec") == dim), "vectors-of-length")
+        parts = parts.union(forest_links(own, replace(o, sample=min(o.sample, max(256, o.numbers // dim)))))
     comp = components(parts.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = parts.groupBy("cid").agg(F.sum("links").alias("links"))
     tied = (classes.select("cid", "rep").join(comp, F.col("cid") == F.col("node")).select("cid", "rep", "component")

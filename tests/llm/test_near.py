@@ -163,6 +163,28 @@ def test_forest_counts_a_dense_group_in_full(spark, noise):
     assert not wrong[:2200].any() and wrong.sum() <= 0.01 * len(rows)
 
 
+def test_forest_finds_groups_that_the_sample_does_not_show(spark):
+    """800 of 8,000 vectors in one group, half of whose pairs link; six of them in a sample of 64 are below ``LEAST``."""
+    rng = np.random.default_rng(9)
+    middle = rng.standard_normal(16)
+    v = np.concatenate([middle + rng.normal(0, 0.22, (800, 16)), rng.standard_normal((7200, 16))])
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(v.tolist())],
+                               "vec_id long, embedding array<double>, label int").repartition(4)
+    u = v[:800] / np.linalg.norm(v[:800], axis=1)[:, None]
+    near = (u @ u.T >= 0.95).sum(axis=1) - 1
+    o = rpforest.Params(leaf=128, sample=64, dense=100, trees=3)
+    assert not len(rpforest.cover(u[rng.choice(800, 6, replace=False)], 8000, o)[0])
+    got = rpforest.near_duplicates(df, o).filter("vec_id < 800").orderBy("vec_id").toPandas()["n_links"].to_numpy()
+    assert 0.2 < near.mean() / 800 < 0.9
+    assert (got <= near + 8).all() and got.sum() >= 0.99 * near.sum(), (got.sum(), near.sum())
+
+
+def test_vectors_of_every_length_link(spark):
+    rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(5)] + [(10 + i, [1.0, 0.0], 0) for i in range(3)] + [(20, [0.99, 0.01], 0), (21, [2.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rpforest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {10 + i: (3, 10) for i in range(3)} | {20: (3, 10), 21: (0, 21)}
+
+
 def test_forest_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]),

@@ -5,7 +5,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,10 +56,11 @@ def test_doubling_equals_brute_force(spark, docs_of, seed, size):
         assert got[i].kept == b" ".join([x for x, g in zip(w, c) if not g]).decode()
 
 
-@pytest.mark.parametrize("seed,size", [(3, 8), (4, 12)])
-def test_suffix_array_equals_brute_force(spark, docs_of, seed, size):
+@pytest.mark.parametrize("seed,size,near,large", [(3, 8, 16, 256), (4, 12, 16, 256), (5, 9, 1, 256), (6, 8, 2, 3), (7, 10, 3, 1)])
+def test_suffix_array_equals_brute_force(spark, docs_of, seed, size, near, large):
+    """Also where few neighbours are compared, and beginnings of more than a few entries go window by window."""
     rows = corpus(seed)
-    got = {r.doc_id: r for r in suffixes.find(docs_of(rows), size).collect()}
+    got = {r.doc_id: r for r in suffixes.find(docs_of(rows), size, near=near, large=large).collect()}
     assert len(got) == len(rows)
     for (i, _), (w, c) in zip(rows, covered([t for _, t in rows], size)):
         mine = np.zeros(len(w), dtype=bool)
@@ -67,6 +70,25 @@ def test_suffix_array_equals_brute_force(spark, docs_of, seed, size):
         assert (got[i].n_words, got[i].n_repeated) == (len(w), c.sum())
 
 
+def entry(words, p, i1, i2, size, g=7, single=True, k=0):
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=">u8")
+    return {"g": g, "right": h[p:i2 + size].tobytes(), "left": h[i1:p][::-1].tobytes(), "single": single, "k": k, "len": 0,
+            "p": p, "i1": i1, "i2": i2}
+
+
+def test_neighbours_are_extended_left_and_right():
+    """Two texts that share the words 3 to 14, the anchor at 6: with windows of 8 words those from 3 to 6 are repeated."""
+    shared = [f"s{i}" for i in range(11)]
+    a, b = ["a0", "a1", "a2", *shared, "a3", "a4"], ["b0", *shared, "b1", "b2", "b3", "b4"]
+    rows = [entry(a, 6, 1, 6, 8, k=1), entry(b, 4, 0, 4, 8, k=2), entry(["x"] * 20, 6, 2, 6, 8, g=9, k=3)]
+    types = pa.schema([("g", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("single", pa.bool_()), ("k", pa.int64()),
+                       ("len", pa.int32()), ("p", pa.int32()), ("i1", pa.int32()), ("i2", pa.int32())])
+    rows.sort(key=lambda r: (r["g"], r["right"]))
+    got = {(int(k), int(i), int(j), bool(o)) for x in suffixes.neighbours(pa.Table.from_pylist(rows, types), 8, 2, 4)
+           for k, i, j, o in zip(x["k"], x["i1"], x["i2"], x["open"])}
+    assert got == {(1, 3, 6, False), (2, 1, 4, False)}
+
+
 def test_remove_keeps_other_rows(spark, docs_of):
     rows = [(1, "a  b\nc " + "s t u v w x y z"), (2, "s t u v w x y z q"), (3, "quite  other\ntext"), (None, None)]
     d = docs_of(rows)
@@ -87,6 +109,8 @@ def test_queries_on_whole_tables(spark):
     op7 = {r.doc_id: r for r in catalog.QUERIES["op7_suffix_array"](spark, SF001).collect()}
     for (i, _), (w, c) in zip(docs.items(), covered(docs.values(), 50)):
         assert (op7[i].n_words, op7[i].n_repeated) == (len(w), c.sum())
+        runs = [p.split("-") for p in op7[i].passages.split()]
+        assert sum(int(b) - int(a) for a, b in runs) == c.sum()
 
 
 @settings(max_examples=200, deadline=None)
