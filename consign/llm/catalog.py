@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import bpe, chat, doubling, lexical, minhash, negatives, packing, quality, rpforest, secrets, suffixes, tokenfile
-from .common import ship_package, table
+from .common import drop_scratch, ship_package, table
 from .oracles import ORACLES
 from .simhash import near_duplicates
 
@@ -72,7 +72,10 @@ def op10_simhash(spark, sf_dir):
 
 
 def op11_lexical(spark, sf_dir):
-    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"), k=10)  # a written table
+    drop_scratch(spark, index.path)
+    return found
 
 
 def op12_gnat_negatives(spark, sf_dir):

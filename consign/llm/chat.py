@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
 from .tokens import slices
 
 PIECE = 1 << 20  # characters
@@ -208,6 +209,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None, exp
     ``content`` is a column of type array<``PART``>; if not given, the column ``text`` is each turn's only part.
     """
     template, expansion = template or Template(), expansion or Expansion()
+    ship_package(turns.sparkSession)
     content = (text_parts(F.col("text")) if content is None else content).cast(f"array<{PART}>")
     id_type = turns.schema[id_col].dataType.simpleString()
     rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"),
@@ -250,6 +252,7 @@ def read_back(pieces: DataFrame, template: Template | None = None) -> DataFrame:
     A digest runs over a conversation's pieces in their order, one piece in memory at a time.
     """
     template = template or Template()
+    ship_package(pieces.sparkSession)
     id_type = pieces.schema["conv_id"].dataType.simpleString()
     rows = (pieces.select("conv_id", "piece", "formatted", "loss").repartition("conv_id")
             .sortWithinPartitions("conv_id", "piece"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import drop_scratch, scratch_table
+from .common import drop_scratch, scratch_table, ship_package
 from .repeats import anchor_table, covered, release, repeated, repeated_spans, split_words, with_spans
 from .tokens import slices
 
@@ -43,6 +43,7 @@ def _left(gram: int):
 
 
 def spans(docs: DataFrame, size: int = 35, text_col: str = "text") -> tuple[DataFrame, str]:
+    ship_package(docs.sparkSession)
     gram = max(1, -(-size // 4))
     rows, first = anchor_table(docs, size, gram, {"r": _right(gram), "l": _left(gram)}, text_col)
     again, again_path = repeated(rows, ["g"], "level-1")

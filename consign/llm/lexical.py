@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import drop_scratch, scratch_table
+from .common import drop_scratch, scratch_table, ship_package
 from .tokens import text_slices
 
 SHARD_DOCS, SHARD_POSTINGS = 16_384, 1 << 20
@@ -204,6 +204,7 @@ class _Shard:
 def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index every document; the table goes to ``path`` (a fresh scratch folder if not given)."""
     spark = docs.sparkSession
+    ship_package(spark)
     path = path or scratch_path(spark, "lexical-index")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -361,6 +362,7 @@ def _search_block(spark: SparkSession, index: Index, items: list[tuple], item_ty
 def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` highest-scoring documents of every query."""
     spark, kind = queries.sparkSession, queries.schema[id_col].dataType.simpleString()
+    ship_package(spark)
     path, out = scratch_path(spark, "lexical-found"), f"item_id {kind}, rank int, doc_id long, score long"
     spark.createDataFrame([], out).write.parquet(path)
     for items in _query_blocks(queries, id_col, text_col):

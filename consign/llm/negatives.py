@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import drop_scratch, scratch_table
+from .common import drop_scratch, scratch_table, ship_package
 
 SPLITS, LEAF = 16, 128
 ROOT_SPLITS, SAMPLE, SAMPLE_WIDTH = 32, 2048, 1024
@@ -374,6 +374,7 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     these the ``negatives`` highest-scoring rows of other labels with low * positive <= of * negative <= of * positive.
     """
     spark = rows.sparkSession
+    ship_package(spark)
     rows, rows_path = scratch_table(prepared(rows, scale, id_col, vector_col, F.col("label") if label is None else label), "gnat-rows")
     index = build(rows)
     table = spark.read.schema("dim int, shard long, n long, data binary").parquet(index.path)

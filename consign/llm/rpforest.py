@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, forest, group_runs, is_empty, scratch_table
+from .common import components, drop_scratch, forest, group_runs, is_empty, scratch_table, ship_package
 
 
 @dataclass(frozen=True)
@@ -428,7 +428,7 @@ def few_links(classes: DataFrame, o: Params) -> DataFrame:
 def near_duplicates(vectors: DataFrame, o: Params = Params(), id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+    ship_package(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.col("vec").isNotNull() & (F.size("vec") > 0) & ~bad & F.exists("vec", lambda x: x != 0)

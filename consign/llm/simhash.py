@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_runs, is_empty, scratch_table
+from .common import components, group_runs, is_empty, scratch_table, ship_package
 from .tokens import text_slices
 
 SEED = 42
@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tree_siz
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``
     (smallest id reachable over links, its own included), ``kept`` (its own component)."""
+    ship_package(docs.sparkSession)
     fps, _ = scratch_table(fingerprints(docs, shingle, id_col, text_col), "simhash")
     reps = fps.groupBy("fp").agg(F.min("id").alias("id")).filter("id IS NOT NULL")
     comp = link_components(reps, radius, tree_size)
@@ -273,6 +274,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tre
     text stays, chosen by its fingerprint and hash; equal rows of it collapse to one.  Rows with a null
     id belong to no group and stay.
     """
+    ship_package(docs.sparkSession)
     fps, _ = scratch_table(fingerprints(docs, shingle).filter("id IS NOT NULL"), "simhash")
     classes = fps.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first"), F.count("*").alias("n"))
     comp = link_components(classes.select(F.col("fp").alias("id"), "fp"), radius, tree_size)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch_table
+from .common import drop_scratch, scratch_table, ship_package
 from .repeats import anchor_table, covered, enumerated, release, split_words, text_key, with_spans
 from .tokens import slices
 
@@ -193,6 +193,7 @@ def passages(n: int, found: list[dict] | None, size: int) -> list[dict]:
 def find(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR,
          large: int = LARGE) -> DataFrame:
     """(id, n_words, n_repeated, passages array<struct<from, to>>) for every row; word numbers from 0."""
+    ship_package(docs.sparkSession)
     found, _ = spans(docs, size, text_col, near, large)
     kind = docs.schema[id_col].dataType.simpleString()
     spec = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
