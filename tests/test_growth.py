@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from consign.functions import js
 from consign.operators import ingest
+from consign.sources import ledger as L
 
 ENVELOPE = "source string, seq long, entity string, target_id string, arrived_at string, body string"
 
@@ -28,3 +29,31 @@ def test_fields_are_read_without_copies_of_their_variants(spark):
     numbers = {"b": 0.1, "c": 123456789012345678901234567890.0, "d": float("inf"), "h": 4503599627370497.5, "i": 12.5}
     assert {n: r[f"{n}d"] for n in f if r[f"{n}d"] is not None} == numbers
     assert (r["as"], r["fb"], r["at"]) == ("1.50", True, "1.50")
+
+
+def _sales(spark, rows):
+    df = spark.createDataFrame(rows, "id string, date string")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in L.SCHEMAS["sales"].fields if f.name not in df.columns]
+    return df.select("*", *rest)
+
+
+def test_an_append_deals_its_rows_by_key_once(spark, tmp_path, monkeypatch):
+    root, plans, write = f"file://{tmp_path}/ledger", [], L._write_batch
+    L.append_new_rows(_sales(spark, [("a", "2024-01-05"), ("b", "2024-02-05"), ("n", None)]), root, "sales")
+
+    def seen(spark, df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(spark, df, *rest)
+
+    monkeypatch.setattr(L, "_write_batch", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        L.append_new_rows(_sales(spark, [("a", "2024-01-09"), ("a", "2024-01-09"), ("b", "2024-01-05"), ("c", "2024-02-01"),
+                                         ("n", None)]), root, "sales")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[0].count("Exchange hashpartitioning") == 2  # the new rows, and the keys that are stored
+    got = sorted((r.id, r.date or "") for r in L.read_table(spark, root, "sales").collect())
+    # A key counts in its month; a row without a date is in none.
+    assert got == [("a", "2024-01-05"), ("b", "2024-01-05"), ("b", "2024-02-05"), ("c", "2024-02-01"), ("n", ""), ("n", "")]
