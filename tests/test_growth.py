@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from consign.functions import js
 from consign.operators import ingest
 from consign.sources import ledger as L
+from consign.sources import payloads as PL
 
 ENVELOPE = "source string, seq long, entity string, target_id string, arrived_at string, body string"
 
@@ -31,6 +32,14 @@ def test_fields_are_read_without_copies_of_their_variants(spark):
     assert (r["as"], r["fb"], r["at"]) == ("1.50", True, "1.50")
 
 
+def test_written_requests_are_compressed_and_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(PL, "FILE_ROWS", 3)
+    bodies = [f'{{"date":"2024-01-0{i}"}}' for i in range(1, 8)]
+    path = PL.write_payloads(_requests(spark, bodies).coalesce(1), f"file://{tmp_path}/requests")
+    assert len(list(tmp_path.glob("requests/*.json.gz"))) == 3
+    assert sorted(r.body for r in PL.read_payloads(spark, path).collect()) == bodies
+
+
 def _sales(spark, rows):
     df = spark.createDataFrame(rows, "id string, date string")
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in L.SCHEMAS["sales"].fields if f.name not in df.columns]
