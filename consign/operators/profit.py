@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scaled_shuffles
+
 # A key prefix no real id or sku starts with (a NUL character).
 _NOMATCH = "\u0000"
 
@@ -51,6 +53,7 @@ def matched_sales(sales: DataFrame, inventory: DataFrame) -> DataFrame:
     catalogue, not with the sales.  A hot pair is a skewed left side of a left
     outer join, which AQE splits.
     """
+    scaled_shuffles(sales.sparkSession)
     by_id = inventory.select(F.col("id").alias("_aid"), _item("_a"))
     by_sku = inventory.select(F.col("sku").alias("_bsku"), _item("_b"))
     pairs = sales.select(F.col("inventory_id").alias("_pid"), F.col("sku").alias("_psku")).dropDuplicates()

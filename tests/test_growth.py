@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from consign.functions import js
 from consign.operators import ingest
+from consign.operators.profit import sales_profit
 from consign.sources import ledger as L
 from consign.sources import payloads as PL
 
@@ -66,3 +67,30 @@ def test_an_append_deals_its_rows_by_key_once(spark, tmp_path, monkeypatch):
     got = sorted((r.id, r.date or "") for r in L.read_table(spark, root, "sales").collect())
     # A key counts in its month; a row without a date is in none.
     assert got == [("a", "2024-01-05"), ("b", "2024-01-05"), ("b", "2024-02-05"), ("c", "2024-02-01"), ("n", ""), ("n", "")]
+
+
+def test_partitions_of_the_profit_join_follow_its_size(spark):
+    """More partitions than ``spark.sql.shuffle.partitions`` where the rows are many; the pairs hashed, the sales not sorted."""
+    sales = spark.range(40_000).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), F.lit("2024-01-02").alias("date"),
+        F.concat(F.lit("i"), (F.col("id") % 9000).cast("string")).alias("inventory_id"),
+        F.concat(F.lit("k"), (F.col("id") % 9001).cast("string")).alias("sku"),
+        *[F.col("id").alias(c) for c in ("qty", "sold_price_cents", "buyer_shipping_cents", "platform_fees_cents",
+                                         "promo_fee_cents", "shipping_label_cost_cents", "other_costs_cents")])
+    items = spark.range(9000).select(
+        F.concat(F.lit("i"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("sku"),
+        F.lit("t").alias("title"), F.lit(5).cast("bigint").alias("cost_cents"))
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+           "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        df = sales_profit(sales, items)
+        assert df.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert df.count() == 40_000 + sum(i % 9000 != i % 9001 and i % 9001 < 9000 for i in range(40_000))
+        df.collect()
+        assert "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
