@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .. import schemas
 from ..functions.js import round_half_up_cents
 from ..operators.report import by_month, expense_measures, sales_measures
+from ..session import scaled_shuffles
 from .commits import APPEND, REMOVE, REPLACE, SNAPSHOT, Conflict, State, commit, state
 
 TABLES = ("inventory", "sales", "expenses", "lots", "inventory_lots", "photos")
@@ -94,6 +96,7 @@ def _write(df: DataFrame, path: str, name: str) -> None:
 def _write_batch(spark: SparkSession, df: DataFrame, root: str, snapshot: str, name: str, batch: str) -> list[str]:
     """Write a batch, and its roll-up from what was written; the tables that now have the batch."""
     path = _folder(root, snapshot, name, batch)
+    scaled_shuffles(spark)
     _write(df, path, name)
     if name not in PARTITIONED:
         return [name]
@@ -107,12 +110,15 @@ def write_snapshot(ledger: Ledger, root: str, seen: State | None = None) -> Stat
     """Write every table as a new snapshot and switch to it in one commit; returns the new state.
 
     A job that fails halfway leaves every reader where it was, and a snapshot that is being read is
-    never overwritten.  A ledger that was made from the stored one passes the state it read
+    never overwritten.  The tables are written side by side, so that one table's last tasks do not hold
+    up the next table.  A ledger that was made from the stored one passes the state it read
     (``seen``); ``Conflict`` is raised if something was committed since.
     """
     spark = ledger.sales.sparkSession
     seen, name = seen or state(spark, root), f"snapshot-{uuid.uuid4().hex}"
-    written = [w for t in TABLES for w in _write_batch(spark, getattr(ledger, t), root, name, t, BASE)]
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        parts = pool.map(lambda t: _write_batch(spark, getattr(ledger, t), root, name, t, BASE), TABLES)
+        written = [w for part in parts for w in part]
     commit(spark, root, seen, [(SNAPSHOT, name, t, BASE) for t in written])
     return State(seen.n + 1, name, {t: [BASE] for t in written})
 
@@ -372,8 +378,9 @@ def lots_from(supplier: DataFrame) -> DataFrame:
 
 
 def inventory_lots_from(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(_pfx("inv-", F.col("l_partkey")).alias("inventory_id"),
-                           _pfx("lot-", F.col("l_suppkey")).alias("lot_id")).dropDuplicates()
+    # The keys are shuffled as numbers; their texts are made of the distinct ones.
+    return lineitem.select("l_partkey", "l_suppkey").dropDuplicates().select(
+        _pfx("inv-", F.col("l_partkey")).alias("inventory_id"), _pfx("lot-", F.col("l_suppkey")).alias("lot_id"))
 
 
 def photos_from(pages: DataFrame) -> DataFrame:

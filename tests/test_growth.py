@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import functions as F
 
 from consign.functions import js
 from consign.operators import ingest
 from consign.operators.profit import sales_profit
+from consign.session import scratch_path
 from consign.sources import ledger as L
 from consign.sources import payloads as PL
+from tests.conftest import SF001
 
 ENVELOPE = "source string, seq long, entity string, target_id string, arrived_at string, body string"
 
@@ -94,3 +98,24 @@ def test_partitions_of_the_profit_join_follow_its_size(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_tables_of_a_snapshot_are_written_side_by_side(spark, monkeypatch):
+    together = threading.Barrier(len(L.TABLES), timeout=30)
+    write = L._write_batch
+    monkeypatch.setattr(L, "_write_batch", lambda *a: (together.wait(), write(*a))[1])
+    lg = L.ledger_from_testdata(spark, SF001)
+    root = scratch_path(spark, "side-by-side")
+    L.write_snapshot(lg, root)
+    st = L.read_snapshot(spark, root)
+    assert all(getattr(st, t).count() == getattr(lg, t).count() for t in L.TABLES)
+
+
+def test_bridge_keys_are_shuffled_as_numbers(spark):
+    rows = spark.createDataFrame([(1, 2), (1, 2), (12, 3), (1, 23), (None, 2), (None, 2), (1, None)], "l_partkey long, l_suppkey long")
+    bridge = L.inventory_lots_from(rows)
+    assert sorted(map(str, bridge.collect())) == sorted(map(str, rows.select(
+        F.concat(F.lit("inv-"), F.col("l_partkey").cast("string")).alias("inventory_id"),
+        F.concat(F.lit("lot-"), F.col("l_suppkey").cast("string")).alias("lot_id")).distinct().collect()))
+    plan = bridge._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_partkey" in plan
