@@ -39,6 +39,7 @@ STRETCH = 1 << 17  # characters whose features are in memory at once
 SLICE = 1 << 20  # bytes of text
 BUCKETS = 1 << BUCKETS_BITS
 TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
+TRAIN_PART = 16  # training documents whose features are looked for at a time
 EPOCHS, RATE, SEED = 5, 0.5, 7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -135,17 +136,20 @@ def train(texts: list[str], labels: list[int]) -> Model:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    # Each document's distinct features and their shares, end to end in two arrays.
-    ids, shares, sizes = [], [], []
-    for at in range(0, len(texts), 64):
-        part = texts[at:at + 64]
+    # Each document's distinct features and their shares, end to end in two arrays, which are held once: n
+    # characters have fewer than 4 n + 16 features, and of the room for that only what is filled takes memory.
+    room, sizes, end = sum(4 * len(t) + 16 for t in texts), [], 0
+    ids, shares = np.empty(room, dtype=np.int32), np.empty(room, dtype=np.float32)
+    for at in range(0, len(texts), TRAIN_PART):
+        part = texts[at:at + TRAIN_PART]
         row, bucket = features(part)
         both, n = np.unique((row.astype(np.int64) << BUCKETS_BITS) | bucket, return_counts=True)
         of = both >> BUCKETS_BITS
-        ids.append((both & (BUCKETS - 1)).astype(np.int32))
-        shares.append((n / np.bincount(row, minlength=len(part))[of]).astype(np.float32))
+        ids[end:end + len(both)] = both & (BUCKETS - 1)
+        shares[end:end + len(both)] = n / np.bincount(row, minlength=len(part))[of]
         sizes.append(np.bincount(of, minlength=len(part)))
-    ids, shares, sizes = np.concatenate(ids), np.concatenate(shares), np.concatenate(sizes)
+        end += len(both)
+    sizes = np.concatenate(sizes)
     stop = np.cumsum(sizes)
     steps, done = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):

@@ -281,3 +281,16 @@ def test_pipeline_on_edges(spark, docs_of, tmp_path):
             docs = corpus_pipeline.scratch_table(stage(spark, docs, f"file://{tmp_path}"), "test-edges")[0]
         # null and empty texts share the zero fingerprint: one of them stays
         assert {r.doc_id for r in docs.collect()} == ({1, 3, None} if rows else set())
+
+
+def test_training_holds_its_features_once():
+    """Features take 8 bytes each, at most 4 a character: 77 MB here, and what is worked on."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.choice([32, *range(97, 123)], 3000))) for _ in range(800)]
+    tracemalloc.start()
+    try:
+        quality.train(texts, [i % 2 for i in range(800)])
+        assert tracemalloc.get_traced_memory()[1] < 105e6
+    finally:
+        tracemalloc.stop()
