@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.middle import median
 from ..operators import changes, ingest, report, views
 from ..session import scratch_path
 from ..sources import ledger as L
@@ -139,10 +140,9 @@ def _relinked(spark, sf_dir):
     root = scratch_path(spark, "linked-ledger")
     L.write_snapshot(L.ledger_from_testdata(spark, sf_dir), root)
     li = L.load_raw(spark, sf_dir, "lineitem")
-    requests, middle = PL.link_unlink_payloads(li), li.agg(F.percentile("l_orderkey", 0.5).cast("long")).first()[0]
-    cut = middle * 8 * PL.SEQ_SCALE
-    for part in (requests.where(F.col("seq") < cut), requests.where(F.col("seq") >= cut)):
-        L.log_links(changes.last_links(part, L.read_table(spark, root, "inventory")), root)
+    cut = int(median(li, "l_orderkey")) * 8 * PL.SEQ_SCALE
+    for part in (li.where(f"{PL.LSEQ} < {cut}"), li.where(f"{PL.LSEQ} >= {cut}")):  # before any request is built
+        L.log_links(changes.last_links(PL.link_unlink_payloads(part), L.read_table(spark, root, "inventory")), root)
     return root
 
 

@@ -25,6 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..functions.js import round_half_up_cents
+from ..operators.ingest import fence
 from ..operators.report import by_month, expense_measures, sales_measures
 from ..session import scaled_shuffles
 from .commits import APPEND, REMOVE, REPLACE, SNAPSHOT, Conflict, State, commit, state
@@ -270,14 +271,22 @@ def log_links(ops: DataFrame, root: str) -> None:
 
 
 def read_bridge(spark: SparkSession, root: str, at: State | None = None) -> DataFrame:
-    """The bridge with its log merged in; the last batch that names a (lot, item) decides."""
+    """The bridge with its log merged in; the last batch that names a (lot, item) decides.
+
+    What decides is one number, the batch's place in their order and the operation, so that the log is grouped by
+    hash, not sorted by its texts.  Both uses read the same grouping, so that the log is read once: the bridge is
+    joined with all of it, and the fence keeps each use's filters above it.
+    """
     at = at or state(spark, root)
     base = read_table(spark, root, "inventory_lots", at)
     if not at.batches.get(LINK_LOG):
         return base
     keys = ["inventory_id", "lot_id"]
-    last = _scan(spark, root, LINK_LOG, at).groupBy(*keys).agg(F.max_by("last_op", "batch").alias("last_op"))
-    return base.join(last, keys, "left_anti").select(*keys).unionByName(last.where(F.col("last_op") == "link").select(*keys))
+    place = F.array_position(F.array(*map(F.lit, sorted(at.batches[LINK_LOG]))), F.col("batch"))
+    last = fence(_scan(spark, root, LINK_LOG, at).groupBy(*keys)
+                 .agg(F.max(place * 2 + F.when(F.col("last_op") == "link", 1).otherwise(0)).alias("_last")))
+    kept = base.join(last, keys, "left").where(F.col("_last").isNull())
+    return kept.select(*keys).unionByName(last.where(F.col("_last") % 2 == 1).select(*keys))
 
 
 # ------------------------------------------------------ derivation from test data
