@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..operators import ingest
 from ..schemas import ENVELOPE_READ
 from ..sources.commits import stored
-from ..sources.ledger import SCHEMAS, append_new_rows
+from ..sources.ledger import COMPRESSION, SCHEMAS, append_new_rows
 from ..sources.payloads import read_payload_stream
 
 TABLE_OF = {"sale": "sales", "expense": "expenses", "lot": "lots", "inventory": "inventory"}
@@ -104,7 +104,8 @@ def write_batch(spark: SparkSession, entity: str, existing: DataFrame | None, ou
         checked = TRANSFORMS[entity](batch, None).checked
     path = f"{out_dir}/batch_id={batch_id}"
     state = F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
-    checked.withColumn("state", state).write.mode("overwrite").partitionBy("state").parquet(path)
+    (checked.withColumn("state", state).write.mode("overwrite").option("compression", COMPRESSION)
+     .partitionBy("state").parquet(path))
     if ledger_root is not None:
         rows = read_output(spark, out_dir, entity).where((F.col("batch_id") == batch_id) & (F.col("state") == "accepted"))
         table = TABLE_OF[entity]
